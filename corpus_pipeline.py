@@ -1,6 +1,61 @@
+"""From raw documents to token ids: five stages, each written and read again.
+
+Every stage takes (spark, docs, sf_dir), works on all rows its predecessor kept
+and returns the columns of documents; the last returns token ids.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import bpe, exact_dedup, langid, mixing, setsketch
+from tessera.llm.queries import MIX_REPEATS, TOKENIZER_FILE
+from tessera.plans.workspace import materialise
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language (null, or no letter) go."""
+    return langid.accepted(docs, langid.fit(docs.where(langid.learnt())))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with equal normalised texts the one with the smallest id stays."""
+    return exact_dedup.deduplicate(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays."""
+    kept = setsketch.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at tempered weights: a document comes as often as its source's budget draws it, perhaps never."""
+    return mixing.mixed(docs, repeats=MIX_REPEATS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids, and digests of the ids and of the decoded text, for each row of the mixture."""
+    return bpe.encode(docs, TOKENIZER_FILE, with_ids=True, with_decoded=False)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("exact_dedup", exact),
+    ("near_dedup", near),
+    ("mixing", mix),
+    ("bpe", tokens),
+]
+
+#: Language prediction and BPE have no SQL form; tests hold run() against a brute-force version.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialise(docs, f"pipeline-{name}")
+    return docs

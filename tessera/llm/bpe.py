@@ -256,7 +256,7 @@ def encoder(spec: str) -> Encoder:
     return _encoders[key]
 
 
-def encode(docs: DataFrame, tokenizer_file: str, with_ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, tokenizer_file: str, with_ids: bool = True, with_decoded: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if wanted, ids and decoded of every row of ``docs``.
 
     tokenizer_file: read on the driver and sent with the tasks (a few MB, whatever the corpus).
@@ -275,8 +275,11 @@ def encode(docs: DataFrame, tokenizer_file: str, with_ids: bool = True) -> DataF
                 arrays = [part.rows.column(0), pa.array(np.diff(first), pa.int64()), pa.array([hashlib.sha256(r.astype("<u4").tobytes()).hexdigest() for r in rows], pa.string()), pa.array([hashlib.sha256(d).hexdigest() for d in decoded], pa.string())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    arrays += [pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids.astype(np.int32))), pa.array(decoded, pa.binary()).cast(pa.string())]
-                    names += ["ids", "decoded"]
+                    arrays.append(pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids.astype(np.int32))))
+                    names.append("ids")
+                if with_decoded:
+                    arrays.append(pa.array(decoded, pa.binary()).cast(pa.string()))
+                    names.append("decoded")
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids)
+    return docs.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_decoded)

@@ -20,7 +20,7 @@ more than a 4,096th of a source; a source's blocks are small sums.
 
 Documents without tokens are never drawn; sources without tokens have no weight.
 Null sources form a source of their own.  Ties cannot arise: keys end in doc_id;
-rows that repeat a doc_id share their fate.  An empty table gives an empty one.
+rows that repeat a doc_id and source share their fate.  An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -101,6 +101,6 @@ def plan(docs: DataFrame, entropy: float | None = None, repeats: float | None =
 
 def mixed(docs: DataFrame, entropy: float | None = None, repeats: float | None = None, budget_share: float = 1.0, seed: int = 0) -> DataFrame:
     """The rows of ``docs``, each as often as the plan draws it, with all their columns."""
-    drawn = plan(docs, entropy, repeats, budget_share, seed).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("copies").alias("_copies")).distinct()
-    rows = docs.join(drawn, F.col("doc_id") == F.col("_id")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    drawn = plan(docs, entropy, repeats, budget_share, seed).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("copies").alias("_copies")).distinct()
+    rows = docs.join(drawn, (F.col("doc_id") == F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
     return rows.select(*docs.columns)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.plans.workspace import fresh_path, materialise
 
-from . import bpe, exact_dedup, mixing, orc_tokens, setsketch, substring_dedup, token_counts
+from . import bpe, exact_dedup, langid, maxent_lm, mixing, orc_tokens, pq_dedup, setsketch, substring_dedup, token_counts
 
 #: Where the vocabulary files of public tokenizers lie, unless a caller says otherwise.
 TOKENIZERS = "/opt/tokenizers"
@@ -47,8 +47,17 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(documents(spark, sf_dir), size=35, keep_text=False)
 
 
+def op3_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return maxent_lm.score(documents(spark, sf_dir), held)
+
+
+def op4_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq_dedup.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.9)
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(documents(spark, sf_dir), TOKENIZER_FILE, with_ids=False)
+    return bpe.encode(documents(spark, sf_dir), TOKENIZER_FILE, with_ids=False, with_decoded=False)
 
 
 def op6_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +75,13 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.withColumn("weight", F.round("weight", 9))
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = langid.fit(docs.where(langid.learnt()))
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    return langid.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op9_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(documents(spark, sf_dir), words=5, percent=75)
 
@@ -98,6 +114,16 @@ SQL = {
         left_over AS (SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.j) AS kept, count(*) AS n FROM each e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.j = g.j WHERE g.j IS NULL GROUP BY 1)
         SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
         FROM w LEFT JOIN left_over USING (doc_id)""",
+    "op4_pq": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), links AS MATERIALIZED (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9
+        ), reach AS (SELECT a AS node, a AS other FROM links UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.other = l.a),
+        c AS (SELECT node, min(other) AS component FROM reach GROUP BY 1), n AS (SELECT a, count(*) AS n FROM links GROUP BY 1)
+        SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(component, e.vec_id) AS component_id, coalesce(component, e.vec_id) = e.vec_id AS kept
+        FROM embeddings e LEFT JOIN n ON e.vec_id = n.a LEFT JOIN c ON e.vec_id = c.node""",
     "op7_mixing": rf"""
         WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS n_tokens FROM documents),
         s AS (SELECT source, sum(n_tokens)::BIGINT AS t FROM d GROUP BY 1 HAVING sum(n_tokens) > 0),
