@@ -24,8 +24,8 @@ as they share elements.
 With 48 bands of 5 a pair at 0.75 shares no bucket in 2 cases of a million.
 
 Null text counts as empty.  An empty table gives an empty result.  Rows that
-repeat a doc_id are one document if their sets are equal; otherwise each keeps
-its row, and they count as linked.
+repeat a doc_id all get a row; classes go by their smallest id, and if two
+classes have the same one, the texts of either may stand for it.
 """
 
 from __future__ import annotations
@@ -161,10 +161,8 @@ def _linked(pairs: DataFrame, regs: DataFrame, texts: DataFrame, size: int, perc
     two = regs.select(F.col("doc_id").alias("b"), F.col("regs").alias("rb"), F.col("n_shingles").alias("nb"))
     tested = pairs.join(one, "a").join(two, "b").where(F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb"))
     likely = materialise(tested.select("a", "b", "ra", "rb", "na", "nb").mapInArrow(_likely(percent / 100), f"a {kind}, b {kind}"), "likely")
-    wanted = likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).distinct()
-    few = materialise(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "near-texts")
-    ta = few.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    tb = few.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+    ta = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
+    tb = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
     return materialise(likely.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(_verify(size, percent), f"a {kind}, b {kind}"), "links")
 
 
@@ -227,11 +225,26 @@ def _first_band(one: np.ndarray, many: np.ndarray) -> np.ndarray:
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(ci, cj, id): the documents that a packed row of pairs needs."""
+    """(ci, cj, id): the documents that a cell's pairs need, each once for each task that has pairs of the cell."""
+    held, n = [], 0
+
+    def rows() -> pa.RecordBatch:
+        found = np.unique(np.concatenate(held), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, k])) for k in range(3)], ["ci", "cj", "id"])
+
     for batch in batches:
         for i, j, pairs in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             ids = np.unique(np.frombuffer(pairs, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), i)), pa.array(np.full(len(ids), j)), pa.array(ids)], ["ci", "cj", "id"])
+            held.append(np.stack([np.full(len(ids), i), np.full(len(ids), j), ids], 1))
+            n += len(ids)
+            if n >= 1 << 20:
+                held = [np.unique(np.concatenate(held), axis=0)]
+                n = len(held[0])
+                if n >= 1 << 19:
+                    yield rows()
+                    held, n = [], 0
+    if held:
+        yield rows()
 
 
 def _verify_cells(size: int, percent: int):
@@ -281,11 +294,10 @@ def _across(bands: DataFrame, parts: DataFrame, regs: DataFrame, texts: DataFram
     own = own.join(regs.select(F.col("doc_id").alias("id"), "n_shingles", "regs"), "id")
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other"))
     dealt = dealt.select("key", "p", "q", "band", "id", "component", "n_shingles", "block", "home", "regs").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
-    packed = materialise(dealt.mapInArrow(_block_pairs(percent / 100, block), "ci bigint, cj bigint, pairs binary"), "packed")
+    packed = dealt.mapInArrow(_block_pairs(percent / 100, block), "ci bigint, cj bigint, pairs binary")
+    packed = materialise(packed.repartition("ci", "cj"), "packed")
     wanted = packed.mapInArrow(_members, "ci bigint, cj bigint, id bigint").distinct()
-    few = texts.join(wanted.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    few = materialise(few, "near-texts")
-    docs = wanted.join(few, F.col("id") == F.col("doc_id")).select("ci", "cj", F.lit(0).alias("kind"), "id", "text", F.lit(None).cast("binary").alias("pairs"))
+    docs = wanted.join(texts, F.col("id") == F.col("doc_id")).select("ci", "cj", F.lit(0).alias("kind"), "id", "text", F.lit(None).cast("binary").alias("pairs"))
     both = docs.unionByName(packed.select("ci", "cj", F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("string").alias("text"), "pairs"))
     return materialise(both.repartition("ci", "cj").sortWithinPartitions("ci", "cj", "kind").mapInArrow(_verify_cells(size, percent), "a bigint, b bigint"), "links")
 
@@ -303,9 +315,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
     keys = F.array(*(F.xxhash64(F.lit(i), F.expr(f"substring(regs, {2 * ROWS * i + 1}, {2 * ROWS})")) for i in range(BANDS)))
     bands = materialise(regs.select(F.col("doc_id").alias("id"), F.posexplode(keys).alias("band", "key")), "bands")
     hubs = bands.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
-    stars = bands.join(hubs, "key").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    links = _linked(stars, regs, docs, words, percent)
-    more = _across(bands, components(links, "a", "b"), regs, docs, words, percent)
+    bands = materialise(bands.join(hubs, "key"), "shared-bands")  # only buckets of two or more go on
+    near = bands.select(F.col("id").alias("doc_id")).distinct()
+    texts = materialise(docs.join(near, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "near-texts")
+    regs = materialise(regs.join(near, "doc_id", "left_semi"), "near-registers")
+    stars = bands.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+    links = _linked(stars, regs, texts, words, percent)
+    more = _across(bands.drop("hub"), components(links, "a", "b"), regs, texts, words, percent)
     parts = components(links.unionByName(more), "a", "b")
     member = sketches.select("doc_id", "n_shingles", "s0", "s1").join(classes, ["s0", "s1", "n_shingles"], "left")
     placed = member.join(parts, F.col("rep") == F.col("id"), "left")
