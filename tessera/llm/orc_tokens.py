@@ -42,7 +42,7 @@ ORC = {
     "orc.bloom.filter.fpp": "0.01",
 }
 BETWEEN = "<|startoftext|>"
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 20
 
 
 class LibraryEncoder:
@@ -62,7 +62,7 @@ class LibraryEncoder:
         flat, lens = [], []
         for at in range(0, len(runs), 4096):
             some = runs[at : at + 4096]
-            ids = np.array(self.tool.encode(BETWEEN.join(some), add_special_tokens=False).ids, np.uint32)
+            ids = np.array(self.tool.encode_batch_fast([BETWEEN.join(some)], add_special_tokens=False)[0].ids, np.uint32)
             cut = np.flatnonzero(ids == self.between)
             if len(cut) != len(some) - 1:
                 raise ValueError("a run of text holds a special string")
