@@ -1,9 +1,922 @@
-"""The registered queries of the tissue operators."""
+"""The registered queries of the tissue operators, and SQL that gives the same rows.
 
+Every query runs over its whole tables.  Doubles are rounded to six decimals on
+both sides, since sums meet in another order.
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera import adapters as A
+from tessera.functions import columns as C
+from tessera.functions.columns import dbl
+from tessera.operators import graphs, interactions, kernels, models, normalise, raster, scoring, spatial, stats, wavelets, zones
+from tessera.plans.workspace import materialise
+
+_QUERIES: dict[str, Callable] = {}
+_SQL: dict[str, str] = {}
+
+RADIUS = 1.5
+H_REL, DEG_MIN, DEG_MAX = 2.2, 10, 18
+HALF = 0.01
+
+
+def query(sql: str | None = None, floats: str = "", rest: str = ""):
+    """Register a query; sql: CTEs and a last one named out; floats, rest: its columns."""
+
+    def put(f: Callable) -> Callable:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            df = f(spark, sf_dir)
+            return df.select(*((F.round(c, 6) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+        run.__doc__, run.__name__ = f.__doc__, f.__name__
+        _QUERIES[f.__name__] = run
+        if sql:
+            cols = [f"round({c}, 6) + 0.0 AS {c}" for c in floats.split()] + rest.split()
+            _SQL[f.__name__] = f"WITH RECURSIVE {sql} SELECT {', '.join(cols)} FROM out"
+        return run
+
+    return put
+
+
+def queries() -> dict[str, Callable]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialise(A.spots(spark, sf_dir).withColumnRenamed("spot_id", "id"), "points")
+
+
+S = A.SPOTS_SQL
+D = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))"
+NN = f"{S}, pairs AS MATERIALIZED (SELECT a.spot_id AS src, b.spot_id AS dst, {D} AS d, a.label12 AS la, b.label12 AS lb, a.macro AS ma, b.macro AS mb FROM spots a JOIN spots b ON a.spot_id <> b.spot_id AND abs(a.x - b.x) <= 8 AND abs(a.y - b.y) <= 8), nn AS MATERIALIZED (SELECT src, dst, d, row_number() OVER (PARTITION BY src ORDER BY d, dst) AS rk FROM pairs QUALIFY rk <= 24), h AS (SELECT quantile_cont(d, 0.5) AS h FROM nn WHERE rk = 1)"
+EDGES = f"{NN}, g AS MATERIALIZED (SELECT src, dst, d FROM nn, h WHERE rk <= {DEG_MAX} AND (d <= {H_REL}::DOUBLE * h OR rk <= {DEG_MIN}))"
+KERNEL = f"{EDGES}, ke AS MATERIALIZED (SELECT src, dst, d, exp(-d * d / (2 * h * h)) AS k FROM g, h), kn AS MATERIALIZED (SELECT src, dst, d, k / greatest(avg(k) OVER (PARTITION BY src), 1e-12::DOUBLE) AS k FROM ke)"
+
+
+def bounded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, float]:
+    """Points, the degree-bounded graph and the spacing."""
+    p = points(spark, sf_dir)
+    h = spatial.spacing(p)
+    return p, materialise(spatial.bounded_graph(p, h, H_REL, DEG_MIN, DEG_MAX), "graph"), h
+
+
+# --- spatial
+
+
+@query(f"{NN}, out AS (SELECT h FROM h)", "h")
+def nn1_median_h(spark, sf_dir):
+    return spatial.median_nn(points(spark, sf_dir))
+
+
+@query(f"{NN}, out AS (SELECT avg(d) AS mean_d FROM nn WHERE rk <= 6)", "mean_d")
+def knn_mean_distance(spark, sf_dir):
+    return spatial.knn_mean(points(spark, sf_dir), 6)
+
+
+@query(f"{NN}, out AS (SELECT min(d) AS h FROM nn)", "h")
+def least_spacing(spark, sf_dir):
+    return spatial.least_spacing(points(spark, sf_dir))
+
+
+@query(f"{NN}, out AS (SELECT src, dst, d FROM pairs WHERE d <= {RADIUS})", "d", "src dst")
+def radius_edges(spark, sf_dir):
+    return spatial.radius_pairs(points(spark, sf_dir), RADIUS)
+
+
+@query(f"{NN}, out AS (SELECT src, dst, d, rk::INTEGER AS rk FROM nn WHERE rk <= 6)", "d", "src dst rk")
+def knn_edges(spark, sf_dir):
+    return spatial.knn(points(spark, sf_dir), 6)
+
+
+@query(f"{S}, out AS (SELECT a.spot_id AS id, min({D}) AS d FROM spots a JOIN spots b ON a.label12 <> b.label12 GROUP BY 1)", "d", "id")
+def opposite_nn(spark, sf_dir):
+    return spatial.opposite_nearest(points(spark, sf_dir), "label12")
+
+
+@query(f"{EDGES}, out AS (SELECT * FROM g)", "d", "src dst")
+def degree_bounded_graph(spark, sf_dir):
+    return bounded(spark, sf_dir)[1]
+
+
+@query(f"{NN}, m AS (SELECT src, any_value(la) AS label, min(d) AS d FROM pairs WHERE la = lb GROUP BY 1), out AS (SELECT label, quantile_cont(d, 0.5) AS h FROM m GROUP BY 1)", "h", "label")
+def class_h(spark, sf_dir):
+    return spatial.class_spacing(points(spark, sf_dir), "label12")
+
+
+@query(f"{NN}, out AS (SELECT count(*)::BIGINT AS n, avg(d) AS mean_d, min(d) AS lo, max(d) AS hi, quantile_cont(d, 0.5) AS mid FROM nn WHERE rk BETWEEN 8 AND 12)", "mean_d lo hi mid", "n")
+def pooled_knn(spark, sf_dir):
+    return spatial.pooled_knn(points(spark, sf_dir)).agg(F.count("*").alias("n"), F.avg("d").alias("mean_d"), F.min("d").alias("lo"), F.max("d").alias("hi"), F.expr("percentile(d, 0.5)").alias("mid"))
+
+
+@query(
+    f"""{NN}, r AS (SELECT d / h AS r, row_number() OVER (ORDER BY d) AS rn FROM nn, h WHERE rk BETWEEN 8 AND 12),
+    e AS (SELECT min(r) AS lo, max(r) AS hi, count(*) AS n FROM r),
+    o AS (SELECT r, rn, abs((r - lo) / greatest(hi - lo, 1e-12) - (rn - 1)::DOUBLE / (n - 1)) AS off FROM r, e),
+    out AS (SELECT CASE WHEN n >= 10 AND b.r BETWEEN 1.2 AND 3.5 THEN b.r END AS alpha FROM (SELECT r FROM o ORDER BY off DESC, rn LIMIT 1) b, e)""",
+    "alpha",
+)
+def knee_alpha(spark, sf_dir):
+    p = points(spark, sf_dir)
+    return spatial.knee(spatial.pooled_knn(p), spatial.spacing(p))
+
+
+@query(f"{NN}, out AS (SELECT src, dst, d FROM nn WHERE d <= {RADIUS} AND rk <= 5)", "d", "src dst")
+def edge_cap(spark, sf_dir):
+    return spatial.cap_degree(spatial.radius_pairs(points(spark, sf_dir), RADIUS), 5)
+
+
+@query(f"{NN}, e AS (SELECT src, dst, d FROM pairs WHERE d <= {RADIUS}), out AS (SELECT 'some' AS rule, src, dst, d FROM e WHERE d <= 1.2 UNION ALL SELECT 'none', src, dst, d FROM e)", "d", "rule src dst")
+def edge_radius_guard(spark, sf_dir):
+    """A radius that some edges meet, and one that none does: then all stay."""
+    e = materialise(spatial.radius_pairs(points(spark, sf_dir), RADIUS), "edges")
+    some, none = spatial.within_or_all(e, 1.2), spatial.within_or_all(e, 1e-6)
+    return some.select(F.lit("some").alias("rule"), "src", "dst", "d").unionByName(none.select(F.lit("none").alias("rule"), "src", "dst", "d"))
+
+
+@query(f"{S}, v AS (SELECT DISTINCT axis, v FROM (SELECT 'x' AS axis, x AS v FROM spots UNION ALL SELECT 'y', y FROM spots)), g AS (SELECT v - lag(v) OVER (PARTITION BY axis ORDER BY v) AS gap FROM v), out AS (SELECT quantile_cont(gap, 0.5) AS h FROM g WHERE gap > 0)", "h")
+def sorted_spacing(spark, sf_dir):
+    return spatial.sorted_spacing(points(spark, sf_dir))
+
+
+@query(
+    """l AS (SELECT c_custkey AS ord, (c_custkey % 40)::DOUBLE AS x, (c_custkey * 7 % 97)::DOUBLE AS y FROM customer), p AS (SELECT s_suppkey AS o, (s_suppkey % 40)::DOUBLE AS px, (s_suppkey * 13 % 101)::DOUBLE AS py FROM supplier),
+    out AS (SELECT l.ord, l.x, l.y, b.y_near FROM l LEFT JOIN (SELECT ord, arg_min(py, (abs(y - py), o)) AS y_near FROM l JOIN p ON x = px GROUP BY 1) b USING (ord))""",
+    "x y y_near",
+    "ord",
+)
+def nearest_on_column(spark, sf_dir):
+    own = A.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ord"), (F.col("c_custkey") % 40).cast("double").alias("x"), (F.col("c_custkey") * 7 % 97).cast("double").alias("y"))
+    p = A.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("ord"), (F.col("s_suppkey") % 40).cast("double").alias("x"), (F.col("s_suppkey") * 13 % 101).cast("double").alias("y"))
+    return spatial.nearest_same_x(own, p)
+
+
+# --- scoring
+
+
+@query(f"{KERNEL}, out AS (SELECT src, dst, d, k FROM ke)", "d k", "src dst")
+def iso_kernel(spark, sf_dir):
+    _, g, h = bounded(spark, sf_dir)
+    return kernels.iso(g, h)
+
+
+@query(f"{KERNEL}, out AS (SELECT src, dst, d, k FROM kn)", "d k", "src dst")
+def k_normalise(spark, sf_dir):
+    _, g, h = bounded(spark, sf_dir)
+    return scoring.normalise_k(kernels.iso(g, h))
+
+
+SIM = f"""{EDGES}, {A.HIST_SQL}, long AS (SELECT spot_id, unnest(range(1, 65)) AS pos, unnest(f) AS v FROM hist),
+    st AS (SELECT pos, avg(v) AS m, stddev_pop(v) AS s FROM long GROUP BY 1),
+    z AS (SELECT spot_id, list((v - m) / (s + 1e-8::DOUBLE) ORDER BY pos) AS f FROM long JOIN st USING (pos) GROUP BY 1),
+    raw AS (SELECT src, dst, exp(-list_sum(list_transform(list_zip(a.f, b.f), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) / (2 * 1.5 * 1.5)::DOUBLE) AS m FROM g JOIN z a ON src = a.spot_id JOIN z b ON dst = b.spot_id),
+    sim AS MATERIALIZED (SELECT src, dst, (m - min(m) OVER ()) / greatest(max(m) OVER () - min(m) OVER (), 1e-12::DOUBLE) AS m FROM raw)"""
+
+ROBUST = f"""{SIM}, c AS (SELECT quantile_cont(m, 0.6) AS c, quantile_cont(m, 0.1) AS q10, quantile_cont(m, 0.9) AS q90 FROM sim),
+    sc AS (SELECT greatest(quantile_cont(abs(m - c), 0.5), 0.2 * CASE WHEN any_value(q90) - any_value(q10) = 0 THEN 1e-12::DOUBLE ELSE any_value(q90) - any_value(q10) END, 1e-12::DOUBLE) AS s FROM sim, c),
+    z0 AS (SELECT src, dst, m, least(greatest((m - c) / s, -3), 3) AS z FROM sim, c, sc),
+    o9 AS (SELECT greatest(z, 0) AS p, row_number() OVER (ORDER BY greatest(z, 0)) AS rn, count(*) OVER () AS n FROM z0),
+    top AS (SELECT p AS t FROM o9 WHERE rn = ceil((n - 1) * 0.9::DOUBLE) + 1),
+    rz AS MATERIALIZED (SELECT src, dst, m, CASE WHEN t >= 0.95 * 3 AND t > 0 THEN least(greatest(z / (t / (0.95 * 3)::DOUBLE), -3), 3) ELSE z END AS z FROM z0, top)"""
+
+
+@query(f"{SIM}, out AS (SELECT * FROM sim)", "m", "src dst")
+def hist_similarity(spark, sf_dir):
+    return scoring.feature_similarity(bounded(spark, sf_dir)[1], A.hist(spark, sf_dir), 1.5)
+
+
+@query(f"{ROBUST}, out AS (SELECT * FROM rz)", "m z", "src dst")
+def robust_z(spark, sf_dir):
+    sim = materialise(scoring.feature_similarity(bounded(spark, sf_dir)[1], A.hist(spark, sf_dir), 1.5), "similarity")
+    return scoring.robust_z(sim)
+
+
+@query(
+    f"""{ROBUST}, ob AS (SELECT greatest(z, 0) AS p, row_number() OVER (ORDER BY greatest(z, 0)) AS rn, count(*) OVER () AS n FROM rz),
+    out AS (SELECT CASE WHEN (SELECT max(p) FROM ob) <= 1e-8 THEN 0::DOUBLE WHEN p <= 1e-12 THEN 0.08::DOUBLE ELSE least(0.08::DOUBLE, 1.001 * ln(1.1::DOUBLE) / p) END AS beta FROM ob WHERE rn = ceil((n - 1) * 0.9::DOUBLE) + 1)""",
+    "beta",
+)
+def beta_plus(spark, sf_dir):
+    sim = materialise(scoring.feature_similarity(bounded(spark, sf_dir)[1], A.hist(spark, sf_dir), 1.5), "similarity")
+    return scoring.beta_plus(scoring.robust_z(sim))
+
+
+@query(f"{S}, {A.TF_SQL}, d AS (SELECT spot_id, sum(value) AS delta FROM tf GROUP BY 1), out AS (SELECT spot_id, least(greatest(1 + coalesce(delta, 0) / (0.5 + coalesce(delta, 0) + 1e-12), 1), 2)::DOUBLE AS gain FROM spots LEFT JOIN d USING (spot_id))", "gain", "spot_id")
+def tf_gain(spark, sf_dir):
+    return scoring.receiver_gain(A.spots(spark, sf_dir), A.tf(spark, sf_dir))
+
+
+def ready(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Spots, edges with k, radial, contact and g = 1, expression, and pairs with their mode."""
+    p, g, h = bounded(spark, sf_dir)
+    reach = 0.5 * spatial.knn_mean(p, 1).first()[0]
+    e = scoring.normalise_k(kernels.iso(g, h)).withColumn("radial", C.radial(F.col("d"), dbl(reach))).withColumn("contact", C.in_contact(F.col("d"), dbl(h))).withColumn("g", dbl(1))
+    ex = materialise(A.expr(spark, sf_dir), "expr")
+    return p, materialise(e, "ready"), ex, scoring.known_pairs(A.lr(spark, sf_dir), ex)
+
+
+READY = f"""{KERNEL}, {A.EXPR_SQL}, {A.LR_SQL},
+    wr AS (SELECT 0.5 * avg(d) AS wr FROM nn WHERE rk = 1),
+    rd AS MATERIALIZED (SELECT src, dst, d, k, exp(-power(d / greatest(wr, 1e-9), 2)) AS radial, (d <= 0.9 * h)::INTEGER::DOUBLE AS contact FROM kn, wr, h),
+    md AS (SELECT *, CASE WHEN regexp_matches(lower(ligand_annotation), '{"|".join(C.MEMBRANE)}') THEN 'mb' ELSE 'secreted' END AS mode FROM lr WHERE ligand IN (SELECT gene FROM expr) AND receptor IN (SELECT gene FROM expr)),
+    rs AS MATERIALIZED (SELECT src, dst, pair_id, pathway, CASE WHEN mode = 'mb' THEN el.value * contact ELSE el.value * k * radial END * er.value AS x FROM rd JOIN expr el ON el.spot_id = src JOIN expr er ON er.spot_id = dst JOIN md ON ligand = el.gene AND receptor = er.gene),
+    sc AS MATERIALIZED (SELECT src, dst, pair_id, pathway, greatest(x, 0) / ({HALF}::DOUBLE + greatest(x, 0) + 1e-12) AS s FROM rs)"""
+
+
+@query(f"{READY}, out AS (SELECT src, dst, pair_id, s FROM sc)", "s", "src dst pair_id")
+def pair_score(spark, sf_dir):
+    _, e, ex, pairs = ready(spark, sf_dir)
+    return scoring.raw_scores(e, ex, pairs, HALF)
+
+
+def _small_draws(pool: DataFrame) -> DataFrame:
+    a, b = (pool.where(F.col("side") == s).select("pair_id", "rk", F.col("gene").alias(n)) for s, n in (("L", "gl"), ("R", "gr")))
+    return a.join(b, ["pair_id", "rk"]).where("pair_id < 2").select("pair_id", (F.col("rk") - 1).cast("int").alias("t"), "gl", "gr")
+
+
+POOLS = """gm AS (SELECT gene, sum(value) / (SELECT count(*) FROM spots)::DOUBLE AS m FROM expr GROUP BY 1),
+    sd AS (SELECT pair_id, 'L' AS side, ligand AS g FROM md UNION ALL SELECT pair_id, 'R', receptor FROM md),
+    pl AS (SELECT pair_id, side, b.gene, row_number() OVER (PARTITION BY pair_id, side ORDER BY abs(b.m - a.m), b.gene) AS rk FROM sd JOIN gm a ON a.gene = g CROSS JOIN gm b QUALIFY rk <= 8)"""
+
+
+@query(f"{READY}, {POOLS}, out AS (SELECT pair_id, side, gene, rk::INTEGER AS rk FROM pl)", "", "pair_id side gene rk")
+def gene_pools(spark, sf_dir):
+    p, _, ex, pairs = ready(spark, sf_dir)
+    return scoring.pools(pairs, scoring.gene_means(ex, p.count()), 8)
+
+
+NULLS = f"""{READY}, {POOLS}, dr AS (SELECT a.pair_id, a.rk - 1 AS t, a.gene AS gl, b.gene AS gr, mode FROM pl a JOIN pl b ON a.pair_id = b.pair_id AND a.rk = b.rk AND a.side = 'L' AND b.side = 'R' JOIN md ON md.pair_id = a.pair_id WHERE a.pair_id < 2),
+    nx AS (SELECT src, dst, pair_id, CASE WHEN mode = 'mb' THEN coalesce(el.value, 0) * contact ELSE coalesce(el.value, 0) * k * radial END * coalesce(er.value, 0) AS x FROM rd CROSS JOIN dr LEFT JOIN expr el ON el.spot_id = src AND el.gene = gl LEFT JOIN expr er ON er.spot_id = dst AND er.gene = gr),
+    tau AS (SELECT src, dst, pair_id, quantile_cont(greatest(x, 0) / ({HALF}::DOUBLE + greatest(x, 0) + 1e-12), 0.95) AS tau FROM nx GROUP BY ALL)"""
+
+
+@query(f"{NULLS}, out AS (SELECT * FROM tau)", "tau", "src dst pair_id")
+def null_threshold(spark, sf_dir):
+    p, e, ex, pairs = ready(spark, sf_dir)
+    draws = _small_draws(scoring.pools(pairs, scoring.gene_means(ex, p.count()), 8))
+    return scoring.null_thresholds(e, ex, pairs, draws, HALF)
+
+
+@query(f"{NULLS}, out AS (SELECT * FROM tau)", "tau", "src dst pair_id")
+def null_threshold_vectors(spark, sf_dir):
+    """The same through the numpy batches meant for many draws."""
+    p, e, ex, pairs = ready(spark, sf_dir)
+    draws = _small_draws(scoring.pools(pairs, scoring.gene_means(ex, p.count()), 8))
+    return scoring.null_thresholds_many(e, ex, pairs, draws, HALF)
+
+
+@query(f"{NULLS}, out AS (SELECT src, dst, pair_id, greatest(s - tau, 0) AS s FROM sc JOIN tau USING (src, dst, pair_id))", "s", "src dst pair_id")
+def score_above_null(spark, sf_dir):
+    p, e, ex, pairs = ready(spark, sf_dir)
+    two = pairs.where("pair_id < 2")
+    draws = _small_draws(scoring.pools(pairs, scoring.gene_means(ex, p.count()), 8))
+    return scoring.above_null(scoring.raw_scores(e, ex, two, HALF), scoring.null_thresholds(e, ex, pairs, draws, HALF))
+
+
+TOTALS = f"{READY}, {A.TF_SQL}, dl AS (SELECT spot_id, sum(value) AS delta FROM tf GROUP BY 1), gn AS (SELECT spot_id, least(greatest(1 + coalesce(delta, 0) / (0.5 + coalesce(delta, 0) + 1e-12), 1), 2)::DOUBLE AS gain FROM spots LEFT JOIN dl USING (spot_id)), ms AS MATERIALIZED (SELECT src, dst, pair_id, pathway, s * gain AS s FROM sc JOIN gn ON spot_id = dst), tt AS MATERIALIZED (SELECT src, dst, sum(s) AS total FROM ms GROUP BY ALL)"
+
+
+def modulated(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    _, e, ex, pairs = ready(spark, sf_dir)
+    return scoring.modulate(scoring.raw_scores(e, ex, pairs, HALF), scoring.receiver_gain(A.spots(spark, sf_dir), A.tf(spark, sf_dir))), pairs
+
+
+@query(f"{TOTALS}, out AS (SELECT * FROM tt)", "total", "src dst")
+def edge_total(spark, sf_dir):
+    return scoring.edge_totals(modulated(spark, sf_dir)[0])
+
+
+@query(f"{TOTALS}, out AS (SELECT src, dst, pathway, sum(s) AS s FROM ms GROUP BY ALL)", "s", "src dst pathway")
+def pathway_rollup(spark, sf_dir):
+    return scoring.pathway_totals(*modulated(spark, sf_dir))
+
+
+@query(f"{TOTALS}, q AS (SELECT quantile_cont(total, 0.7) AS q FROM tt), out AS (SELECT src, dst, CASE WHEN total < q THEN 0 ELSE total END AS total FROM tt, q)", "total", "src dst")
+def prune_zero(spark, sf_dir):
+    return scoring.prune(materialise(scoring.edge_totals(modulated(spark, sf_dir)[0]), "totals"), 0.7)
+
+
+@query(f"{TOTALS}, out AS (SELECT src, dst, sum(s) AS w FROM (SELECT dst AS src, src AS dst, s FROM ms UNION ALL SELECT src, dst, s FROM ms) GROUP BY ALL)", "w", "src dst")
+def scatter_add(spark, sf_dir):
+    s = modulated(spark, sf_dir)[0]
+    return scoring.scatter_add(s.select("src", "dst", "s").unionByName(s.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "s")), "s")
+
+
+FLAG = f"{KERNEL}, {A.EXPR_SQL}, {A.LR_SQL}, one AS (SELECT src, dst, kn.k * el.value * er.value AS x FROM kn JOIN expr el ON el.spot_id = src JOIN expr er ON er.spot_id = dst JOIN lr ON ligand = el.gene AND receptor = er.gene), tot AS (SELECT src, dst, sum(greatest(x, 0) / ({HALF}::DOUBLE + greatest(x, 0) + 1e-12)) AS total FROM one GROUP BY ALL), out AS (SELECT src, dst, total FROM tot ORDER BY round(total, 9) DESC, src, dst LIMIT 20)"
+
+
+@query(FLAG, "total", "src dst")
+def flagship_top_edges(spark, sf_dir):
+    """Spots to a degree-bounded graph, kernel, normalised weights, pair scores, totals, and the 20 strongest edges."""
+    _, g, h = bounded(spark, sf_dir)
+    e = scoring.normalise_k(kernels.iso(g, h)).withColumn("radial", dbl(1)).withColumn("contact", dbl(0)).withColumn("g", dbl(1))
+    pairs = A.lr(spark, sf_dir).withColumn("mode", F.lit("secreted"))
+    totals = scoring.edge_totals(scoring.raw_scores(e, A.expr(spark, sf_dir), pairs, HALF))
+    return totals.orderBy(F.round("total", 9).desc(), "src", "dst").limit(20)
+
+
+@query()
+def ccc_full(spark, sf_dir):
+    """All scoring stages with a histology gate and 50 null draws, totals by edge."""
+    _, g, h = bounded(spark, sf_dir)
+    out = scoring.score_all(A.spots(spark, sf_dir), kernels.iso(g, h), materialise(A.expr(spark, sf_dir), "expr"), A.lr(spark, sf_dir), A.tf(spark, sf_dir), A.hist(spark, sf_dir), scoring.Params(n_null=50, deg_max=16, R_factor=2.2, prune_frac=0.5))
+    return out["ccc_edge"]
+
+
+# --- interactions and text
+
+
+@query("out AS (SELECT p_partkey, regexp_replace(upper(trim('  ' || lower(p_brand) || '.' || p_size || ' ')), '\\.\\d+$', '') AS gene FROM part)", "", "p_partkey gene")
+def gene_normalise(spark, sf_dir):
+    raw = F.concat(F.lit("  "), F.lower("p_brand"), F.lit("."), F.col("p_size").cast("string"), F.lit(" "))
+    return A.table(spark, sf_dir, "part").select("p_partkey", C.gene_name(raw).alias("gene"))
+
+
+CPLX = "cx AS (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'COMPLEX:' || p_brand ELSE p_brand END AS ligand, CASE WHEN p_partkey % 3 = 0 THEN p_brand || '_X' ELSE p_name END AS receptor FROM part)"
+
+
+@query(f"{CPLX}, out AS (SELECT * FROM cx WHERE NOT regexp_matches(ligand, '(?:^COMPLEX:)|[_/+\\s;]') AND NOT regexp_matches(receptor, '(?:^COMPLEX:)|[_/+\\s;]'))", "", "p_partkey ligand receptor")
+def drop_complexes(spark, sf_dir):
+    rows = A.table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 7 == 0, F.concat(F.lit("COMPLEX:"), "p_brand")).otherwise(F.col("p_brand")).alias("ligand"), F.when(F.col("p_partkey") % 3 == 0, F.concat("p_brand", F.lit("_X"))).otherwise(F.col("p_name")).alias("receptor"))
+    return interactions.without_complexes(rows)
+
+
+_MODE = f"CASE WHEN regexp_matches(lower(t), '{'|'.join(C.MEMBRANE)}') THEN 'mb' WHEN regexp_matches(lower(t), '{'|'.join(C.SECRETED)}') THEN 'secreted' END"
+
+
+@query(f"t AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'Cell-Cell Contact' WHEN 1 THEN 'Secreted Signaling' WHEN 2 THEN 'ECM-Receptor' WHEN 3 THEN 'cell–cell ' || p_name ELSE p_name END AS t FROM part), out AS (SELECT p_partkey, {_MODE} AS mode FROM t)", "", "p_partkey mode")
+def infer_mode(spark, sf_dir):
+    k = F.col("p_partkey") % 5
+    text = F.when(k == 0, "Cell-Cell Contact").when(k == 1, "Secreted Signaling").when(k == 2, "ECM-Receptor").when(k == 3, F.concat(F.lit("cell–cell "), "p_name")).otherwise(F.col("p_name"))
+    return A.table(spark, sf_dir, "part").select("p_partkey", C.mode_of(text).alias("mode"))
+
+
+LRALL = "la AS (SELECT p_brand AS ligand, CASE WHEN p_partkey % 4 = 0 THEN 'Other#' || p_size ELSE p_brand END AS receptor, p_type AS pathway, p_name AS ligand_annotation FROM part), genes AS (SELECT DISTINCT p_brand AS gene FROM part JOIN lineitem ON l_partkey = p_partkey WHERE p_brand <> 'Brand#11')"
+
+
+def _lr_all(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    part = A.table(spark, sf_dir, "part")
+    lr = part.select(F.col("p_brand").alias("ligand"), F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("Other#"), F.col("p_size").cast("string"))).otherwise(F.col("p_brand")).alias("receptor"), F.col("p_type").alias("pathway"), F.col("p_name").alias("ligand_annotation"))
+    genes = part.join(A.table(spark, sf_dir, "lineitem"), F.col("l_partkey") == F.col("p_partkey"), "left_semi").where("p_brand <> 'Brand#11'").select(F.col("p_brand").alias("gene")).distinct()
+    return lr, genes
+
+
+@query(f"{LRALL}, out AS (SELECT DISTINCT * FROM la WHERE ligand IN (SELECT gene FROM genes) AND receptor IN (SELECT gene FROM genes))", "", "ligand receptor pathway ligand_annotation")
+def lr_filter(spark, sf_dir):
+    return interactions.measured(*_lr_all(spark, sf_dir))
+
+
+@query(f"{LRALL}, out AS (SELECT DISTINCT * FROM (SELECT 'ligand' AS side, ligand AS gene FROM la UNION ALL SELECT 'receptor', receptor FROM la) WHERE gene NOT IN (SELECT gene FROM genes))", "", "side gene")
+def lr_missing(spark, sf_dir):
+    return interactions.missing(*_lr_all(spark, sf_dir))
+
+
+@query(
+    f"""{LRALL}, kp AS (SELECT DISTINCT * FROM la WHERE ligand IN (SELECT gene FROM genes) AND receptor IN (SELECT gene FROM genes)),
+    out AS (SELECT 'rows_in' AS item, count(*)::BIGINT AS n FROM la UNION ALL SELECT 'rows_kept', count(*) FROM kp UNION ALL SELECT 'ligands', count(DISTINCT ligand) FROM kp UNION ALL SELECT 'receptors', count(DISTINCT receptor) FROM kp UNION ALL SELECT 'pathways', count(DISTINCT pathway) FROM kp
+    UNION ALL (SELECT 'pathway:' || pathway, count(*) FROM kp GROUP BY pathway ORDER BY count(*) DESC, pathway LIMIT 15))""",
+    "",
+    "item n",
+)
+def lr_report(spark, sf_dir):
+    return interactions.report(*_lr_all(spark, sf_dir))
+
+
+# --- normalisation
+
+
+@query(f"{A.EXPR_SQL}, q AS (SELECT gene, quantile_cont(value, 0.99) AS q, min(value) AS lo FROM expr GROUP BY 1), out AS (SELECT 'fill' AS rule, spot_id, gene, least(greatest((least(value, q) - lo) / CASE WHEN q = lo THEN 1 ELSE q - lo END, 0), 1) AS value FROM expr JOIN q USING (gene) UNION ALL SELECT 'floor', spot_id, gene, least(greatest((least(value, q) - lo) / greatest(q - lo, 1e-12), 0), 1) FROM expr JOIN q USING (gene))", "value", "rule spot_id gene")
+def winsor_minmax(spark, sf_dir):
+    ex = materialise(A.expr(spark, sf_dir), "expr")
+    cols = ["rule", "spot_id", "gene", "value"]
+    return normalise.winsor_minmax(ex, "gene", "value", True).withColumn("rule", F.lit("fill")).select(cols).unionByName(normalise.winsor_minmax(ex, "gene", "value", False).withColumn("rule", F.lit("floor")).select(cols))
+
+
+@query(f"{A.PIXELS_SQL}, c AS (SELECT *, x % 3 AS ch FROM pixels), q AS (SELECT ch, quantile_cont(v, 0.99) AS q FROM c WHERE v > 0 GROUP BY 1), m AS (SELECT ch, quantile_cont(least(v, q), 0.5) AS m FROM c JOIN q USING (ch) WHERE v > 0 GROUP BY 1), out AS (SELECT y, x, ch, least(v, q) / m AS v FROM c JOIN q USING (ch) JOIN m USING (ch))", "v", "y x ch")
+def p99_median_map(spark, sf_dir):
+    px = A.pixels(spark, sf_dir).withColumn("ch", F.col("x") % 3).withColumn("ok", F.col("v") > 0)
+    return normalise.p99_median(px, "ch", "v", "ok").drop("ok")
+
+
+@query(f"{A.EXPR_SQL}, s AS (SELECT gene, avg(value) AS m, stddev_pop(value) AS s FROM expr GROUP BY 1), out AS (SELECT spot_id, gene, (value - m) / (s + 1e-8::DOUBLE) AS value FROM expr JOIN s USING (gene))", "value", "spot_id gene")
+def zscore(spark, sf_dir):
+    return normalise.zscore(A.expr(spark, sf_dir), "gene", "value")
+
+
+@query("e AS (SELECT p_partkey, p_size % 6 AS g, CASE WHEN p_size % 6 = 2 THEN 5 ELSE p_partkey % 11 END::DOUBLE AS v FROM part), out AS (SELECT * FROM e WHERE g IN (SELECT g FROM e GROUP BY g HAVING stddev_pop(v) > 0))", "v", "p_partkey g")
+def drop_constant(spark, sf_dir):
+    g = F.col("p_size") % 6
+    rows = A.table(spark, sf_dir, "part").select("p_partkey", g.alias("g"), F.when(g == 2, F.lit(5)).otherwise(F.col("p_partkey") % 11).cast("double").alias("v"))
+    return normalise.drop_constant(rows, "g", "v")
+
+
+@query(f"{READY}, n AS (SELECT count(DISTINCT pair_id) AS n FROM sc), m AS (SELECT src, dst, sum(s) / any_value(n) AS w FROM sc, n WHERE src <> dst GROUP BY ALL), out AS (SELECT src, dst, w / (sum(w) OVER (PARTITION BY src) + 1e-8::DOUBLE) AS w FROM m)", "w", "src dst")
+def row_normalise(spark, sf_dir):
+    _, e, ex, pairs = ready(spark, sf_dir)
+    return normalise.row_normalise(materialise(scoring.raw_scores(e, ex, pairs, HALF).withColumnRenamed("s", "w"), "scores"))
+
+
+# --- graphs
+
+_CC = "reach AS (SELECT spot_id AS id, spot_id AS other FROM nodes UNION SELECT r.id, e.dst FROM reach r JOIN e ON e.src = r.other)"
+
+
+@query(f"{NN}, nodes AS (SELECT spot_id FROM spots), e AS MATERIALIZED (SELECT src, dst FROM pairs WHERE d <= 0.75), {_CC}, out AS (SELECT id, min(other) AS component FROM reach GROUP BY 1)", "", "id component")
+def weak_components(spark, sf_dir):
+    p = points(spark, sf_dir)
+    return graphs.weak_components(p, spatial.radius_pairs(p, 0.75))
+
+
+@query(f"{NN}, e AS MATERIALIZED (SELECT src, dst FROM pairs WHERE d <= {RADIUS}), hop AS (SELECT spot_id AS id, 0 AS hop FROM spots WHERE spot_id % 500 = 0 UNION SELECT dst, hop + 1 FROM hop JOIN e ON src = id WHERE hop < 2), out AS (SELECT id, min(hop)::INTEGER AS hop FROM hop GROUP BY 1)", "", "id hop")
+def h_hop(spark, sf_dir):
+    p = points(spark, sf_dir)
+    return graphs.h_hop(materialise(spatial.radius_pairs(p, RADIUS), "edges"), p.where("id % 500 = 0"), 2)[0]
+
+
+@query(f"{KERNEL}, out AS (SELECT least(src, dst) AS u, greatest(src, dst) AS v, 0.5 * sum(k) AS s FROM kn GROUP BY ALL)", "s", "u v")
+def undirected_summary(spark, sf_dir):
+    _, g, h = bounded(spark, sf_dir)
+    return graphs.undirected(scoring.normalise_k(kernels.iso(g, h)), "k")
+
+
+@query(f"{TOTALS}, w AS (SELECT src, dst, d, coalesce(total, 0) AS w FROM g LEFT JOIN tt USING (src, dst)), q AS (SELECT quantile_cont(w, 0.5) AS q, max(w) AS top FROM w), out AS (SELECT src, dst, d, w FROM w, q WHERE w >= CASE WHEN q <= 1e-12 AND top > 1e-12 THEN 1e-12 ELSE q END)", "d w", "src dst")
+def ccc_prune(spark, sf_dir):
+    totals = scoring.edge_totals(modulated(spark, sf_dir)[0]).withColumnRenamed("total", "w")
+    return graphs.prune_by_scores(bounded(spark, sf_dir)[1], totals, 0.5)
+
+
+@query(f"{NN}, out AS (SELECT DISTINCT least(src, dst) AS u, greatest(src, dst) AS v FROM nn WHERE rk <= 6)", "", "u v")
+def sym_knn(spark, sf_dir):
+    return graphs.symmetric_knn(points(spark, sf_dir), 6)
+
+
+@query(f"{NN}, n AS (SELECT src, count(*) AS n FROM pairs, h WHERE d <= 2.2 * h GROUP BY 1), out AS (SELECT spot_id AS id, coalesce(n, 0)::BIGINT AS degree FROM spots LEFT JOIN n ON src = spot_id)", "", "id degree")
+def degree_at_radius(spark, sf_dir):
+    p = points(spark, sf_dir)
+    return graphs.degrees_at(p, 2.2 * spatial.spacing(p)).withColumn("degree", F.col("degree").cast("bigint"))
+
+
+_FOUR = lambda t, c, name: f"SELECT unnest(['{name}_min', '{name}_med', '{name}_p90', '{name}_max']) AS item, unnest([min({c})::DOUBLE, quantile_cont({c}, 0.5), quantile_cont({c}, 0.9), max({c})::DOUBLE]) AS v FROM {t}"
+_DEG = lambda r: f"SELECT unnest(['degree_{r.replace('.', '_')}h', 'under10_{r.replace('.', '_')}h', 'over18_{r.replace('.', '_')}h']), unnest([avg(n), avg((n < 10)::INTEGER), avg((n > 18)::INTEGER)]) FROM (SELECT spot_id, count(dst) AS n FROM spots LEFT JOIN (SELECT src, dst FROM pairs, h WHERE d <= {r} * h) ON src = spot_id GROUP BY 1)"
+
+
+@query(
+    f"""{KERNEL}, le AS (SELECT *, d / h AS len FROM ke, h), od AS (SELECT spot_id, count(dst)::DOUBLE AS n FROM spots LEFT JOIN ke ON src = spot_id GROUP BY 1), ind AS (SELECT spot_id, count(src)::DOUBLE AS n FROM spots LEFT JOIN ke ON dst = spot_id GROUP BY 1),
+    nodes AS (SELECT spot_id FROM spots), e AS MATERIALIZED (SELECT src, dst FROM ke UNION SELECT dst, src FROM ke), {_CC}, co AS (SELECT c, count(*) AS n FROM (SELECT id, min(other) AS c FROM reach GROUP BY 1) GROUP BY 1),
+    out AS ({_FOUR("le", "len", "len")} UNION ALL {_FOUR("od", "n", "out")} UNION ALL {_FOUR("ind", "n", "in")} UNION ALL {_FOUR("le", "k", "kernel")}
+    UNION ALL SELECT unnest(['E', 'k_mean', 'frac_beyond_R', 'frac_beyond_2h', 'any_nan', 'k_within_0_1']), unnest([count(*)::DOUBLE, count(*) / (SELECT count(*) FROM spots)::DOUBLE, avg((d > {H_REL} * h)::INTEGER), avg((len > 2)::INTEGER), max(isnan(k)::INTEGER), min((k BETWEEN 0 AND 1)::INTEGER)]) FROM le
+    UNION ALL SELECT unnest(['components', 'largest']), unnest([count(*)::DOUBLE, max(n)::DOUBLE]) FROM co
+    UNION ALL {_DEG("2.0")} UNION ALL {_DEG("2.2")} UNION ALL SELECT 'N', count(*)::DOUBLE FROM spots UNION ALL SELECT 'h', h FROM h)""",
+    "v",
+    "item",
+)
+def graph_report(spark, sf_dir):
+    p, g, h = bounded(spark, sf_dir)
+    return graphs.report(p, materialise(kernels.iso(g, h), "kernel"), h, H_REL * h)
+
+
+@query()
+def graph_refine(spark, sf_dir):
+    """Spacing, knee, tuned radius, pruning by scores, undirected summary."""
+    p = points(spark, sf_dir)
+    w = scoring.edge_totals(modulated(spark, sf_dir)[0]).withColumnRenamed("total", "w")
+    return graphs.refine(p, "label12", w)["undirected"]
+
+
+@query()
+def louvain_communities(spark, sf_dir):
+    p = points(spark, sf_dir)
+    e = spatial.nearest(p, p, 8, ["macro"]).select("macro", F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct()
+    return graphs.communities(e, "macro")
+
+
+# --- zones
+
+
+@query(f"{NN}, m AS (SELECT src, avg((la <> lb)::INTEGER) AS mix FROM pairs, h WHERE d <= 2.2 * h GROUP BY 1), out AS (SELECT spot_id AS id, coalesce(mix, 0) AS mix FROM spots LEFT JOIN m ON src = spot_id)", "mix", "id")
+def neighbour_mix(spark, sf_dir):
+    p = points(spark, sf_dir)
+    return zones.neighbour_mix(p, "label12", 2.2 * spatial.spacing(p))
+
+
+def _two_means(rel: str, col: str, key: str) -> str:
+    return f"""(SELECT k.{key}, coalesce(t, mid) AS t FROM (SELECT {key}, quantile_cont({col}, 0.5) AS mid FROM {rel} GROUP BY 1) k LEFT JOIN (
+        SELECT {key}, arg_max((m1 + m2) / 2, (n1 * m1 * m1 + n2 * m2 * m2, -v)) AS t FROM (
+            SELECT *, s1 / n1 AS m1, s2 / n2 AS m2 FROM (
+                SELECT a.{key}, a.v, sum(c) OVER w AS n1, sum(c * v) OVER w AS s1, sum(c) OVER p - sum(c) OVER w AS n2, sum(c * v) OVER p - sum(c * v) OVER w AS s2
+                FROM (SELECT {key}, {col} AS v, count(*)::DOUBLE AS c FROM {rel} GROUP BY ALL) a WINDOW w AS (PARTITION BY {key} ORDER BY v), p AS (PARTITION BY {key})
+            ) WHERE n2 > 0
+        ) GROUP BY 1) b ON k.{key} = b.{key})"""
+
+
+@query(f"a AS (SELECT c_mktsegment AS seg, c_acctbal::DOUBLE AS v0 FROM customer), out AS (SELECT seg, t FROM {_two_means('a', 'v0', 'seg')})", "t", "seg")
+def kmeans1d_threshold(spark, sf_dir):
+    rows = A.table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("seg"), F.col("c_acctbal").cast("double").alias("v0"))
+    return stats.two_means(rows, "v0", "seg")
+
+
+ZONES = f"""{NN}, mx AS (SELECT src, avg((la <> lb)::INTEGER) AS mix FROM pairs, h WHERE d <= 2.2 * h GROUP BY 1), op AS (SELECT a.spot_id AS id, min({D}) AS opp FROM spots a JOIN spots b ON a.label12 <> b.label12 GROUP BY 1),
+    r AS MATERIALIZED (SELECT spot_id AS id, CASE WHEN label12 = 2 THEN 0 ELSE 1 END AS z, coalesce(mix, 0) AS mix, opp FROM spots LEFT JOIN mx ON src = spot_id JOIN op ON op.id = spot_id),
+    tm AS {_two_means("r", "mix", "z")}, td AS {_two_means("r", "opp", "z")},
+    nodes AS (SELECT spot_id FROM spots WHERE label12 = 2), e AS MATERIALIZED (SELECT src, dst FROM pairs, h WHERE d <= 2.2 * h AND la = 2 AND lb = 2), {_CC},
+    isl AS (SELECT id, min(other) AS island FROM reach GROUP BY 1),
+    tu AS (SELECT r.*, island, mix <= tm.t AND opp >= td.t AS base FROM r JOIN isl USING (id) JOIN tm ON tm.z = r.z JOIN td ON td.z = r.z),
+    tn AS (SELECT *, count(*) OVER (PARTITION BY island) AS n, bool_or(base) OVER (PARTITION BY island) AS has_any, row_number() OVER (PARTITION BY island ORDER BY opp DESC, id) AS rk FROM tu),
+    out AS (SELECT id, CASE WHEN CASE WHEN n < 20 THEN rk = 1 WHEN has_any THEN base ELSE rk <= greatest(1, ceil(n * 0.2::DOUBLE), ceil(n * 0.08::DOUBLE)) END THEN 'tumour_core' ELSE 'tumour_edge' END AS zone, mix, opp FROM tn
+    UNION ALL SELECT r.id, CASE WHEN mix >= tm.t OR opp <= td.t THEN 'stroma_transit' ELSE 'stroma_interior' END, mix, opp FROM r JOIN tm ON tm.z = r.z JOIN td ON td.z = r.z WHERE r.z = 1)"""
+
+
+@query(ZONES, "mix opp", "id zone")
+def zoning(spark, sf_dir):
+    return zones.zoning(points(spark, sf_dir))
+
+
+LAB = "lb AS (SELECT c_custkey AS id, (CASE WHEN c_acctbal > 4500 THEN 1 ELSE 0 END + CASE WHEN c_acctbal > 8000 THEN 1 ELSE 0 END)::INTEGER AS label FROM customer)"
+
+
+def _labelled(spark, sf_dir) -> DataFrame:
+    lab = A.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("bigint").alias("id"), ((F.col("c_acctbal") > 4500).cast("int") + (F.col("c_acctbal") > 8000).cast("int")).alias("label"))
+    return points(spark, sf_dir).join(lab, "id")
+
+
+@query(f"{NN}, {LAB}, v AS (SELECT src, label, count(*) AS c FROM nn JOIN lb ON lb.id = dst WHERE rk BETWEEN 2 AND 9 GROUP BY ALL), b AS (SELECT src, arg_max(label, (c, -label)) AS top, max(c) / sum(c)::DOUBLE AS share FROM v GROUP BY 1), out AS (SELECT id, CASE WHEN share >= 0.5 AND top <> label THEN top ELSE label END AS label, share >= 0.5 AND top <> label AS flipped FROM lb JOIN b ON src = id)", "", "id label flipped")
+def label_smooth(spark, sf_dir):
+    p = _labelled(spark, sf_dir)
+    near = spatial.knn(p, 9).where("rk >= 2").select("src", "dst")
+    return zones.smooth_once(p.select("id", "label"), near, 0.5)
+
+
+@query(
+    f"""{NN}, {LAB}, sm AS (SELECT src, dst, d, row_number() OVER (PARTITION BY src ORDER BY d, dst) AS rk FROM pairs WHERE ma = mb QUALIFY rk <= 8), ok AS (SELECT sm.*, max((d <= 2.2 * h)::INTEGER) OVER (PARTITION BY src) AS has_any FROM sm, h),
+    v AS (SELECT src, label, count(*) AS c, min(rk) AS first FROM ok, h, lb WHERE lb.id = dst AND (has_any = 0 OR d <= 2.2 * h) GROUP BY ALL), b AS (SELECT src, arg_max(label, (c, -first)) AS top, max(c) / sum(c)::DOUBLE AS share FROM v GROUP BY 1),
+    out AS (SELECT id, CASE WHEN coalesce(share >= 0.7 AND top <> label, false) THEN top ELSE label END AS label, coalesce(share >= 0.7 AND top <> label, false) AS changed FROM lb LEFT JOIN b ON src = id)""",
+    "",
+    "id label changed",
+)
+def majority_vote(spark, sf_dir):
+    p = materialise(_labelled(spark, sf_dir), "labelled")
+    return zones.majority_vote(p, "macro", "label", 2.2 * spatial.spacing(p))
+
+
+@query(f"{A.PIXELS_SQL}, l AS (SELECT y, x, (y // 10)::INTEGER AS cluster FROM pixels), b AS (SELECT y, x, (v > 200)::INTEGER AS m FROM pixels WHERE x % 5 <> 0), s AS (SELECT cluster, avg(coalesce(m, 0)) AS share FROM l LEFT JOIN b USING (y, x) GROUP BY 1), out AS (SELECT cluster, share, CASE WHEN share >= 0.68 THEN 2 ELSE 1 END::INTEGER AS label FROM s)", "share", "cluster label")
+def cluster_tumour_vote(spark, sf_dir):
+    px = materialise(A.pixels(spark, sf_dir), "pixels")
+    return zones.cluster_vote(px.select(F.floor(F.col("y") / 10).cast("int").alias("cluster"), "y", "x"), px.where("x % 5 <> 0"), 0.68)
+
+
+@query(f"{NN}, {LAB}, sl AS MATERIALIZED (SELECT src, dst, d, row_number() OVER (PARTITION BY src ORDER BY d, dst) AS rk FROM pairs JOIN lb p ON p.id = src JOIN lb q ON q.id = dst AND p.label = q.label WHERE ma = mb QUALIFY rk <= 8), e0 AS (SELECT src, dst FROM sl, h WHERE d <= 2.2 * h), e AS MATERIALIZED (SELECT * FROM e0 UNION SELECT dst, src FROM e0), nodes AS (SELECT spot_id FROM spots), {_CC}, out AS (SELECT id, min(other) AS part FROM reach GROUP BY 1)", "", "id part")
+def same_label_parts(spark, sf_dir):
+    p = materialise(_labelled(spark, sf_dir), "labelled")
+    return zones.same_label_parts(p, "macro", "label", 2.2 * spatial.spacing(p))
+
+
+@query()
+def micro_denoise(spark, sf_dir):
+    """Majority vote within macro zones, then small islands cleaned."""
+    return zones.denoise(materialise(_labelled(spark, sf_dir), "labelled"), "macro", "label")
+
+
+@query()
+def micro_niches(spark, sf_dir):
+    """Communities within macro zones, small ones merged into the nearest centroid, ids in order."""
+    p = points(spark, sf_dir)
+    e = spatial.nearest(p, p, 8, ["macro"]).select("macro", F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct()
+    own = graphs.communities(e, "macro").withColumnRenamed("community", "local").join(p.select("id", F.array("x", "y").alias("f")), "id")
+    return zones.niche_ids(materialise(own, "communities"))
+
+
+# --- statistics
+
+MW = f"""{S}, {A.EXPR_SQL}, cl AS (SELECT spot_id, macro AS cluster FROM spots), gs AS (SELECT DISTINCT gene FROM expr), fl AS (SELECT g.gene, c.spot_id, c.cluster, coalesce(value, 0) AS v FROM gs g CROSS JOIN cl c LEFT JOIN expr e ON e.gene = g.gene AND e.spot_id = c.spot_id),
+    rk AS MATERIALIZED (SELECT *, rank() OVER (PARTITION BY gene ORDER BY v) + (count(*) OVER (PARTITION BY gene, v) - 1) / 2.0::DOUBLE AS r FROM fl),
+    ti AS (SELECT gene, sum(t * t * t - t) AS tie FROM (SELECT gene, v, count(*)::DOUBLE AS t FROM rk GROUP BY ALL) GROUP BY 1), al AS (SELECT gene, count(*)::DOUBLE AS n, sum(v) AS s FROM rk GROUP BY 1),
+    gr AS (SELECT cluster, gene, count(*)::DOUBLE AS n1, sum(r) AS r1, sum(v) AS s1 FROM rk GROUP BY ALL),
+    mw AS MATERIALIZED (SELECT cluster, gene, r1 - n1 * (n1 + 1) / 2 AS u, (abs(r1 - n1 * (n1 + 1) / 2 - n1 * (n - n1) / 2) - 0.5) / sqrt(n1 * (n - n1) / 12 * ((n + 1) - tie / (n * (n - 1)))) AS z, log2((s1 / n1 + 1e-9) / ((s - s1) / (n - n1) + 1e-9)) AS log2fc FROM gr JOIN ti USING (gene) JOIN al USING (gene))"""
+
+
+def _clusters(spark, sf_dir) -> DataFrame:
+    return A.spots(spark, sf_dir).select("spot_id", F.col("macro").alias("cluster"))
+
+
+@query(f"{MW}, out AS (SELECT * FROM mw)", "u z log2fc", "cluster gene")
+def mannwhitney_u_z(spark, sf_dir):
+    return stats.mann_whitney(A.expr(spark, sf_dir), _clusters(spark, sf_dir))
+
+
+@query("p AS (SELECT c_custkey AS id, c_mktsegment AS seg, ((c_custkey * 7919) % 997 + 1)::DOUBLE / 1000 AS p FROM customer), r AS (SELECT *, row_number() OVER (PARTITION BY seg ORDER BY p) AS rk, count(*) OVER (PARTITION BY seg) AS n FROM p), out AS (SELECT id, seg, p, least(min(p * n / rk) OVER (PARTITION BY seg ORDER BY rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1) AS padj FROM r)", "p padj", "id seg")
+def bh_fdr(spark, sf_dir):
+    k = F.col("c_custkey")
+    rows = A.table(spark, sf_dir, "customer").select(k.alias("id"), F.col("c_mktsegment").alias("seg"), (((k * 7919) % 997 + 1).cast("double") / 1000).alias("p"))
+    return stats.bh(rows, "p", ["seg"])
+
+
+@query(f"{MW}, pr AS (SELECT cluster, gene, log2fc, exp(-z * z / 2) AS padj FROM mw), tp AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY log2fc DESC, padj, gene) AS k FROM pr WHERE padj < 0.9 QUALIFY k <= 8), b AS (SELECT gene, max(log2fc) AS log2fc, min(padj) AS padj, arg_max(cluster, (log2fc, cluster)) AS cluster FROM tp GROUP BY 1), out AS (SELECT gene, log2fc, padj, cluster, row_number() OVER (ORDER BY padj, log2fc DESC, gene)::INTEGER AS rk FROM b ORDER BY rk LIMIT 12)", "log2fc padj", "gene cluster rk")
+def marker_topk(spark, sf_dir):
+    labels = _clusters(spark, sf_dir)
+    tests = materialise(stats.mann_whitney(A.expr(spark, sf_dir), labels).select("cluster", "gene", "log2fc", F.exp(-F.col("z") * F.col("z") / 2).alias("padj")), "tests")
+    return stats.markers(tests, labels.groupBy("cluster").agg(F.count("*").alias("n")), 10, 8, 0.9, 12)
+
+
+@query()
+def markers_full(spark, sf_dir):
+    """Tests with p and padj in each cluster, and the markers they give at the usual thresholds, or at 0.9 on made-up data."""
+    labels = _clusters(spark, sf_dir)
+    tests = materialise(stats.differential(A.expr(spark, sf_dir), labels), "tests")
+    return stats.markers(tests, labels.groupBy("cluster").agg(F.count("*").alias("n")), padj=0.9)
+
+
+@query("e AS (SELECT label AS a, (label + CASE WHEN vec_id % 3 = 0 THEN 1 ELSE 0 END) % 5 AS b FROM embeddings), c AS (SELECT a, b, count(*)::DOUBLE AS n FROM e GROUP BY ALL), s AS (SELECT sum(n * (n - 1) / 2) AS ij, sum(n) AS n FROM c), i AS (SELECT sum(n * (n - 1) / 2) AS i FROM (SELECT sum(n) AS n FROM c GROUP BY a)), j AS (SELECT sum(n * (n - 1) / 2) AS j FROM (SELECT sum(n) AS n FROM c GROUP BY b)), out AS (SELECT (ij - i * j / (n * (n - 1) / 2)) / ((i + j) / 2 - i * j / (n * (n - 1) / 2)) AS ari FROM s, i, j)", "ari")
+def ari(spark, sf_dir):
+    rows = A.table(spark, sf_dir, "embeddings").select(F.col("label").alias("a"), ((F.col("label") + F.when(F.col("vec_id") % 3 == 0, 1).otherwise(0)) % 5).alias("b"))
+    return stats.ari(rows, "a", "b")
+
+
+@query("r AS (SELECT c_acctbal::DOUBLE AS v, row_number() OVER (ORDER BY c_acctbal) AS rn, count(*) OVER () AS n FROM customer), out AS (SELECT v AS q FROM r WHERE rn = ceil((n - 1) * 0.9::DOUBLE) + 1)", "q")
+def quantile_higher(spark, sf_dir):
+    return scoring.upper_quantile(A.table(spark, sf_dir, "customer").select(F.col("c_acctbal").cast("double").alias("v")), "v", 0.9)
+
+
+# --- rasters and wavelets
+
+
+@query(f"{S}, {A.EXPR_SQL}, b AS (SELECT min(x) AS x0, max(x) + 1 AS x1, min(y) AS y0, max(y) + 1 AS y1 FROM spots), c AS (SELECT spot_id, trunc(20 * (y - y0) / (y1 - y0))::INTEGER AS i, trunc(20 * (x - x0) / (x1 - x0))::INTEGER AS j FROM spots, b), n AS (SELECT i, j, count(*) AS n FROM c GROUP BY ALL), s AS (SELECT gene, i, j, sum(value) AS s FROM c JOIN expr USING (spot_id) GROUP BY ALL), out AS (SELECT gene, i, j, s / n AS v FROM s JOIN n USING (i, j))", "v", "gene i j")
+def grid_bin_mean(spark, sf_dir):
+    return raster.cell_means(points(spark, sf_dir), A.expr(spark, sf_dir), 20)
+
+
+def _smooth_points(spark, sf_dir) -> DataFrame:
+    return points(spark, sf_dir).join(A.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("bigint").alias("id"), F.col("c_acctbal").cast("double").alias("v")), "id")
+
+
+@query(f"{S}, o AS (SELECT dx, dy, dx * dx + dy * dy AS d2 FROM range(-2, 3) a(dx), range(-2, 3) b(dy) WHERE dx * dx + dy * dy <= 4), p AS (SELECT trunc(x)::INTEGER AS sx, trunc(y)::INTEGER AS sy, c_acctbal::DOUBLE AS v FROM spots JOIN customer ON c_custkey = spot_id), w AS (SELECT (sx + dx)::INTEGER AS x, (sy + dy)::INTEGER AS y, exp(-d2 / 2.0::DOUBLE) AS w, v FROM p, o WHERE sx < 40 AND sy < 30), out AS (SELECT y, x, sum(w * v) / sum(w) AS v FROM w WHERE x BETWEEN 0 AND 39 AND y BETWEEN 0 AND 29 GROUP BY ALL)", "v", "y x")
+def disk_smooth(spark, sf_dir):
+    return raster.disk_smooth(_smooth_points(spark, sf_dir), 40, 30, 2, 1.0)
+
+
+@query(f"{S}, {A.PIXELS_SQL}, r AS (SELECT spot_id AS id, round_even(x, 0) AS px, round_even(y, 0) AS py FROM spots), out AS (SELECT id, coalesce(v, 0) AS v, px < 0 OR px > 11 OR py < 0 OR py > 99 AS clipped FROM r LEFT JOIN pixels p ON p.x = least(greatest(px, 0), 11) AND p.y = least(greatest(py, 0), 99))", "v", "id clipped")
+def pixel_sample(spark, sf_dir):
+    return raster.sample(points(spark, sf_dir), A.pixels(spark, sf_dir), 12, 100)
+
+
+MASK = f"{A.PIXELS_SQL}, mk AS (SELECT y, x FROM pixels WHERE v > 2000 AND y < 100)"
+
+
+def _mask(spark, sf_dir) -> DataFrame:
+    return materialise(A.pixels(spark, sf_dir).where("v > 2000 and y < 100").select("y", "x"), "mask")
+
+
+@query(f"{MASK}, out AS (SELECT ny::INTEGER AS y, nx::INTEGER AS x FROM range(0, 150) a(ny), range(0, 18) b(nx), mk WHERE mk.y = least(floor((ny + 0.5) * 100 / 150), 99) AND mk.x = least(floor((nx + 0.5) * 12 / 18), 11))", "", "y x")
+def mask_resize(spark, sf_dir):
+    return raster.resize_mask(_mask(spark, sf_dir), (100, 12), (150, 18))
+
+
+_OFF1 = "off AS (SELECT dx, dy FROM range(-1, 2) a(dx), range(-1, 2) b(dy) WHERE dx * dx + dy * dy <= 1)"
+_DIL = "di AS (SELECT DISTINCT (y + dy)::INTEGER AS y, (x + dx)::INTEGER AS x FROM mk, off WHERE x + dx BETWEEN 0 AND 11 AND y + dy BETWEEN 0 AND 99)"
+
+
+@query(f"{MASK}, {_OFF1}, {_DIL}, er AS (SELECT y, x FROM di d WHERE NOT EXISTS (SELECT 1 FROM off WHERE d.x + dx BETWEEN 0 AND 11 AND d.y + dy BETWEEN 0 AND 99 AND (d.y + dy, d.x + dx) NOT IN (SELECT (y, x) FROM di))), out AS (SELECT * FROM er)", "", "y x")
+def mask_close(spark, sf_dir):
+    return raster.close(_mask(spark, sf_dir), 1, 12, 100)
+
+
+@query(f"{MASK}, ob AS (SELECT (y * 12 + x)::BIGINT AS spot_id, y, x FROM mk), e AS MATERIALIZED (SELECT a.spot_id AS src, b.spot_id AS dst FROM ob a JOIN ob b ON abs(a.y - b.y) + abs(a.x - b.x) = 1), nodes AS (SELECT spot_id FROM ob), {_CC}, out AS (SELECT y, x, min(other) AS object FROM reach JOIN ob ON id = spot_id GROUP BY ALL)", "", "y x object")
+def mask_objects(spark, sf_dir):
+    return raster.objects(_mask(spark, sf_dir), 12)
+
+
+@query()
+def tissue_mask(spark, sf_dir):
+    """Colour rule, closing, cleaning and the largest object on a raster of made-up colours."""
+    v = (F.col("v") + 1000) / 11000
+    rgb = A.pixels(spark, sf_dir).where("y < 100").select("y", "x", v.alias("r"), (v * 0.8).alias("g"), F.sqrt(F.abs(v)).alias("b"))
+    return raster.tissue_mask(materialise(rgb, "rgb"), 12, 100, least=4)
+
+
+def _frame(spark, sf_dir) -> tuple[DataFrame, DataFrame, float, float]:
+    """Edges of spots in pixel coordinates with their pools, pixels with energies, spacing and tile."""
+    p = points(spark, sf_dir).select("id", (F.col("x") * dbl(0.275)).alias("x"), (F.col("y") * dbl(3.0)).alias("y")).where("y < 60")
+    p = materialise(p, "pixel-points")
+    h = spatial.spacing(p)
+    e = materialise(kernels.framed(spatial.bounded_graph(p, h, 2.2, 4, 6), p, h, "fixed", r_rel=3.0, sigma_rel=1.5), "framed")
+    px = A.pixels(spark, sf_dir).select("y", "x", F.abs("v").alias("eh"), F.abs(F.col("v") - 3000).alias("ev"), F.abs(F.col("v") * 0.5).alias("ed"))
+    return e, materialise(px, "energies"), h, 3.0 * h
+
+
+FRAME = f"""{S}, {A.PIXELS_SQL}, fp AS MATERIALIZED (SELECT spot_id, x * 0.275::DOUBLE AS x, y * 3.0::DOUBLE AS y FROM spots WHERE y * 3.0 < 60), fpr AS (SELECT a.spot_id AS src, b.spot_id AS dst, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2, {D} AS d FROM fp a JOIN fp b ON a.spot_id <> b.spot_id),
+    fn AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d, dst) AS rk FROM fpr QUALIFY rk <= 6), h AS (SELECT quantile_cont(d, 0.5) AS h FROM fn WHERE rk = 1),
+    fe AS MATERIALIZED (SELECT src, dst, d, x1, y1, x2, y2, (x2 - x1) / d AS ux, (y2 - y1) / d AS uy, 3.0 * h AS r, 1.5 * h AS sg FROM fn, h WHERE d <= 2.2 * h OR rk <= 4),
+    en AS MATERIALIZED (SELECT y, x, abs(v) AS eh, abs(v - 3000) AS ev, abs(v * 0.5) AS ed FROM pixels WHERE y < 100)"""
+HALFDISK = f"""{FRAME}, hm AS (SELECT src, dst, (x - x1) * ux + (y - y1) * uy >= 0 AS f, exp(-((x - x1) * (x - x1) + (y - y1) * (y - y1)) / (2 * sg * sg)) AS w, eh, ev, ed FROM fe JOIN en ON (x - x1) * (x - x1) + (y - y1) * (y - y1) <= r * r),
+    hs AS (SELECT *, max(f::INTEGER) OVER (PARTITION BY src, dst) AS anyf FROM hm),
+    hd AS MATERIALIZED (SELECT src, dst, count(*)::BIGINT AS n, sum(w * eh) / (sum(w) + 1e-12) AS eh, sum(w * ev) / (sum(w) + 1e-12) AS ev, sum(w * ed) / (sum(w) + 1e-12) AS ed FROM hs WHERE f OR anyf = 0 GROUP BY ALL)"""
+
+
+@query(f"{HALFDISK}, out AS (SELECT * FROM hd)", "eh ev ed", "src dst n")
+def halfdisk_pool(spark, sf_dir):
+    e, px, _, tile = _frame(spark, sf_dir)
+    return kernels.half_disk(e, px, ["eh", "ev", "ed"], tile)
+
+
+CORR = f"""{FRAME}, cr AS (SELECT src, dst, d, sg, y, x, (x - x1) * ux + (y - y1) * uy AS s, (y - y1) * ux - (x - x1) * uy AS l FROM fe, en),
+    cw AS (SELECT src, dst, y, x, exp(-l * l / (2 * 0.5 * sg * 0.5 * sg)) * exp(-(s - d / 2) * (s - d / 2) / (2 * 0.5 * d * 0.5 * d)) AS w FROM cr WHERE s >= 0 AND s <= d AND abs(l) <= 2.0 * 0.5 * sg),
+    cn AS MATERIALIZED (SELECT src, dst, y, x, w / (sum(w) OVER (PARTITION BY src, dst) + 1e-12) AS w FROM cw),
+    pr AS (SELECT src, dst, sg, y, x, (x - x2) * (x - x2) + (y - y2) * (y - y2) AS d2, -((x - x2) * ux + (y - y2) * uy) AS along, r FROM fe, en),
+    pw AS (SELECT src, dst, y, x, exp(-d2 / (2 * sg * sg)) AS w FROM pr WHERE d2 <= r * r AND d2 > 0 AND along / sqrt(d2) >= cos(radians(20))),
+    pn AS MATERIALIZED (SELECT src, dst, y, x, w / (sum(w) OVER (PARTITION BY src, dst) + 1e-12) AS w FROM pw)"""
+
+
+@query(f"{CORR}, out AS (SELECT * FROM cn)", "w", "src dst y x")
+def corridor_pool(spark, sf_dir):
+    e, px, _, tile = _frame(spark, sf_dir)
+    return kernels.corridor_weights(e, px.select("y", "x"), tile)
+
+
+@query(f"{CORR}, out AS (SELECT * FROM pn)", "w", "src dst y x")
+def cap_pool(spark, sf_dir):
+    e, px, _, tile = _frame(spark, sf_dir)
+    return kernels.cap_weights(e, px.select("y", "x"), tile)
+
+
+@query(f"{CORR}, un AS (SELECT src, dst, y, x, sum(w) AS w FROM (SELECT * FROM cn UNION ALL SELECT * FROM pn) GROUP BY ALL), sh AS (SELECT *, w / (sum(w) OVER (PARTITION BY src, dst) + 1e-12) AS q FROM un), out AS (SELECT src, dst, count(*)::BIGINT AS n, sum(q * eh) AS eh, sum(q * ev) AS ev, sum(q * ed) AS ed FROM sh JOIN en USING (y, x) GROUP BY ALL)", "eh ev ed", "src dst n")
+def corridor_cap_pool(spark, sf_dir):
+    e, px, _, tile = _frame(spark, sf_dir)
+    return kernels.pool(e, px, ["eh", "ev", "ed"], tile, "corridor")
+
+
+
+_TURN = "exp(-0.5 * (power((x2 - x1) * cos(theta) + (y2 - y1) * sin(theta), 2) / 1.0 + power((y2 - y1) * cos(theta) - (x2 - x1) * sin(theta), 2) / greatest(1 / a, 0.68 * 0.68::DOUBLE)) / (h * h))"
+
+
+@query(
+    f"""{HALFDISK}, w2 AS (SELECT fe.*, n, ev + 0.5 * ed AS sx, eh + 0.5 * ed AS sy FROM fe LEFT JOIN hd USING (src, dst)), w3 AS (SELECT *, coalesce(abs(sx - sy) / (sx + sy + 1e-12), 0) AS ratio FROM w2),
+    w4 AS (SELECT *, CASE WHEN n IS NULL OR 1 + 2 * ratio < 1.05 THEN 1 ELSE least(1 + 2 * ratio, 3) END AS a, CASE WHEN n IS NULL OR sx >= sy THEN 0 ELSE pi() / 2 END AS theta FROM w3), out AS (SELECT src, dst, d, {_TURN} AS k, a, ratio, theta FROM w4, h)""",
+    "d k a ratio theta",
+    "src dst",
+)
+def wv2_kernel(spark, sf_dir):
+    e, px, h, tile = _frame(spark, sf_dir)
+    return kernels.wv2_kernel(e, px, h, tile)
+
+
+_BANDS4 = [("b1", 0.3, 0.7), ("b2", 1.2, 0.5), ("b3", 2.4, 0.1)]
+
+
+@query(
+    f"""{HALFDISK}, bn AS (SELECT * FROM (VALUES ('b1', 0.3::DOUBLE, 0.7::DOUBLE), ('b2', 1.2, 0.5)) t(band, th, kp)), ep AS (SELECT src, dst, 'b1' AS band, 0.8 * eh + 0.2 * ev AS p FROM hd UNION ALL SELECT src, dst, 'b2', ed FROM hd),
+    cs AS (SELECT src, dst, sum(kp * p * cos(2 * th)) AS c, sum(kp * p * sin(2 * th)) AS s, sum(kp * p) AS e FROM ep JOIN bn USING (band) GROUP BY ALL),
+    w3 AS (SELECT fe.*, e, coalesce(least(sqrt(c * c + s * s) / (e + 1e-12), 0.995), 0) AS ratio, coalesce(0.5 * atan2(s, c), 0) AS theta FROM fe LEFT JOIN cs USING (src, dst)),
+    w4 AS (SELECT *, CASE WHEN e IS NULL OR 1 + 2 * ratio < 1.05 THEN 1 ELSE least(1 + 2 * ratio, 3) END AS a FROM w3), out AS (SELECT src, dst, d, {_TURN} AS k, a, ratio, theta FROM w4, h)""",
+    "d k a ratio theta",
+    "src dst",
+)
+def wv4_kernel(spark, sf_dir):
+    e, px, h, tile = _frame(spark, sf_dir)
+    bands = spark.createDataFrame(_BANDS4, "band string, theta double, kappa double")
+    return kernels.wv4_kernel(e, px, {"b1": ("eh", "ev"), "b2": ("ed", None), "b3": ("ev", None)}, bands, h, tile)
+
+
+@query()
+def dtcwt_kernel(spark, sf_dir):
+    """Kernel of complex subbands, made up from the pixels."""
+    e, px, h, tile = _frame(spark, sf_dir)
+    px = px.withColumn("re", F.col("ev") - F.col("eh")).withColumn("im", F.col("ed") * 0.3).withColumn("p", F.col("re") * F.col("re") + F.col("im") * F.col("im"))
+    angles = spark.createDataFrame([("15", 0.26, 1.0), ("75", 1.31, 0.8)], "band string, theta double, kappa double")
+    return kernels.dtcwt_kernel(e, px, {"15": [("p", "re", "im")], "75": [("p", "im", "re")]}, angles, h, tile)
+
+
+def _bank_sql(name: str) -> str:
+    b = wavelets.bank(name)
+    rows = ", ".join(f"({m}, {k}, {float(b[m, k])!r}::DOUBLE)" for m in range(len(b)) for k in range(b.shape[1]))
+    return f"bk AS (SELECT * FROM (VALUES {rows}) t(m, k, coef))"
+
+
+def _level_sql(src: str, h: str, w: str, m: int) -> str:
+    return f"""(SELECT bi, bj, yy AS y, xx AS x, sum(v * coef) AS v FROM (SELECT m AS bi, bj, xx, (((y - k) % {h} + {h}) % {h} / {m})::INTEGER AS yy, v, coef FROM (
+        SELECT m AS bj, y, (((x - k) % {w} + {w}) % {w} / {m})::INTEGER AS xx, sum(v * coef) AS v FROM {src} JOIN bk ON (x - k) % {m} = 0 GROUP BY ALL) JOIN bk ON (y - k) % {m} = 0) GROUP BY ALL)"""
+
+
+_PXC = f"{A.PIXELS_SQL}, px AS (SELECT y, x, v FROM pixels WHERE y < 120)"
+
+
+def _image(spark, sf_dir) -> DataFrame:
+    return materialise(A.pixels(spark, sf_dir).where("y < 120"), "image")
+
+
+@query(f"{_PXC}, {_bank_sql('wv32')}, out AS {_level_sql('px', '120', '12', 3)}", "v", "bi bj y x")
+def dwt_level(spark, sf_dir):
+    return wavelets.level(_image(spark, sf_dir), "wv32", 120, 12)
+
+
+@query(
+    f"""{_PXC}, {_bank_sql("wv22")}, l1 AS MATERIALIZED {_level_sql("px", "120", "12", 2)}, ll AS (SELECT y, x, v FROM l1 WHERE bi = 0 AND bj = 0), l2 AS {_level_sql("ll", "60", "6", 2)},
+    out AS (SELECT bi, bj, y, x, v, 1 AS level FROM l1 UNION ALL SELECT bi, bj, y, x, v, 2 FROM l2)""",
+    "v",
+    "bi bj y x level",
+)
+def dwt_multi(spark, sf_dir):
+    return wavelets.multi_level(_image(spark, sf_dir), "wv22", 120, 12, 2)
+
+
+@query(f"{_PXC}, out AS (SELECT * FROM px)", "v", "y x")
+def idwt_roundtrip(spark, sf_dir):
+    """Two levels there and back: the image itself."""
+    return wavelets.multi_inverse(materialise(wavelets.multi_level(_image(spark, sf_dir), "wv23", 120, 12, 2), "bands"), "wv23", 120, 12, 2).select("y", "x", "v")
+
+
+@query(f"{_PXC}, out AS (SELECT ny::INTEGER AS y, nx::INTEGER AS x, v FROM range(0, 128) a(ny), range(0, 16) b(nx), px WHERE px.y = CASE WHEN ny < 4 THEN 4 - ny WHEN ny < 124 THEN ny - 4 ELSE 118 - (ny - 124) END AND px.x = CASE WHEN nx < 2 THEN 2 - nx WHEN nx < 14 THEN nx - 2 ELSE 10 - (nx - 14) END)", "v", "y x")
+def reflect_pad(spark, sf_dir):
+    return wavelets.reflect_pad(_image(spark, sf_dir), 120, 12, wavelets.padding(120, 12, 2, 4)).select("y", "x", "v")
+
+
+@query()
+def band_orientation(spark, sf_dir):
+    """Direction and concentration of the bands of every bank."""
+    rows = [(name, *r) for name in ("wv22", "wv23", "wv24", "wv32", "wv42", "wv44") for r in wavelets.orientation(name)]
+    return spark.createDataFrame(rows, "bank string, bi int, bj int, theta double, kappa double")
+
+
+@query(f"{_PXC}, {_bank_sql('wv22')}, l1 AS {_level_sql('px', '120', '12', 2)}, n AS (SELECT 'L1_B' || bi || bj AS name, y, x, v FROM l1 WHERE bi > 0 OR bj > 0), s AS (SELECT name, avg(v) AS m, stddev_pop(v) AS s FROM n GROUP BY 1), out AS (SELECT name, y, x, (v - m) / (s + 1e-8::DOUBLE) AS v FROM n JOIN s USING (name))", "v", "name y x")
+def feature_tensor(spark, sf_dir):
+    return wavelets.feature_tensor(wavelets.multi_level(_image(spark, sf_dir), "wv22", 120, 12, 1))
+
+
+# --- model input
+
+
+@query(f"{READY}, ps AS (SELECT src, dst, pair_id, s FROM sc WHERE src <> dst AND s > 0), nn2 AS (SELECT count(*)::BIGINT * count(*)::BIGINT AS cells FROM spots), rk2 AS (SELECT *, cells - row_number() OVER (PARTITION BY pair_id ORDER BY s DESC) AS r FROM ps, nn2), ct AS (SELECT pair_id, coalesce(max(s) FILTER (WHERE r = floor(0.999 * (cells - 1))), 0) * (1 - (0.999 * (cells - 1) - floor(0.999 * (cells - 1)))) + coalesce(max(s) FILTER (WHERE r = floor(0.999 * (cells - 1)) + 1), 0) * (0.999 * (cells - 1) - floor(0.999 * (cells - 1))) AS cut FROM rk2 GROUP BY pair_id, cells), out AS (SELECT src, dst, pair_id, least(greatest(s / greatest(coalesce(cut, 0), 1e-8), 0), 1) AS w FROM sc LEFT JOIN ct USING (pair_id) WHERE src <> dst)", "w", "src dst pair_id")
+def ccc_prep(spark, sf_dir):
+    p, e, ex, pairs = ready(spark, sf_dir)
+    return models.ccc_prep(materialise(scoring.raw_scores(e, ex, pairs, HALF), "scores"), p.count(), 0.999)
+
+
+@query(f"{KERNEL}, al AS (SELECT src, dst, k AS w FROM kn UNION ALL SELECT spot_id, spot_id, 1.0 FROM spots), out AS (SELECT src, dst, w FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) AS k FROM al) WHERE k <= 5 AND src <> dst)", "w", "src dst")
+def topk_mask(spark, sf_dir):
+    p, g, h = bounded(spark, sf_dir)
+    w = scoring.normalise_k(kernels.iso(g, h)).select("src", "dst", F.col("k").alias("w")).unionByName(p.select(F.col("id").alias("src"), F.col("id").alias("dst"), dbl(1).alias("w")))
+    return models.topk_mask(w, 5)
+
+
+@query(f"{READY}, lg AS (SELECT pair_id, exp(pair_id * 0.1::DOUBLE) AS e FROM range(0, 20) t(pair_id)), zt AS (SELECT sum(e) AS z FROM lg), sw AS (SELECT src, dst, sum(e / z * s) AS s FROM sc JOIN lg USING (pair_id), zt GROUP BY ALL), ft AS (SELECT spot_id, 0 AS pos, x AS v FROM spots UNION ALL SELECT spot_id, 1, y FROM spots), out AS (SELECT src AS spot_id, pos, sum(s * v) AS z FROM sw JOIN ft ON ft.spot_id = dst GROUP BY ALL)", "z", "spot_id pos")
+def message_passing(spark, sf_dir):
+    p, e, ex, pairs = ready(spark, sf_dir)
+    f = p.select(F.col("id").alias("spot_id"), F.posexplode(F.array("x", "y")).alias("pos", "v"))
+    scores = scoring.raw_scores(e, ex, pairs, HALF).withColumnRenamed("s", "w")
+    return models.message_passing(scores, f, {k: k * 0.1 for k in range(20)})
+
+
+DEC = f"{S}, lo AS (SELECT spot_id AS id, 0 AS pos, x AS v FROM spots UNION ALL SELECT spot_id, 1, y FROM spots), ce AS (SELECT * FROM (VALUES (0, 0, 5.0::DOUBLE), (0, 1, 5.0), (1, 0, 30.0), (1, 1, 10.0), (2, 0, 20.0), (2, 1, 30.0)) t(cluster, pos, c)), tq AS (SELECT id, cluster, 1 / (1 + sum((v - c) * (v - c))) AS t FROM lo JOIN ce USING (pos) GROUP BY ALL), sq AS MATERIALIZED (SELECT id, cluster, t / sum(t) OVER (PARTITION BY id) AS q FROM tq), fm AS (SELECT cluster, sum(q) AS f FROM sq GROUP BY 1), w AS (SELECT id, cluster, q, q * q / f AS w FROM sq JOIN fm USING (cluster)), out AS (SELECT id, cluster, q, w / sum(w) OVER (PARTITION BY id) AS p FROM w)"
+
+
+@query(DEC, "q p", "id cluster")
+def dec_target(spark, sf_dir):
+    f = points(spark, sf_dir).select("id", F.posexplode(F.array("x", "y")).alias("pos", "v"))
+    centres = spark.createDataFrame([(0, 0, 5.0), (0, 1, 5.0), (1, 0, 30.0), (1, 1, 10.0), (2, 0, 20.0), (2, 1, 30.0)], "cluster int, pos int, v double")
+    q = materialise(models.soft_assignment(f, centres), "soft")
+    return q.join(models.target_distribution(q), ["id", "cluster"])
+
+
+@query(f"{EDGES}, lo AS (SELECT spot_id AS id, x, y FROM spots), l AS (SELECT src, dst, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM g JOIN lo a ON a.id = src JOIN lo b ON b.id = dst), out AS (SELECT sum(d2) / (count(*) + 1e-8::DOUBLE) AS loss FROM l)", "loss")
+def laplacian_loss(spark, sf_dir):
+    p, g, _ = bounded(spark, sf_dir)
+    return models.laplacian_loss(g.withColumn("w", dbl(1)), p.select("id", F.posexplode(F.array("x", "y")).alias("pos", "v")))
+
+
+@query(f"{A.EXPR_SQL}, rk AS (SELECT *, row_number() OVER (PARTITION BY spot_id ORDER BY value DESC, gene) AS r FROM expr), rg AS (SELECT DISTINCT p_brand AS gene, 'R' || substr(p_brand, 7, 1) AS regulon FROM part), sz AS (SELECT regulon, count(*) AS n FROM rg GROUP BY 1), out AS (SELECT spot_id, regulon, sum(10 - r + 1) / (least(any_value(n), 10) * 10 - least(any_value(n), 10) * (least(any_value(n), 10) - 1) / 2.0)::DOUBLE AS auc FROM rk JOIN rg USING (gene) JOIN sz USING (regulon) WHERE r <= 10 GROUP BY ALL)", "auc", "spot_id regulon")
+def aucell(spark, sf_dir):
+    reg = A.table(spark, sf_dir, "part").select(F.col("p_brand").alias("gene"), F.concat(F.lit("R"), F.substring("p_brand", 7, 1)).alias("regulon")).distinct()
+    return models.aucell(A.expr(spark, sf_dir), reg, 25, 0.4)
+
+
+@query()
+def principal_axes(spark, sf_dir):
+    """Two principal components of the histology features."""
+    out = models.principal_components(A.hist(spark, sf_dir).withColumnRenamed("spot_id", "id"), 2)
+    return out.select("id", F.abs(F.col("f")[0]).alias("p1"), F.abs(F.col("f")[1]).alias("p2"))
+
+
+@query(f"{EDGES}, out AS (SELECT src, count(*)::BIGINT AS n, rank() OVER (ORDER BY count(*) DESC)::INTEGER AS rk FROM g GROUP BY 1)", "", "src n rk")
+def degree_rank(spark, sf_dir):
+    return graphs.degree_rank(bounded(spark, sf_dir)[1])
+
+
+@query("m AS (SELECT c_custkey % 30 AS i, c_custkey // 30 % 30 AS j, c_acctbal::DOUBLE AS w FROM customer WHERE c_custkey < 900), b AS (SELECT i, j, sum(w) / 2 AS w FROM (SELECT * FROM m UNION ALL SELECT j, i, w FROM m) GROUP BY ALL), n AS (SELECT i, j, (w - min(w) OVER ()) / greatest(max(w) OVER () - min(w) OVER (), 1e-12) AS w FROM b), out AS (SELECT i AS src, j AS dst, 1 - w AS m FROM n WHERE i <> j)", "m", "src dst")
+def matrix_similarity(spark, sf_dir):
+    k = F.col("c_custkey")
+    m = A.table(spark, sf_dir, "customer").where("c_custkey < 900").select((k % 30).alias("i"), (F.floor(k / 30) % 30).alias("j"), F.col("c_acctbal").cast("double").alias("w"))
+    return scoring.matrix_similarity(m.where("i <> j").select(F.col("i").alias("src"), F.col("j").alias("dst")), materialise(m, "matrix"), "distance")
+
+
+@query(f"{KERNEL}, ra AS (SELECT src, d, k, rank() OVER (PARTITION BY src ORDER BY d) + (count(*) OVER (PARTITION BY src, d) - 1) / 2.0::DOUBLE AS a, rank() OVER (PARTITION BY src ORDER BY k) + (count(*) OVER (PARTITION BY src, k) - 1) / 2.0::DOUBLE AS b FROM ke), out AS (SELECT src, corr(a, b) AS rho FROM ra GROUP BY 1)", "rho", "src")
+def spearman_by_group(spark, sf_dir):
+    from tessera.operators import tuning
+
+    _, g, h = bounded(spark, sf_dir)
+    return tuning.spearman(kernels.iso(g, h), "src", "d", "k")
