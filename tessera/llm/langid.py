@@ -46,6 +46,8 @@ FAMILIES = {
 }
 _FAMILY = {code: name for name, codes in FAMILIES.items() for code in codes.split()}
 
+#: Bytes of text at once: some hundred bytes of arrays for each.
+SLICE = 1 << 20
 BITS = 12
 SIZE = 1 << BITS
 UNKNOWN = "und"
@@ -154,7 +156,7 @@ def learnt(label: str = "lang") -> Column:
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, lang, features, counts): the sparse counts of each text."""
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, size=SLICE):
             found, firsts = grams(part.data, part.offsets)
             ids, counts = [], []
             for i in range(part.n):
@@ -219,7 +221,7 @@ def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=SLICE):
                 keep = has_letter(part) if sent.value is None else np.array(_judged(sent.value, part)[0]) != UNKNOWN
                 yield part.rows.filter(pa.array(keep))
 
@@ -233,7 +235,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=SLICE):
                 names, score = _judged(sent.value, part)
                 yield pa.RecordBatch.from_arrays([part.rows.column(0), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
