@@ -37,7 +37,7 @@ from .text import SLICE_BYTES, Slice, slices, word_hashes
 _WHITE = regex.compile("[\\x09-\\x0d\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 _SIGMA = "Σ"
 #: Distinct runs that a worker remembers.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 19
 
 
 def byte_symbols() -> list[str]:

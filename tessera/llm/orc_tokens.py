@@ -43,6 +43,7 @@ ORC = {
 }
 BETWEEN = "<|startoftext|>"
 REMEMBERED = 1 << 20
+SLICE = 4 << 20
 
 
 class LibraryEncoder:
@@ -129,7 +130,7 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 1, file
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = _tool(spec.value)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=SLICE):
                 ids, first = tool.encode(part)
                 lens = np.diff(first)
                 out = np.full(len(ids) + part.n, end_id, np.int32)

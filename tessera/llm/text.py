@@ -9,6 +9,7 @@ longest single text, never by the number of rows in a batch.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240611))
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -58,6 +59,16 @@ def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES)
         own = offsets[start : stop + 1]
         yield Slice(batch.slice(start, stop - start), data[own[0] : own[-1]], own - own[0])
         start = stop
+    release()
+
+
+def release() -> None:
+    """Give memory that numpy and Arrow have freed back to the system: workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def lower(data: np.ndarray) -> np.ndarray:
