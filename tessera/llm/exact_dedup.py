@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.plans.workspace import exists, fresh_path, is_directory, materialise
+from tessera.plans.workspace import exists, fresh_path, is_directory, materialise, unused
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Settings of the stream's own session.
@@ -120,5 +120,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     state = fresh_path(spark, "dedup-state")
     judged = duplicates(spark, path, state)
     rows = spark.read.schema(docs.schema).parquet(path)
-    kept = judged.where("kept").select("file", "row")
-    return rows.withColumn("_at", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))).join(kept.select(F.struct("file", "row").alias("_at")), "_at", "left_semi").select(*docs.columns)
+    at = unused(docs, "at")
+    kept = judged.where("kept").select(F.struct("file", "row").alias(at))
+    located_rows = rows.withColumn(at, F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
+    return located_rows.join(kept, at, "left_semi").select(*docs.columns)

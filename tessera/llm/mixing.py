@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.plans.workspace import materialise
+from tessera.plans.workspace import materialise, unused
 
 STEPS = 4096
 WORD = r"[^\x20\x09-\x0D]+"
@@ -101,6 +101,7 @@ def plan(docs: DataFrame, entropy: float | None = None, repeats: float | None =
 
 def mixed(docs: DataFrame, entropy: float | None = None, repeats: float | None = None, budget_share: float = 1.0, seed: int = 0) -> DataFrame:
     """The rows of ``docs``, each as often as the plan draws it, with all their columns."""
-    drawn = plan(docs, entropy, repeats, budget_share, seed).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("copies").alias("_copies")).distinct()
-    rows = docs.join(drawn, (F.col("doc_id") == F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    ident, source, times, turn = (unused(docs, n) for n in ("mix_id", "mix_source", "mix_copies", "mix_copy"))
+    drawn = plan(docs, entropy, repeats, budget_share, seed).where("copies > 0").select(F.col("doc_id").alias(ident), F.col("source").alias(source), F.col("copies").alias(times)).distinct()
+    rows = docs.join(drawn, (F.col("doc_id") == F.col(ident)) & F.col("source").eqNullSafe(F.col(source))).withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))))
     return rows.select(*docs.columns)
