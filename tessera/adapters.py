@@ -7,7 +7,7 @@ pixels from balances and histology features from embeddings.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -36,11 +36,12 @@ def tf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy(F.col("user_id").cast("bigint").alias("spot_id"), F.col("event_type").alias("tf")).agg(F.sum("value").cast("double").alias("value"))
 
 
-def lr(spark: SparkSession, sf_dir: str, n: int = 20) -> DataFrame:
-    part = table(spark, sf_dir, "part")
-    nxt = part.select((F.col("p_partkey") - 1).alias("k"), F.col("p_brand").alias("receptor"))
+def lr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One pair for each part name: the brand of its first part signals to the brand of its last."""
     note = F.when(F.col("p_name").contains("bolt"), "Cell-Cell Contact").when(F.col("p_name").contains("ring"), "Secreted Signaling").otherwise(F.col("p_name"))
-    return part.where(F.col("p_partkey") < n).join(nxt, F.col("p_partkey") == F.col("k")).select(F.col("p_partkey").cast("bigint").alias("pair_id"), F.col("p_brand").alias("ligand"), "receptor", F.col("p_type").alias("pathway"), note.alias("ligand_annotation"))
+    each = table(spark, sf_dir, "part").groupBy("p_name").agg(F.min_by("p_brand", "p_partkey").alias("ligand"), F.max_by("p_brand", "p_partkey").alias("receptor"), F.min_by("p_type", "p_partkey").alias("pathway"))
+    number = F.row_number().over(Window.orderBy("p_name")) - 1  # over names, of which there are some dozens
+    return each.select(number.cast("bigint").alias("pair_id"), "ligand", "receptor", "pathway", note.alias("ligand_annotation"))
 
 
 def pixels(spark: SparkSession, sf_dir: str, width: int = 12, step: int = 144) -> DataFrame:
@@ -61,9 +62,8 @@ SPOTS_SQL = """spots AS (SELECT c_custkey::BIGINT AS spot_id, 'S' || c_custkey A
 EXPR_SQL = """expr AS (SELECT o_custkey::BIGINT AS spot_id, p_brand AS gene, sum(l_quantity)::DOUBLE AS value
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY ALL)"""
 TF_SQL = "tf AS (SELECT user_id::BIGINT AS spot_id, event_type AS tf, sum(value)::DOUBLE AS value FROM events GROUP BY ALL)"
-LR_SQL = """lr AS (SELECT a.p_partkey::BIGINT AS pair_id, a.p_brand AS ligand, b.p_brand AS receptor, a.p_type AS pathway,
-    CASE WHEN contains(a.p_name, 'bolt') THEN 'Cell-Cell Contact' WHEN contains(a.p_name, 'ring') THEN 'Secreted Signaling' ELSE a.p_name END AS ligand_annotation
-    FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 WHERE a.p_partkey < 20)"""
+LR_SQL = """lr AS (SELECT (row_number() OVER (ORDER BY p_name) - 1)::BIGINT AS pair_id, arg_min(p_brand, p_partkey) AS ligand, arg_max(p_brand, p_partkey) AS receptor, arg_min(p_type, p_partkey) AS pathway,
+    CASE WHEN contains(p_name, 'bolt') THEN 'Cell-Cell Contact' WHEN contains(p_name, 'ring') THEN 'Secreted Signaling' ELSE p_name END AS ligand_annotation FROM part GROUP BY p_name)"""
 PIXELS_SQL = """pixels AS (SELECT floor(c_custkey / 12)::INTEGER AS y, (c_custkey % 12)::INTEGER AS x, c_acctbal::DOUBLE AS v
     FROM customer WHERE c_custkey < (SELECT floor(count(*) / 144)::BIGINT * 144 FROM customer))"""
 HIST_SQL = "hist AS (SELECT c_custkey::BIGINT AS spot_id, embedding::DOUBLE[] AS f FROM customer JOIN embeddings ON c_custkey % 500 = vec_id)"

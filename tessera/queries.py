@@ -23,6 +23,7 @@ _SQL: dict[str, str] = {}
 RADIUS = 1.5
 H_REL, DEG_MIN, DEG_MAX = 2.2, 10, 18
 HALF = 0.01
+DRAWS = 4
 
 
 def query(sql: str | None = None, floats: str = "", rest: str = ""):
@@ -237,9 +238,13 @@ def pair_score(spark, sf_dir):
     return scoring.raw_scores(e, ex, pairs, HALF)
 
 
+def _by_edge(tau: DataFrame) -> DataFrame:
+    return tau.groupBy("src", "dst").agg(F.sum("tau").alias("tau"), F.max("tau").alias("top"))
+
+
 def _small_draws(pool: DataFrame) -> DataFrame:
     a, b = (pool.where(F.col("side") == s).select("pair_id", "rk", F.col("gene").alias(n)) for s, n in (("L", "gl"), ("R", "gr")))
-    return a.join(b, ["pair_id", "rk"]).where("pair_id < 2").select("pair_id", (F.col("rk") - 1).cast("int").alias("t"), "gl", "gr")
+    return a.join(b, ["pair_id", "rk"]).where(F.col("rk") <= DRAWS).select("pair_id", (F.col("rk") - 1).cast("int").alias("t"), "gl", "gr")
 
 
 POOLS = """gm AS (SELECT gene, sum(value) / (SELECT count(*) FROM spots)::DOUBLE AS m FROM expr GROUP BY 1),
@@ -253,32 +258,31 @@ def gene_pools(spark, sf_dir):
     return scoring.pools(pairs, scoring.gene_means(ex, p.count()), 8)
 
 
-NULLS = f"""{READY}, {POOLS}, dr AS (SELECT a.pair_id, a.rk - 1 AS t, a.gene AS gl, b.gene AS gr, mode FROM pl a JOIN pl b ON a.pair_id = b.pair_id AND a.rk = b.rk AND a.side = 'L' AND b.side = 'R' JOIN md ON md.pair_id = a.pair_id WHERE a.pair_id < 2),
+NULLS = f"""{READY}, {POOLS}, dr AS (SELECT a.pair_id, a.rk - 1 AS t, a.gene AS gl, b.gene AS gr, mode FROM pl a JOIN pl b ON a.pair_id = b.pair_id AND a.rk = b.rk AND a.side = 'L' AND b.side = 'R' JOIN md ON md.pair_id = a.pair_id WHERE a.rk <= {DRAWS}),
     nx AS (SELECT src, dst, pair_id, CASE WHEN mode = 'mb' THEN coalesce(el.value, 0) * contact ELSE coalesce(el.value, 0) * k * radial END * coalesce(er.value, 0) AS x FROM rd CROSS JOIN dr LEFT JOIN expr el ON el.spot_id = src AND el.gene = gl LEFT JOIN expr er ON er.spot_id = dst AND er.gene = gr),
     tau AS (SELECT src, dst, pair_id, quantile_cont(greatest(x, 0) / ({HALF}::DOUBLE + greatest(x, 0) + 1e-12), 0.95) AS tau FROM nx GROUP BY ALL)"""
 
 
-@query(f"{NULLS}, out AS (SELECT * FROM tau)", "tau", "src dst pair_id")
+@query(f"{NULLS}, out AS (SELECT src, dst, sum(tau) AS tau, max(tau) AS top FROM tau GROUP BY ALL)", "tau top", "src dst")
 def null_threshold(spark, sf_dir):
     p, e, ex, pairs = ready(spark, sf_dir)
     draws = _small_draws(scoring.pools(pairs, scoring.gene_means(ex, p.count()), 8))
-    return scoring.null_thresholds(e, ex, pairs, draws, HALF)
+    return _by_edge(scoring.null_thresholds(e, ex, pairs, draws, HALF))
 
 
-@query(f"{NULLS}, out AS (SELECT * FROM tau)", "tau", "src dst pair_id")
+@query(f"{NULLS}, out AS (SELECT src, dst, sum(tau) AS tau, max(tau) AS top FROM tau GROUP BY ALL)", "tau top", "src dst")
 def null_threshold_vectors(spark, sf_dir):
     """The same through the numpy batches meant for many draws."""
     p, e, ex, pairs = ready(spark, sf_dir)
     draws = _small_draws(scoring.pools(pairs, scoring.gene_means(ex, p.count()), 8))
-    return scoring.null_thresholds_many(e, ex, pairs, draws, HALF)
+    return _by_edge(scoring.null_thresholds_many(e, ex, pairs, draws, HALF))
 
 
-@query(f"{NULLS}, out AS (SELECT src, dst, pair_id, greatest(s - tau, 0) AS s FROM sc JOIN tau USING (src, dst, pair_id))", "s", "src dst pair_id")
+@query(f"{NULLS}, out AS (SELECT src, dst, sum(greatest(s - tau, 0)) AS total FROM sc JOIN tau USING (src, dst, pair_id) GROUP BY ALL)", "total", "src dst")
 def score_above_null(spark, sf_dir):
     p, e, ex, pairs = ready(spark, sf_dir)
-    two = pairs.where("pair_id < 2")
     draws = _small_draws(scoring.pools(pairs, scoring.gene_means(ex, p.count()), 8))
-    return scoring.above_null(scoring.raw_scores(e, ex, two, HALF), scoring.null_thresholds(e, ex, pairs, draws, HALF))
+    return scoring.edge_totals(scoring.above_null(scoring.raw_scores(e, ex, pairs, HALF), scoring.null_thresholds(e, ex, pairs, draws, HALF)))
 
 
 TOTALS = f"{READY}, {A.TF_SQL}, dl AS (SELECT spot_id, sum(value) AS delta FROM tf GROUP BY 1), gn AS (SELECT spot_id, least(greatest(1 + coalesce(delta, 0) / (0.5 + coalesce(delta, 0) + 1e-12), 1), 2)::DOUBLE AS gain FROM spots LEFT JOIN dl USING (spot_id)), ms AS MATERIALIZED (SELECT src, dst, pair_id, pathway, s * gain AS s FROM sc JOIN gn ON spot_id = dst), tt AS MATERIALIZED (SELECT src, dst, sum(s) AS total FROM ms GROUP BY ALL)"
@@ -435,10 +439,11 @@ def weak_components(spark, sf_dir):
     return graphs.weak_components(p, spatial.radius_pairs(p, 0.75))
 
 
-@query(f"{NN}, e AS MATERIALIZED (SELECT src, dst FROM pairs WHERE d <= {RADIUS}), hop AS (SELECT spot_id AS id, 0 AS hop FROM spots WHERE spot_id % 500 = 0 UNION SELECT dst, hop + 1 FROM hop JOIN e ON src = id WHERE hop < 2), out AS (SELECT id, min(hop)::INTEGER AS hop FROM hop GROUP BY 1)", "", "id hop")
+@query(f"{NN}, e AS MATERIALIZED (SELECT src, dst FROM pairs WHERE d <= {RADIUS}), hop AS (SELECT spot_id AS id, 0 AS hop FROM spots JOIN customer ON c_custkey = spot_id WHERE c_acctbal > 9900 UNION SELECT dst, hop + 1 FROM hop JOIN e ON src = id WHERE hop < 2), out AS (SELECT id, min(hop)::INTEGER AS hop FROM hop GROUP BY 1)", "", "id hop")
 def h_hop(spark, sf_dir):
     p = points(spark, sf_dir)
-    return graphs.h_hop(materialise(spatial.radius_pairs(p, RADIUS), "edges"), p.where("id % 500 = 0"), 2)[0]
+    rich = A.table(spark, sf_dir, "customer").where("c_acctbal > 9900").select(F.col("c_custkey").cast("bigint").alias("id"))
+    return graphs.h_hop(materialise(spatial.radius_pairs(p, RADIUS), "edges"), rich, 2)[0]
 
 
 @query(f"{KERNEL}, out AS (SELECT least(src, dst) AS u, greatest(src, dst) AS v, 0.5 * sum(k) AS s FROM kn GROUP BY ALL)", "s", "u v")
@@ -656,53 +661,64 @@ def _smooth_points(spark, sf_dir) -> DataFrame:
     return points(spark, sf_dir).join(A.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("bigint").alias("id"), F.col("c_acctbal").cast("double").alias("v")), "id")
 
 
-@query(f"{S}, o AS (SELECT dx, dy, dx * dx + dy * dy AS d2 FROM range(-2, 3) a(dx), range(-2, 3) b(dy) WHERE dx * dx + dy * dy <= 4), p AS (SELECT trunc(x)::INTEGER AS sx, trunc(y)::INTEGER AS sy, c_acctbal::DOUBLE AS v FROM spots JOIN customer ON c_custkey = spot_id), w AS (SELECT (sx + dx)::INTEGER AS x, (sy + dy)::INTEGER AS y, exp(-d2 / 2.0::DOUBLE) AS w, v FROM p, o WHERE sx < 40 AND sy < 30), out AS (SELECT y, x, sum(w * v) / sum(w) AS v FROM w WHERE x BETWEEN 0 AND 39 AND y BETWEEN 0 AND 29 GROUP BY ALL)", "v", "y x")
+@query(f"{S}, o AS (SELECT dx, dy, dx * dx + dy * dy AS d2 FROM range(-2, 3) a(dx), range(-2, 3) b(dy) WHERE dx * dx + dy * dy <= 4), p AS (SELECT trunc(x)::INTEGER AS sx, trunc(y)::INTEGER AS sy, c_acctbal::DOUBLE AS v FROM spots JOIN customer ON c_custkey = spot_id), w AS (SELECT (sx + dx)::INTEGER AS x, (sy + dy)::INTEGER AS y, exp(-d2 / 2.0::DOUBLE) AS w, v FROM p, o), out AS (SELECT y, x, sum(w * v) / sum(w) AS v FROM w WHERE x BETWEEN 0 AND 39 AND y BETWEEN 0 AND (SELECT max(sy) FROM p) GROUP BY ALL)", "v", "y x")
 def disk_smooth(spark, sf_dir):
-    return raster.disk_smooth(_smooth_points(spark, sf_dir), 40, 30, 2, 1.0)
+    p = materialise(_smooth_points(spark, sf_dir), "smooth-points")
+    return raster.disk_smooth(p, 40, int(p.agg(F.max("y")).first()[0]) + 1, 2, 1.0)
 
 
-@query(f"{S}, {A.PIXELS_SQL}, r AS (SELECT spot_id AS id, round_even(x, 0) AS px, round_even(y, 0) AS py FROM spots), out AS (SELECT id, coalesce(v, 0) AS v, px < 0 OR px > 11 OR py < 0 OR py > 99 AS clipped FROM r LEFT JOIN pixels p ON p.x = least(greatest(px, 0), 11) AND p.y = least(greatest(py, 0), 99))", "v", "id clipped")
+@query(f"{S}, {A.PIXELS_SQL}, r AS (SELECT spot_id AS id, round_even(x, 0) AS px, round_even(y, 0) AS py FROM spots), out AS (SELECT id, coalesce(v, 0) AS v, px < 0 OR px > 11 OR py < 0 OR py > (SELECT max(y) FROM pixels) AS clipped FROM r LEFT JOIN pixels p ON p.x = least(greatest(px, 0), 11) AND p.y = least(greatest(py, 0), (SELECT max(y) FROM pixels)))", "v", "id clipped")
 def pixel_sample(spark, sf_dir):
-    return raster.sample(points(spark, sf_dir), A.pixels(spark, sf_dir), 12, 100)
+    px = A.pixels(spark, sf_dir)
+    return raster.sample(points(spark, sf_dir), px, 12, height(px))
+
 
+MASK = f"{A.PIXELS_SQL}, mk AS (SELECT y, x FROM pixels WHERE v > 2000)"
+_TOP = "(SELECT max(y) FROM pixels)"
 
-MASK = f"{A.PIXELS_SQL}, mk AS (SELECT y, x FROM pixels WHERE v > 2000 AND y < 100)"
 
+def height(px: DataFrame) -> int:
+    return (px.agg(F.max("y")).first()[0] or 0) + 1
 
-def _mask(spark, sf_dir) -> DataFrame:
-    return materialise(A.pixels(spark, sf_dir).where("v > 2000 and y < 100").select("y", "x"), "mask")
 
+def _mask(spark, sf_dir) -> tuple[DataFrame, int]:
+    px = A.pixels(spark, sf_dir)
+    return materialise(px.where("v > 2000").select("y", "x"), "mask"), height(px)
 
-@query(f"{MASK}, out AS (SELECT ny::INTEGER AS y, nx::INTEGER AS x FROM range(0, 150) a(ny), range(0, 18) b(nx), mk WHERE mk.y = least(floor((ny + 0.5) * 100 / 150), 99) AND mk.x = least(floor((nx + 0.5) * 12 / 18), 11))", "", "y x")
+
+@query(f"{MASK}, out AS (SELECT ny::INTEGER AS y, nx::INTEGER AS x FROM (SELECT unnest(range(0, ({_TOP} + 1) * 3 // 2)) AS ny), range(0, 18) b(nx), mk WHERE mk.y = least(floor((ny + 0.5) * ({_TOP} + 1) / (({_TOP} + 1) * 3 // 2)), {_TOP}) AND mk.x = least(floor((nx + 0.5) * 12 / 18), 11))", "", "y x")
 def mask_resize(spark, sf_dir):
-    return raster.resize_mask(_mask(spark, sf_dir), (100, 12), (150, 18))
+    mask, h = _mask(spark, sf_dir)
+    return raster.resize_mask(mask, (h, 12), (h * 3 // 2, 18))
 
 
 _OFF1 = "off AS (SELECT dx, dy FROM range(-1, 2) a(dx), range(-1, 2) b(dy) WHERE dx * dx + dy * dy <= 1)"
-_DIL = "di AS (SELECT DISTINCT (y + dy)::INTEGER AS y, (x + dx)::INTEGER AS x FROM mk, off WHERE x + dx BETWEEN 0 AND 11 AND y + dy BETWEEN 0 AND 99)"
+_DIL = "di AS (SELECT DISTINCT (y + dy)::INTEGER AS y, (x + dx)::INTEGER AS x FROM mk, off WHERE x + dx BETWEEN 0 AND 11 AND y + dy BETWEEN 0 AND (SELECT max(y) FROM pixels))"
 
 
-@query(f"{MASK}, {_OFF1}, {_DIL}, er AS (SELECT y, x FROM di d WHERE NOT EXISTS (SELECT 1 FROM off WHERE d.x + dx BETWEEN 0 AND 11 AND d.y + dy BETWEEN 0 AND 99 AND (d.y + dy, d.x + dx) NOT IN (SELECT (y, x) FROM di))), out AS (SELECT * FROM er)", "", "y x")
+@query(f"{MASK}, {_OFF1}, {_DIL}, er AS (SELECT y, x FROM di d WHERE NOT EXISTS (SELECT 1 FROM off WHERE d.x + dx BETWEEN 0 AND 11 AND d.y + dy BETWEEN 0 AND {_TOP} AND (d.y + dy, d.x + dx) NOT IN (SELECT (y, x) FROM di))), out AS (SELECT * FROM er)", "", "y x")
 def mask_close(spark, sf_dir):
-    return raster.close(_mask(spark, sf_dir), 1, 12, 100)
+    mask, h = _mask(spark, sf_dir)
+    return raster.close(mask, 1, 12, h)
 
 
 @query(f"{MASK}, ob AS (SELECT (y * 12 + x)::BIGINT AS spot_id, y, x FROM mk), e AS MATERIALIZED (SELECT a.spot_id AS src, b.spot_id AS dst FROM ob a JOIN ob b ON abs(a.y - b.y) + abs(a.x - b.x) = 1), nodes AS (SELECT spot_id FROM ob), {_CC}, out AS (SELECT y, x, min(other) AS object FROM reach JOIN ob ON id = spot_id GROUP BY ALL)", "", "y x object")
 def mask_objects(spark, sf_dir):
-    return raster.objects(_mask(spark, sf_dir), 12)
+    return raster.objects(_mask(spark, sf_dir)[0], 12)
 
 
 @query()
 def tissue_mask(spark, sf_dir):
     """Colour rule, closing, cleaning and the largest object on a raster of made-up colours."""
     v = (F.col("v") + 1000) / 11000
-    rgb = A.pixels(spark, sf_dir).where("y < 100").select("y", "x", v.alias("r"), (v * 0.8).alias("g"), F.sqrt(F.abs(v)).alias("b"))
-    return raster.tissue_mask(materialise(rgb, "rgb"), 12, 100, least=4)
+    rgb = A.pixels(spark, sf_dir).select("y", "x", v.alias("r"), (v * 0.8).alias("g"), F.sqrt(F.abs(v)).alias("b"))
+    rgb = materialise(rgb, "rgb")
+    return raster.tissue_mask(rgb, 12, height(rgb), least=4)
 
 
 def _frame(spark, sf_dir) -> tuple[DataFrame, DataFrame, float, float]:
     """Edges of spots in pixel coordinates with their pools, pixels with energies, spacing and tile."""
-    p = points(spark, sf_dir).select("id", (F.col("x") * dbl(0.275)).alias("x"), (F.col("y") * dbl(3.0)).alias("y")).where("y < 60")
+    p = points(spark, sf_dir).select("id", (F.col("x") * dbl(0.275)).alias("x"), (F.col("y") * dbl(3.0)).alias("y"))
     p = materialise(p, "pixel-points")
     h = spatial.spacing(p)
     e = materialise(kernels.framed(spatial.bounded_graph(p, h, 2.2, 4, 6), p, h, "fixed", r_rel=3.0, sigma_rel=1.5), "framed")
@@ -710,10 +726,10 @@ def _frame(spark, sf_dir) -> tuple[DataFrame, DataFrame, float, float]:
     return e, materialise(px, "energies"), h, 3.0 * h
 
 
-FRAME = f"""{S}, {A.PIXELS_SQL}, fp AS MATERIALIZED (SELECT spot_id, x * 0.275::DOUBLE AS x, y * 3.0::DOUBLE AS y FROM spots WHERE y * 3.0 < 60), fpr AS (SELECT a.spot_id AS src, b.spot_id AS dst, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2, {D} AS d FROM fp a JOIN fp b ON a.spot_id <> b.spot_id),
+FRAME = f"""{S}, {A.PIXELS_SQL}, fp AS MATERIALIZED (SELECT spot_id, x * 0.275::DOUBLE AS x, y * 3.0::DOUBLE AS y FROM spots), fpr AS (SELECT a.spot_id AS src, b.spot_id AS dst, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2, {D} AS d FROM fp a JOIN fp b ON a.spot_id <> b.spot_id),
     fn AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d, dst) AS rk FROM fpr QUALIFY rk <= 6), h AS (SELECT quantile_cont(d, 0.5) AS h FROM fn WHERE rk = 1),
     fe AS MATERIALIZED (SELECT src, dst, d, x1, y1, x2, y2, (x2 - x1) / d AS ux, (y2 - y1) / d AS uy, 3.0 * h AS r, 1.5 * h AS sg FROM fn, h WHERE d <= 2.2 * h OR rk <= 4),
-    en AS MATERIALIZED (SELECT y, x, abs(v) AS eh, abs(v - 3000) AS ev, abs(v * 0.5) AS ed FROM pixels WHERE y < 100)"""
+    en AS MATERIALIZED (SELECT y, x, abs(v) AS eh, abs(v - 3000) AS ev, abs(v * 0.5) AS ed FROM pixels)"""
 HALFDISK = f"""{FRAME}, hm AS (SELECT src, dst, (x - x1) * ux + (y - y1) * uy >= 0 AS f, exp(-((x - x1) * (x - x1) + (y - y1) * (y - y1)) / (2 * sg * sg)) AS w, eh, ev, ed FROM fe JOIN en ON (x - x1) * (x - x1) + (y - y1) * (y - y1) <= r * r),
     hs AS (SELECT *, max(f::INTEGER) OVER (PARTITION BY src, dst) AS anyf FROM hm),
     hd AS MATERIALIZED (SELECT src, dst, count(*)::BIGINT AS n, sum(w * eh) / (sum(w) + 1e-12) AS eh, sum(w * ev) / (sum(w) + 1e-12) AS ev, sum(w * ed) / (sum(w) + 1e-12) AS ed FROM hs WHERE f OR anyf = 0 GROUP BY ALL)"""
@@ -803,37 +819,47 @@ def _level_sql(src: str, h: str, w: str, m: int) -> str:
         SELECT m AS bj, y, (((x - k) % {w} + {w}) % {w} / {m})::INTEGER AS xx, sum(v * coef) AS v FROM {src} JOIN bk ON (x - k) % {m} = 0 GROUP BY ALL) JOIN bk ON (y - k) % {m} = 0) GROUP BY ALL)"""
 
 
-_PXC = f"{A.PIXELS_SQL}, px AS (SELECT y, x, v FROM pixels WHERE y < 120)"
+_PXC = f"{A.PIXELS_SQL}, px AS (SELECT y, x, v FROM pixels)"
+_H = "(SELECT max(y) + 1 FROM pixels)"
 
 
-def _image(spark, sf_dir) -> DataFrame:
-    return materialise(A.pixels(spark, sf_dir).where("y < 120"), "image")
+def _image(spark, sf_dir) -> tuple[DataFrame, int]:
+    """The raster and its height, a multiple of 12; its width is 12."""
+    px = materialise(A.pixels(spark, sf_dir), "image")
+    return px, height(px)
 
 
-@query(f"{_PXC}, {_bank_sql('wv32')}, out AS {_level_sql('px', '120', '12', 3)}", "v", "bi bj y x")
+@query(f"{_PXC}, {_bank_sql('wv32')}, out AS {_level_sql('px', _H, '12', 3)}", "v", "bi bj y x")
 def dwt_level(spark, sf_dir):
-    return wavelets.level(_image(spark, sf_dir), "wv32", 120, 12)
+    px, h = _image(spark, sf_dir)
+    return wavelets.level(px, "wv32", h, 12)
 
 
 @query(
-    f"""{_PXC}, {_bank_sql("wv22")}, l1 AS MATERIALIZED {_level_sql("px", "120", "12", 2)}, ll AS (SELECT y, x, v FROM l1 WHERE bi = 0 AND bj = 0), l2 AS {_level_sql("ll", "60", "6", 2)},
+    f"""{_PXC}, {_bank_sql("wv22")}, l1 AS MATERIALIZED {_level_sql("px", _H, "12", 2)}, ll AS (SELECT y, x, v FROM l1 WHERE bi = 0 AND bj = 0), l2 AS {_level_sql("ll", f"({_H} // 2)", "6", 2)},
     out AS (SELECT bi, bj, y, x, v, 1 AS level FROM l1 UNION ALL SELECT bi, bj, y, x, v, 2 FROM l2)""",
     "v",
     "bi bj y x level",
 )
 def dwt_multi(spark, sf_dir):
-    return wavelets.multi_level(_image(spark, sf_dir), "wv22", 120, 12, 2)
+    px, h = _image(spark, sf_dir)
+    return wavelets.multi_level(px, "wv22", h, 12, 2)
 
 
 @query(f"{_PXC}, out AS (SELECT * FROM px)", "v", "y x")
 def idwt_roundtrip(spark, sf_dir):
     """Two levels there and back: the image itself."""
-    return wavelets.multi_inverse(materialise(wavelets.multi_level(_image(spark, sf_dir), "wv23", 120, 12, 2), "bands"), "wv23", 120, 12, 2).select("y", "x", "v")
+    px, h = _image(spark, sf_dir)
+    return wavelets.multi_inverse(materialise(wavelets.multi_level(px, "wv22", h, 12, 2), "bands"), "wv22", h, 12, 2).select("y", "x", "v")
+
+
+_PAD = f"pd AS (SELECT h, ((-h % 16) + 16) % 16 AS p, ((-h % 16) + 16) % 16 // 2 AS t FROM (SELECT {_H} AS h))"
 
 
-@query(f"{_PXC}, out AS (SELECT ny::INTEGER AS y, nx::INTEGER AS x, v FROM range(0, 128) a(ny), range(0, 16) b(nx), px WHERE px.y = CASE WHEN ny < 4 THEN 4 - ny WHEN ny < 124 THEN ny - 4 ELSE 118 - (ny - 124) END AND px.x = CASE WHEN nx < 2 THEN 2 - nx WHEN nx < 14 THEN nx - 2 ELSE 10 - (nx - 14) END)", "v", "y x")
+@query(f"{_PXC}, {_PAD}, ny AS (SELECT unnest(range(0, h + p)) AS ny FROM pd), out AS (SELECT ny::INTEGER AS y, nx::INTEGER AS x, v FROM ny, pd, range(0, 16) b(nx), px WHERE px.y = CASE WHEN ny < t THEN t - ny WHEN ny < t + h THEN ny - t ELSE 2 * h - 2 - (ny - t) END AND px.x = CASE WHEN nx < 2 THEN 2 - nx WHEN nx < 14 THEN nx - 2 ELSE 10 - (nx - 14) END)", "v", "y x")
 def reflect_pad(spark, sf_dir):
-    return wavelets.reflect_pad(_image(spark, sf_dir), 120, 12, wavelets.padding(120, 12, 2, 4)).select("y", "x", "v")
+    px, h = _image(spark, sf_dir)
+    return wavelets.reflect_pad(px, h, 12, wavelets.padding(h, 12, 2, 4)).select("y", "x", "v")
 
 
 @query()
@@ -843,9 +869,10 @@ def band_orientation(spark, sf_dir):
     return spark.createDataFrame(rows, "bank string, bi int, bj int, theta double, kappa double")
 
 
-@query(f"{_PXC}, {_bank_sql('wv22')}, l1 AS {_level_sql('px', '120', '12', 2)}, n AS (SELECT 'L1_B' || bi || bj AS name, y, x, v FROM l1 WHERE bi > 0 OR bj > 0), s AS (SELECT name, avg(v) AS m, stddev_pop(v) AS s FROM n GROUP BY 1), out AS (SELECT name, y, x, (v - m) / (s + 1e-8::DOUBLE) AS v FROM n JOIN s USING (name))", "v", "name y x")
+@query(f"{_PXC}, {_bank_sql('wv22')}, l1 AS {_level_sql('px', _H, '12', 2)}, n AS (SELECT 'L1_B' || bi || bj AS name, y, x, v FROM l1 WHERE bi > 0 OR bj > 0), s AS (SELECT name, avg(v) AS m, stddev_pop(v) AS s FROM n GROUP BY 1), out AS (SELECT name, y, x, (v - m) / (s + 1e-8::DOUBLE) AS v FROM n JOIN s USING (name))", "v", "name y x")
 def feature_tensor(spark, sf_dir):
-    return wavelets.feature_tensor(wavelets.multi_level(_image(spark, sf_dir), "wv22", 120, 12, 1))
+    px, h = _image(spark, sf_dir)
+    return wavelets.feature_tensor(wavelets.multi_level(px, "wv22", h, 12, 1))
 
 
 # --- model input
@@ -864,12 +891,12 @@ def topk_mask(spark, sf_dir):
     return models.topk_mask(w, 5)
 
 
-@query(f"{READY}, lg AS (SELECT pair_id, exp(pair_id * 0.1::DOUBLE) AS e FROM range(0, 20) t(pair_id)), zt AS (SELECT sum(e) AS z FROM lg), sw AS (SELECT src, dst, sum(e / z * s) AS s FROM sc JOIN lg USING (pair_id), zt GROUP BY ALL), ft AS (SELECT spot_id, 0 AS pos, x AS v FROM spots UNION ALL SELECT spot_id, 1, y FROM spots), out AS (SELECT src AS spot_id, pos, sum(s * v) AS z FROM sw JOIN ft ON ft.spot_id = dst GROUP BY ALL)", "z", "spot_id pos")
+@query(f"{READY}, lg AS (SELECT pair_id, exp(pair_id * 0.1::DOUBLE) AS e FROM range(0, 64) t(pair_id)), zt AS (SELECT sum(e) AS z FROM lg), sw AS (SELECT src, dst, sum(e / z * s) AS s FROM sc JOIN lg USING (pair_id), zt GROUP BY ALL), ft AS (SELECT spot_id, 0 AS pos, x AS v FROM spots UNION ALL SELECT spot_id, 1, y FROM spots), out AS (SELECT src AS spot_id, pos, sum(s * v) AS z FROM sw JOIN ft ON ft.spot_id = dst GROUP BY ALL)", "z", "spot_id pos")
 def message_passing(spark, sf_dir):
     p, e, ex, pairs = ready(spark, sf_dir)
     f = p.select(F.col("id").alias("spot_id"), F.posexplode(F.array("x", "y")).alias("pos", "v"))
     scores = scoring.raw_scores(e, ex, pairs, HALF).withColumnRenamed("s", "w")
-    return models.message_passing(scores, f, {k: k * 0.1 for k in range(20)})
+    return models.message_passing(scores, f, {k: k * 0.1 for k in range(64)})
 
 
 DEC = f"{S}, lo AS (SELECT spot_id AS id, 0 AS pos, x AS v FROM spots UNION ALL SELECT spot_id, 1, y FROM spots), ce AS (SELECT * FROM (VALUES (0, 0, 5.0::DOUBLE), (0, 1, 5.0), (1, 0, 30.0), (1, 1, 10.0), (2, 0, 20.0), (2, 1, 30.0)) t(cluster, pos, c)), tq AS (SELECT id, cluster, 1 / (1 + sum((v - c) * (v - c))) AS t FROM lo JOIN ce USING (pos) GROUP BY ALL), sq AS MATERIALIZED (SELECT id, cluster, t / sum(t) OVER (PARTITION BY id) AS q FROM tq), fm AS (SELECT cluster, sum(q) AS f FROM sq GROUP BY 1), w AS (SELECT id, cluster, q, q * q / f AS w FROM sq JOIN fm USING (cluster)), out AS (SELECT id, cluster, q, w / sum(w) OVER (PARTITION BY id) AS p FROM w)"
@@ -907,11 +934,13 @@ def degree_rank(spark, sf_dir):
     return graphs.degree_rank(bounded(spark, sf_dir)[1])
 
 
-@query("m AS (SELECT c_custkey % 30 AS i, c_custkey // 30 % 30 AS j, c_acctbal::DOUBLE AS w FROM customer WHERE c_custkey < 900), b AS (SELECT i, j, sum(w) / 2 AS w FROM (SELECT * FROM m UNION ALL SELECT j, i, w FROM m) GROUP BY ALL), n AS (SELECT i, j, (w - min(w) OVER ()) / greatest(max(w) OVER () - min(w) OVER (), 1e-12) AS w FROM b), out AS (SELECT i AS src, j AS dst, 1 - w AS m FROM n WHERE i <> j)", "m", "src dst")
+@query("m AS (SELECT c_custkey % 30 AS i, c_custkey // 30 % 30 AS j, c_acctbal::DOUBLE AS w FROM customer), b AS (SELECT i, j, sum(w) / 2 AS w FROM (SELECT * FROM m UNION ALL SELECT j, i, w FROM m) GROUP BY ALL), n AS (SELECT i, j, (w - min(w) OVER ()) / greatest(max(w) OVER () - min(w) OVER (), 1e-12) AS w FROM b), out AS (SELECT i AS src, j AS dst, 1 - w AS m FROM n WHERE i <> j)", "m", "src dst")
 def matrix_similarity(spark, sf_dir):
     k = F.col("c_custkey")
-    m = A.table(spark, sf_dir, "customer").where("c_custkey < 900").select((k % 30).alias("i"), (F.floor(k / 30) % 30).alias("j"), F.col("c_acctbal").cast("double").alias("w"))
-    return scoring.matrix_similarity(m.where("i <> j").select(F.col("i").alias("src"), F.col("j").alias("dst")), materialise(m, "matrix"), "distance")
+    m = A.table(spark, sf_dir, "customer").select((k % 30).alias("i"), (F.floor(k / 30) % 30).alias("j"), F.col("c_acctbal").cast("double").alias("w"))
+    e = m.where("i <> j").select(F.col("i").alias("src"), F.col("j").alias("dst"))
+    e = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    return scoring.matrix_similarity(e, materialise(m, "matrix"), "distance")
 
 
 @query(f"{KERNEL}, ra AS (SELECT src, d, k, rank() OVER (PARTITION BY src ORDER BY d) + (count(*) OVER (PARTITION BY src, d) - 1) / 2.0::DOUBLE AS a, rank() OVER (PARTITION BY src ORDER BY k) + (count(*) OVER (PARTITION BY src, k) - 1) / 2.0::DOUBLE AS b FROM ke), out AS (SELECT src, corr(a, b) AS rho FROM ra GROUP BY 1)", "rho", "src")
