@@ -186,9 +186,10 @@ def _flagged(size: int, sketch):
         group = np.cumsum(new) - 1
         n = np.bincount(group)[group]
         lead = new | (n > 1)  # single places, and all places of the windows that are settled
-        n = np.where(new, n, -1)  # minus: settled, not to be counted again, and dealt out at random
-        order, n = order[lead], n[lead]
-        h = h.copy()
+        at = np.flatnonzero(np.bincount(order[lead], minlength=len(h)))  # in the order of the documents, which compresses well
+        places = np.empty(len(h), np.int64)
+        places[order] = np.where(new, n, -1)  # minus: settled, not to be counted again, and dealt out at random
+        order, n, h = at, places[at], h.copy()
         with np.errstate(over="ignore"):
             spread = order[n < 0]
             h[spread] = mix(h[spread] + spread.astype(np.uint64))
