@@ -88,11 +88,15 @@ def info_nce(z: DataFrame, positives: DataFrame, tau: float = 0.12) -> DataFrame
     return each.agg(F.avg(-F.log(F.col("up") / F.col("all"))).alias("loss"))
 
 
+def _times(w: float) -> Callable:
+    return lambda v: v * dbl(w)
+
+
 def joint_features(views: list[tuple[DataFrame, float]]) -> DataFrame:
     """(id, f): views (id, f array) side by side, each times its weight."""
     out = None
     for i, (df, w) in enumerate(views):
-        own = df.select("id", F.transform("f", lambda v, w=w: v * dbl(w)).alias(f"f{i}"))
+        own = df.select("id", F.transform("f", _times(w)).alias(f"f{i}"))
         out = own if out is None else out.join(own, "id")
     return out.select("id", F.concat(*(f"f{i}" for i in range(len(views)))).alias("f"))
 

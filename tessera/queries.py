@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tessera import adapters as A
 from tessera.functions import columns as C
 from tessera.functions.columns import dbl
-from tessera.operators import graphs, interactions, kernels, models, normalise, raster, scoring, spatial, stats, wavelets, zones
+from tessera.operators import clustering, graphs, interactions, kernels, models, normalise, raster, scoring, spatial, stats, wavelets, zones
 from tessera.plans.workspace import materialise
 
 _QUERIES: dict[str, Callable] = {}
@@ -591,11 +591,18 @@ def micro_denoise(spark, sf_dir):
 
 @query()
 def micro_niches(spark, sf_dir):
-    """Communities within macro zones, small ones merged into the nearest centroid, ids in order."""
-    p = points(spark, sf_dir)
-    e = spatial.nearest(p, p, 8, ["macro"]).select("macro", F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct()
-    own = graphs.communities(e, "macro").withColumnRenamed("community", "local").join(p.select("id", F.array("x", "y").alias("f")), "id")
-    return zones.niche_ids(materialise(own, "communities"))
+    """Communities of the histology embedding within macro zones, small ones merged into the nearest centroid, ids in order."""
+    macro = A.spots(spark, sf_dir).select(F.col("spot_id").alias("id"), "macro")
+    return clustering.micro_niches(A.hist(spark, sf_dir).withColumnRenamed("spot_id", "id"), macro)
+
+
+@query()
+def cluster_grid(spark, sf_dir):
+    """Settings of the joint clustering against the tumour squares, before and after smoothing."""
+    spots = points(spark, sf_dir)
+    genes = A.spots(spark, sf_dir).select("spot_id", F.explode(F.array(F.lit("x"), F.lit("y"))).alias("g"), F.when(F.col("g") == "x", F.col("x")).otherwise(F.col("y")).alias("v")).groupBy(F.col("spot_id").alias("id")).agg(F.array(F.max(F.when(F.col("g") == "x", F.col("v"))), F.max(F.when(F.col("g") == "y", F.col("v")))).alias("f"))
+    hist = A.hist(spark, sf_dir).withColumnRenamed("spot_id", "id")
+    return clustering.grid(hist, genes, spots.select("id", "x", "y"), spots.select("id", F.col("label12").alias("truth")), weights=(0.5, 1.0), ks=(10,), resolutions=(0.5, 1.0))
 
 
 # --- statistics

@@ -398,3 +398,21 @@ def test_sources_and_sinks(spark, tmp_path):
     micro = tables.micro(spark.createDataFrame([("s", "m", 3)], "spot string, macro string, micro_id int")).first()
     assert micro.micro_name == "3"
     assert tables.labels(spark.createDataFrame([("q", 4)], "name string, Class int")).first().label == 4
+
+
+def test_clusters_of_separate_features(spark):
+    from tessera.operators import clustering
+
+    rng = np.random.default_rng(0)
+    rows = [(i, [float(v) for v in (10 * (i % 3) + rng.normal(), rng.normal() + 5 * (i % 3 == 1), 1.0)]) for i in range(90)]
+    f = spark.createDataFrame(rows, "id bigint, f array<double>")
+    truth = f.select("id", (F.col("id") % 3).alias("truth"))
+    spots = f.select("id", F.col("id").cast("double").alias("x"), F.lit(0.0).alias("y"))
+    got = clustering.grid(f, f, spots, truth, weights=(1.0,), ks=(8,), resolutions=(0.3,)).first()
+    assert got.ari_pre > 0.6 and got.classes >= 3
+    assert tuning.best_configurations(spark.createDataFrame([(1, 0.2), (2, 0.9)], "k int, ari_post double"), n=1).first().k == 2
+    macro = f.select("id", F.when(F.col("id") < 80, "a").otherwise("b").alias("macro"))
+    niches = clustering.micro_niches(f, macro, k=8)
+    assert niches.count() == 90 and niches.where("micro_name like 'b:%'").select("micro_id").distinct().count() == 1
+    assert clustering.scaled(f).first().f is not None and len(clustering.scaled(f).first().f) == 2
+    assert abs(clustering.share_of(truth, "truth").agg(F.sum("share")).first()[0] - 1) < 1e-12
