@@ -9,7 +9,7 @@ linear in the shares, so a text is scored by one table look-up per n-gram, in
 flat arrays, and no text is ever cut short.
 
 Machines are fitted on the driver from at most about ``per_language`` labelled
-rows of each language, drawn by a hash of doc_id: that bound, documented here,
+rows of each language (``most`` in all), drawn by a hash of doc_id: that bound, documented here,
 is the only sampling, and counts and predictions cover all rows.
 
 A null text, or one without a letter, is ``und`` with score 0; so is every row
@@ -137,7 +137,7 @@ def _machine(x: np.ndarray, y: np.ndarray, rounds: int = 200, ridge: float = 1e-
     weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)).astype(np.float32)
     w, b = np.zeros(x.shape[1], np.float32), 0.0
     pw, pb = w.copy(), b
-    step = 1.0 / (2 * float(weight @ (x * x).sum(1)) + 2 * ridge + 2)
+    step = 1.0 / (2 * float(weight @ np.einsum("ij,ij->i", x, x)) + 2 * ridge + 2)
     for t in range(rounds):
         vw, vb = w + (t / (t + 3)) * (w - pw), b + (t / (t + 3)) * (b - pb)
         slack = np.maximum(0, 1 - y * (x @ vw + vb)).astype(np.float32)
@@ -168,13 +168,17 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.rows.column(0), part.rows.column(2), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], ["doc_id", "lang", "features", "counts"])
 
 
-def fit(docs: DataFrame, per_language: int = 1000) -> Model | None:
-    """The model from rows with doc_id, text and lang; None if no row has both text and label."""
+def fit(docs: DataFrame, per_language: int = 1000, most: int = 16_000) -> Model | None:
+    """The model from rows with doc_id, text and lang; None if no row has both text and label.
+
+    About ``per_language`` rows of each language teach, and about ``most`` in all, which bounds the driver's memory.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
     usable = docs.where("lang is not null and length(text) > 0").select("doc_id", "text", "lang")
     sizes = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return None
+    per_language = min(per_language, max(1, most // len(sizes)))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 20))
     few = F.create_map(*(F.lit(x) for k, n in sorted(sizes.items()) for x in (k, max(1, int(per_language / max(n, per_language) * (1 << 20))))))
     rows = usable.where(draw < few[F.col("lang")]).mapInArrow(_features, f"doc_id {kind}, lang string, features binary, counts binary").toArrow().sort_by([("doc_id", "ascending"), ("features", "ascending")])

@@ -21,7 +21,8 @@ connects what is linked, never the pairs themselves.
 
 Vectors that are null, zero, or hold null or non-finite components link with
 nothing.  Vectors of different lengths are never linked.  Rows that repeat a
-vec_id are vectors of their own.  An empty table gives an empty result.
+vec_id and its vector are vectors of their own; rows that repeat a vec_id with
+another vector share its links.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -103,7 +104,7 @@ class Quantiser:
         return total
 
 
-def _usable(width_of):
+def _usable():
     """(vec_id, key, width, unit): unit vectors as bytes; null where a vector links with nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,10 +231,9 @@ def forest(pairs: np.ndarray) -> list[tuple[int, int]]:
 def near_vectors(vectors: DataFrame, cosine: float = 0.9, probes: int = 16, lists: int | None = None) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of ``vectors`` (vec_id, embedding; nothing else is read)."""
     spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding").mapInArrow(_usable(None), "vec_id bigint, unit binary, width int")
+    rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding").mapInArrow(_usable(), "vec_id bigint, unit binary, width int")
     rows = materialise(rows, "units")
     classes = materialise(rows.where("width > 0").groupBy("width", "unit").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "vector-classes")
-    # a class by its smallest id; where rows repeat an id, classes that share it are told apart by adding to the links only
     edges, counts = [], []
     for width, size in sorted((r.width, r.n) for r in classes.groupBy("width").agg(F.count("*").alias("n")).collect()):
         own = classes.where(F.col("width") == width)
