@@ -31,13 +31,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runs import Runs
 from .text import SLICE_BYTES, Slice, slices, word_hashes
 
 #: White space in Unicode; U+001C to U+001F are none.
 _WHITE = regex.compile("[\\x09-\\x0d\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 _SIGMA = "Σ"
-#: Distinct runs that a worker remembers.
-REMEMBERED = 1 << 19
 
 
 def byte_symbols() -> list[str]:
@@ -78,7 +77,7 @@ class Encoder:
         self.keys, self.rank, self.made = keys[order], rank[order], made[rank]
         words = {i: w for w, i in vocab.items()} | {i: w for w, i in self.special.items()}
         self.words = [words.get(i, "").encode() for i in range(max(words) + 1)]
-        self._memory_keys, self._memory_lens, self._memory_ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.met = Runs()
 
     def merge(self, ids: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Merge the symbols ``ids`` of the pieces numbered ``piece`` (rising) until no pair is known."""
@@ -142,35 +141,6 @@ class Encoder:
         cut = np.concatenate([[0], np.cumsum(counts)])
         return out.astype(np.uint32), total[cut]
 
-    def known(self, keys: np.ndarray, runs_of) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of the runs with these sorted distinct hashes: flat ids, starts, lengths.  runs_of(i): their texts."""
-        at = np.searchsorted(self._memory_keys, keys)
-        at = np.minimum(at, max(len(self._memory_keys) - 1, 0))
-        hit = self._memory_keys[at] == keys if len(self._memory_keys) else np.zeros(len(keys), bool)
-        miss = np.flatnonzero(~hit)
-        ids, first = self.runs(runs_of(miss)) if len(miss) else (np.zeros(0, np.uint32), np.zeros(1, np.int64))
-        mem_first = np.concatenate([[0], np.cumsum(self._memory_lens)])
-        flat = np.concatenate([self._memory_ids, ids])
-        starts, lens = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-        starts[hit], lens[hit] = mem_first[at[hit]], self._memory_lens[at[hit]]
-        starts[miss], lens[miss] = len(self._memory_ids) + first[:-1], np.diff(first)
-        if len(miss):
-            old = self._memory_keys if len(self._memory_keys) + len(miss) <= REMEMBERED else keys[hit]
-            if len(old) != len(self._memory_keys):  # too many: only those of this slice go on
-                self._remember(keys, starts, lens, flat)
-            else:
-                both = np.concatenate([old, keys[miss]])
-                s = np.concatenate([mem_first[:-1], starts[miss]])
-                n = np.concatenate([self._memory_lens, lens[miss]])
-                order = np.argsort(both)
-                self._remember(both[order], s[order], n[order], flat)
-        return flat, starts, lens
-
-    def _remember(self, keys, starts, lens, flat) -> None:
-        short = lens <= 64
-        self._memory_keys, self._memory_lens = keys[short], lens[short]
-        self._memory_ids = gather(flat, starts[short], lens[short])[0]
-
     def encode(self, part: Slice) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts of a slice, and each text's first one."""
         data, n = part.data, len(part.data)
@@ -180,10 +150,11 @@ class Encoder:
         keys, where, back = np.unique(word_hashes(data, starts, stops), return_index=True, return_inverse=True)
         raw = data.tobytes()
 
-        def runs_of(which: np.ndarray) -> list[str]:
-            return [raw[a:b].decode() for a, b in zip(starts[where[which]].tolist(), stops[where[which]].tolist(), strict=True)]
+        def new(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            found, cut = self.runs([raw[a:b].decode() for a, b in zip(starts[where[which]].tolist(), stops[where[which]].tolist(), strict=True)])
+            return found, np.diff(cut)
 
-        flat, begin, lens = self.known(keys, runs_of)
+        flat, begin, lens = self.met.ids(keys, new)
         ids, sizes = gather(flat, begin[back], lens[back])
         total = np.concatenate([[0], np.cumsum(sizes)])[first]
         if any(s.encode() in raw for s in self.special):

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from tessera.plans.workspace import materialise
 
 from .bpe import gather, white_bounds
+from .runs import Runs
 from .text import Slice, slices, word_hashes
 
 #: Options of Spark's ORC writer.
@@ -42,8 +43,6 @@ ORC = {
     "orc.bloom.filter.fpp": "0.01",
 }
 BETWEEN = "<|startoftext|>"
-REMEMBERED = 1 << 20
-SLICE = 4 << 20
 
 
 class LibraryEncoder:
@@ -57,7 +56,7 @@ class LibraryEncoder:
         self.tool.no_padding()
         self.between = self.tool.token_to_id(BETWEEN)
         self.special = [t.content.encode() for t in self.tool.get_added_tokens_decoder().values()]
-        self.keys, self.lens, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.met = Runs()
 
     def _runs(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
         flat, lens = [], []
@@ -82,31 +81,14 @@ class LibraryEncoder:
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(part.n + 1, np.int64)
         keys, where, back = np.unique(word_hashes(part.data, starts, stops), return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-        hit = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
-        miss = np.flatnonzero(~hit)
-        begin, lens = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-        old = np.concatenate([[0], np.cumsum(self.lens)])
-        begin[hit], lens[hit] = old[at[hit]], self.lens[at[hit]]
-        flat = self.ids
-        if len(miss):
-            ids, n = self._runs([raw[a:b].decode() for a, b in zip(starts[where[miss]].tolist(), stops[where[miss]].tolist(), strict=True)])
-            begin[miss], lens[miss] = len(flat) + np.cumsum(n) - n, n
-            flat = np.concatenate([flat, ids])
-            self._remember(keys, begin, lens, flat, miss, old)
+
+        def new(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            return self._runs([raw[a:b].decode() for a, b in zip(starts[where[which]].tolist(), stops[where[which]].tolist(), strict=True)])
+
+        flat, begin, lens = self.met.ids(keys, new)
         ids, sizes = gather(flat, begin[back], lens[back])
         return ids, np.concatenate([[0], np.cumsum(sizes)])[first]
 
-    def _remember(self, keys, begin, lens, flat, miss, old) -> None:
-        if len(self.keys) + len(miss) > REMEMBERED:  # start again from this slice
-            k, s, n = keys, begin, lens
-        else:
-            k, s, n = np.concatenate([self.keys, keys[miss]]), np.concatenate([old[:-1], begin[miss]]), np.concatenate([self.lens, lens[miss]])
-        order = np.argsort(k)
-        order = order[n[order] <= 64]
-        self.keys, self.lens = k[order], n[order]
-        self.ids = gather(flat, s[order], n[order])[0]
-
 
 _tools: dict[int, LibraryEncoder] = {}
 
@@ -130,7 +112,7 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 1, file
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = _tool(spec.value)
         for batch in batches:
-            for part in slices(batch, size=SLICE):
+            for part in slices(batch):
                 ids, first = tool.encode(part)
                 lens = np.diff(first)
                 out = np.full(len(ids) + part.n, end_id, np.int32)

@@ -16,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, langid, maxent_lm, mixing, orc_tokens, token_counts
+from tessera.llm import bpe, langid, maxent_lm, mixing, orc_tokens, runs, token_counts
 from tessera.llm import text as T
 from tessera.llm.queries import TOKENIZER_FILE
 
@@ -151,9 +151,9 @@ def test_memory_of_runs_may_be_small(library, monkeypatch):
     spec = open(TOKENIZER_FILE, encoding="utf-8").read()
     texts = [" ".join(f"word{i * k % 97}" for k in range(50)) for i in range(40)]
     want = [library.encode(t, add_special_tokens=False).ids for t in texts]
-    for module, make in ((bpe, lambda: bpe.Encoder(spec)), (orc_tokens, lambda: orc_tokens.LibraryEncoder(spec))):
-        monkeypatch.setattr(module, "REMEMBERED", 20)
-        own = make()
+    monkeypatch.setattr(runs, "REMEMBERED", 90)
+    monkeypatch.setattr(runs, "SMALL", 9)
+    for own in (bpe.Encoder(spec), orc_tokens.LibraryEncoder(spec)):
         assert [x for t in texts for x in encoded(own.encode, [t])] == want
 
 
