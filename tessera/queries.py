@@ -58,7 +58,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 S = A.SPOTS_SQL
 D = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))"
-NN = f"{S}, pairs AS MATERIALIZED (SELECT a.spot_id AS src, b.spot_id AS dst, {D} AS d, a.label12 AS la, b.label12 AS lb, a.macro AS ma, b.macro AS mb FROM spots a JOIN spots b ON a.spot_id <> b.spot_id AND abs(a.x - b.x) <= 8 AND abs(a.y - b.y) <= 8), nn AS MATERIALIZED (SELECT src, dst, d, row_number() OVER (PARTITION BY src ORDER BY d, dst) AS rk FROM pairs QUALIFY rk <= 24), h AS (SELECT quantile_cont(d, 0.5) AS h FROM nn WHERE rk = 1)"
+NN = f"{S}, pairs AS MATERIALIZED (SELECT a.spot_id AS src, b.spot_id AS dst, {D} AS d, a.label12 AS la, b.label12 AS lb, a.macro AS ma, b.macro AS mb FROM spots a JOIN spots b ON a.spot_id <> b.spot_id), nn AS MATERIALIZED (SELECT src, dst, d, row_number() OVER (PARTITION BY src ORDER BY d, dst) AS rk FROM pairs QUALIFY rk <= 24), h AS (SELECT quantile_cont(d, 0.5) AS h FROM nn WHERE rk = 1)"
 EDGES = f"{NN}, g AS MATERIALIZED (SELECT src, dst, d FROM nn, h WHERE rk <= {DEG_MAX} AND (d <= {H_REL}::DOUBLE * h OR rk <= {DEG_MIN}))"
 KERNEL = f"{EDGES}, ke AS MATERIALIZED (SELECT src, dst, d, exp(-d * d / (2 * h * h)) AS k FROM g, h), kn AS MATERIALIZED (SELECT src, dst, d, k / greatest(avg(k) OVER (PARTITION BY src), 1e-12::DOUBLE) AS k FROM ke)"
 
