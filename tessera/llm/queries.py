@@ -5,8 +5,6 @@ Each query applies its operator to the whole table with production parameters.
 
 from __future__ import annotations
 
-import sys
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -163,9 +161,3 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
-
-
-def ship(spark: SparkSession, archive: str) -> None:
-    """Send a zip of the package to the executors, where it isn't installed already."""
-    spark.sparkContext.addPyFile(archive)
-    sys.path.insert(0, archive)
