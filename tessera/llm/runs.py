@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 import numpy as np
 
-#: Runs remembered, and their ids; beyond either the memory starts anew.  About 40 MB in all.
-REMEMBERED, IDS = 1 << 20, 1 << 22
+#: Runs remembered, and their ids; beyond either the memory starts anew.  About 70 MB in all.
+REMEMBERED, IDS = 1 << 21, 1 << 23
 #: Runs that wait in a small table before they join the large one.
 SMALL = 1 << 17
 
