@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import dbl
 from tessera.plans.components import components
+from tessera.plans.order_stats import quantile
 from tessera.plans.workspace import materialise
 
 from . import spatial
@@ -53,9 +54,11 @@ def undirected(edges: DataFrame, weight: str = "w") -> DataFrame:
 def prune_by_scores(edges: DataFrame, scores: DataFrame, q: float, eps: float = 1e-12) -> DataFrame:
     """Edges whose score w (0 if absent) reaches the quantile, or eps if the quantile is no more and any score exceeds it."""
     w = edges.join(scores.select("src", "dst", "w"), ["src", "dst"], "left").withColumn("w", F.coalesce("w", dbl(0)))
-    cut = F.broadcast(w.agg(F.expr(f"percentile(w, {q}D)").alias("_q"), F.max("w").alias("_top")))
-    tau = F.when((F.col("_q") <= eps) & (F.col("_top") > eps), dbl(eps)).otherwise(F.col("_q"))
-    return w.join(cut).where(F.col("w") >= tau).drop("_q", "_top")
+    w = materialise(w, "scored-edges")
+    cut, top = quantile(w, "w", q), w.agg(F.max("w")).first()[0]
+    if cut is None:
+        return w
+    return w.where(F.col("w") >= dbl(eps if cut <= eps < top else cut))
 
 
 def symmetric_knn(points: DataFrame, k: int) -> DataFrame:

@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import clip, dbl, gate, hill, in_contact, mode_of, radial, tf_gain
 
+from tessera.plans.order_stats import quantile
+from tessera.plans.workspace import materialise
+
 from . import spatial
 
 
@@ -94,18 +97,18 @@ def matrix_similarity(edges: DataFrame, matrix: DataFrame, kind: str | None = No
 
 
 def upper_quantile(rows: DataFrame, col: str, q: float) -> DataFrame:
-    """One row, q: the value at index ceil((n - 1) q) of the sorted column."""
-    ranked = rows.where(F.col(col).isNotNull()).select(F.col(col).alias("v"), F.row_number().over(Window.orderBy(col)).alias("rn"))
-    n = F.broadcast(rows.where(F.col(col).isNotNull()).agg(F.count("*").alias("n")))
-    return ranked.join(n).where(F.col("rn") == F.ceil((F.col("n") - 1) * dbl(q)) + 1).select(F.col("v").alias("q"))
+    """One row, q: the value at index ceil((n - 1) q) of the sorted column; no row if it is empty."""
+    v = quantile(rows, col, q, higher=True)
+    return rows.sparkSession.createDataFrame([] if v is None else [(v,)], "q double")
 
 
 def robust_z(rows: DataFrame, q: float = 0.6, cap: float = 3.0) -> DataFrame:
     """rows (src, dst, m) with z: centred at a quantile, scaled by the median deviation, clipped, and shrunk if the top crowds the cap."""
-    c, q10, q90 = rows.agg(F.expr(f"percentile(m, {q}D)"), F.expr("percentile(m, 0.1D)"), F.expr("percentile(m, 0.9D)")).first()
+    rows = materialise(rows, "similarity")
+    c, q10, q90 = (quantile(rows, "m", p) for p in (q, 0.1, 0.9))
     if c is None:
         return rows.withColumn("z", dbl(0))
-    spread = rows.agg(F.percentile(F.abs(F.col("m") - dbl(c)), dbl(0.5))).first()[0]
+    spread = quantile(rows.select(F.abs(F.col("m") - dbl(c)).alias("off")), "off", 0.5)
     scale = max(spread, 0.2 * ((q90 - q10) or 1e-12), 1e-12)
     out = rows.withColumn("z", clip((F.col("m") - dbl(c)) / dbl(scale), -cap, cap))
     top = upper_quantile(out.select(F.greatest("z", dbl(0)).alias("p")), "p", 0.9).first()[0]
@@ -239,8 +242,9 @@ def prune(totals: DataFrame, q: float) -> DataFrame:
     q = min(max(q, 0.0), 0.999)
     if not q:
         return totals
-    cut = F.broadcast(totals.agg(F.expr(f"percentile(total, {q}D)").alias("_cut")))
-    return totals.join(cut).withColumn("total", F.when(F.col("total") < F.col("_cut"), dbl(0)).otherwise(F.col("total"))).drop("_cut")
+    totals = materialise(totals, "totals")
+    cut = quantile(totals, "total", q)
+    return totals if cut is None else totals.withColumn("total", F.when(F.col("total") < dbl(cut), dbl(0)).otherwise(F.col("total")))
 
 
 def scatter_add(edges: DataFrame, weight: str) -> DataFrame:

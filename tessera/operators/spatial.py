@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import dbl
+from tessera.plans.order_stats import quantile
 from tessera.plans.workspace import materialise
 
 SCHEMA = ["src", "dst", "d"]
@@ -85,11 +86,11 @@ def knn(points: DataFrame, k: int) -> DataFrame:
 
 def median_nn(points: DataFrame) -> DataFrame:
     """One row, h: the median distance to the nearest other point."""
-    return knn(points, 1).agg(F.expr("percentile(d, 0.5)").alias("h"))
+    return points.sparkSession.createDataFrame([(quantile(knn(points, 1), "d", 0.5),)], "h double")
 
 
 def spacing(points: DataFrame) -> float:
-    return median_nn(points).first()[0] or 0.0
+    return quantile(knn(points, 1), "d", 0.5) or 0.0
 
 
 def knn_mean(points: DataFrame, k: int) -> DataFrame:

@@ -196,8 +196,7 @@ def hist_similarity(spark, sf_dir):
 
 @query(f"{ROBUST}, out AS (SELECT * FROM rz)", "m z", "src dst")
 def robust_z(spark, sf_dir):
-    sim = materialise(scoring.feature_similarity(bounded(spark, sf_dir)[1], A.hist(spark, sf_dir), 1.5), "similarity")
-    return scoring.robust_z(sim)
+    return scoring.robust_z(scoring.feature_similarity(bounded(spark, sf_dir)[1], A.hist(spark, sf_dir), 1.5))
 
 
 @query(
@@ -206,8 +205,7 @@ def robust_z(spark, sf_dir):
     "beta",
 )
 def beta_plus(spark, sf_dir):
-    sim = materialise(scoring.feature_similarity(bounded(spark, sf_dir)[1], A.hist(spark, sf_dir), 1.5), "similarity")
-    return scoring.beta_plus(scoring.robust_z(sim))
+    return scoring.beta_plus(scoring.robust_z(scoring.feature_similarity(bounded(spark, sf_dir)[1], A.hist(spark, sf_dir), 1.5)))
 
 
 @query(f"{S}, {A.TF_SQL}, d AS (SELECT spot_id, sum(value) AS delta FROM tf GROUP BY 1), out AS (SELECT spot_id, least(greatest(1 + coalesce(delta, 0) / (0.5 + coalesce(delta, 0) + 1e-12), 1), 2)::DOUBLE AS gain FROM spots LEFT JOIN d USING (spot_id))", "gain", "spot_id")
@@ -305,7 +303,7 @@ def pathway_rollup(spark, sf_dir):
 
 @query(f"{TOTALS}, q AS (SELECT quantile_cont(total, 0.7) AS q FROM tt), out AS (SELECT src, dst, CASE WHEN total < q THEN 0 ELSE total END AS total FROM tt, q)", "total", "src dst")
 def prune_zero(spark, sf_dir):
-    return scoring.prune(materialise(scoring.edge_totals(modulated(spark, sf_dir)[0]), "totals"), 0.7)
+    return scoring.prune(scoring.edge_totals(modulated(spark, sf_dir)[0]), 0.7)
 
 
 @query(f"{TOTALS}, out AS (SELECT src, dst, sum(s) AS w FROM (SELECT dst AS src, src AS dst, s FROM ms UNION ALL SELECT src, dst, s FROM ms) GROUP BY ALL)", "w", "src dst")

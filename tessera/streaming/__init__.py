@@ -1,0 +1 @@
+"""No tissue operator streams; the keyed, never-expiring stream of exact deduplication is a corpus operator."""

@@ -416,3 +416,16 @@ def test_clusters_of_separate_features(spark):
     assert niches.count() == 90 and niches.where("micro_name like 'b:%'").select("micro_id").distinct().count() == 1
     assert clustering.scaled(f).first().f is not None and len(clustering.scaled(f).first().f) == 2
     assert abs(clustering.share_of(truth, "truth").agg(F.sum("share")).first()[0] - 1) < 1e-12
+
+
+@pytest.mark.parametrize("small", [10, 1 << 20])
+def test_quantiles_of_large_columns(spark, small):
+    from tessera.plans.order_stats import quantile
+
+    rng = np.random.default_rng(0)
+    for v in (rng.normal(size=3000), np.repeat([1.0, 2.0, 2.0, 7.0], 400), np.arange(1000) // 300 * 1.0):
+        df = spark.createDataFrame([(float(x),) for x in v] + [(None,), (float("nan"),)], "m double").repartition(3)
+        for q in (0.0, 0.1, 0.5, 0.77, 1.0):
+            assert abs(quantile(df, "m", q, small=small) - np.quantile(v, q)) < 1e-9
+            assert quantile(df, "m", q, True, small) == np.quantile(v, q, method="higher")
+    assert quantile(df.limit(0), "m", 0.5) is None
