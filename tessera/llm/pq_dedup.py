@@ -4,19 +4,23 @@ Vectors are scaled to length one; equal ones collapse into a class first, so
 a vector that thousands share is searched once.  Coarse centroids cut the space
 into inverted lists; the residual against a vector's centroid is coded in
 ``PARTS`` subspaces of 256 codewords each.  Both are fitted on the driver from
-at most ``SAMPLE`` classes, drawn by a hash of the vector.  Every class is
-indexed, and every class is a query against the lists of its ``probes`` nearest
-centroids.
-
-Within a list, blocks of queries meet blocks of codes: squared distances come
-from one table per query and subspace (asymmetric: the query is not coded).
-The code of x is off x by a known error e, so |q - x| is at least the table
-distance less e; only pairs that this bound leaves within reach of the
-threshold are reranked, by exact cosine in double precision.  So within the
-probed lists the search is exact, and the same from either side; a pair that
-only one of its ends finds counts for both.
-
-A block returns, for each vector, how many it links to, and a forest that
+at most ``SAMPLE`` classes, drawn by a hash of the vector.
+
+Every class is indexed, and asks every list that may hold a vector within reach
+of the threshold.  Only two bounds rule a list out: its centroid is further away
+than its radius and the reach, or the plane between its centroid and the
+class's own is further away than the reach.  So no link is lost at any number of
+lists.  Where vectors are spread evenly in many dimensions the bounds rule out
+little, and the search costs what comparing all classes costs.
+
+Lists are cut in blocks.  A pair of blocks meets once, with those classes of
+each that ask the other's list: squared distances come from one table per query
+and subspace (asymmetric: the query is not coded).  The code of x is off x by a
+known error e, so |q - x| is at least the table distance less e; only pairs that
+this bound leaves within reach are reranked, by exact cosine in double
+precision.  So the search is exact, and a pair counts for both its ends.
+
+A pair of blocks returns, for each vector, how many it links to, and a forest that
 connects what is linked, never the pairs themselves.
 
 Vectors that are null, zero, or hold null or non-finite components link with
@@ -37,11 +41,16 @@ from pyspark.sql import functions as F
 from tessera.plans.components import components
 from tessera.plans.workspace import materialise
 
+from .text import mix
+
 SAMPLE = 20_000
 PARTS = 16
-LIST = 256
+#: A list holds LIST classes or more while there are fewer than FEW_LISTS lists, and LONG_LIST beyond: each list asked is a row.
+LIST, FEW_LISTS, LONG_LIST = 256, 32, 2048
 MOST_LISTS = 4096
-BLOCK = 1024
+BLOCK = 4096
+#: Room for rounding: of single-precision distances, and of squared ones that choose a class's own list.
+SLACK = 1e-4
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -96,12 +105,36 @@ class Quantiser:
     def distances(self, queries: np.ndarray, home: int, codes: np.ndarray) -> np.ndarray:
         """Squared distances of queries to coded vectors of one list, by table look-up."""
         residual = queries.astype(np.float32) - self.coarse[home]
-        total = np.zeros((len(queries), len(codes)), np.float32)
+        total = np.zeros((len(codes), len(queries)), np.float32)
+        some = np.empty_like(total)
         for j, w in enumerate(self.words):
             own = residual[:, self.cuts[j] : self.cuts[j + 1]]
-            table = (own * own).sum(1)[:, None] - 2 * own @ w.T + (w * w).sum(1)
-            total += table[:, codes[:, j]]
-        return total
+            table = (own * own).sum(1) - 2 * w @ own.T + (w * w).sum(1)[:, None]
+            total += np.take(table, codes[:, j], axis=0, out=some, mode="clip")  # whole rows: one for each code
+        return total.T
+
+
+class Bounds:
+    """Radius and blocks of each list."""
+
+    def __init__(self, lists: int, found: list):
+        self.radius, self.blocks = np.zeros(lists), np.zeros(lists, np.int64)
+        for r in found:
+            self.radius[r.home], self.blocks[r.home] = r.radius, -(-r.size // BLOCK)
+        self.first = np.cumsum(self.blocks) - self.blocks
+        self.list_of = np.repeat(np.arange(lists), self.blocks)
+
+    def asked(self, x: np.ndarray, home: np.ndarray, coarse: np.ndarray, reach: float, probes: int) -> np.ndarray:
+        """By row and list: may the list hold a vector within reach?"""
+        c = coarse.astype(np.float64)
+        norm = (c * c).sum(1)
+        d = np.maximum((x * x).sum(1)[:, None] + norm - 2 * x @ c.T, 0)
+        apart = np.sqrt(np.maximum(norm[home][:, None] + norm - 2 * c[home] @ c.T, 0)) + SLACK
+        own = d[np.arange(len(x)), home][:, None]
+        out = (np.sqrt(d) <= self.radius + reach) & (d - own - SLACK <= 2 * reach * apart)
+        np.put_along_axis(out, nearest(x.astype(np.float32), coarse, probes), True, 1)
+        out[np.arange(len(x)), home] = True
+        return out & (self.blocks > 0)
 
 
 def _usable():
@@ -124,8 +157,8 @@ def _usable():
     return run
 
 
-def _probes(sent, probes: int):
-    """One row for each class and list it belongs to or asks: (list, home, rep, n, unit, asks, code, error)."""
+def _coded(sent):
+    """(home, own, rep, n, unit, code, error): each class with its list, how far it is from the centroid, and its code."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = sent.value
@@ -133,16 +166,36 @@ def _probes(sent, probes: int):
             for at in range(0, whole.num_rows, 2048):
                 batch = whole.slice(at, 2048)
                 x = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float64).reshape(batch.num_rows, -1)
-                asks = nearest(x.astype(np.float32), q.coarse, probes)
-                home = asks[:, 0]
+                home = nearest(x.astype(np.float32), q.coarse, 1)[:, 0]
                 codes, error = q.code(x, home)
-                k = asks.shape[1]
-                pick = pa.array(np.repeat(np.arange(batch.num_rows), k))
-                lists = asks.astype(np.int32).ravel()
-                mine = np.tile(np.arange(k) == 0, batch.num_rows)
-                named = pa.array([a.astype(np.int32).tobytes() for a in asks], pa.binary())
+                own = np.sqrt(((x - q.coarse[home].astype(np.float64)) ** 2).sum(1))
                 coded = pa.array([c.tobytes() for c in codes], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(lists), pa.array(mine), batch.column(0).take(pick), batch.column(1).take(pick), batch.column(2).take(pick), named.take(pick), coded.take(pick), pa.array(error.astype(np.float64)).take(pick)], ["list", "mine", "rep", "n", "unit", "asks", "code", "error"])
+                yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), pa.array(own), batch.column(0), batch.column(1), batch.column(2), coded, pa.array(error.astype(np.float64))], ["home", "own", "rep", "n", "unit", "code", "error"])
+
+    return run
+
+
+def _meetings(sent, reach: float, probes: int):
+    """One row for each class and pair of blocks it meets in: (p, q, side, rep, n, unit, code, error), p <= q, side 0 from p."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        quantiser, bounds = sent.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                home, rep = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                x = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.float64).reshape(batch.num_rows, -1)
+                mine = bounds.first[home] + (mix(rep.astype(np.uint64)) % bounds.blocks[home].astype(np.uint64)).astype(np.int64)
+                row, lists = np.nonzero(bounds.asked(x, home, quantiser.coarse, reach, probes))
+                times = bounds.blocks[lists]
+                row = np.repeat(row, times)
+                other = np.repeat(bounds.first[lists] - np.cumsum(times) + times, times) + np.arange(len(row))
+                p, q = np.minimum(mine[row], other), np.maximum(mine[row], other)
+                side = (mine[row] != p).astype(np.int32)
+                for k in range(0, len(row), 8192):
+                    some = slice(k, k + 8192)
+                    pick = pa.array(row[some])
+                    yield pa.RecordBatch.from_arrays([pa.array(p[some]), pa.array(q[some]), pa.array(side[some]), *(batch.column(c).take(pick) for c in range(1, 6))], ["p", "q", "side", "rep", "n", "unit", "code", "error"])
 
     return run
 
@@ -169,45 +222,40 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _search(sent, cosine: float):
+def _search(sent, cosine: float, reach: float):
     """(a, b, n): b > 0 an edge of a forest with n null; b null: a links to n vectors more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = sent.value
-        reach = np.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-4
-        for table in _runs(batches, 3):
-            home = table.column("list")[0].as_py()
-            role = table.column("role").to_numpy()
-            rep, n, error = (table.column(c).to_numpy() for c in ("rep", "n", "error"))
-            unit_of = np.frombuffer(b"".join(table.column("unit").to_pylist()), np.float64).reshape(len(rep), -1)
-            asks = np.frombuffer(b"".join(table.column("asks").to_pylist()), np.int32).reshape(len(rep), -1)
-            codes = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(len(rep), -1)
-            qs, xs = np.flatnonzero(role == 1), np.flatnonzero(role == 0)
+        quantiser, bounds = sent.value
+        for table in _runs(batches, 2):
+            p, q = (table.column(c)[0].as_py() for c in ("p", "q"))
+            side, rep, n, error = (table.column(c).to_numpy() for c in ("side", "rep", "n", "error"))
+            qs = np.flatnonzero(side == 0)
+            xs = qs if p == q else np.flatnonzero(side == 1)
             if not len(qs) or not len(xs):
                 continue
-            counts: dict[int, int] = {}
+            unit_of = np.frombuffer(b"".join(table.column("unit").to_pylist()), np.float64).reshape(len(rep), -1)
+            codes = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(len(rep), -1)[xs]
+            limit = (reach + error[xs]) ** 2 + SLACK
+            more = np.zeros(len(rep))
             links = []
             for at in range(0, len(qs), 256):
                 some = qs[at : at + 256]
-                d = q.distances(unit_of[some], home, codes[xs])
-                near = d <= (reach + error[xs][None, :]) ** 2 + 1e-4
-                i, j = np.nonzero(near)
-                a, b = some[i], xs[j]
-                other = rep[a] != rep[b]
-                a, b = a[other], b[other]
-                cos = np.einsum("ij,ij->i", unit_of[a], unit_of[b]) if len(a) else np.zeros(0)
-                a, b = a[cos >= cosine], b[cos >= cosine]
-                if not len(a):
-                    continue
-                back = (asks[b] == asks[a][:, :1]).any(1)  # b asks the list that a lies in
-                for k, v in zip(rep[a].tolist(), n[b].tolist(), strict=True):
-                    counts[k] = counts.get(k, 0) + v
-                for k, v in zip(rep[b[~back]].tolist(), n[a[~back]].tolist(), strict=True):
-                    counts[k] = counts.get(k, 0) + v
-                links.append(np.stack([rep[a], rep[b]], 1))
-            edges = forest(np.concatenate(links)) if links else []
-            if edges or counts:
-                yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges] + list(counts), pa.int64()), pa.array([e[1] for e in edges] + [None] * len(counts), pa.int64()), pa.array([None] * len(edges) + list(counts.values()), pa.int64())], ["a", "b", "n"])
+                i, j = np.nonzero(quantiser.distances(unit_of[some], bounds.list_of[q], codes) <= limit)
+                once = (some[i] < xs[j] if p == q else True) & (rep[some[i]] != rep[xs[j]])
+                i, j = i[once], j[once]
+                if 20 * len(i) > len(some) * len(xs):
+                    cos = (unit_of[some] @ unit_of[xs].T)[i, j]
+                else:
+                    cos = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", unit_of[some[i[k : k + 8192]]], unit_of[xs[j[k : k + 8192]]]) for k in range(0, len(i), 8192))])
+                a, b = some[i[cos >= cosine]], xs[j[cos >= cosine]]
+                if len(a):
+                    more += np.bincount(a, n[b], len(rep)) + np.bincount(b, n[a], len(rep))
+                    links.append(np.array(forest(np.stack([rep[a], rep[b]], 1)), np.int64))
+            if links:
+                edges = forest(np.concatenate(links))
+                has = np.flatnonzero(more)
+                yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges] + rep[has].tolist(), pa.int64()), pa.array([e[1] for e in edges] + [None] * len(has), pa.int64()), pa.array([None] * len(edges) + more[has].astype(np.int64).tolist(), pa.int64())], ["a", "b", "n"])
 
     return run
 
@@ -228,8 +276,12 @@ def forest(pairs: np.ndarray) -> list[tuple[int, int]]:
     return [(int(ids[i]), int(ids[label[i]])) for i in range(len(ids)) if label[i] != i]
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.9, probes: int = 16, lists: int | None = None) -> DataFrame:
-    """vec_id, n_links, component_id and kept of every row of ``vectors`` (vec_id, embedding; nothing else is read)."""
+def near_vectors(vectors: DataFrame, cosine: float = 0.9, probes: int = 1, lists: int | None = None) -> DataFrame:
+    """vec_id, n_links, component_id and kept of every row of ``vectors`` (vec_id, embedding; nothing else is read).
+
+    probes: so many nearest lists are asked even where the bounds rule them out.  Neither it nor lists changes a result.
+    """
+    reach = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + SLACK
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding").mapInArrow(_usable(), "vec_id bigint, unit binary, width int")
     rows = materialise(rows, "units")
@@ -240,16 +292,14 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, probes: int = 16, list
         part = min(1.0, SAMPLE / size)
         sample = own.where(F.pmod(F.xxhash64("unit"), F.lit(1 << 20)) < int(part * (1 << 20))).select("unit").limit(2 * SAMPLE).toArrow().column(0).to_pylist() if part < 1 else own.select("unit").toArrow().column(0).to_pylist()
         x = np.frombuffer(b"".join(sorted(sample)), np.float64).reshape(-1, width)
-        sent = spark.sparkContext.broadcast(Quantiser(x, lists or int(np.clip(size // LIST, 1, MOST_LISTS))))
-        asked = own.select("rep", "n", "unit").mapInArrow(_probes(sent, probes), "list int, mine boolean, rep bigint, n bigint, unit binary, asks binary, code binary, error double")
-        asked = materialise(asked, "probes")
-        blocks = asked.groupBy("list").agg(F.ceil(F.sum(F.col("mine").cast("int")) / BLOCK).cast("int").alias("xb"), F.ceil(F.count("*") / (2 * BLOCK)).cast("int").alias("qb")).where("xb > 0")
-        dealt = asked.join(blocks.withColumnRenamed("list", "l"), F.col("list") == F.col("l"))
-        x_rows = dealt.where("mine").withColumn("x", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("xb")).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("qb") - 1))).withColumn("role", F.lit(0))
-        q_rows = dealt.withColumn("q", F.pmod(F.xxhash64("rep", F.lit(2)), F.col("qb")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("xb") - 1))).withColumn("role", F.lit(1))
-        cols = ["list", "x", "q", "role", "rep", "n", "unit", "asks", "code", "error"]
-        grid = x_rows.select(cols).unionByName(q_rows.select(cols)).repartition("list", "x", "q").sortWithinPartitions("list", "x", "q")
-        found = materialise(grid.mapInArrow(_search(sent, cosine), "a bigint, b bigint, n bigint"), "vector-links")
+        quantiser = Quantiser(x, lists or int(np.clip(max(min(size // LIST, FEW_LISTS), size // LONG_LIST), 1, MOST_LISTS)))
+        sent = spark.sparkContext.broadcast(quantiser)
+        coded = materialise(own.select("rep", "n", "unit").mapInArrow(_coded(sent), "home int, own double, rep bigint, n bigint, unit binary, code binary, error double"), "coded")
+        bounds = Bounds(len(quantiser.coarse), coded.groupBy("home").agg(F.max("own").alias("radius"), F.count("*").alias("size")).collect())
+        sent = spark.sparkContext.broadcast((quantiser, bounds))
+        met = coded.select("home", "rep", "n", "unit", "code", "error").mapInArrow(_meetings(sent, reach, probes), "p bigint, q bigint, side int, rep bigint, n bigint, unit binary, code binary, error double")
+        grid = met.repartition("p", "q").sortWithinPartitions("p", "q")
+        found = materialise(grid.mapInArrow(_search(sent, cosine, reach), "a bigint, b bigint, n bigint"), "vector-links")
         edges.append(found.where("b is not null").select("a", "b"))
         counts.append(found.where("b is null").select(F.lit(width).alias("w"), "a", "n"))
     one = classes.select("width", "unit", F.col("rep"), F.col("n").alias("same"))

@@ -98,3 +98,15 @@ def test_recall_on_a_spread_cloud(spark):
     got = sum(r.n_links for r in pq_dedup.near_vectors(spark.createDataFrame(rows, SCHEMA)).collect())
     want = sum(r[1] for r in brute(rows))
     assert want and got >= 0.9 * want
+
+
+def test_a_hot_group_over_many_lists_is_found_whole(spark):
+    """A third of the rows are near copies, which k-means spreads over far more than 16 of the lists."""
+    rng = np.random.default_rng(6)
+    hot, n = rng.normal(size=64), 3000
+    x = np.concatenate([hot + 0.2 * rng.normal(size=(n // 3, 64)), rng.normal(size=(n - n // 3, 64))]).astype(np.float32).astype(float)
+    unit = x / np.sqrt((x * x).sum(1, keepdims=True))
+    want = (unit @ unit.T >= 0.9).sum(1) - 1
+    got = pq_dedup.near_vectors(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], SCHEMA), lists=90).orderBy("vec_id").collect()
+    assert want[: n // 3].min() > 900
+    assert [r.n_links for r in got] == want.tolist()
