@@ -8,8 +8,10 @@ into TAIL classes by the hash of their last two bytes.  Then
     P(word | context) = P(class | context) * P(word | class, context)
 
 Both factors are softmaxes over a bias and sums of hashed feature weights: for
-the class the previous word, the one before it (a skip feature), and both
-together; for the word the previous one and the one before, each with the class.  A tail word's share of its class is (c + 1) / (C + V + 1)
+the class the previous word, the one before it (a skip feature), both
+together, and the word three back (a skip feature); for the word the class
+itself, and the previous one and the one before, each with the class.  A tail
+word's share of its class is (c + 1) / (C + V + 1)
 over the class's training tokens C and distinct words V, the 1 left over for
 all unknown words; so probabilities sum to one.
 
@@ -200,10 +202,10 @@ class SYMBOL:
 
 
 def contexts(symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The two symbols before each token; START before a text's first."""
-    out = np.full((2, len(symbols)), START, np.int64)
+    """The three symbols before each token; START before a text's first."""
+    out = np.full((3, len(symbols)), START, np.int64)
     place = np.arange(len(symbols)) - np.repeat(first[:-1], np.diff(first))
-    for back in range(1, 3):
+    for back in range(1, 4):
         own = place >= back
         out[back - 1, own] = symbols[np.flatnonzero(own) - back]
     return out
@@ -216,27 +218,36 @@ def _hash(x: np.ndarray, salt: int, rows: int) -> np.ndarray:
 
 def features(context: np.ndarray, head_class: np.ndarray | None = None) -> list[np.ndarray]:
     """Rows of the weight table for each token: of the class factor, or of the word factor within ``head_class``."""
-    one, two = context
+    one, two, three = context
     wide = SYMBOLS + 1
     if head_class is None:
-        return [_hash(one, 1 << 40, CLASS_ROWS), _hash(two, 2 << 40, CLASS_ROWS), _hash(one * wide + two, 3 << 40, CLASS_ROWS)]
-    return [_hash(one * HEAD_CLASSES + head_class, 6 << 40, WORD_ROWS), _hash(two * HEAD_CLASSES + head_class, 7 << 40, WORD_ROWS)]
+        return [_hash(one, 1 << 40, CLASS_ROWS), _hash(two, 2 << 40, CLASS_ROWS), _hash(one * wide + two, 3 << 40, CLASS_ROWS), _hash(three, 4 << 40, CLASS_ROWS)]
+    return [_hash(head_class, 5 << 40, WORD_ROWS), _hash(one * HEAD_CLASSES + head_class, 6 << 40, WORD_ROWS), _hash(two * HEAD_CLASSES + head_class, 7 << 40, WORD_ROWS)]
 
 
-def _sum_rows(table: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    out = table[rows[0]]
+def _sum_rows(table: np.ndarray, rows: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
+    out = np.take(table, rows[0], axis=0)
+    some = np.empty_like(out)
     for r in rows[1:]:
-        out += table[r]
+        out += np.take(table, r, axis=0, out=some, mode="clip")
+    out += bias
     return out
 
 
-def _softmax(z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities, and the natural log of the one at y."""
+def _softmax(z: np.ndarray) -> np.ndarray:
+    """Probabilities, in the place of ``z``."""
     z -= z.max(1, keepdims=True)
-    own = z[np.arange(len(y)), y].copy()
     np.exp(z, out=z)
-    total = z.sum(1)
-    return z / total[:, None], own - np.log(total)
+    z /= z.sum(1, keepdims=True)
+    return z
+
+
+def _log_softmax(z: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The natural log of the probability at y; ``z`` is lost."""
+    z -= z.max(1, keepdims=True)
+    own = z[np.arange(len(y)), y]
+    np.exp(z, out=z)
+    return own - np.log(z.sum(1))
 
 
 class Weights:
@@ -257,11 +268,11 @@ class Weights:
         out = np.empty(len(symbols))
         for at in range(0, len(symbols), BATCH):
             s = slice(at, at + BATCH)
-            out[s] = _softmax(_sum_rows(self.classes, features(context[:, s])) + self.bias, cls[s])[1]
+            out[s] = _log_softmax(_sum_rows(self.classes, features(context[:, s]), self.bias), cls[s])
             h = np.flatnonzero(symbols[s] < HEAD) + at
             if len(h):
-                z = _sum_rows(self.words, features(context[:, h], cls[h])) + self.word_bias[cls[h]]
-                out[h] += _softmax(z, symbols[h] % CLASS)[1]
+                z = _sum_rows(self.words, features(context[:, h], cls[h]), self.word_bias[cls[h]])
+                out[h] += _log_softmax(z, symbols[h] % CLASS)
         return out / np.log(10)
 
 
@@ -280,7 +291,7 @@ class _Learner:
             order = np.argsort(r.astype(np.uint16), kind="stable")
             ranked = r[order]
             cut = np.flatnonzero(np.diff(ranked, prepend=-1))
-            g = np.add.reduceat(gradient[order], cut, axis=0)
+            g = np.add.reduceat(np.take(gradient, order, axis=0), cut, axis=0)
             g /= np.sqrt(np.diff(np.append(cut, len(ranked))))[:, None]
             own = ranked[cut]
             squares[own] += g * g
@@ -292,13 +303,13 @@ class _Learner:
         for at in range(0, len(symbols), BATCH):
             s = slice(at, at + BATCH)
             rows = features(context[:, s])
-            p, _ = _softmax(_sum_rows(self.classes, rows) + self.w.bias, cls[s])
+            p = _softmax(_sum_rows(self.classes, rows, self.w.bias))
             p[np.arange(len(p)), cls[s]] -= 1
             self._step(self.classes, self.g_classes, rows, p)
             h = np.flatnonzero(symbols[s] < HEAD) + at
             if len(h):
                 rows = features(context[:, h], cls[h])
-                p, _ = _softmax(_sum_rows(self.words, rows) + self.w.word_bias[cls[h]], symbols[h] % CLASS)
+                p = _softmax(_sum_rows(self.words, rows, self.w.word_bias[cls[h]]))
                 p[np.arange(len(p)), symbols[h] % CLASS] -= 1
                 self._step(self.words, self.g_words, rows, p)
         self.tokens += len(symbols)

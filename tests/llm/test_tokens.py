@@ -93,6 +93,16 @@ def test_model_probabilities_sum_to_one():
     assert abs(p.sum() - 1) < 1e-4
 
 
+def test_model_sees_the_word_three_back_and_the_class():
+    rng = np.random.default_rng(1)
+    w = maxent_lm.Weights(np.ones(maxent_lm.HEAD), np.ones((maxent_lm.TAIL, 2)))
+    w.classes = rng.normal(0, 1, w.classes.shape).astype(np.float32)
+    p = w.log10(np.array([5, 1, 2, 9, 700, 1, 2, 9]), np.array([0, 4, 8]))
+    assert abs(p[3] - p[7]) > 1e-3
+    context = maxent_lm.contexts(np.array([5, 1, 2, 9]), np.array([0, 4]))
+    assert len(maxent_lm.features(context)) == 4 and len(maxent_lm.features(context, np.zeros(4, np.int64))) == 3
+
+
 def test_model_learns_what_follows(spark):
     rng = random.Random(1)
     follow = {w: [f"{w}{k}" for k in range(3)] for w in "abcdefgh"}
