@@ -1,16 +1,18 @@
 """From raw documents to token ids: five stages, each written and read again.
 
 Every stage takes (spark, docs, sf_dir), works on all rows its predecessor kept
-and returns the columns of documents; the last returns token ids.
+and returns the columns of documents; the last returns token ids.  Documents
+without a doc_id go through like all others; of duplicates one with an id stays.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm import bpe, exact_dedup, langid, mixing, setsketch
 from tessera.llm.queries import MIX_REPEATS, TOKENIZER_FILE
-from tessera.plans.workspace import materialise
+from tessera.plans.workspace import materialise, unused
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +27,14 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays."""
-    kept = setsketch.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    rows, key = docs, "doc_id"
+    if docs.where("doc_id is null").head(1):  # each gets a key of its own, above all ids
+        key = unused(docs, "row_key")
+        after = F.lit((docs.agg(F.max("doc_id")).first()[0] or 0) + 1).cast("bigint") + F.monotonically_increasing_id()
+        rows = materialise(docs.withColumn(key, F.coalesce(F.col("doc_id").cast("bigint"), after)), "near-keys")
+    found = setsketch.near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"))
+    kept = found.where("kept").select(F.col("doc_id").alias(key)).distinct()
+    return rows.join(kept, key, "left_semi").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,8 +16,9 @@ with the text at the locator.  Rows that share a digest but not the bytes leave
 the group and are grouped by their text itself; so a digest as short as a few
 bits still gives exact groups (``digest_bits`` is short in tests only).
 
-Of equal texts the row with the smallest doc_id stays; rows that repeat that
-doc_id as well go by the smaller locator.  An empty table gives an empty result.
+Of equal texts the row with the smallest doc_id stays, one without a doc_id only
+where no other has one; rows that repeat that doc_id as well go by the smaller
+locator.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -61,6 +62,11 @@ def located(spark: SparkSession, path: str, files_per_batch: int | None = None,
     return reader.schema(schema).parquet(path).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("locator"))
 
 
+def _entry() -> Column:
+    """What the smallest of decides which row stays: a row with an id comes before one without."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "locator")
+
+
 def absorb(spark: SparkSession, path: str, state: str, digest_bits: int = 256, files_per_batch: int | None = None) -> None:
     """Run the stream over the files of ``path`` that ``state`` has not seen, until there are none left."""
     own = spark.newSession()
@@ -68,7 +74,7 @@ def absorb(spark: SparkSession, path: str, state: str, digest_bits: int = 256, f
         own.conf.set(k, v)
     own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     rows = located(own, path, files_per_batch, streaming=True)
-    keyed = rows.select(digest(normalised(), digest_bits).alias("digest"), F.struct("doc_id", "locator").alias("entry"))
+    keyed = rows.select(digest(normalised(), digest_bits).alias("digest"), _entry().alias("entry"))
     groups = keyed.groupBy("digest").agg(F.min("entry").alias("first"), F.count("*").alias("n"))
     query = groups.writeStream.outputMode("update").format("noop").option("checkpointLocation", state).trigger(availableNow=True).start()
     query.awaitTermination()
@@ -77,7 +83,7 @@ def absorb(spark: SparkSession, path: str, state: str, digest_bits: int = 256, f
 def held(spark: SparkSession, state: str) -> DataFrame:
     """What the state keeps: digest, first (doc_id and locator) and n."""
     found = spark.read.format("statestore").load(state)
-    return found.select(F.col("key.digest").alias("digest"), F.col("value.min").alias("first"), F.col("value.count").alias("n"))
+    return found.select(F.col("key.digest").alias("digest"), F.struct("value.min.doc_id", "value.min.locator").alias("first"), F.col("value.count").alias("n"))
 
 
 def duplicates(spark: SparkSession, path: str, state: str | None = None, digest_bits: int = 256) -> DataFrame:
@@ -101,8 +107,8 @@ def duplicates(spark: SparkSession, path: str, state: str | None = None, digest_
     if not strays.head(1):
         return judged.select("doc_id", F.col("first.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("locator") == F.col("first.locator"))).alias("kept"), "text_sha256", "locator.*")
     own = strays.join(judged.select("locator", "doc_id", "text_sha256"), "locator")
-    again = own.groupBy("body").agg(F.min(F.struct("doc_id", "locator")).alias("lead"), F.count("*").alias("size"))
-    moved = own.join(again, "body").select("locator", "lead", "size")
+    again = own.groupBy("body").agg(F.min(_entry()).alias("lead"), F.count("*").alias("size"))
+    moved = own.join(again, "body").select("locator", F.struct("lead.doc_id", "lead.locator").alias("lead"), "size")
     lost = strays.groupBy("at").agg(F.count("*").alias("lost"))
     left = judged.join(moved, "locator", "left").join(lost, F.col("first.locator") == F.col("at"), "left")
     keep = F.coalesce(F.col("lead"), F.struct(F.col("first.doc_id").alias("doc_id"), F.col("first.locator").alias("locator")))

@@ -20,7 +20,7 @@ more than a 4,096th of a source; a source's blocks are small sums.
 
 Documents without tokens are never drawn; sources without tokens have no weight.
 Null sources form a source of their own.  Ties cannot arise: keys end in doc_id;
-rows that repeat a doc_id and source share their fate.  An empty table gives an empty one.
+rows that repeat a doc_id (or have none) and source share their fate.  An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -103,5 +103,5 @@ def mixed(docs: DataFrame, entropy: float | None = None, repeats: float | None =
     """The rows of ``docs``, each as often as the plan draws it, with all their columns."""
     ident, source, times, turn = (unused(docs, n) for n in ("mix_id", "mix_source", "mix_copies", "mix_copy"))
     drawn = plan(docs, entropy, repeats, budget_share, seed).where("copies > 0").select(F.col("doc_id").alias(ident), F.col("source").alias(source), F.col("copies").alias(times)).distinct()
-    rows = docs.join(drawn, (F.col("doc_id") == F.col(ident)) & F.col("source").eqNullSafe(F.col(source))).withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))))
+    rows = docs.join(drawn, F.col("doc_id").eqNullSafe(F.col(ident)) & F.col("source").eqNullSafe(F.col(source))).withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))))
     return rows.select(*docs.columns)

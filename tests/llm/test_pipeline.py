@@ -75,6 +75,22 @@ def test_stages_take_odd_and_empty_tables(spark, tmp_path):
         assert docs.count() == (0 if k else docs.count())
 
 
+def test_documents_without_an_id_are_not_lost(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    unnamed = ["unnamed text", "quite another unnamed text", "ONE", "negative  id text here ok"]  # the last two equal texts with ids
+    rows = [(i, t) for i, t in [*[(None, t) for t in unnamed], *ODD]]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA).coalesce(1)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    text = dict(ODD)
+    want = [(None, t) for t in unnamed[:2]] + [(i, text[i]) for i in (-5, 4, 5, 7, 8, 10, 12)]
+    near = corpus_pipeline.near(spark, corpus_pipeline.exact(spark, corpus_pipeline.language_id(spark, docs, ""), ""), "")
+    assert Counter((r.doc_id, r.text) for r in near.collect()) == Counter(want)
+    tool = Tokenizer.from_file(TOKENIZER_FILE)
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.n_tokens) for r in got) == Counter((i, len(tool.encode(t, add_special_tokens=False).ids)) for i, t in want)
+
+
 def test_queries_and_sql_have_the_same_names():
     assert set(queries.oracle_sql()) <= set(queries.queries())
     assert [int(n[2:].split("_")[0]) for n in queries.queries()] == list(range(1, 11))
