@@ -8,8 +8,8 @@ the number of rows.  There is no watermark, so state stays for good; it lives
 in RocksDB on the executors' disks and its checkpoint in the shared folder.
 Rows of one digest are combined before the shuffle: a text that makes up a
 third of all rows costs one row from each task.  A stream started again with
-the same folder reads only files it has not seen and judges them against all
-earlier ones.
+the same folder reads only files it has not seen, however old, and judges them
+against all earlier ones; a text that the state lacks is an error.
 
 Every row that hits a digest held by another row is then compared byte by byte
 with the text at the locator.  Rows that share a digest but not the bytes leave
@@ -55,6 +55,8 @@ def located(spark: SparkSession, path: str, files_per_batch: int | None = None,
     """doc_id, text and the locator (file, row) of each row of a Parquet table."""
     schema = spark.read.parquet(path).select("doc_id", "text").schema
     reader = spark.readStream if streaming else spark.read
+    if streaming:
+        reader = reader.option("maxFileAge", "36500d")  # by default files a week older than the newest one seen are passed over
     if streaming and files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     if streaming and not is_directory(spark, path):
@@ -98,7 +100,8 @@ def duplicates(spark: SparkSession, path: str, state: str | None = None, digest_
         return rows.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), F.sha2(normalised(), 256).alias("text_sha256"), "locator.*")
     groups = materialise(held(spark, state), "dedup-groups").select(F.col("digest").alias("k"), "first", "n")
     keyed = rows.select("doc_id", "locator", F.sha2(normalised(), 256).alias("text_sha256"), digest(normalised(), digest_bits).alias("digest"))
-    judged = materialise(keyed.join(groups, F.col("digest") == F.col("k")).select("doc_id", "locator", "text_sha256", "first", "n"), "dedup-judged")
+    known = F.when(F.col("k").isNotNull(), F.col("n")).otherwise(F.raise_error(F.lit("a text is missing from the state: its file was not read")).cast("bigint"))
+    judged = materialise(keyed.join(groups, F.col("digest") == F.col("k"), "left").select("doc_id", "locator", "text_sha256", "first", known.alias("n")), "dedup-judged")
     hits = judged.where("n > 1 and not (doc_id = first.doc_id and locator = first.locator)").select("locator", F.col("first.locator").alias("at"))
     wanted = hits.select("locator").unionByName(hits.select(F.col("at").alias("locator")).distinct()).distinct()
     texts = materialise(rows.select("locator", normalised().alias("body")).join(wanted, "locator", "left_semi"), "dedup-texts")

@@ -1,6 +1,7 @@
 """Repeated passages (2), SetSketch near duplicates (9), exact duplicates (10), against brute force."""
 
 import hashlib
+import os
 import random
 import re
 from collections import Counter
@@ -192,6 +193,23 @@ def test_the_stream_goes_on_from_its_state(spark, tmp_path):
     assert rows_of(got, "doc_id", "keep_id", "group_size") == sorted([(5, 2, 2), (2, 2, 2), (6, 6, 2), (9, 6, 2), (1, 1, 1)], key=str)
 
 
+def test_the_stream_reads_old_files_and_misses_none(spark, tmp_path, monkeypatch):
+    path, state = f"{tmp_path}/in", f"{tmp_path}/state"
+    schema = "doc_id bigint, text string"
+    spark.createDataFrame([(5, "a b")], schema).coalesce(1).write.parquet(path)
+    exact_dedup.absorb(spark, path, state)
+    before = set(os.listdir(path))
+    spark.createDataFrame([(2, "a  b"), (1, "new")], schema).coalesce(1).write.mode("append").parquet(path)
+    for name in set(os.listdir(path)) - before:
+        os.utime(f"{path}/{name}", (0, 10**9))
+    got = exact_dedup.duplicates(spark, path, state)
+    assert rows_of(got, "doc_id", "keep_id", "group_size") == sorted([(5, 2, 2), (2, 2, 2), (1, 1, 1)], key=str)
+    spark.createDataFrame([(7, "later")], schema).coalesce(1).write.mode("append").parquet(path)
+    monkeypatch.setattr(exact_dedup, "absorb", lambda *a: None)
+    with pytest.raises(Exception, match="missing from the state"):
+        exact_dedup.duplicates(spark, path, state)
+
+
 def test_word_hashes_ignore_place_and_slices_cut_anywhere():
     texts = [t for _, t in ODD]
     batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
