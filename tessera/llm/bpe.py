@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runs import Runs
-from .text import SLICE_BYTES, Slice, slices, word_hashes
+from .text import SLICE_BYTES, Slice, distinct_words, slices, word_hashes
 
 #: White space in Unicode; U+001C to U+001F are none.
 _WHITE = regex.compile("[\\x09-\\x0d\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
@@ -147,14 +147,15 @@ class Encoder:
         starts, stops, first = white_bounds(data, part.offsets)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(part.n + 1, np.int64)
-        keys, where, back = np.unique(word_hashes(data, starts, stops), return_index=True, return_inverse=True)
+        keys, checks = (word_hashes(data, starts, stops, lane) for lane in range(2))
+        where, back = distinct_words(keys, checks)
         raw = data.tobytes()
 
         def new(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             found, cut = self.runs([raw[a:b].decode() for a, b in zip(starts[where[which]].tolist(), stops[where[which]].tolist(), strict=True)])
             return found, np.diff(cut)
 
-        flat, begin, lens = self.met.ids(keys, new)
+        flat, begin, lens = self.met.ids(keys[where], checks[where], new)
         ids, sizes = gather(flat, begin[back], lens[back])
         total = np.concatenate([[0], np.cumsum(sizes)])[first]
         if any(s.encode() in raw for s in self.special):

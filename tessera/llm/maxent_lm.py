@@ -1,60 +1,107 @@
 """A hashed maximum-entropy language model with a class-factored softmax.
 
 Tokens are a text's words (A-Z in lower case, runs of bytes other than 0x20 and
-0x09-0x0D) and one end.  The HEAD most frequent training words are symbols of
-their own, grouped by rank into classes of CLASS words; all other words fall
-into TAIL classes by the hash of their last two bytes.  Then
-
-    P(word | context) = P(class | context) * P(word | class, context)
-
-Both factors are softmaxes over a bias and sums of hashed feature weights: for
-the class the previous word, the one before it (a skip feature), both
-together, and the word three back (a skip feature); for the word the class
-itself, and the previous one and the one before, each with the class.  A tail
-word's share of its class is (c + 1) / (C + V + 1)
-over the class's training tokens C and distinct words V, the 1 left over for
-all unknown words; so probabilities sum to one.
-
-Learning goes over all training tokens, in ROUNDS jobs of a part each: every
-task takes adaptive gradient steps on its tokens from the weights it was sent,
-the changes of all tasks are averaged, weighted by tokens, and the mean starts
-the next round.  Weights are of a fixed size (about 4 MB) whatever the corpus;
-counts of words never leave the executors as a whole: they are summed in shards
-by word hash, and each shard answers the dictionaries that asked it.
+0x09-0x0D) and one end.  The most frequent training words are symbols of their
+own, ``side`` classes of ``side`` words by rank; every other word belongs to one
+of ``side`` further classes by its last two bytes, and to one of ``side`` buckets
+there by its hash.  With class and member (word or bucket) as the two halves,
+
+    P(word | context) = P(class | context) * P(member | class, context) * P(word | member)
+
+The first two factors are softmaxes over a bias and sums of hashed feature weights:
+for the class the previous symbol, the one before it (a skip feature), both
+together, and the one three back (a skip feature); for the member the class
+itself, and the previous symbol and the one before, each with the class.  The
+last is 1 for a word of its own and (c + 1) / (C + V + 1) in a bucket of C
+training tokens and V distinct words, the 1 left over for all unknown words; so
+probabilities sum to one, and rare words have evidence of their context too.
+
+Everything grows with the corpus: ``side`` with the fourth root of the distinct
+words, so that words of their own grow with the square root; feature rows with
+the fifth root of the training tokens (at 30 TB of text some 0.5 GB of weights,
+the bound ``most_bytes``: give executors 4 GB a core there, or less most_bytes).
+
+Learning goes over all training tokens, in ROUNDS jobs of a part each.  Texts are
+dealt to shards by a hash of doc_id and words, and read in the order of doc_id
+within a shard; every shard takes adaptive gradient steps from the weights and
+step sizes it was sent, and the mean over shards, weighted by tokens and taken
+in the order of the shards, starts the next round.  The number of shards follows
+from the number of tokens alone, so scores don't depend on files, partitions
+or lost executors.  Counts of words never leave the executors as a whole: they
+are summed in shards by word hash, and each shard answers the dictionaries that asked it.
 
 One pass turns texts into chunks (a dictionary of word hashes and positions in
-it); all later passes read chunks.  Words are known by 64-bit hashes.
+it); all later passes read chunks, or the symbols made of them.  Words are known by 64-bit hashes.
 
-Null and empty texts are one end token.  With nothing to learn from, N and V
-are 0 and the model is uniform over its classes.
+Null and empty texts are one end token; rows without a doc_id are scored like
+any other.  With nothing to learn from, N and V are 0 and the model is uniform over its buckets.
 """
 
 from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.plans.workspace import materialise
+from tessera.plans.workspace import fresh_path, materialise
 
 from .text import lower, mix, slices, word_bounds, word_hashes
 
-HEAD, CLASS, TAIL = 1024, 32, 32
-HEAD_CLASSES = HEAD // CLASS
-CLASSES = HEAD_CLASSES + TAIL
-SYMBOLS = HEAD + TAIL
-START = SYMBOLS
-CLASS_ROWS, WORD_ROWS = 1 << 13, 1 << 13
-ROUNDS, BATCH, RATE = 3, 1 << 12, 0.5
+ROUNDS, BATCH, RATE = 3, 1 << 12, 1.0
 END = np.uint64(0x243F6A8885A308D3)
 CHUNK_BYTES = 8 << 20
 SHARD_ENTRIES = 1 << 20
-#: Parts of the weights, and groups of tasks, in which changes are averaged: no task meets all of either.
-PARTS, BUCKETS = 16, 64
+#: Numbers in a part of the weights, and groups of shards, in which changes are averaged: no task meets all of either.
+PART, BUCKETS = 1 << 16, 64
+#: Training tokens of a shard for each number of the weights; tokens that are learnt from, or scored, at once.
+TOKENS_A_WEIGHT, HELD = 2, 1 << 18
+#: Exponents beyond either end count as the end.
+STEEP = np.float32(80)
+NONE = np.float32(-1e4)
+
+
+@dataclass(frozen=True)
+class Shape:
+    """How large a model is; derived from the distinct words and the tokens that teach."""
+
+    side: int
+    rows: int
+
+    @classmethod
+    def of(cls, tokens: int, words: int, most_bytes: int) -> Shape:
+        side = max(32, 8 * round(0.75 * words**0.25 / 8))
+        rows = min(2000 * max(tokens, 1) ** 0.2, most_bytes / (4 * 3 * side))
+        return cls(side, 1024 * max(1, round(rows / 1024)))
+
+    @property
+    def head(self) -> int:
+        return self.side * self.side
+
+    @property
+    def symbols(self) -> int:
+        return 2 * self.head
+
+    @property
+    def kind(self):
+        return np.uint16 if self.symbols <= 1 << 16 else np.uint32
+
+    @property
+    def weights(self) -> int:
+        return 3 * self.side * self.rows
+
+    def shards(self, tokens: int) -> int:
+        return max(1, -(-tokens // (TOKENS_A_WEIGHT * self.weights)))
+
+    def tail(self, words: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Symbols of words that have none of their own, from their hashes and last two bytes."""
+        with np.errstate(over="ignore"):
+            own = ((ends.astype(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(8)).astype(np.int64) % self.side
+            return self.head + own * self.side + (mix(words) % np.uint64(self.side)).astype(np.int64)
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -65,11 +112,9 @@ def _unpack(b: bytes, kind, n: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(b, n * np.dtype(kind).itemsize, "zstd", asbytes=True), kind) if n else np.zeros(0, kind)
 
 
-def _tail_class(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    last = data[stops - 1].astype(np.uint32)
-    before = np.where(stops - starts > 1, data[np.maximum(stops - 2, 0)], 0).astype(np.uint32)
-    with np.errstate(over="ignore"):
-        return (((last * np.uint32(0x85EBCA6B)) ^ (before * np.uint32(0xC2B2AE35))) * np.uint32(0x9E3779B1) >> np.uint32(27)).astype(np.uint8)
+def _last_two(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    last = data[stops - 1].astype(np.uint16)
+    return last * np.uint16(256) + np.where(stops - starts > 1, data[np.maximum(stops - 2, 0)], 0).astype(np.uint16)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,10 +127,12 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts, stops, first = word_bounds(data, part.offsets)
             lens = np.diff(first) + 1
             tokens = np.full(int(lens.sum()), END, np.uint64)
-            sig = np.zeros(len(tokens), np.uint8)
+            ends = np.zeros(len(tokens), np.uint16)
             to = np.arange(len(starts)) + np.repeat(np.arange(part.n), lens - 1)
-            tokens[to], sig[to] = word_hashes(data, starts, stops), _tail_class(data, starts, stops)
-            held.append((part.rows.column(0).cast(pa.int64()).to_numpy().copy(), lens, part.rows.column(2).to_numpy(zero_copy_only=False).astype(bool), tokens, sig))
+            tokens[to], ends[to] = word_hashes(data, starts, stops), _last_two(data, starts, stops)
+            ids = part.rows.column(0)
+            flags = part.rows.column(2).to_numpy(zero_copy_only=False).astype(np.uint8) + 2 * ids.is_null().to_numpy(zero_copy_only=False)
+            held.append((ids.fill_null(0).to_numpy().copy(), lens, flags.astype(np.uint8), tokens, ends))
             size += len(data)
             if size >= CHUNK_BYTES:
                 yield _chunk(held)
@@ -95,28 +142,30 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _chunk(held: list[tuple]) -> pa.RecordBatch:
-    ids, lens, out, tokens, sig = (np.concatenate([x[k] for x in held]) for k in range(5))
+    ids, lens, flags, tokens, ends = (np.concatenate([x[k] for x in held]) for k in range(5))
     entries, where, back = np.unique(tokens, return_index=True, return_inverse=True)
-    seen = np.bincount(back[np.repeat(~out, lens)], minlength=len(entries))
-    row = [int.from_bytes(os.urandom(7), "little"), len(ids), len(tokens), len(entries), ids.tobytes(), _pack(lens.astype(np.uint32)), out.tobytes(), _pack(back.astype(np.uint32)), entries.tobytes(), seen.astype(np.uint32).tobytes(), sig[where].tobytes()]
-    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, [pa.int64()] * 4 + [pa.binary()] * 7, strict=True)], CHUNK.names)
+    seen = np.bincount(back[np.repeat(flags & 1 == 0, lens)], minlength=len(entries))
+    with np.errstate(over="ignore"):  # what deals texts to shards and rounds
+        deal = mix(np.add.reduceat(mix(tokens), np.cumsum(lens) - lens) + mix(ids.astype(np.uint64), 1), 1)
+    row = [int.from_bytes(os.urandom(7), "little"), len(ids), len(tokens), len(entries), ids.tobytes(), deal.tobytes(), _pack(lens.astype(np.uint32)), flags.tobytes(), _pack(back.astype(np.uint32)), entries.tobytes(), seen.astype(np.uint32).tobytes(), ends[where].tobytes()]
+    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, [pa.int64()] * 4 + [pa.binary()] * 8, strict=True)], CHUNK.names)
 
 
 class CHUNK:
-    names = ["chunk", "n_docs", "n_tokens", "n_entries", "ids", "lens", "held", "tokens", "entries", "seen", "sig"]
+    names = ["chunk", "n_docs", "n_tokens", "n_entries", "ids", "deal", "lens", "flags", "tokens", "entries", "seen", "ends"]
     schema = ", ".join(f"{n} {'bigint' if i < 4 else 'binary'}" for i, n in enumerate(names))
 
 
 def _to_shards(shards: int):
-    """(shard, chunk, entries, seen, sig): each dictionary cut by ranges of the hash."""
+    """(shard, chunk, entries, seen, ends): each dictionary cut by ranges of the hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, e, seen, sig in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                entries, seen, sig = np.frombuffer(e, np.uint64), np.frombuffer(seen, np.uint32), np.frombuffer(sig, np.uint8)
+            for chunk, e, seen, ends in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                entries, seen, ends = np.frombuffer(e, np.uint64), np.frombuffer(seen, np.uint32), np.frombuffer(ends, np.uint16)
                 shard = _shard(entries, shards)
                 at = np.flatnonzero(np.diff(shard, prepend=-1))  # entries are sorted, and so are their shards
-                yield pa.RecordBatch.from_arrays([pa.array(shard[at], pa.int32()), pa.array([chunk] * len(at), pa.int64()), *(pa.array([p.tobytes() for p in np.split(x, at[1:])], pa.binary()) for x in (entries, seen, sig))], ["shard", "chunk", "entries", "seen", "sig"])
+                yield pa.RecordBatch.from_arrays([pa.array(shard[at], pa.int32()), pa.array([chunk] * len(at), pa.int64()), *(pa.array([p.tobytes() for p in np.split(x, at[1:])], pa.binary()) for x in (entries, seen, ends))], ["shard", "chunk", "entries", "seen", "ends"])
 
     return run
 
@@ -125,24 +174,25 @@ def _shard(entries: np.ndarray, shards: int) -> np.ndarray:
     return ((entries >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
+COUNTED = "kind int, shard int, chunk bigint, counts binary, n bigint, v bigint, words binary, ends binary"
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by shard: counts for each dictionary that asked, the shard's leading words, and sums by tail class."""
+    """From rows sorted by shard: counts for each dictionary that asked (kind 0), and the shard's training words (kind 1)."""
 
     def answer(shard: int, rows: list) -> pa.RecordBatch:
         entries = np.concatenate([np.frombuffer(r[1], np.uint64) for r in rows])
         seen = np.concatenate([np.frombuffer(r[2], np.uint32) for r in rows]).astype(np.float64)
-        sig = np.concatenate([np.frombuffer(r[3], np.uint8) for r in rows])
+        ends = np.concatenate([np.frombuffer(r[3], np.uint16) for r in rows])
         words, where, back = np.unique(entries, return_index=True, return_inverse=True)
         total = np.bincount(back, seen, len(words)).astype(np.int64)
         sizes = [len(r[1]) // 8 for r in rows]
         each = [x.tobytes() for x in np.split(total[back], np.cumsum(sizes)[:-1])]
-        lead = np.lexsort((words, -total))[:HEAD]
-        lead = lead[total[lead] > 0]
-        top = np.stack([words[lead].view(np.int64), total[lead], sig[where][lead].astype(np.int64)], 1) if len(lead) else np.zeros((0, 3), np.int64)
-        known = total > 0
-        sums = np.stack([np.bincount(sig[where][known], total[known].astype(float), TAIL), np.bincount(sig[where][known], minlength=TAIL)], 1).astype(np.int64)
-        cols = [[0] * len(rows) + [1], [shard] * (len(rows) + 1), [r[0] for r in rows] + [None], [*each, None], [None] * len(rows) + [top.tobytes()], [None] * len(rows) + [sums.tobytes()]]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["kind", "shard", "chunk", "counts", "top", "sums"])
+        known = np.flatnonzero(total)
+        k = len(rows)
+        cols = [[0] * k + [1], [shard] * (k + 1), [r[0] for r in rows] + [None], [*each, _pack(total[known])], [None] * k + [int(total.sum())], [None] * k + [len(known)], [None] * k + [words[known].tobytes()], [None] * k + [ends[where[known]].tobytes()]]
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in COUNTED.split(", ")])
 
     now, rows = None, []
     for batch in batches:
@@ -156,201 +206,286 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield answer(now, rows)
 
 
-def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for top in batch.column(0).to_pylist():
-            t = np.frombuffer(top, np.int64).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(t[:, k])) for k in range(3)], ["word", "n", "sig"])
+def _words(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, counts and last bytes of a shard's training words."""
+    return np.frombuffer(row["words"], np.uint64), _unpack(row["counts"], np.int64, row["v"]), np.frombuffer(row["ends"], np.uint16)
 
 
-def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros((TAIL, 2), np.int64)
-    for batch in batches:
-        for b in batch.column(0).to_pylist():
-            total += np.frombuffer(b, np.int64).reshape(-1, 2)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(TAIL)), pa.array(np.ascontiguousarray(total[:, 0])), pa.array(np.ascontiguousarray(total[:, 1]))], ["sig", "n", "v"])
+def _leaders(most: int):
+    """(word, n): the leading words of each shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in _rows(batch):
+                words, n, _ = _words(row)
+                at = np.lexsort((words.view(np.int64), -n))[:most]
+                yield pa.RecordBatch.from_arrays([pa.array(words[at].view(np.int64)), pa.array(n[at])], ["word", "n"])
+
+    return run
+
+
+def _places(shape: Shape, head: np.ndarray, order: np.ndarray, words: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Symbols of words; ``head``: sorted hashes of those with symbols of their own, which are in ``order``."""
+    out = shape.tail(words, ends)
+    if len(head):
+        at = np.minimum(np.searchsorted(head, words), len(head) - 1)
+        own = head[at] == words
+        out[own] = order[at[own]]
+    return out
 
 
-def _symbols(known):
-    """Chunks with their counts: symbols of the tokens, and what needs no context."""
+def _sums(shape: Shape, head: np.ndarray, order: np.ndarray):
+    """(symbol, n, v): tokens and distinct words by symbol."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, order, tail, n, v = known.value
+        n, v = np.zeros(shape.symbols, np.int64), np.zeros(shape.symbols, np.int64)
+        for batch in batches:
+            for row in _rows(batch):
+                words, count, ends = _words(row)
+                at = _places(shape, head, order, words, ends)
+                n += np.bincount(at, count, shape.symbols).astype(np.int64)
+                v += np.bincount(at, minlength=shape.symbols)
+        own = np.flatnonzero(v)
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n[own]), pa.array(v[own])], ["symbol", "n", "v"])
+
+    return run
+
+
+def _symbols(known, shards: int, rounds: int):
+    """A row for each text from chunks with their counts: symbols of its tokens, and what needs no context."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shape, head, order, sums, n, v = known.value
         for batch in batches:
             for row in _rows(batch):
                 entries = np.frombuffer(row["entries"], np.uint64)
                 counts = np.concatenate([np.frombuffer(b, np.int64) for _, b in sorted((x["shard"], x["counts"]) for x in row["parts"])])
-                sig = np.frombuffer(row["sig"], np.uint8).astype(np.int64)
-                at = np.minimum(np.searchsorted(head, entries), len(head) - 1)
-                is_head = head[at] == entries
-                symbol = np.where(is_head, order[at], HEAD + sig).astype(np.uint16)
-                share = np.where(is_head, 0.0, np.log10((counts + 1) / (tail[sig, 0] + tail[sig, 1] + 1)))
+                symbol = _places(shape, head, order, entries, np.frombuffer(row["ends"], np.uint16))
+                share = np.where(symbol < shape.head, 0.0, np.log10((counts + 1) / (sums[symbol].sum(1) + 1)))
                 base = np.log10((counts + 1) / (n + v + 1))
                 tokens = _unpack(row["tokens"], np.uint32, row["n_tokens"])
                 lens = _unpack(row["lens"], np.uint32, row["n_docs"]).astype(np.int64)
                 cut = np.cumsum(lens) - lens
                 each = [np.add.reduceat(x[tokens], cut) for x in (base, share, (counts > 0).astype(np.int64))]
-                out = [row["chunk"], row["n_docs"], row["n_tokens"], row["ids"], row["lens"], row["held"], _pack(symbol[tokens]), each[0].tobytes(), each[1].tobytes(), each[2].tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(out, [pa.int64()] * 3 + [pa.binary()] * 7, strict=True)], SYMBOL.names)
+                flags, deal = np.frombuffer(row["flags"], np.uint8), np.frombuffer(row["deal"], np.uint64)
+                ids = pa.array(np.frombuffer(row["ids"], np.int64), mask=flags & 2 != 0)
+                texts = _binary(symbol[tokens].astype(shape.kind), np.append(cut, len(tokens)))
+                shard, turn = (deal >> np.uint64(32)) % np.uint64(shards), (deal & np.uint64(0xFFFFFFFF)) % np.uint64(rounds)
+                out = [pa.array(shard.astype(np.int32)), pa.array(turn.astype(np.int32)), pa.array(deal.view(np.int64)), ids, pa.array(flags & 1 != 0), pa.array(lens), pa.array(each[2]), pa.array(each[0]), pa.array(each[1]), texts]
+                whole = pa.RecordBatch.from_arrays(out, SYMBOL.names)
+                for at in range(0, whole.num_rows, 4096):
+                    yield whole.slice(at, 4096)
 
     return run
 
 
+def _binary(x: np.ndarray, first: np.ndarray) -> pa.Array:
+    """Stretches of an array as binary values."""
+    return pa.Array.from_buffers(pa.binary(), len(first) - 1, [None, pa.py_buffer((first * x.itemsize).astype(np.int32)), pa.py_buffer(x)])
+
+
 class SYMBOL:
-    names = ["chunk", "n_docs", "n_tokens", "ids", "lens", "held", "symbols", "base", "share", "known"]
-    schema = ", ".join(f"{n} {'bigint' if i < 3 else 'binary'}" for i, n in enumerate(names))
+    names = ["shard", "turn", "deal", "doc_id", "held", "n_tokens", "known", "base", "share", "symbols"]
+    schema = "shard int, turn int, deal bigint, doc_id bigint, held boolean, n_tokens bigint, known bigint, base double, share double, symbols binary"
 
 
-def contexts(symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The three symbols before each token; START before a text's first."""
-    out = np.full((3, len(symbols)), START, np.int64)
-    place = np.arange(len(symbols)) - np.repeat(first[:-1], np.diff(first))
+def contexts(symbols: np.ndarray, place: np.ndarray, at: slice, start: int) -> np.ndarray:
+    """The three symbols before each token of a stretch; ``start`` before a text's first.  place: of each token in its text."""
+    out = np.full((3, at.stop - at.start), start, np.int64)
     for back in range(1, 4):
-        own = place >= back
-        out[back - 1, own] = symbols[np.flatnonzero(own) - back]
+        own = np.flatnonzero(place[at] >= back)
+        out[back - 1, own] = symbols[own + (at.start - back)]
     return out
 
 
 def _hash(x: np.ndarray, salt: int, rows: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return ((x.astype(np.uint64) + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % rows
+        return ((x.astype(np.uint64) + np.uint64(salt << 40)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % rows
 
 
-def features(context: np.ndarray, head_class: np.ndarray | None = None) -> list[np.ndarray]:
-    """Rows of the weight table for each token: of the class factor, or of the word factor within ``head_class``."""
+def class_features(shape: Shape, context: np.ndarray) -> list[np.ndarray]:
+    """Rows of the class factor's weights for each token."""
     one, two, three = context
-    wide = SYMBOLS + 1
-    if head_class is None:
-        return [_hash(one, 1 << 40, CLASS_ROWS), _hash(two, 2 << 40, CLASS_ROWS), _hash(one * wide + two, 3 << 40, CLASS_ROWS), _hash(three, 4 << 40, CLASS_ROWS)]
-    return [_hash(head_class, 5 << 40, WORD_ROWS), _hash(one * HEAD_CLASSES + head_class, 6 << 40, WORD_ROWS), _hash(two * HEAD_CLASSES + head_class, 7 << 40, WORD_ROWS)]
+    return [_hash(x, k, shape.rows) for k, x in enumerate((one, two, one * (shape.symbols + 1) + two, three), 1)]
+
+
+def member_features(shape: Shape, context: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
+    """Rows of the member factor's weights for each token, whose class is ``own``."""
+    one, two, _ = context
+    return [_hash(x, k, shape.rows) for k, x in enumerate((own, one * 2 * shape.side + own, two * 2 * shape.side + own), 5)]
 
 
-def _sum_rows(table: np.ndarray, rows: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
+def _scores(table: np.ndarray, rows: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
+    """Exponents of each token's choices, kept within bounds that neither overflow nor sum to nothing."""
     out = np.take(table, rows[0], axis=0)
     some = np.empty_like(out)
     for r in rows[1:]:
         out += np.take(table, r, axis=0, out=some, mode="clip")
     out += bias
-    return out
-
+    return np.clip(out, -STEEP, STEEP, out=out)
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    """Probabilities, in the place of ``z``."""
-    z -= z.max(1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
-    return z
 
+def _by_row(gradient: np.ndarray, order: np.ndarray, cut: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Sums of the gradients of each feature row; ``order`` has tokens by row, ``cut`` where each row begins.
 
-def _log_softmax(z: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The natural log of the probability at y; ``z`` is lost."""
-    z -= z.max(1, keepdims=True)
-    own = z[np.arange(len(y)), y]
-    np.exp(z, out=z)
-    return own - np.log(z.sum(1))
+    Most rows have a few tokens: the first four of each are added as arrays, only what is left one row after the other.
+    """
+    out = np.take(gradient, order[cut], axis=0)
+    for k in range(1, 4):
+        some = np.flatnonzero(count > k)
+        if not len(some):
+            return out
+        out[some] += np.take(gradient, order[cut[some] + k], axis=0)
+    some = np.flatnonzero(count > 4)
+    if len(some):
+        left = count[some] - 4
+        begin = np.cumsum(left) - left
+        at = np.arange(int(left.sum())) + np.repeat(cut[some] + 4 - begin, left)
+        out[some] += np.add.reduceat(np.take(gradient, order[at], axis=0), begin, axis=0)
+    return out
 
 
 class Weights:
-    """Feature weights of both factors and biases by class and by word."""
-
-    def __init__(self, head_counts: np.ndarray, tail: np.ndarray):
-        by_class = np.concatenate([head_counts.reshape(HEAD_CLASSES, CLASS).sum(1), tail[:, 0]])
-        self.bias = np.log((by_class + 1) / (by_class + 1).sum()).astype(np.float32)
-        words = head_counts.reshape(HEAD_CLASSES, CLASS) + 0.5
-        self.word_bias = np.log(words / words.sum(1, keepdims=True)).astype(np.float32)
-        self.classes = np.zeros((CLASS_ROWS, CLASSES), np.float32)
-        self.words = np.zeros((WORD_ROWS, CLASS), np.float32)
-
-    def log10(self, symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """log10 P(class) * P(word within a head class) of each token."""
-        context = contexts(symbols, first)
-        cls = np.where(symbols < HEAD, symbols // CLASS, HEAD_CLASSES + symbols - HEAD)
+    """Feature weights and step sizes of both factors, and biases by class and by member."""
+
+    def __init__(self, shape: Shape, sums: np.ndarray):
+        """sums: training tokens and distinct words by symbol."""
+        self.shape = shape
+        table = sums[:, 0].reshape(2 * shape.side, shape.side).astype(np.float64)
+        exists = np.ones(table.shape, bool)  # a symbol of its own without a word is never chosen; a bucket may be
+        exists[: shape.side] = table[: shape.side] > 0
+        every = exists.sum(1)
+        by_class = np.where(every > 0, table.sum(1) + 1, 0)
+        some = np.where(exists, table + 0.5, 0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            self.bias = np.where(every > 0, np.log(by_class / by_class.sum()), NONE).astype(np.float32)
+            self.member_bias = np.where(exists, np.log(some / some.sum(1, keepdims=True)), NONE).astype(np.float32)
+        self.tables = [np.zeros((shape.rows, 2 * shape.side), np.float32), np.zeros((shape.rows, shape.side), np.float32)]
+        self.steps = [np.full(shape.rows, 0.1, np.float32) for _ in range(2)]
+
+    def factors(self, symbols: np.ndarray, place: np.ndarray, at: slice) -> list[tuple]:
+        """For each factor and a stretch of tokens: feature rows, biases and the choice taken."""
+        context = contexts(symbols, place, at, self.shape.symbols)
+        own, member = symbols[at] // self.shape.side, symbols[at] % self.shape.side
+        return [(class_features(self.shape, context), self.bias, own), (member_features(self.shape, context, own), self.member_bias[own], member)]
+
+    def log10(self, symbols: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """log10 P(class) * P(member) of each token."""
         out = np.empty(len(symbols))
-        for at in range(0, len(symbols), BATCH):
-            s = slice(at, at + BATCH)
-            out[s] = _log_softmax(_sum_rows(self.classes, features(context[:, s]), self.bias), cls[s])
-            h = np.flatnonzero(symbols[s] < HEAD) + at
-            if len(h):
-                z = _sum_rows(self.words, features(context[:, h], cls[h]), self.word_bias[cls[h]])
-                out[h] += _log_softmax(z, symbols[h] % CLASS)
+        for at in _stretches(len(symbols)):
+            total = 0
+            for table, (rows, bias, choice) in zip(self.tables, self.factors(symbols, place, at), strict=True):
+                z = _scores(table, rows, bias)
+                own = z[np.arange(len(choice)), choice].astype(np.float64)
+                total = total + own - np.log(np.exp(z, out=z) @ np.ones(z.shape[1], np.float32))
+            out[at] = total
         return out / np.log(10)
 
+    def flat(self) -> np.ndarray:
+        """Everything that learning changes, as one array."""
+        return np.concatenate([x.ravel() for x in (*self.tables, *self.steps)])
+
+    def moved(self, change: np.ndarray) -> Weights:
+        """These weights and step sizes with a change added."""
+        out = object.__new__(Weights)
+        out.shape, out.bias, out.member_bias = self.shape, self.bias, self.member_bias
+        new, at = [], 0
+        for x in (*self.tables, *self.steps):
+            new.append((x.ravel() + change[at : at + x.size]).reshape(x.shape).astype(np.float32))
+            at += x.size
+        out.tables, out.steps = new[:2], new[2:]
+        return out
+
+    def copy(self) -> Weights:
+        return self.moved(np.zeros(sum(x.size for x in (*self.tables, *self.steps)), np.float32))
+
+    def learn(self, symbols: np.ndarray, place: np.ndarray) -> None:
+        """Adaptive gradient steps, a batch at a time; a feature row's step size falls with the gradients it has seen."""
+        for at in _stretches(len(symbols)):
+            for table, size, (rows, bias, choice) in zip(self.tables, self.steps, self.factors(symbols, place, at), strict=True):
+                p = _scores(table, rows, bias)
+                np.exp(p, out=p)
+                p *= (1 / (p @ np.ones(p.shape[1], np.float32)))[:, None]
+                p[np.arange(len(p)), choice] -= 1
+                for r in rows:
+                    ranked = np.sort(r * BATCH + np.arange(len(r)))
+                    order, ranked = ranked % BATCH, ranked // BATCH
+                    cut = np.flatnonzero(np.diff(ranked, prepend=-1))
+                    count = np.diff(np.append(cut, len(ranked)))
+                    g = _by_row(p, order, cut, count)
+                    g /= np.sqrt(count).astype(np.float32)[:, None]
+                    own = ranked[cut]
+                    size[own] = np.sqrt(size[own] ** 2 + np.einsum("ij,ij->i", g, g) * np.float32(4 / g.shape[1]))
+                    g *= (np.float32(RATE / len(rows)) / size[own])[:, None]
+                    table[own] -= g
+
+
+def _stretches(n: int) -> list[slice]:
+    return [slice(at, min(at + BATCH, n)) for at in range(0, n, BATCH)]
+
+
+def _gathered(rows, kind) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """(rows, symbols, places in the text) of some texts at once, from rows that end in a text's symbols."""
+    held, n = [], 0
+    for row in rows:
+        held.append(row)
+        n += len(row[-1])
+        if n >= HELD * np.dtype(kind).itemsize:
+            yield _flat(held, kind)
+            held, n = [], 0
+    if held:
+        yield _flat(held, kind)
+
+
+def _flat(held: list, kind) -> tuple[list, np.ndarray, np.ndarray]:
+    symbols = np.frombuffer(b"".join(r[-1] for r in held), kind).astype(np.int64)
+    lens = np.array([len(r[-1]) for r in held]) // np.dtype(kind).itemsize
+    return held, symbols, np.arange(len(symbols)) - np.repeat(np.cumsum(lens) - lens, lens)
 
-class _Learner:
-    """Adaptive gradient steps on one task's copy of the weights."""
-
-    def __init__(self, weights: Weights):
-        self.w = weights
-        self.classes, self.words = weights.classes.copy(), weights.words.copy()
-        self.g_classes, self.g_words = np.full(self.classes.shape, 1e-2, np.float32), np.full(self.words.shape, 1e-2, np.float32)
-        self.tokens = 0
-
-    @staticmethod
-    def _step(table, squares, rows, gradient) -> None:
-        for r in rows:
-            order = np.argsort(r.astype(np.uint16), kind="stable")
-            ranked = r[order]
-            cut = np.flatnonzero(np.diff(ranked, prepend=-1))
-            g = np.add.reduceat(np.take(gradient, order, axis=0), cut, axis=0)
-            g /= np.sqrt(np.diff(np.append(cut, len(ranked))))[:, None]
-            own = ranked[cut]
-            squares[own] += g * g
-            table[own] -= (RATE / len(rows)) * g / np.sqrt(squares[own])
-
-    def learn(self, symbols: np.ndarray, first: np.ndarray) -> None:
-        context = contexts(symbols, first)
-        cls = np.where(symbols < HEAD, symbols // CLASS, HEAD_CLASSES + symbols - HEAD)
-        for at in range(0, len(symbols), BATCH):
-            s = slice(at, at + BATCH)
-            rows = features(context[:, s])
-            p = _softmax(_sum_rows(self.classes, rows, self.w.bias))
-            p[np.arange(len(p)), cls[s]] -= 1
-            self._step(self.classes, self.g_classes, rows, p)
-            h = np.flatnonzero(symbols[s] < HEAD) + at
-            if len(h):
-                rows = features(context[:, h], cls[h])
-                p = _softmax(_sum_rows(self.words, rows, self.w.word_bias[cls[h]]))
-                p[np.arange(len(p)), symbols[h] % CLASS] -= 1
-                self._step(self.words, self.g_words, rows, p)
-        self.tokens += len(symbols)
-
-
-def _train(sent, turn: int, rounds: int):
-    """(part, tokens, change): what a task's tokens of this round change in each part of the weights."""
+
+def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator]]:
+    """(shard, its rows), from rows (shard, symbols) that come shard by shard."""
+    from itertools import groupby
+
+    rows = ((s, x) for batch in batches for s, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+    return ((s, own) for s, own in groupby(rows, key=lambda r: r[0]))
+
+
+CHANGE = "part int, bucket int, shard int, tokens bigint, change binary"
+
+
+def _train(sent):
+    """(part, bucket, shard, tokens, change): what each shard's tokens of this round change in each part of the weights."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learner = _Learner(sent.value)
-        for batch in batches:
-            for row in _rows(batch):
-                symbols, first, _, held = _texts(row)
-                use = np.flatnonzero(~held)
-                use = use[mix(np.frombuffer(row["ids"], np.int64)[use].astype(np.uint64)) % np.uint64(rounds) == turn]
-                if len(use):
-                    lens = np.diff(first)
-                    own = np.repeat(np.isin(np.arange(len(lens)), use), lens)
-                    learner.learn(symbols[own], np.concatenate([[0], np.cumsum(lens[use])]))
-        if learner.tokens:
-            change = np.concatenate([(learner.classes - learner.w.classes).ravel(), (learner.words - learner.w.words).ravel()]).astype(np.float16)
-            parts = np.split(change, PARTS)
-            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([learner.tokens] * PARTS, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "tokens", "change"])
+        weights = sent.value
+        for shard, rows in _by_shard(batches):
+            own, n = weights.copy(), 0
+            for _, symbols, place in _gathered(rows, weights.shape.kind):
+                own.learn(symbols, place)
+                n += len(symbols)
+            change = (own.flat() - weights.flat()).astype(np.float16)
+            for k, at in enumerate(range(0, len(change), PART)):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([shard % BUCKETS], pa.int32()), pa.array([shard], pa.int32()), pa.array([n], pa.int64()), pa.array([change[at : at + PART].tobytes()], pa.binary())], ["part", "bucket", "shard", "tokens", "change"])
 
     return run
 
 
-def _mean(kind):
-    """(part, tokens, change): the mean change of each part, weighted by tokens, from rows sorted by part; ``kind``: their number type."""
+def _mean(kind, keys: int):
+    """The mean change of each part (and bucket: keys = 2), weighted by tokens, from rows in a fixed order; ``kind``: their number type."""
 
-    def row(part, total, n):
-        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n], pa.int64()), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], ["part", "tokens", "change"])
+    def row(key, total, n):
+        bucket = key[1] if keys == 2 else 0
+        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([bucket], pa.int32()), pa.array([0], pa.int32()), pa.array([n], pa.int64()), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], ["part", "bucket", "shard", "tokens", "change"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, total, n = None, None, 0
         for batch in batches:
-            for part, tokens, change in zip(*(batch.column(k).to_pylist() for k in ("part", "tokens", "change")), strict=True):
-                if part != now:
+            for part, bucket, _, tokens, change in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                if (part, bucket)[:keys] != now:
                     if now is not None:
                         yield row(now, total, n)
-                    now, total, n = part, 0.0, 0
+                    now, total, n = (part, bucket)[:keys], 0.0, 0
                 total, n = total + tokens * np.frombuffer(change, kind).astype(np.float64), n + tokens
         if now is not None:
             yield row(now, total, n)
@@ -364,71 +499,65 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
         yield batch.slice(i, 1).to_pylist()[0]
 
 
-def _texts(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    lens = _unpack(row["lens"], np.uint32, row["n_docs"]).astype(np.int64)
-    return _unpack(row["symbols"], np.uint16, row["n_tokens"]).astype(np.int64), np.concatenate([[0], np.cumsum(lens)]), lens, np.frombuffer(row["held"], bool)
+RESULT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
 def _score(sent, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = sent.value
         for batch in batches:
-            for row in _rows(batch):
-                symbols, first, lens, held = _texts(row)
-                score = np.add.reduceat(weights.log10(symbols, first), first[:-1]) + np.frombuffer(row["share"])
-                ids = np.frombuffer(row["ids"], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(held), pa.array(lens), pa.array(np.frombuffer(row["known"], np.int64)), pa.array(np.full(len(ids), n)), pa.array(np.frombuffer(row["base"])), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            score = batch.column("share").to_numpy().copy()
+            texts = ((i, x) for i, x in enumerate(batch.column("symbols").to_pylist()))
+            for rows, symbols, place in _gathered(texts, weights.shape.kind):
+                at = np.flatnonzero(place == 0)
+                score[rows[0][0] : rows[-1][0] + 1] += np.add.reduceat(weights.log10(symbols, place), at)
+            own = [batch.column(c) for c in ("doc_id", "held", "n_tokens", "known")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(np.full(len(score), n)), batch.column("base"), pa.array(score)], [x.split()[0] for x in RESULT.split(", ")])
 
     return run
 
 
-def score(docs: DataFrame, held_out, rounds: int = ROUNDS) -> DataFrame:
+def _ordered(texts: DataFrame, shards: int) -> DataFrame:
+    """Texts written shard by shard, one file each, which no reader splits: a file is one row group."""
+    spark, path = texts.sparkSession, fresh_path(texts.sparkSession, "lm-symbols")
+    own = texts.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "doc_id", "deal", "symbols")
+    own.write.option("parquet.block.size", 1 << 40).option("parquet.block.row.count.limit", (1 << 31) - 1).parquet(path)
+    return spark.read.schema(SYMBOL.schema).parquet(path)
+
+
+def score(docs: DataFrame, held_out, rounds: int = ROUNDS, most_bytes: int = 1 << 29) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs``.
 
     docs: an integer doc_id and text.  held_out: a boolean column of rows that teach nothing.
+    most_bytes: bound of the feature weights, which every task holds three times and the driver once.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.coalesce(held_out, F.lit(True)).alias("held"))
     chunks = materialise(rows.mapInArrow(_chunks, CHUNK.schema), "lm-chunks")
     entries = chunks.agg(F.sum("n_entries")).first()[0] or 0
-    shards = max(1, -(-entries // SHARD_ENTRIES))
-    asked = chunks.select("chunk", "entries", "seen", "sig").mapInArrow(_to_shards(shards), "shard int, chunk bigint, entries binary, seen binary, sig binary")
-    counted = asked.repartition("shard").sortWithinPartitions("shard").mapInArrow(_count, "kind int, shard int, chunk bigint, counts binary, top binary, sums binary")
-    counted = materialise(counted, "lm-counts")
-    sums = counted.where("kind = 1").select("sums").mapInArrow(_sums, "sig bigint, n bigint, v bigint").groupBy("sig").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).toArrow()
-    tail = np.zeros((TAIL, 2), np.int64)
-    for sig, n, v in zip(*(sums.column(k).to_pylist() for k in range(3)), strict=True):
-        tail[sig] = n, v
-    n, v = int(tail[:, 0].sum()), int(tail[:, 1].sum())
-    top = counted.where("kind = 1").select("top").mapInArrow(_leaders, "word bigint, n bigint, sig bigint").where(F.col("word") != int(END)).orderBy(F.desc("n"), "word").limit(HEAD - 1).toArrow()
-    words = np.concatenate([[END], top.column(0).to_numpy().view(np.uint64)])
-    ends = chunks.select("n_docs", "held").mapInArrow(_ends, "n bigint").agg(F.sum("n")).first()[0] or 0
-    counts = np.zeros(HEAD, np.int64)
-    counts[: len(words)] = np.concatenate([[ends], top.column(1).to_numpy()])
-    tail[0] -= ends, int(ends > 0)  # an end has no last bytes: its class is 0
-    np.subtract.at(tail, top.column(2).to_numpy(), np.stack([top.column(1).to_numpy(), np.ones(top.num_rows, np.int64)], 1))
-    rank = np.argsort(-counts[: len(words)], kind="stable")
-    order = np.argsort(words[rank])
-    known = spark.sparkContext.broadcast((words[rank][order], order.astype(np.int64), tail, n, v))
+    asked = chunks.select("chunk", "entries", "seen", "ends").mapInArrow(_to_shards(max(1, -(-entries // SHARD_ENTRIES))), "shard int, chunk bigint, entries binary, seen binary, ends binary")
+    counted = materialise(asked.repartition("shard").sortWithinPartitions("shard").mapInArrow(_count, COUNTED), "lm-counts")
+    words = counted.where("kind = 1").select("counts", "n", "v", "words", "ends")
+    n, v = (x or 0 for x in words.agg(F.sum("n"), F.sum("v")).first())
+    shape = Shape.of(n, v, most_bytes)
+    top = words.mapInArrow(_leaders(shape.head), "word bigint, n bigint").orderBy(F.desc("n"), "word").limit(shape.head).toArrow()
+    head = top.column(0).to_numpy().view(np.uint64)
+    order = np.argsort(head)
+    head = head[order]
+    sums = np.zeros((shape.symbols, 2), np.int64)
+    found = words.mapInArrow(_sums(shape, head, order), "symbol bigint, n bigint, v bigint").groupBy("symbol").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).toArrow()
+    sums[found.column(0).to_numpy()] = np.stack([found.column(1).to_numpy(), found.column(2).to_numpy()], 1)
+    shards = shape.shards(n)
+    known = spark.sparkContext.broadcast((shape, head, order.astype(np.int64), sums, n, v))
     back = counted.where("kind = 0").groupBy("chunk").agg(F.collect_list(F.struct("shard", "counts")).alias("parts"))
-    joined = chunks.join(back, "chunk").select("chunk", "n_docs", "n_tokens", "ids", "lens", "held", "tokens", "entries", "sig", "parts")
-    symbols = materialise(joined.mapInArrow(_symbols(known), SYMBOL.schema), "lm-symbols")
-    weights = Weights(np.sort(counts)[::-1].astype(np.float64) if len(words) == HEAD else np.concatenate([counts[: len(words)][rank], counts[len(words) :]]).astype(np.float64), tail.astype(np.float64))
+    joined = chunks.join(back, "chunk").select("n_docs", "n_tokens", "ids", "deal", "lens", "flags", "tokens", "entries", "ends", "parts")
+    symbols = _ordered(joined.mapInArrow(_symbols(known, shards, rounds), SYMBOL.schema), shards)
+    weights = Weights(shape, sums)
     for turn in range(rounds if n else 0):
         sent = spark.sparkContext.broadcast(weights)
-        changes = symbols.select("n_docs", "n_tokens", "ids", "lens", "held", "symbols").mapInArrow(_train(sent, turn, rounds), "part int, tokens bigint, change binary")
-        spread = changes.withColumn("bucket", F.pmod(F.spark_partition_id(), F.lit(BUCKETS)))
-        some = spread.repartition("part", "bucket").sortWithinPartitions("part").select("part", "tokens", "change").mapInArrow(_mean(np.float16), "part int, tokens bigint, change binary")
-        mean = some.repartition("part").sortWithinPartitions("part").mapInArrow(_mean(np.float32), "part int, tokens bigint, change binary").toArrow().sort_by("part")
+        changes = symbols.where(~F.col("held") & (F.col("turn") == turn)).select("shard", "symbols").mapInArrow(_train(sent), CHANGE)
+        some = changes.repartition("part", "bucket").sortWithinPartitions("part", "bucket", "shard").mapInArrow(_mean(np.float16, 2), CHANGE)
+        mean = some.repartition("part").sortWithinPartitions("part", "bucket").mapInArrow(_mean(np.float32, 1), CHANGE).select("part", "change").toArrow().sort_by("part")
         if mean.num_rows:
-            change = np.concatenate([np.frombuffer(b, np.float32) for b in mean.column("change").to_pylist()])
-            cut = weights.classes.size
-            weights.classes = weights.classes + change[:cut].reshape(weights.classes.shape)
-            weights.words = weights.words + change[cut:].reshape(weights.words.shape)
-    return symbols.mapInArrow(_score(spark.sparkContext.broadcast(weights), n), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
-
-
-def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One end for each text that teaches."""
-    n = sum(int((~np.frombuffer(h, bool)).sum()) for batch in batches for h in batch.column(1).to_pylist())
-    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+            weights = weights.moved(np.concatenate([np.frombuffer(b, np.float32) for b in mean.column("change").to_pylist()]))
+    return symbols.select("doc_id", "held", "n_tokens", "known", "base", "share", "symbols").mapInArrow(_score(spark.sparkContext.broadcast(weights), n), RESULT)

@@ -3,7 +3,8 @@
 A source with share p of the tokens gets weight p**e / sum of p**e.  The
 exponent e = k / STEPS lies between 0 (all sources alike) and 1 (as they are):
 entropy falls and the most repeated source is repeated less as it rises, so
-either target fixes it, found by bisection on k.
+either target fixes it.  It is found by bisection on k, several midpoints to a
+job: each round takes 16 exponents between the ends and keeps the part that holds the target.
 
 * ``entropy``: the largest e whose weights have at least this share of the
   entropy of equal weights.
@@ -25,7 +26,7 @@ rows that repeat a doc_id (or have none) and source share their fate.  An empty
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.plans.workspace import materialise, unused
@@ -84,7 +85,7 @@ def plan(docs: DataFrame, entropy: float | None = None, repeats: float | None =
     weighted = weighted.withColumn("epochs", F.floor(F.col("budget") / F.col("t"))).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("t"))
     same = F.col("source").eqNullSafe(F.col("s"))
     own = rows.join(weighted.withColumnRenamed("source", "s"), same, "left").drop("s")
-    keyed = own.withColumn("key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), F.col("doc_id").cast("string")).cast("binary")))
+    keyed = own.withColumn("key", _key(seed, F.col("epochs")))
     keyed = materialise(keyed.withColumn("block", F.substring("key", 1, 3)), "mix-keys")
     blocks = keyed.where("n_tokens > 0").groupBy("source", "block").agg(F.sum("n_tokens").alias("size"), F.first("rest").alias("rest"))
     before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -99,6 +100,28 @@ def plan(docs: DataFrame, entropy: float | None = None, repeats: float | None =
     return every.select("doc_id", "source", "n_tokens", F.lit(k).alias("k"), "weight", "budget", copies.alias("copies"))
 
 
+def schedule(docs: DataFrame, entropy: float | None = None, repeats: float | None = None, budget_share: float = 1.0, seed: int = 0) -> DataFrame:
+    """The plan as the blocks that are read: a row for each document and epoch in which it is drawn.
+
+    epoch (from 0), block (of 4,096) and position (from 0 in the epoch's block) say
+    when: a source is read by epoch, block and position.  Documents that are never
+    drawn have one row without them.
+    """
+    planned = plan(docs, entropy, repeats, budget_share, seed)
+    each = planned.withColumn("epoch", F.explode_outer(F.when(F.col("copies") > 0, F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1))))
+    keyed = each.withColumn("key", F.when(F.col("epoch").isNotNull(), _key(seed, F.col("epoch"))))
+    placed = keyed.withColumn("block", F.conv(F.substring("key", 1, 3), 16, 10).cast("int"))
+    inside = Window.partitionBy("source", "epoch", "block").orderBy("key", "doc_id")
+    drawn = placed.where("epoch is not null").withColumn("position", F.row_number().over(inside) - 1)
+    never = placed.where("epoch is null").withColumn("position", F.lit(None).cast("int"))
+    return drawn.unionByName(never).drop("key")
+
+
+def _key(seed: int, epoch) -> Column:
+    """What orders the documents of a source in an epoch."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.col("doc_id").cast("string")).cast("binary"))
+
+
 def mixed(docs: DataFrame, entropy: float | None = None, repeats: float | None = None, budget_share: float = 1.0, seed: int = 0) -> DataFrame:
     """The rows of ``docs``, each as often as the plan draws it, with all their columns."""
     ident, source, times, turn = (unused(docs, n) for n in ("mix_id", "mix_source", "mix_copies", "mix_copy"))

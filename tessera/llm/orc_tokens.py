@@ -5,7 +5,8 @@ ascending file names are ascending ids.  The ids of a document are one list of
 ints, which ORC stores with its second integer run-length encoding; each stripe
 carries row indexes (minimum and maximum of every 10,000 rows) and a Bloom
 filter on doc_id.  A reader can take stripes in parallel, and a filter on doc_id
-skips files, stripes and row groups from the metadata alone.
+skips files, stripes and row groups from the metadata alone.  A third column, the
+row's number in its file, costs a few bytes a stripe; it orders rows of one doc_id.
 
 Tokenisation calls the ``tokenizers`` library on the distinct runs of text
 between white space of each slice, a few thousand at once, with a special
@@ -31,7 +32,7 @@ from tessera.plans.workspace import materialise
 
 from .bpe import gather, white_bounds
 from .runs import Runs
-from .text import Slice, slices, word_hashes
+from .text import Slice, distinct_words, slices, word_hashes
 
 #: Options of Spark's ORC writer.
 ORC = {
@@ -43,6 +44,9 @@ ORC = {
     "orc.bloom.filter.fpp": "0.01",
 }
 BETWEEN = "<|startoftext|>"
+SCHEMA = "doc_id bigint, ids array<int>, row bigint"
+#: Stored bytes of input for a file of ids.
+FILE_BYTES = 64 << 20
 
 
 class LibraryEncoder:
@@ -80,12 +84,13 @@ class LibraryEncoder:
         starts, stops, first = white_bounds(part.data, part.offsets)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(part.n + 1, np.int64)
-        keys, where, back = np.unique(word_hashes(part.data, starts, stops), return_index=True, return_inverse=True)
+        keys, checks = (word_hashes(part.data, starts, stops, lane) for lane in range(2))
+        where, back = distinct_words(keys, checks)
 
         def new(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             return self._runs([raw[a:b].decode() for a, b in zip(starts[where[which]].tolist(), stops[where[which]].tolist(), strict=True)])
 
-        flat, begin, lens = self.met.ids(keys, new)
+        flat, begin, lens = self.met.ids(keys[where], checks[where], new)
         ids, sizes = gather(flat, begin[back], lens[back])
         return ids, np.concatenate([[0], np.cumsum(sizes)])[first]
 
@@ -104,13 +109,14 @@ def _tool(spec: str) -> LibraryEncoder:
 def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 1, files: int | None = None) -> None:
     """Write doc_id and ids of every row of ``docs`` (doc_id, text; nothing else is read), in ascending doc_id order.
 
-    files: how many; by default one for each shuffle partition.
+    files: how many; by default one for each shuffle partition, or for each
+    FILE_BYTES of stored input if those are more, so that no task grows with the corpus.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     spec = docs.sparkSession.sparkContext.broadcast(open(tokenizer_file, encoding="utf-8").read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = _tool(spec.value)
+        tool, row = _tool(spec.value), 0
         for batch in batches:
             for part in slices(batch):
                 ids, first = tool.encode(part)
@@ -119,16 +125,23 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 1, file
                 to = np.arange(len(ids)) + np.repeat(np.arange(part.n), lens)
                 out[to] = ids
                 cut = (first + np.arange(part.n + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.rows.column(0), pa.ListArray.from_arrays(pa.array(cut), pa.array(out))], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([part.rows.column(0), pa.ListArray.from_arrays(pa.array(cut), pa.array(out)), pa.array(np.arange(row, row + part.n))], ["doc_id", "ids", "row"])
+                row += part.n
 
-    n = files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = files or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-_stored_bytes(docs) // FILE_BYTES))
     ordered = docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(run, "doc_id bigint, ids array<int>").write.options(**ORC).orc(path)
+    ordered.mapInArrow(run, SCHEMA).write.options(**ORC).orc(path)
+
+
+def _stored_bytes(docs: DataFrame) -> int:
+    """What the planner knows of the input's size; 0 if it knows nothing."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id and ids, with filters on doc_id pushed to the ORC metadata."""
-    return spark.read.schema("doc_id bigint, ids array<int>").orc(path)
+    """doc_id, ids and row, with filters on doc_id pushed to the ORC metadata."""
+    return spark.read.schema(SCHEMA).orc(path)
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,20 +150,20 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = ids.offsets.to_numpy()
         flat = ids.values.to_numpy(zero_copy_only=False).astype("<u4")
         crc = [zlib.crc32(flat[cut[i] : cut[i + 1]].tobytes()) for i in range(batch.num_rows)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.diff(cut), pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "file", "n_tokens", "ids_crc32"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(np.diff(cut), pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "file", "row", "n_tokens", "ids_crc32"])
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document in the files.
 
     ``start`` is a sum over the files before, of which there is one row each,
-    plus a running sum within the file.
+    plus a running sum within the file, in the order of its rows.
     """
-    rows = read(spark, path).select("doc_id", "ids", F.col("_metadata.file_name").alias("file")).mapInArrow(_digest, "doc_id bigint, file string, n_tokens bigint, ids_crc32 bigint")
+    rows = read(spark, path).select("doc_id", "ids", F.col("_metadata.file_name").alias("file"), "row").mapInArrow(_digest, "doc_id bigint, file string, row bigint, n_tokens bigint, ids_crc32 bigint")
     rows = materialise(rows, "token-digests")
     sums = rows.groupBy("file").agg(F.sum("n_tokens").alias("size"), F.min("doc_id").alias("low"))
-    before = Window.orderBy("low", "file").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(F.col("low").asc_nulls_first(), "file").rowsBetween(Window.unboundedPreceding, -1)
     files = sums.withColumn("base", F.coalesce(F.sum("size").over(before), F.lit(0))).select("file", "base")
-    inside = Window.partitionBy("file").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.join(files, "file").withColumn("inner", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
     return placed.select("doc_id", (F.col("base") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32")

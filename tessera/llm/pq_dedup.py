@@ -4,7 +4,9 @@ Vectors are scaled to length one; equal ones collapse into a class first, so
 a vector that thousands share is searched once.  Coarse centroids cut the space
 into inverted lists; the residual against a vector's centroid is coded in
 ``PARTS`` subspaces of 256 codewords each.  Both are fitted on the driver from
-at most ``SAMPLE`` classes, drawn by a hash of the vector.
+about ``SAMPLE`` classes, or ``SAMPLE_A_LIST`` for each list, drawn by a hash of
+the vector.  There is a list for every 2,048 vectors, and beyond 4,096 lists as
+many as grow with the square root of the vectors: centroids fit a driver at any size.
 
 Every class is indexed, and asks every list that may hold a vector within reach
 of the threshold.  Only two bounds rule a list out: its centroid is further away
@@ -35,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,18 +46,20 @@ from tessera.plans.workspace import materialise
 
 from .text import mix
 
-SAMPLE = 20_000
+#: Vectors that centroids are fitted on, or so many for each list if those are more.
+SAMPLE, SAMPLE_A_LIST = 20_000, 20
 PARTS = 16
 #: A list holds LIST classes or more while there are fewer than FEW_LISTS lists, and LONG_LIST beyond: each list asked is a row.
 LIST, FEW_LISTS, LONG_LIST = 256, 32, 2048
-MOST_LISTS = 4096
+#: Beyond this many lists their number grows with the square root of the vectors.
+MANY_LISTS = 4096
 BLOCK = 4096
 #: Room for rounding: of single-precision distances, and of squared ones that choose a class's own list.
 SLACK = 1e-4
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
-    return vectors / np.sqrt((vectors * vectors).sum(1, keepdims=True))
+    return vectors / np.sqrt(np.einsum("ij,ij->i", vectors, vectors))[:, None]
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 0) -> np.ndarray:
@@ -138,21 +143,27 @@ class Bounds:
 
 
 def _usable():
-    """(vec_id, key, width, unit): unit vectors as bytes; null where a vector links with nothing."""
+    """(vec_id, unit, width): unit vectors as bytes; null where a vector links with nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, widths = [], []
-            vectors = batch.column(1)
-            for v in vectors:
-                x = np.array(v.as_py(), np.float64) if v.is_valid and None not in (w := v.as_py()) and len(w) else np.zeros(0)
-                ok = len(x) and np.isfinite(x).all() and x.any()
-                if ok:
-                    x = x / np.abs(x).max()
-                    x = x / np.sqrt(x @ x)
-                keys.append(x.tobytes() if ok else None)
-                widths.append(len(x) if ok else 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(widths, pa.int32())], ["vec_id", "unit", "width"])
+            lists = batch.column(1)
+            lens = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = lists.flatten()  # without the components of null lists
+            x = flat.cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False)
+            units = np.empty(len(lens), object)
+            widths = np.zeros(len(lens), np.int32)
+            begin = np.cumsum(lens) - lens
+            for width in np.unique(lens[lens > 0]).tolist():
+                rows = np.flatnonzero(lens == width)
+                own = x[(begin[rows][:, None] + np.arange(width)).ravel()].reshape(-1, width)
+                most = np.abs(own).max(1)
+                fine = np.isfinite(own).all(1) & (most > 0)
+                own = unit(own[fine] / most[fine][:, None])
+                for i, v in zip(rows[fine].tolist(), own, strict=True):
+                    units[i] = v.tobytes()
+                widths[rows[fine]] = width
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(units, pa.binary()), pa.array(widths)], ["vec_id", "unit", "width"])
 
     return run
 
@@ -276,6 +287,12 @@ def forest(pairs: np.ndarray) -> list[tuple[int, int]]:
     return [(int(ids[i]), int(ids[label[i]])) for i in range(len(ids)) if label[i] != i]
 
 
+def list_count(size: int) -> int:
+    """Lists for so many different vectors."""
+    few = max(1, min(size // LIST, FEW_LISTS), size // LONG_LIST)
+    return few if few <= MANY_LISTS else max(MANY_LISTS, int(np.sqrt(size) * MANY_LISTS / np.sqrt(MANY_LISTS * LONG_LIST)))
+
+
 def near_vectors(vectors: DataFrame, cosine: float = 0.9, probes: int = 1, lists: int | None = None) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of ``vectors`` (vec_id, embedding; nothing else is read).
 
@@ -289,10 +306,12 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, probes: int = 1, lists
     edges, counts = [], []
     for width, size in sorted((r.width, r.n) for r in classes.groupBy("width").agg(F.count("*").alias("n")).collect()):
         own = classes.where(F.col("width") == width)
-        part = min(1.0, SAMPLE / size)
-        sample = own.where(F.pmod(F.xxhash64("unit"), F.lit(1 << 20)) < int(part * (1 << 20))).select("unit").limit(2 * SAMPLE).toArrow().column(0).to_pylist() if part < 1 else own.select("unit").toArrow().column(0).to_pylist()
+        count = lists or list_count(size)
+        wanted = max(SAMPLE, SAMPLE_A_LIST * count)
+        part = min(1.0, wanted / size)
+        sample = own.where(F.pmod(F.xxhash64("unit"), F.lit(1 << 20)) < int(part * (1 << 20))).select("unit").limit(2 * wanted).toArrow().column(0).to_pylist() if part < 1 else own.select("unit").toArrow().column(0).to_pylist()
         x = np.frombuffer(b"".join(sorted(sample)), np.float64).reshape(-1, width)
-        quantiser = Quantiser(x, lists or int(np.clip(max(min(size // LIST, FEW_LISTS), size // LONG_LIST), 1, MOST_LISTS)))
+        quantiser = Quantiser(x, count)
         sent = spark.sparkContext.broadcast(quantiser)
         coded = materialise(own.select("rep", "n", "unit").mapInArrow(_coded(sent), "home int, own double, rep bigint, n bigint, unit binary, code binary, error double"), "coded")
         bounds = Bounds(len(quantiser.coarse), coded.groupBy("home").agg(F.max("own").alias("radius"), F.count("*").alias("size")).collect())

@@ -5,6 +5,7 @@ Each query applies its operator to the whole table with production parameters.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,9 +13,8 @@ from tessera.plans.workspace import fresh_path, materialise
 
 from . import bpe, exact_dedup, langid, maxent_lm, mixing, orc_tokens, pq_dedup, setsketch, substring_dedup, token_counts
 
-#: Where the vocabulary files of public tokenizers lie, unless a caller says otherwise.
-TOKENIZERS = "/opt/tokenizers"
-TOKENIZER_FILE = f"{TOKENIZERS}/word_bpe_49k.json"
+#: The vocabulary file of the queries; operators take any path.
+TOKENIZER_FILE = str(public_tokenizers.path("word_bpe_49k.json"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,8 +69,8 @@ MIX_REPEATS = 1.5
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = mixing.plan(documents(spark, sf_dir), repeats=MIX_REPEATS)
-    return plan.withColumn("weight", F.round("weight", 9))
+    drawn = mixing.schedule(documents(spark, sf_dir), repeats=MIX_REPEATS)
+    return drawn.withColumn("weight", F.round("weight", 9))
 
 
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,10 +131,14 @@ SQL = {
         w AS (SELECT source, t, e.k::INTEGER AS k, pow(p, e.k / {mixing.STEPS}::DOUBLE) / (SELECT z FROM g WHERE g.k = e.k) AS weight, total FROM p, e),
         b AS (SELECT *, floor(weight * total)::BIGINT AS budget, floor(floor(weight * total) / t)::BIGINT AS epochs FROM w),
         x AS (SELECT d.doc_id, d.source, n_tokens, k, weight, budget, epochs, budget - epochs * t AS rest, md5('0:' || epochs || ':' || doc_id) AS key FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source),
-        y AS (SELECT *, sum(n_tokens) OVER (PARTITION BY source, substr(key, 1, 3)) AS size, sum(n_tokens) OVER (PARTITION BY source ORDER BY key) AS upto FROM x)
-        SELECT doc_id, source, n_tokens, k, round(weight, 9) AS weight, budget, (epochs + CASE WHEN upto - n_tokens < rest THEN 1 ELSE 0 END)::BIGINT AS copies FROM y WHERE n_tokens > 0
+        y AS (SELECT *, sum(n_tokens) OVER (PARTITION BY source ORDER BY key) AS upto FROM x),
+        c AS (SELECT doc_id, source, n_tokens, k, round(weight, 9) AS weight, budget, CASE WHEN n_tokens = 0 THEN 0 ELSE epochs + CASE WHEN upto - n_tokens < rest THEN 1 ELSE 0 END END::BIGINT AS copies FROM y),
+        t AS (SELECT *, unnest(range(0, copies)) AS epoch FROM c),
+        m AS (SELECT *, md5('0:' || epoch || ':' || doc_id) AS key FROM t)
+        SELECT doc_id, source, n_tokens, k, weight, budget, copies, epoch::BIGINT AS epoch, ('0x' || substr(key, 1, 3))::INTEGER AS block,
+               (row_number() OVER (PARTITION BY source, epoch, substr(key, 1, 3) ORDER BY key, doc_id) - 1)::INTEGER AS position FROM m
         UNION ALL
-        SELECT doc_id, source, n_tokens, k, round(weight, 9), budget, 0::BIGINT FROM y WHERE n_tokens = 0""",
+        SELECT *, NULL, NULL, NULL FROM c WHERE copies = 0""",
     "op9_setsketch": rf"""
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
         p AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0),

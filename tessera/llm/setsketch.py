@@ -9,9 +9,9 @@ are the larger ones of the parts', and two sets share a register about as often
 as they share elements.
 
 1. One pass over the texts: set size, a 128-bit signature of the set, registers.
-2. Documents with equal sets collapse into a class, known by its smallest id;
-   only class representatives go on, so copies cost one row.
-3. Bands of ``ROWS`` registers put representatives in buckets.  Each member is
+2. Documents with equal sets collapse into a class; only classes go on, so
+   copies cost one row.
+3. Bands of ``ROWS`` registers put classes in buckets.  Each member is
    paired with the smallest of its bucket, not with every other one.
 4. A pair is given up only if the joint likelihood of its registers, given both
    exact set sizes, is e**16 times smaller for every similarity at or above the
@@ -19,17 +19,21 @@ as they share elements.
    the whole texts.
 5. Buckets that still hold several components are searched in full, block
    against block: every pair of members of different components is estimated,
-   and verified if it can't be ruled out, without a row for each pair.
+   and verified if it can't be ruled out, without a row for each pair.  Members
+   of the bucket's largest component never meet each other, so a hot group costs
+   its size times the number of blocks of the others.
 
 With 48 bands of 5 a pair at 0.75 shares no bucket in 2 cases of a million.
 
 Null text counts as empty.  An empty table gives an empty result.  Rows that
-repeat a doc_id all get a row; classes go by their smallest id, and if two
-classes have the same one, the texts of either may stand for it.
+repeat a doc_id all get a row, each with its own set's links: classes go by a
+number of their own, not by an id.  Rows without a doc_id link like others; a
+component without any id has none, and its rows are all kept.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +50,8 @@ BANDS, ROWS = 48, 5
 REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, 65534
 GIVE_UP = 16.0
+#: Elements of all sets in a cell, about; one document's set may be more.
+CELL_ELEMENTS = 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(77))
 _FLIP = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint64).astype(np.uint32)
@@ -63,15 +69,16 @@ def registers(elements: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(h) / np.log(BASE)), 0, TOP + 1).astype(np.uint16)
 
 
-def distinct(elements: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each row's distinct elements in order, and each row's first one."""
+def distinct(elements: np.ndarray, first: np.ndarray, checks: np.ndarray | None = None) -> tuple:
+    """Each row's distinct elements in order, and each row's first one; with ``checks``, those of the elements that stay."""
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
     order = np.argsort(elements, kind="stable")
     order = order[np.argsort(row[order], kind="stable")]
     e, r = elements[order], row[order]
     new = np.ones(len(e), bool)
     new[1:] = (e[1:] != e[:-1]) | (r[1:] != r[:-1])
-    return e[new], np.searchsorted(r[new], np.arange(len(first)))
+    begin = np.searchsorted(r[new], np.arange(len(first)))
+    return (e[new], begin) if checks is None else (e[new], begin, checks[order][new])
 
 
 def _sketches(size: int):
@@ -79,7 +86,9 @@ def _sketches(size: int):
         for batch in batches:
             for part in slices(batch):
                 hashes, _, _, first = words_of(part, True)
-                e, begin = distinct(*shingles(hashes, first, size))
+                other, *_ = words_of(part, True, 1)
+                checks, _ = shingles(other, first, size, 1)
+                e, begin, checks = distinct(*shingles(hashes, first, size), checks)
                 counts = np.diff(begin)
                 full = np.flatnonzero(counts)
                 sums = np.zeros((2, part.n), np.uint64)
@@ -88,10 +97,11 @@ def _sketches(size: int):
                     cut = np.append(begin[:-1][full], begin[-1])
                     with np.errstate(over="ignore"):
                         sums[0, full] = np.add.reduceat(mix(e), cut[:-1])
-                        sums[1, full] = np.add.reduceat(mix(e ^ np.uint64(0x1B873593CC9E2D51)), cut[:-1])
+                        sums[1, full] = np.add.reduceat(checks, cut[:-1])
                     for i, r in zip(full, registers(e, cut), strict=True):
                         regs[i] = r.tobytes()
-                yield pa.RecordBatch.from_arrays([part.rows.column(0), pa.array(counts, pa.int64()), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(regs, pa.binary())], ["doc_id", "n_shingles", "s0", "s1", "regs"])
+                marks = [zlib.crc32(part.text(i)) for i in range(part.n)]
+                yield pa.RecordBatch.from_arrays([part.rows.column(0), pa.array(counts, pa.int64()), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(marks, pa.int64()), pa.array(regs, pa.binary())], ["doc_id", "n_shingles", "s0", "s1", "t", "regs"])
 
     return run
 
@@ -156,14 +166,13 @@ def _verify(size: int, percent: int):
 
 def _linked(pairs: DataFrame, regs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) that reach the threshold: registers first, then full sets."""
-    kind = texts.schema["doc_id"].dataType.simpleString()
-    one = regs.select(F.col("doc_id").alias("a"), F.col("regs").alias("ra"), F.col("n_shingles").alias("na"))
-    two = regs.select(F.col("doc_id").alias("b"), F.col("regs").alias("rb"), F.col("n_shingles").alias("nb"))
+    one = regs.select(F.col("class").alias("a"), F.col("regs").alias("ra"), F.col("n_shingles").alias("na"))
+    two = regs.select(F.col("class").alias("b"), F.col("regs").alias("rb"), F.col("n_shingles").alias("nb"))
     tested = pairs.join(one, "a").join(two, "b").where(F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb"))
-    likely = materialise(tested.select("a", "b", "ra", "rb", "na", "nb").mapInArrow(_likely(percent / 100), f"a {kind}, b {kind}"), "likely")
-    ta = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    tb = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    return materialise(likely.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(_verify(size, percent), f"a {kind}, b {kind}"), "links")
+    likely = materialise(tested.select("a", "b", "ra", "rb", "na", "nb").mapInArrow(_likely(percent / 100), "a bigint, b bigint"), "likely")
+    ta = texts.select(F.col("class").alias("a"), F.col("text").alias("ta"))
+    tb = texts.select(F.col("class").alias("b"), F.col("text").alias("tb"))
+    return materialise(likely.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(_verify(size, percent), "a bigint, b bigint"), "links")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int, most: int = 1 << 30) -> Iterator[pa.Table]:
@@ -278,26 +287,33 @@ def _verify_cells(size: int, percent: int):
     return run
 
 
-def _across(bands: DataFrame, parts: DataFrame, regs: DataFrame, texts: DataFrame, size: int, percent: int, block: int = 512, cell: int = 256) -> DataFrame:
+def _across(bands: DataFrame, parts: DataFrame, regs: DataFrame, texts: DataFrame, size: int, percent: int, block: int = 1024, cell: int = 256) -> DataFrame:
     """Every link between members of one bucket that are not connected yet.
 
     Buckets are searched block against block in numpy, so that no row is made
     for a pair: a block sends the pairs that registers can't rule out, packed,
-    to cells of ``cell`` by ``cell`` documents, where full sets settle them.
+    to cells of about ``cell`` by ``cell`` documents, or fewer where sets are
+    large, where full sets settle them.
     """
     placed = bands.join(parts, "id", "left").select("id", "key", "band", F.coalesce("component", "id").alias("component"))
-    split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-    open_rows = placed.join(split.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "key")
-    open_rows = materialise(open_rows, "open")
-    cells = max(1, -(-open_rows.select("id").distinct().count() // cell))
-    own = open_rows.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int")).withColumn("home", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(cells)))
-    own = own.join(regs.select(F.col("doc_id").alias("id"), "n_shingles", "regs"), "id")
-    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other"))
+    split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    open_rows = materialise(placed.join(split.select("key"), "key", "left_semi"), "open")
+    shares = open_rows.groupBy("key", "component").agg(F.count("*").alias("n"))
+    sizes = shares.groupBy("key").agg(F.max_by("component", F.col("n")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"))
+    few, many = F.ceil((F.col("n") - F.col("most")) / block).cast("int"), F.ceil(F.col("most") / block).cast("int")
+    count, elements = open_rows.select("id").distinct().join(regs, F.col("id") == F.col("class")).agg(F.count("*"), F.sum("n_shingles")).first()
+    cells = max(1, -(-count // cell), -(-(elements or 0) // CELL_ELEMENTS))
+    draw, inside = F.xxhash64("id", F.lit(1)), F.col("component") == F.col("main")
+    own = open_rows.join(sizes.select("key", "main", few.alias("few"), many.alias("many")), "key")
+    own = own.withColumn("block", F.when(inside, F.col("few") + F.pmod(draw, F.col("many"))).otherwise(F.pmod(draw, F.col("few"))).cast("int")).withColumn("home", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(cells)))
+    own = own.join(regs.select(F.col("class").alias("id"), "n_shingles", "regs"), "id")
+    others = F.when(inside, F.col("few")).otherwise(F.col("few") + F.col("many"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), others - 1))).withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other"))
     dealt = dealt.select("key", "p", "q", "band", "id", "component", "n_shingles", "block", "home", "regs").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
     packed = dealt.mapInArrow(_block_pairs(percent / 100, block), "ci bigint, cj bigint, pairs binary")
     packed = materialise(packed.repartition("ci", "cj"), "packed")
     wanted = packed.mapInArrow(_members, "ci bigint, cj bigint, id bigint").distinct()
-    docs = wanted.join(texts, F.col("id") == F.col("doc_id")).select("ci", "cj", F.lit(0).alias("kind"), "id", "text", F.lit(None).cast("binary").alias("pairs"))
+    docs = wanted.join(texts, F.col("id") == F.col("class")).select("ci", "cj", F.lit(0).alias("kind"), "id", "text", F.lit(None).cast("binary").alias("pairs"))
     both = docs.unionByName(packed.select("ci", "cj", F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("string").alias("text"), "pairs"))
     return materialise(both.repartition("ci", "cj").sortWithinPartitions("ci", "cj", "kind").mapInArrow(_verify_cells(size, percent), "a bigint, b bigint"), "links")
 
@@ -308,21 +324,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
     docs: an integer doc_id and text; further columns are left out.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    sketches = materialise(docs.mapInArrow(_sketches(words), "doc_id bigint, n_shingles bigint, s0 bigint, s1 bigint, regs binary"), "sketches")
-    classes = materialise(sketches.where("n_shingles > 0").groupBy("s0", "s1", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
-    regs = sketches.where("n_shingles > 0").join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    regs = materialise(regs.select("doc_id", "n_shingles", "regs"), "registers")
-    keys = F.array(*(F.xxhash64(F.lit(i), F.expr(f"substring(regs, {2 * ROWS * i + 1}, {2 * ROWS})")) for i in range(BANDS)))
-    bands = materialise(regs.select(F.col("doc_id").alias("id"), F.posexplode(keys).alias("band", "key")), "bands")
+    sketches = materialise(docs.mapInArrow(_sketches(words), "doc_id bigint, n_shingles bigint, s0 bigint, s1 bigint, t bigint, regs binary"), "sketches")
+    grouped = sketches.where("n_shingles > 0").groupBy("s0", "s1", "n_shingles").agg(F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "t", "regs")).alias("one"))
+    classes = materialise(grouped.withColumn("class", F.monotonically_increasing_id()), "classes")  # numbers that stay as they were written
+    bands = materialise(classes.select(F.col("class").alias("id"), F.posexplode(F.array(*(F.xxhash64(F.lit(i), F.expr(f"substring(one.regs, {2 * ROWS * i + 1}, {2 * ROWS})")) for i in range(BANDS)))).alias("band", "key")), "bands")
     hubs = bands.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
     bands = materialise(bands.join(hubs, "key"), "shared-bands")  # only buckets of two or more go on
-    near = bands.select(F.col("id").alias("doc_id")).distinct()
-    texts = materialise(docs.join(near, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "near-texts")
-    regs = materialise(regs.join(near, "doc_id", "left_semi"), "near-registers")
+    near = classes.join(bands.select(F.col("id").alias("class")).distinct(), "class", "left_semi")
+    regs = materialise(near.select("class", "n_shingles", "one.regs", F.col("one.doc_id").alias("of"), F.col("one.t").alias("of_t")), "near-registers")
+    numbered = docs.withColumn("t", F.crc32(F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))))
+    texts = numbered.join(regs.select("class", "of", "of_t"), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("t") == F.col("of_t")))
+    texts = materialise(texts.select("class", "text").dropDuplicates(["class"]), "near-texts")
     stars = bands.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     links = _linked(stars, regs, texts, words, percent)
     more = _across(bands.drop("hub"), components(links, "a", "b"), regs, texts, words, percent)
     parts = components(links.unionByName(more), "a", "b")
-    member = sketches.select("doc_id", "n_shingles", "s0", "s1").join(classes, ["s0", "s1", "n_shingles"], "left")
-    placed = member.join(parts, F.col("rep") == F.col("id"), "left")
-    return placed.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    known = classes.select("s0", "s1", "n_shingles", "low", F.col("class").alias("id")).join(parts, "id", "left").withColumn("part", F.coalesce("component", "id"))
+    lowest = known.where("component is not null").groupBy("part").agg(F.min("low").alias("least"))
+    known = known.join(lowest, "part", "left").select("s0", "s1", "n_shingles", F.when(F.col("component").isNull(), F.col("low")).otherwise(F.col("least")).alias("least"), F.lit(True).alias("has"))
+    member = sketches.select("doc_id", "n_shingles", "s0", "s1").join(known, ["s0", "s1", "n_shingles"], "left")
+    return member.select("doc_id", "n_shingles", F.when(F.col("has"), F.col("least")).otherwise(F.col("doc_id")).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

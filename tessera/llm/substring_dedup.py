@@ -16,7 +16,7 @@ whatever the size of the corpus: that is the only thing broadcast.  A fuller
 sketch lets more windows through and loses none.
 
 Second pass: windows whose anchor is estimated repeated go into an exact
-grouping by a 96-bit hash of their word sequence.  Places of one window that
+grouping by two independent hashes of their word sequence, 96 bits in all.  Places of one window that
 meet in one task are settled there, so that a passage in a third of all
 documents sends one row from each task.
 
@@ -212,8 +212,8 @@ def _flagged(size: int, sketch):
                 if not len(at):
                     continue
                 full, _ = gram_hashes(hashes, first, size)
-                with np.errstate(over="ignore"):
-                    check, _ = gram_hashes(mix(hashes ^ np.uint64(0x5DEECE66D1234567)), first, size)
+                other, *_ = words_of(part, False, 1)
+                check, _ = gram_hashes(other, first, size, 1)
                 row = np.searchsorted(first, at, "right") - 1
                 own, back = np.unique(row, return_inverse=True)
                 marks = np.array([zlib.crc32(part.text(i)) for i in own], np.int64)

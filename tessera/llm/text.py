@@ -19,9 +19,12 @@ import pyarrow.compute as pc
 
 SLICE_BYTES = 2 << 20
 
-_rng = np.random.Generator(np.random.PCG64(20240611))
-_BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Two lanes of constants, so that two hashes of one word have nothing in common but its bytes.
+_STEP = np.array([0x9E3779B97F4A7C15, 0xD1342543DE82EF95], np.uint64)
+_SEED = np.array([0x243F6A8885A308D3, 0x13198A2E03707344], np.uint64)
+_FIRST = np.array([0xFF51AFD7ED558CCD, 0xBF58476D1CE4E5B9], np.uint64)
+_SECOND = np.array([0xC4CEB9FE1A85EC53, 0x94D049BB133111EB], np.uint64)
+_KEEP = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -92,89 +95,123 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, stops, np.searchsorted(starts, offsets)
 
 
-def mix(h: np.ndarray) -> np.ndarray:
-    """A bijective scrambling of 64-bit values."""
-    h = h ^ (h >> np.uint64(33))
-    h = h * np.uint64(0xFF51AFD7ED558CCD)
-    h ^= h >> np.uint64(33)
-    h = h * np.uint64(0xC4CEB9FE1A85EC53)
-    h ^= h >> np.uint64(33)
-    return h
-
-
-def powers(n: int, base: np.uint64 = _BASE) -> np.ndarray:
-    """base**0 .. base**n, modulo 2**64."""
+def mix(h: np.ndarray, lane: int = 0) -> np.ndarray:
+    """A bijective scrambling of 64-bit values; each lane is another one."""
+    shift = np.uint64(33 - lane * 3)
     with np.errstate(over="ignore"):
-        out = np.ones(n + 1, np.uint64)
-        out[1:] = base
-        return np.multiply.accumulate(out)
-
-
-def inverse(base: np.uint64 = _BASE) -> np.uint64:
-    """The inverse of an odd number modulo 2**64."""
-    return np.uint64(pow(int(base), -1, 1 << 64))
-
-
-_POWERS = {False: powers(0), True: powers(0, inverse())}
-
-
-def _power(n: int, inverted: bool) -> np.ndarray:
-    if len(_POWERS[inverted]) <= n:
-        if n > 4 * SLICE_BYTES:  # one very long text: not kept
-            return powers(n, inverse() if inverted else _BASE)
-        _POWERS[inverted] = powers(max(n, 1 << 16) * 5 // 4, inverse() if inverted else _BASE)
-    return _POWERS[inverted]
+        h = h ^ (h >> shift)
+        h *= _FIRST[lane]
+        h ^= h >> np.uint64(33 - lane * 6)
+        h *= _SECOND[lane]
+        h ^= h >> np.uint64(33 - lane * 2)
+    return h
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, wherever the word stands.
+def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, lane: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word's bytes, wherever the word stands; the lanes are independent of each other.
 
-    Polynomial over random 64-bit codes of the bytes, taken from prefix sums
-    and brought to a common exponent; the length enters before the scrambling.
+    Eight bytes at a time are scrambled with the key of their place in the
+    word, and the results added up; nothing is a polynomial in the bytes.  The
+    last eight are filled with zeros, and the length enters with them, so words
+    of up to eight bytes and one length never collide in either lane.
     """
     if len(starts) == 0:
         return np.zeros(0, np.uint64)
+    padded = np.empty(len(data) + 8, np.uint8)
+    padded[: len(data)], padded[len(data) :] = data, 0
+    eights = np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
+    lens = stops - starts
+    with np.errstate(over="ignore"):
+        x = eights[starts] & _KEEP[np.minimum(lens, 8)]
+        h = mix(x + lens.astype(np.uint64) * _STEP[lane] + _SEED[lane], lane)
+        long = np.flatnonzero(lens > 8)
+        if len(long):
+            more = (lens[long] - 1) // 8  # eights after the first
+            begin = np.cumsum(more) - more
+            for a in range(0, len(long), 1 << 16):  # in stretches, so that memory is bounded by the longest word
+                some, own = long[a : a + (1 << 16)], more[a : a + (1 << 16)]
+                place = np.arange(int(own.sum())) - np.repeat(begin[a : a + (1 << 16)] - begin[a], own) + 1
+                at = np.repeat(starts[some], own) + 8 * place
+                x = eights[at] & _KEEP[np.minimum(np.repeat(stops[some], own) - at, 8)]
+                x = mix(x ^ mix(place.astype(np.uint64) * _STEP[lane] + _SEED[1 - lane], 1 - lane), lane)
+                h[some] += np.add.reduceat(x, begin[a : a + (1 << 16)] - begin[a])
+            h[long] = mix(h[long], lane)
+    return h
+
+
+def _joined(left: np.ndarray, right: np.ndarray, size: int, lane: int) -> np.ndarray:
+    """Hashes of what ``left`` and the ``size`` words of ``right`` after it hold."""
     with np.errstate(over="ignore"):
-        prefix = np.empty(len(data) + 1, np.uint64)
-        prefix[0] = 0
-        np.cumsum(_BYTE[data] * _power(len(data), False)[: len(data)], out=prefix[1:])
-        h = (prefix[stops] - prefix[starts]) * _power(len(data), True)[starts]
-        return mix(h + (stops - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        h = left * _SECOND[1 - lane]
+        h += right ^ (np.uint64(size) * _STEP[lane])
+        h ^= h >> np.uint64(31)
+        h *= _FIRST[lane]
+        h ^= h >> np.uint64(29)
+    return h
+
 
+def gram_hashes(words: np.ndarray, first: np.ndarray, size: int, lane: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the ``size`` words from each word on, and which of them stay within their row.
 
-def gram_hashes(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the ``size`` words from each word on, and which of them stay within their row."""
+    Runs of 1, 2, 4 ... words are scrambled two by two, so that the work grows
+    with the logarithm of ``size`` and the hash isn't linear in the words.
+    """
     n = len(words)
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(0, bool)
-    with np.errstate(over="ignore"):
-        prefix = np.empty(n + 1, np.uint64)
-        prefix[0] = 0
-        np.cumsum(words * _power(n, False)[:n], out=prefix[1:])
-        at = np.arange(n)
-        stop = np.minimum(at + size, n)
-        h = mix((prefix[stop] - prefix[at]) * _power(n, True)[:n])
-    row_end = np.repeat(first[1:], np.diff(first))
-    return h, at + size <= row_end
-
-
-def shingles(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    at = np.arange(n)
+    whole = at + size <= np.repeat(first[1:], np.diff(first))
+    if size > n:
+        return words.copy(), whole
+    part, length, done, out = words, 1, 0, None
+    while True:
+        if size & length:  # each piece goes before what is done: the longest comes first
+            cut = n - done - length + 1
+            out = part[:cut].copy() if out is None else _joined(part[:cut], out[length : length + cut], done, lane)
+            done += length
+        if length * 2 > size:
+            break
+        cut = n - 2 * length + 1
+        part, length = _joined(part[:cut], part[length : length + cut], length, lane), length * 2
+    h = np.zeros(n, np.uint64)
+    h[: len(out)] = out
+    return mix(h, lane), whole
+
+
+def shingles(words: np.ndarray, first: np.ndarray, size: int, lane: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each row's runs of ``size`` words (the whole row if it is shorter), and each row's first one."""
-    h, whole = gram_hashes(words, first, size)
+    h, whole = gram_hashes(words, first, size, lane)
     counts = np.diff(first)
-    short = (counts > 0) & (counts < size)
-    if short.any():
-        with np.errstate(over="ignore"):
-            for i in np.flatnonzero(short):
-                own = words[first[i] : first[i + 1]]
-                h[first[i]] = mix(np.array([(own * powers(len(own))[:-1]).sum() + np.uint64(len(own))], np.uint64))[0]
-        whole[first[:-1][short]] = True
+    for short in range(1, size):
+        rows = np.flatnonzero(counts == short)
+        if len(rows):
+            at = first[:-1][rows]
+            own, _ = gram_hashes(words[(at[:, None] + np.arange(short)).ravel()], np.arange(len(rows) + 1) * short, short, lane)
+            with np.errstate(over="ignore"):
+                h[at] = mix(own[::short] + np.uint64(short), lane)
+            whole[at] = True
     kept = np.flatnonzero(whole)
     return h[kept], np.searchsorted(kept, first)
 
 
-def words_of(part: Slice, lowered: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def distinct_words(hashes: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each distinct word first stands, in the order of its hash, and each word's place among the distinct ones.
+
+    Words are the same if both hashes agree.
+    """
+    _, where, back = np.unique(hashes, return_index=True, return_inverse=True)
+    if (checks[where][back] == checks).all():
+        return where, back
+    order = np.lexsort((checks, hashes))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(hashes[order]) != 0) | (np.diff(checks[order]) != 0)
+    back = np.empty(len(order), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return order[new], back
+
+
+def words_of(part: Slice, lowered: bool, lane: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, starts and ends of the words of a slice, and each row's first word."""
     data = lower(part.data) if lowered else part.data
     starts, stops, first = word_bounds(data, part.offsets)
-    return word_hashes(data, starts, stops), starts, stops, first
+    return word_hashes(data, starts, stops, lane), starts, stops, first

@@ -19,3 +19,12 @@ def words(text):
 
 def lowered(text):
     return (text or "").encode().lower().split()
+
+
+def thue_morse(n, a="a", b="b"):
+    """The word whose k-th letter says whether k has an odd number of ones; polynomials modulo 2**64 can't tell a long one from its mirror."""
+    return "".join(a if bin(i).count("1") % 2 == 0 else b for i in range(n))
+
+
+#: Pairs of words that polynomial hashes take for one.
+TWINS = [(thue_morse(n), thue_morse(n, "b", "a")) for n in (1024, 2048, 4096)]

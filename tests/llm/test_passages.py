@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest_llm import ODD, rows_of, words
+from conftest_llm import ODD, TWINS, rows_of, words
 
 from tessera.llm import exact_dedup, setsketch, substring_dedup
 from tessera.llm import text as T
@@ -62,6 +62,22 @@ def test_passages_of_odd_rows(odd, none):
     assert substring_dedup.remove_repeats(none, 35).count() == 0
 
 
+def test_passages_tell_twin_words_apart(spark):
+    for one, two in TWINS:
+        rest = " ".join(f"w{k}" for k in range(34))
+        docs = [(1, f"{one} {rest}"), (2, f"{two} {rest}"), (3, f"x {one} {rest}")]
+        got = substring_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id bigint, text string"), 35, 16)
+        assert rows_of(got, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_passages(docs, 35)
+        assert {r.doc_id: r.n_removed for r in got.collect()} == {1: 35, 2: 0, 3: 35}
+
+
+def test_the_sketch_has_a_bounded_size(spark):
+    rng = random.Random(8)
+    docs = [(i, " ".join(str(rng.randrange(10**6)) for _ in range(3000))) for i in range(40)] * 2
+    sketch = substring_dedup.count_min(spark.createDataFrame(docs, "doc_id bigint, text string"), 35, 18)
+    assert 0 < sum(len(c) for _, c, _ in sketch["blocks"]) <= 2 * 2**18 // 8
+
+
 def test_a_full_sketch_loses_nothing(spark):
     docs = [(i, " ".join(f"d{i}w{k}" for k in range(400))) for i in range(40)] + [(99, " ".join(f"d7w{k}" for k in range(100, 200)))]
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
@@ -128,6 +144,38 @@ def test_near_duplicates_of_odd_rows(odd, none):
     assert setsketch.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_tell_twin_words_apart(spark):
+    docs = [(k, t) for k, t in enumerate(x for one, two in TWINS for x in (one, two, f"{one} a b c d e", f"{two} a b c d e", f"A {one}", f"a {one}"))]
+    got = setsketch.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    assert rows_of(got, "doc_id", "n_shingles", "component_id", "kept") == brute_near(docs)
+
+
+def test_rows_of_one_id_have_their_own_links(spark):
+    base = [f"w{k}" for k in range(60)]
+    other = [f"x{k}" for k in range(60)]
+    near = lambda w: " ".join([*w[:-1], "new"])
+    docs = [(1, " ".join(base)), (1, " ".join(other)), (3, near(other)), (4, near(base)), (5, "alone here"), (None, near(base) + " more"), (None, "nothing like it"), (1, "alone too")]
+    got = setsketch.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3))
+    want = [(1, 1, True), (1, 1, True), (3, 1, False), (4, 1, False), (5, 5, True), (None, 1, False), (None, None, True), (1, 1, True)]
+    assert rows_of(got, "doc_id", "component_id", "kept") == sorted(want, key=str)
+
+
+def test_a_large_component_meets_only_the_rest(spark, monkeypatch):
+    """Two groups that share buckets, one of them large, with the links between them found whatever the block."""
+    inner = setsketch._across
+    monkeypatch.setattr(setsketch, "_across", lambda *a: inner(*a, block=4, cell=3))
+    rng = random.Random(12)
+    base = [f"w{k}" for k in range(120)]
+    docs = []
+    for i in range(60):
+        w = list(base)
+        for _ in range(i // 12):
+            w[rng.randrange(120)] = f"n{rng.random()}"
+        docs.append((i, " ".join(w)))
+    got = setsketch.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    assert rows_of(got, "doc_id", "n_shingles", "component_id", "kept") == brute_near(docs)
+
+
 def test_pairs_across_blocks_are_found(spark, monkeypatch):
     """Small blocks and cells: the search across components must not depend on them."""
     inner = setsketch._across
@@ -225,3 +273,35 @@ def test_word_hashes_ignore_place_and_slices_cut_anywhere():
             for w, x in zip(tokens, own, strict=True):
                 assert want.setdefault(w, x) == x
         assert len(set(want.values())) == len(want)
+
+
+def test_hashes_are_of_the_bytes_and_lanes_are_independent():
+    def hashes(words, lane=0):
+        data = np.frombuffer(b" ".join(w.encode() for w in words), np.uint8)
+        starts, stops, first = T.word_bounds(data, np.array([0, len(data)]))
+        return T.word_hashes(data, starts, stops, lane)
+
+    rng = random.Random(2)
+    words = sorted({"".join(rng.choice("ab") for _ in range(rng.randint(1, 40))) for _ in range(5000)} | {w for pair in TWINS for w in pair} | {"a" * k for k in range(1, 200)})
+    for lane in range(2):
+        own = hashes(words, lane)
+        assert len(np.unique(own)) == len(words)
+        assert (own[::-1] == hashes(words[::-1], lane)).all()
+        assert len(np.unique(own >> np.uint64(44))) > 0.9 * len(words)
+    assert len(np.unique(hashes(words) ^ hashes(words, 1))) == len(words)
+
+
+def test_grams_tell_every_order_apart():
+    w = T.mix(np.arange(2, dtype=np.uint64))[np.array([bin(i).count("1") % 2 for i in range(4096)])]
+    for size in (1, 2, 3, 5, 17, 35, 1024):
+        h, whole = T.gram_hashes(w, np.array([0, len(w)]), size)
+        want = {}
+        for i in np.flatnonzero(whole).tolist():
+            assert want.setdefault(w[i : i + size].tobytes(), h[i]) == h[i]
+        assert whole.sum() == len(w) - size + 1 and len(set(want.values())) == len(want)
+
+
+def test_words_that_share_a_hash_are_kept_apart():
+    hashes, checks = np.array([5, 3, 5, 5, 3], np.uint64), np.array([1, 1, 2, 1, 1], np.uint64)
+    where, back = T.distinct_words(hashes, checks)
+    assert len(where) == 3 and (hashes[where][back] == hashes).all() and (checks[where][back] == checks).all()

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.orc as po
 import pytest
-from conftest_llm import ODD, lowered, rows_of
+from conftest_llm import ODD, TWINS, lowered, rows_of
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -46,6 +46,34 @@ def test_ledger_adds_signed_batches_once(spark, tmp_path):
         ledger.commit("../x", rows)
 
 
+def test_a_batch_that_lands_while_others_are_folded_counts_once(spark, tmp_path):
+    rows = lambda n: spark.createDataFrame([(k, "a", "en", "x " * n) for k in range(1)], "doc_id bigint, source string, lang string, text string")
+    ledger, other = (token_counts.Ledger(spark, f"{tmp_path}/ledger") for _ in range(2))
+    ledger.commit("one", token_counts.inserts(token_counts.counted(rows(1), "words-1")))
+    inner = ledger._totals
+
+    def late(*a):
+        other.commit("two", token_counts.inserts(token_counts.counted(rows(100), "words-1")))
+        return inner(*a)
+
+    ledger._totals = late
+    ledger.compact()
+    ledger._totals = inner
+    assert ledger.totals().first().tokens == 101 and ledger.batches() == ["one", "two"]
+    ledger.compact()
+    assert ledger.totals().first().tokens == 101 and ledger._listed()[0] == []
+
+
+def test_of_two_commits_at_once_one_is_true(spark, tmp_path):
+    rows = token_counts.inserts(token_counts.counted(spark.createDataFrame([(1, "a", "en", "x y")], "doc_id bigint, source string, lang string, text string"), "words-1"))
+    one, two = (token_counts.Ledger(spark, f"{tmp_path}/ledger") for _ in range(2))
+    two._listed = lambda: ([], None, set())  # looked before the other one was there
+    assert one.commit("b", rows) and not two.commit("b", rows)
+    assert one.totals().first().tokens == 2
+    one.compact()
+    assert two.commit("b", rows) and one.totals().first().tokens == 2  # a folded id counts once, whatever lands later
+
+
 def test_ledger_of_odd_rows(odd, none, tmp_path):
     for df, n in ((odd, len(ODD)), (none, 0)):
         ledger = token_counts.Ledger(odd.sparkSession, f"{tmp_path}/{n}")
@@ -82,25 +110,131 @@ def test_model_counts_and_base_score(spark, odd, none):
     assert alone.train_tokens == 0 and alone.base_score == 0.0 and alone.score < 0
 
 
+def some_weights(seed=0):
+    rng = np.random.default_rng(seed)
+    shape = maxent_lm.Shape(32, 2048)
+    sums = np.stack([rng.integers(1, 50, shape.symbols), rng.integers(1, 5, shape.symbols)], 1)
+    w = maxent_lm.Weights(shape, sums)
+    w.tables = [rng.normal(0, 1, t.shape).astype(np.float32) for t in w.tables]
+    return w
+
+
 def test_model_probabilities_sum_to_one():
-    rng = np.random.default_rng(0)
-    counts, tail = rng.integers(0, 50, maxent_lm.HEAD).astype(float), rng.integers(1, 50, (maxent_lm.TAIL, 2)).astype(float)
-    w = maxent_lm.Weights(counts, tail)
-    w.classes, w.words = rng.normal(0, 1, w.classes.shape).astype(np.float32), rng.normal(0, 1, w.words.shape).astype(np.float32)
+    w = some_weights()
     # every symbol after one and the same context: two symbols, then the one in question
-    symbols = np.concatenate([[5, 1030, s] for s in range(maxent_lm.SYMBOLS)])
-    p = 10 ** w.log10(symbols, np.arange(0, len(symbols) + 1, 3))[2::3]
+    symbols = np.concatenate([[5, 1030, s] for s in range(w.shape.symbols)])
+    p = 10 ** w.log10(symbols, np.arange(len(symbols)) % 3)[2::3]
     assert abs(p.sum() - 1) < 1e-4
+    none = maxent_lm.Weights(w.shape, np.zeros((w.shape.symbols, 2), np.int64))
+    p = 10 ** none.log10(np.arange(w.shape.symbols), np.zeros(w.shape.symbols, np.int64))
+    assert abs(p[w.shape.head :].sum() - 1) < 1e-4 and p[: w.shape.head].max() < 1e-20
 
 
-def test_model_sees_the_word_three_back_and_the_class():
-    rng = np.random.default_rng(1)
-    w = maxent_lm.Weights(np.ones(maxent_lm.HEAD), np.ones((maxent_lm.TAIL, 2)))
-    w.classes = rng.normal(0, 1, w.classes.shape).astype(np.float32)
-    p = w.log10(np.array([5, 1, 2, 9, 700, 1, 2, 9]), np.array([0, 4, 8]))
+def test_model_sees_the_word_three_back_the_class_and_rare_words():
+    w = some_weights(1)
+    p = w.log10(np.array([5, 1, 2, 9, 700, 1, 2, 9]), np.arange(8) % 4)
     assert abs(p[3] - p[7]) > 1e-3
-    context = maxent_lm.contexts(np.array([5, 1, 2, 9]), np.array([0, 4]))
-    assert len(maxent_lm.features(context)) == 4 and len(maxent_lm.features(context, np.zeros(4, np.int64))) == 3
+    context = maxent_lm.contexts(np.array([5, 1, 2, 9]), np.arange(4), slice(0, 4), w.shape.symbols)
+    assert len(maxent_lm.class_features(w.shape, context)) == 4 and len(maxent_lm.member_features(w.shape, context, np.zeros(4, np.int64))) == 3
+    a, b = w.shape.tail(np.array([1, 2], np.uint64), np.array([7, 7], np.uint16)).tolist()  # two rare words of one ending
+    assert a != b and a // 32 == b // 32 and min(a, b) >= w.shape.head
+    q = w.log10(np.array([3, a, 9, 3, b, 9]), np.arange(6) % 3)
+    assert abs(q[1] - q[4]) > 1e-3 and abs(q[2] - q[5]) > 1e-3  # predicted apart, and seen apart as context
+
+
+def test_model_grows_with_the_corpus():
+    shapes = [maxent_lm.Shape.of(10**k, int(10 ** (0.7 * k)), 1 << 29) for k in range(4, 14)]
+    assert all(x.rows < y.rows for x, y in zip(shapes[:7], shapes[1:8], strict=True))
+    assert shapes[-1].side > shapes[3].side and all(4 * x.weights <= 1 << 29 for x in shapes)
+
+
+def test_scores_do_not_depend_on_the_layout(spark):
+    rng = random.Random(11)
+    docs = [(i if i % 50 else None, " ".join(f"w{min(int(rng.expovariate(0.02)), 3000)}" for _ in range(300))) for i in range(1800)]
+    own = [maxent_lm.score(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(n), F.crc32("text") % 7 == 2, most_bytes=1 << 18) for rows, n in ((docs, 2), (docs[::-1], 7))]
+    assert maxent_lm.Shape.of(450_000, 300, 1 << 18).shards(450_000) > 1
+    one, two = (rows_of(x, "doc_id", "n_tokens", "base_score", "score") for x in own)
+    assert [x[:2] + x[3:] for x in one] == [x[:2] + x[3:] for x in two]
+    assert len(one) == len(docs) and sum(x[0] is None for x in one) == 36
+
+
+def brute_model(docs, held):
+    """Scores by loops over single tokens, for a corpus of one shard in which every training word has a symbol of its own."""
+
+    def hashed(word):
+        data = np.frombuffer(word, np.uint8)
+        return T.word_hashes(data, np.array([0]), np.array([len(data)]))[0]
+
+    texts = {i: lowered(t) for i, t in docs}
+    code = {w: hashed(w) for ws in texts.values() for w in ws}
+    seq = {i: [*(code[w] for w in ws), maxent_lm.END] for i, ws in texts.items()}
+    ends = {code[w]: (w[-1] << 8) + (w[-2] if len(w) > 1 else 0) for w in code} | {maxent_lm.END: 0}
+    count = Counter(h for i, s in seq.items() if not held(i) for h in s)
+    shape = maxent_lm.Shape.of(sum(count.values()), len(count), 1 << 29)
+    side, rows, width = shape.side, shape.rows, 2 * shape.side
+    assert len(count) <= shape.head and shape.shards(sum(count.values())) == 1
+    symbol = {h: k for k, h in enumerate(sorted(count, key=lambda h: (-count[h], int(np.uint64(h).astype(np.int64)))))}
+    symbol |= {h: int(shape.tail(np.array([h], np.uint64), np.array([e], np.uint16))[0]) for h, e in ends.items() if h not in count}
+    total = np.zeros((width, side))
+    for h, n in count.items():
+        total[symbol[h] // side, symbol[h] % side] = n
+    there = total > 0
+    there[side:] = True
+    by_class = np.where(there.any(1), total.sum(1) + 1, 0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        bias = np.where(there.any(1), np.log(by_class / by_class.sum()), -1e4)
+        within = np.where(there, np.log((total + 0.5) / np.where(there, total + 0.5, 0).sum(1, keepdims=True)), -1e4)
+    tables, size = [np.zeros((rows, width)), np.zeros((rows, side))], [np.full(rows, 0.1), np.full(rows, 0.1)]
+
+    def row(x, salt):
+        return ((x + (salt << 40)) * 0x9E3779B97F4A7C15 % 2**64 >> 40) % rows
+
+    def uses(s, k):
+        """For both factors: the feature rows, the biases and what was chosen at place k."""
+        one, two, three = (s[k - b] if k >= b else shape.symbols for b in (1, 2, 3))
+        own = s[k] // side
+        return [([row(x, j) for j, x in enumerate((one, two, one * (shape.symbols + 1) + two, three), 1)], bias, own), ([row(x, j) for j, x in enumerate((own, one * width + own, two * width + own), 5)], within[own], s[k] % side)]
+
+    def chances(f, at, own):
+        z = np.exp(np.clip(sum(tables[f][r] for r in at) + own, -80, 80))
+        return z / z.sum()
+
+    def deal(i):
+        return int(T.mix(np.array([np.add.reduce(T.mix(np.array(seq[i], np.uint64)))], np.uint64) + T.mix(np.array([i], np.int64).astype(np.uint64), 1), 1)[0])
+
+    places = {i: [symbol[h] for h in s] for i, s in seq.items()}
+    for turn in range(maxent_lm.ROUNDS):
+        tokens = [uses(places[i], k) for i in sorted(seq) if not held(i) and (deal(i) & 0xFFFFFFFF) % maxent_lm.ROUNDS == turn for k in range(len(places[i]))]
+        before, steps = [t.copy() for t in tables], [x.copy() for x in size]
+        for a in range(0, len(tokens), maxent_lm.BATCH):
+            for f in range(2):
+                batch = [t[f] for t in tokens[a : a + maxent_lm.BATCH]]
+                push = []
+                for at, own, y in batch:
+                    p = chances(f, at, own)
+                    p[y] -= 1
+                    push.append(p)
+                for j in range(len(batch[0][0])):
+                    found: dict = {}
+                    for (at, _, _), p in zip(batch, push, strict=True):
+                        found.setdefault(at[j], []).append(p)
+                    for r, ps in found.items():
+                        g = sum(ps) / math.sqrt(len(ps))
+                        size[f][r] = math.sqrt(size[f][r] ** 2 + (g @ g) * 4 / len(g))
+                        tables[f][r] -= maxent_lm.RATE / len(batch[0][0]) * g / size[f][r]
+        tables = [b + (t - b).astype(np.float16) for t, b in zip(tables, before, strict=True)]
+        size = [b + (t - b).astype(np.float16) for t, b in zip(size, steps, strict=True)]
+    # an unknown word has the whole of its bucket, in which nothing was learnt
+    return {i: sum(math.log10(chances(f, at, own)[y]) for k in range(len(s)) for f, (at, own, y) in enumerate(uses(s, k))) for i, s in places.items()}
+
+
+def test_model_against_loops_over_tokens(spark):
+    rng = random.Random(21)
+    docs = [(i, " ".join(f"{rng.choice('abcdefgh')}{min(int(rng.expovariate(0.3)), 40)}" for _ in range(rng.randint(0, 50))) + f" only{i}" * (i % 9 == 0)) for i in range(500)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    want = brute_model(docs, held)
+    for r in maxent_lm.score(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3), held7()).collect():
+        assert abs(r.score - want[r.doc_id]) < 0.01 + 1e-3 * r.n_tokens
 
 
 def test_model_learns_what_follows(spark):
@@ -135,6 +269,26 @@ def encoded(encode, texts):
     return out
 
 
+def test_twin_words_have_their_own_ids(library):
+    spec = open(TOKENIZER_FILE, encoding="utf-8").read()
+    texts = [x for one, two in TWINS for x in (one, two, f"so {one} and {two}", f"so {two}")]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    for own in (bpe.Encoder(spec), orc_tokens.LibraryEncoder(spec)):
+        assert encoded(own.encode, texts) == want
+        assert [x for t in texts for x in encoded(own.encode, [t])] == want
+
+
+def test_runs_whose_hashes_meet_are_kept_apart(library, monkeypatch):
+    spec = open(TOKENIZER_FILE, encoding="utf-8").read()
+    texts = [" ".join(f"word{i * k % 97}" for k in range(50)) for i in range(40)]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    weak = lambda d, a, b, lane=0: T.word_hashes(d, a, b, lane) & np.uint64(7 if lane == 0 else (1 << 64) - 1)
+    for module, own in ((bpe, bpe.Encoder(spec)), (orc_tokens, orc_tokens.LibraryEncoder(spec))):
+        monkeypatch.setattr(module, "word_hashes", weak)
+        assert encoded(own.encode, texts) == want
+        assert [x for t in texts for x in encoded(own.encode, [t])] == want
+
+
 def test_both_encoders_match_the_library(library):
     spec = open(TOKENIZER_FILE, encoding="utf-8").read()
     want = [library.encode(t or "", add_special_tokens=False).ids for t in TEXTS]
@@ -200,6 +354,50 @@ def test_orc_files(odd, none, library, tmp_path):
     assert orc_tokens.manifest(spark, f"{tmp_path}/none").count() == 0
 
 
+def rows_read(df):
+    """Rows that the scan of a plan gave, once it has run."""
+    df._jdf.collectToPython()
+    return df._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().apply("numOutputRows").value()
+
+
+def test_orc_metadata_prunes_and_stripes_are_read_alone(spark, tmp_path):
+    docs = spark.range(60_000).select((F.col("id") * 2).alias("doc_id"), F.concat(F.lit("word number "), "id").alias("text"))
+    path = f"{tmp_path}/ids"
+    orc_tokens.write(docs, path, TOKENIZER_FILE, files=2)
+    read = lambda rule: orc_tokens.read(spark, path).where(rule).select("doc_id", "ids")
+    assert rows_read(read("doc_id >= 0")) == 60_000
+    assert 0 < rows_read(read("doc_id = 30000")) <= 10_000  # one row group of one file
+    assert rows_read(read("doc_id > 119990")) <= 10_000
+    absent = [rows_read(read(f"doc_id = {k}")) for k in (30_001, 50_001, 70_001, 90_001, 110_001)]  # within the range, so it is the Bloom filter
+    assert absent.count(0) >= 4
+    for f in sorted(f for f in os.listdir(path) if f.endswith(".orc")):
+        file = po.ORCFile(f"{path}/{f}")
+        assert file.compression == "ZSTD" and file.row_index_stride == 10_000
+        each = [file.read_stripe(k).column("doc_id").to_pylist() for k in range(file.nstripes)]
+        assert sum(each, []) == file.read(["doc_id"]).column(0).to_pylist()
+
+
+def test_rows_of_one_id_start_in_the_order_of_the_file(spark, tmp_path, library):
+    docs = [(k % 3, "x " * k) for k in range(60)] + [(None, "no id"), (None, "")]
+    orc_tokens.write(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4), f"{tmp_path}/ids", TOKENIZER_FILE, files=2)
+    at, want = 0, []
+    for f in sorted(f for f in os.listdir(f"{tmp_path}/ids") if f.endswith(".orc")):
+        for i, ids in zip(*(c.to_pylist() for c in po.ORCFile(f"{tmp_path}/ids/{f}").read(["doc_id", "ids"]).columns), strict=True):
+            want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+            at += len(ids)
+    assert rows_of(orc_tokens.manifest(spark, f"{tmp_path}/ids"), "doc_id", "start", "n_tokens", "ids_crc32") == sorted(want, key=str)
+    assert len(want) == len(docs)
+
+
+def test_files_follow_the_size_of_the_input(odd, tmp_path, monkeypatch):
+    monkeypatch.setattr(orc_tokens, "_stored_bytes", lambda docs: 6 * orc_tokens.FILE_BYTES - 1)
+    asked = []
+    inner = type(odd).repartitionByRange
+    monkeypatch.setattr(type(odd), "repartitionByRange", lambda self, n, *c: asked.append(n) or inner(self, n, *c))
+    orc_tokens.write(odd, f"{tmp_path}/ids", TOKENIZER_FILE)
+    assert asked == [6]
+
+
 # --- 7
 
 
@@ -250,7 +448,28 @@ def test_mixing_against_brute_force(spark, target):
     assert rows == Counter({i: n for i, n in copies.items() if n})
 
 
+def test_schedule_is_a_permutation_of_blocks_in_each_epoch(spark):
+    rng = random.Random(9)
+    docs = [(i, rng.choice(["big"] * 9 + ["small"]), " ".join("w" for _ in range(rng.randint(0, 9)))) for i in range(3000)]
+    df = spark.createDataFrame(docs, "doc_id bigint, source string, text string").repartition(3)
+    rows = mixing.schedule(df, repeats=3.0, budget_share=1.7, seed=5).collect()
+    copies = {r.doc_id: r.copies for r in mixing.plan(df, repeats=3.0, budget_share=1.7, seed=5).collect()}
+    assert Counter(r.doc_id for r in rows if r.epoch is not None) == Counter({i: n for i, n in copies.items() if n})
+    assert {r.doc_id for r in rows if r.epoch is None} == {i for i, n in copies.items() if not n}
+    by = {}
+    for r in rows:
+        if r.epoch is not None:
+            key = hashlib.md5(f"5:{r.epoch}:{r.doc_id}".encode()).hexdigest()
+            assert r.block == int(key[:3], 16)
+            by.setdefault((r.source, r.epoch, r.block), []).append((key, r.position))
+    assert all([p for _, p in sorted(own)] == list(range(len(own))) for own in by.values())
+    orders = {e: [r.doc_id for r in sorted((r for r in rows if (r.source, r.epoch) == ("small", e)), key=lambda r: (r.block, r.position))] for e in (0, 1)}
+    assert sorted(orders[0]) != orders[0] and orders[0][: len(orders[1])] != orders[1]  # each epoch has an order of its own
+
+
 def test_mixing_of_odd_rows(odd, none):
+    assert mixing.schedule(none, repeats=2.0).count() == 0
+    assert mixing.schedule(odd, repeats=2.0).select("doc_id").distinct().count() == len({i for i, _ in ODD})
     assert mixing.plan(odd, repeats=2.0).count() == len(ODD)
     assert mixing.mixed(odd, repeats=2.0).columns == odd.columns
     assert mixing.plan(none, entropy=0.9).count() == 0 and mixing.mixed(none, entropy=0.9).count() == 0
@@ -259,7 +478,7 @@ def test_mixing_of_odd_rows(odd, none):
 
 
 def test_mixing_has_no_python_in_its_plan(odd):
-    text = mixing.plan(odd, repeats=2.0)._jdf.queryExecution().toString()
+    text = mixing.schedule(odd, repeats=2.0)._jdf.queryExecution().toString()
     assert "Python" not in text and "MapIn" not in text
 
 
@@ -300,3 +519,47 @@ def test_languages_of_odd_rows(odd, none, spark):
     assert {r.lang_pred for r in langid.predict(odd.where("doc_id = 5"), one).collect()} == {"de"}
     rare = langid.fit(docs.withColumn("lang", F.when(F.col("lang") == "de", "qq").otherwise(F.col("lang"))))
     assert ["qq"] in rare.families
+
+
+def plain_language(model, text):
+    """Prediction of one text from lists of its bytes, by the definition of the two steps."""
+    form = [b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in (text or "").encode()]
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0
+    grams = []
+    for n in range(3):
+        for k in range(len(form) - n):
+            code = 0
+            for b in form[k : k + n + 1]:
+                code = (code * 256 + b) % 2**32
+            grams.append((code + n * 0x01000193) % 2**32 * 0x9E3779B1 % 2**32 >> (32 - langid.BITS))
+    share = Counter(grams)
+    margin = [sum(model.weights[g, k] * n for g, n in share.items()) / len(grams) + model.bias[k] for k in range(len(model.bias))]
+    fam = margin[: len(model.families)]
+    best = fam.index(max(fam))
+    score = math.exp(3 * fam[best]) / sum(math.exp(3 * m) for m in fam)
+    langs = model.families[best]
+    if len(langs) == 1:
+        return langs[0], score
+    vote, sums, sure = ({x: 0.0 for x in langs} for _ in range(3))
+    for k, (a, b) in enumerate(model.pairs):
+        if a in langs:
+            m = margin[len(model.families) + k]
+            vote[a if m >= 0 else b] += 1
+            for x, own in ((a, m), (b, -m)):
+                sums[x] += math.tanh(own)
+                sure[x] -= math.log1p(math.exp(-3 * own))
+    pick = max(langs, key=lambda x: vote[x] + 1e-3 * sums[x])
+    return pick, score * math.exp(sure[pick]) / sum(math.exp(v) for v in sure.values())
+
+
+def test_languages_against_one_text_at_a_time(spark, odd):
+    docs = spark.createDataFrame(spoken(6, 300) + [(900 + k, t, None) for k, t in enumerate(["a", "ß!", "日本", "12", "The HOUSE"])], "doc_id bigint, text string, lang string")
+    extra = docs.withColumn("lang", F.when(F.col("doc_id") % 11 == 0, "nl").otherwise(F.col("lang")))  # three languages in a family
+    model = langid.fit(extra)
+    assert max(map(len, model.families)) == 3
+    for df in (docs, odd.where("length(text) < 10000 or text is null")):
+        text = {r.doc_id: r.text for r in df.collect()}
+        for r in langid.predict(df, model).collect():
+            lang, score = plain_language(model, text[r.doc_id])
+            assert r.lang_pred == lang and abs(r.score - score) < 1e-4

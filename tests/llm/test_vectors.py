@@ -71,13 +71,36 @@ def test_blocks_do_not_matter(spark, monkeypatch):
     assert rows_of(got, "vec_id", "n_links", "component_id", "kept") == brute(rows)
 
 
-def test_one_sided_finds_count_for_both(spark):
-    """With one probe each, recall is partial, but links are symmetric: their ends' counts have an even sum."""
+def test_one_probe_loses_nothing(spark):
+    """Probes are only the least that is asked: the bounds ask the rest, and every link counts for both its ends."""
     rows = as_float(clusters(3, [50, 50, *[1] * 100], noise=0.3))
-    got = pq_dedup.near_vectors(spark.createDataFrame(rows, SCHEMA), probes=1, lists=12).collect()
-    want = {r[0]: r for r in brute(rows)}
-    assert sum(r.n_links for r in got) % 2 == 0
-    assert all(r.n_links <= want[r.vec_id][1] for r in got)
+    got = pq_dedup.near_vectors(spark.createDataFrame(rows, SCHEMA), probes=1, lists=12)
+    assert rows_of(got, "vec_id", "n_links", "component_id", "kept") == brute(rows)
+
+
+@pytest.mark.parametrize("lists", [None, 300])
+def test_planted_pairs_just_within_reach(spark, lists):
+    """Pairs at a cosine of 0.90 to 0.95 in a spread cloud, over hundreds of lists and over the lists taken by default."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1500, 24))
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    aside = rng.normal(size=x.shape)
+    aside -= (aside * x).sum(1, keepdims=True) * x
+    aside /= np.sqrt((aside * aside).sum(1, keepdims=True))
+    cos = np.linspace(0.9, 0.95, len(x))[:, None]
+    rows = as_float([(i, v.tolist(), 0) for i, v in enumerate(np.concatenate([x, cos * x + np.sqrt(1 - cos**2) * aside]))])
+    unit = np.array([v for _, v, _ in rows])
+    unit /= np.sqrt((unit * unit).sum(1, keepdims=True))
+    want = (unit @ unit.T >= 0.9).sum(1) - 1
+    got = pq_dedup.near_vectors(spark.createDataFrame(rows, SCHEMA), lists=lists).orderBy("vec_id").collect()
+    assert want.sum() > 2500
+    assert [r.n_links for r in got] == want.tolist()
+
+
+def test_lists_grow_with_the_vectors():
+    assert [pq_dedup.list_count(n) for n in (0, 500, 8192, 65536, 10**6)] == [1, 1, 32, 32, 488]
+    counts = [pq_dedup.list_count(10**k) for k in range(3, 12)]
+    assert counts == sorted(counts) and pq_dedup.list_count(10**9) > 3 * pq_dedup.MANY_LISTS
 
 
 def test_odd_vectors(spark):
