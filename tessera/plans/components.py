@@ -33,10 +33,10 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
     now = materialise(now, "edges")
     seen = None
     for _ in range(max_rounds):
-        mark = now.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
+        mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if mark == seen or mark[0] == 0:
             break
-        seen, now = mark, materialise(_stars(now), "edges")
+        seen, now = mark, materialise(_stars(now), "edges", instead_of=(now,))
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -9,26 +9,54 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one only where that is unset (tests, local mode)."""
+    """The folder in spark.checkpoint.dir; a local one only where that is unset and Spark is local."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
         if set_before.isDefined():
             return set_before.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
         found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return found.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: later steps survive lost executors without recomputing it."""
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}"
+
+
+def materialise(df: DataFrame, name: str, instead_of: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """Write a table to the shared folder and read it back: later steps survive lost executors without recomputing it.
+
+    instead_of: tables of this function that nothing needs once this one is written; they go.
+    """
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    discard(*instead_of)
+    return written(spark.read.schema(df.schema).parquet(path), path)
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """``df``, known to read nothing but the table at ``path``."""
+    df._tessera_path = path
+    return df
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` wrote; others are left alone."""
+    for t in tables:
+        if path := getattr(t, "_tessera_path", None):
+            delete(t.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables of this application, once its results are written elsewhere."""
+    delete(spark, _own_folder(spark))
 
 
 def delete(spark: SparkSession, path: str) -> None:
