@@ -101,12 +101,12 @@ def duplicates(spark: SparkSession, path: str, state: str | None = None, digest_
     groups = materialise(held(spark, state), "dedup-groups").select(F.col("digest").alias("k"), "first", "n")
     keyed = rows.select("doc_id", "locator", F.sha2(normalised(), 256).alias("text_sha256"), digest(normalised(), digest_bits).alias("digest"))
     known = F.when(F.col("k").isNotNull(), F.col("n")).otherwise(F.raise_error(F.lit("a text is missing from the state: its file was not read")).cast("bigint"))
-    judged = materialise(keyed.join(groups, F.col("digest") == F.col("k"), "left").select("doc_id", "locator", "text_sha256", "first", known.alias("n")), "dedup-judged")
-    hits = judged.where("n > 1 and not (doc_id = first.doc_id and locator = first.locator)").select("locator", F.col("first.locator").alias("at"))
+    judged = materialise(keyed.join(groups, F.col("digest") == F.col("k"), "left").select("doc_id", "locator", "text_sha256", "first", known.alias("n")), "dedup-judged", instead_of=(groups,))
+    hits = judged.where("n > 1 and not (doc_id <=> first.doc_id and locator = first.locator)").select("locator", F.col("first.locator").alias("at"))
     wanted = hits.select("locator").unionByName(hits.select(F.col("at").alias("locator")).distinct()).distinct()
     texts = materialise(rows.select("locator", normalised().alias("body")).join(wanted, "locator", "left_semi"), "dedup-texts")
     pairs = hits.join(texts, "locator").withColumnRenamed("body", "mine").join(texts.select(F.col("locator").alias("at"), F.col("body").alias("theirs")), "at")
-    strays = materialise(pairs.where("cast(mine as binary) <> cast(theirs as binary)").select("locator", "at", F.col("mine").alias("body")), "dedup-strays")
+    strays = materialise(pairs.where("cast(mine as binary) <> cast(theirs as binary)").select("locator", "at", F.col("mine").alias("body")), "dedup-strays", instead_of=(texts,))
     if not strays.head(1):
         return judged.select("doc_id", F.col("first.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("locator") == F.col("first.locator"))).alias("kept"), "text_sha256", "locator.*")
     own = strays.join(judged.select("locator", "doc_id", "text_sha256"), "locator")

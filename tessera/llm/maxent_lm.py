@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.plans.workspace import fresh_path, materialise
+from tessera.plans.workspace import discard, fresh_path, materialise, written
 
 from .text import lower, mix, slices, word_bounds, word_hashes
 
@@ -522,7 +522,7 @@ def _ordered(texts: DataFrame, shards: int) -> DataFrame:
     spark, path = texts.sparkSession, fresh_path(texts.sparkSession, "lm-symbols")
     own = texts.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "doc_id", "deal", "symbols")
     own.write.option("parquet.block.size", 1 << 40).option("parquet.block.row.count.limit", (1 << 31) - 1).parquet(path)
-    return spark.read.schema(SYMBOL.schema).parquet(path)
+    return written(spark.read.schema(SYMBOL.schema).parquet(path), path)
 
 
 def score(docs: DataFrame, held_out, rounds: int = ROUNDS, most_bytes: int = 1 << 29) -> DataFrame:
@@ -552,6 +552,7 @@ def score(docs: DataFrame, held_out, rounds: int = ROUNDS, most_bytes: int = 1 <
     back = counted.where("kind = 0").groupBy("chunk").agg(F.collect_list(F.struct("shard", "counts")).alias("parts"))
     joined = chunks.join(back, "chunk").select("n_docs", "n_tokens", "ids", "deal", "lens", "flags", "tokens", "entries", "ends", "parts")
     symbols = _ordered(joined.mapInArrow(_symbols(known, shards, rounds), SYMBOL.schema), shards)
+    discard(chunks, counted)
     weights = Weights(shape, sums)
     for turn in range(rounds if n else 0):
         sent = spark.sparkContext.broadcast(weights)

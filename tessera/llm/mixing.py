@@ -86,7 +86,7 @@ def plan(docs: DataFrame, entropy: float | None = None, repeats: float | None =
     same = F.col("source").eqNullSafe(F.col("s"))
     own = rows.join(weighted.withColumnRenamed("source", "s"), same, "left").drop("s")
     keyed = own.withColumn("key", _key(seed, F.col("epochs")))
-    keyed = materialise(keyed.withColumn("block", F.substring("key", 1, 3)), "mix-keys")
+    keyed = materialise(keyed.withColumn("block", F.substring("key", 1, 3)), "mix-keys", instead_of=(rows, shares))
     blocks = keyed.where("n_tokens > 0").groupBy("source", "block").agg(F.sum("n_tokens").alias("size"), F.first("rest").alias("rest"))
     before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     placed = blocks.withColumn("base", F.coalesce(F.sum("size").over(before), F.lit(0))).select(F.col("source").alias("s"), F.col("block").alias("b"), "base", (F.col("base") + F.col("size") <= F.col("rest")).alias("whole"), (F.col("base") < F.col("rest")).alias("begun"))

@@ -318,7 +318,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, probes: int = 1, lists
         sent = spark.sparkContext.broadcast((quantiser, bounds))
         met = coded.select("home", "rep", "n", "unit", "code", "error").mapInArrow(_meetings(sent, reach, probes), "p bigint, q bigint, side int, rep bigint, n bigint, unit binary, code binary, error double")
         grid = met.repartition("p", "q").sortWithinPartitions("p", "q")
-        found = materialise(grid.mapInArrow(_search(sent, cosine, reach), "a bigint, b bigint, n bigint"), "vector-links")
+        found = materialise(grid.mapInArrow(_search(sent, cosine, reach), "a bigint, b bigint, n bigint"), "vector-links", instead_of=(coded,))
         edges.append(found.where("b is not null").select("a", "b"))
         counts.append(found.where("b is null").select(F.lit(width).alias("w"), "a", "n"))
     one = classes.select("width", "unit", F.col("rep"), F.col("n").alias("same"))

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.plans.components import components
-from tessera.plans.workspace import materialise
+from tessera.plans.workspace import discard, materialise
 
 from .text import mix, shingles, slices, words_of
 
@@ -172,7 +172,7 @@ def _linked(pairs: DataFrame, regs: DataFrame, texts: DataFrame, size: int, perc
     likely = materialise(tested.select("a", "b", "ra", "rb", "na", "nb").mapInArrow(_likely(percent / 100), "a bigint, b bigint"), "likely")
     ta = texts.select(F.col("class").alias("a"), F.col("text").alias("ta"))
     tb = texts.select(F.col("class").alias("b"), F.col("text").alias("tb"))
-    return materialise(likely.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(_verify(size, percent), "a bigint, b bigint"), "links")
+    return materialise(likely.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(_verify(size, percent), "a bigint, b bigint"), "links", instead_of=(likely,))
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int, most: int = 1 << 30) -> Iterator[pa.Table]:
@@ -315,7 +315,7 @@ def _across(bands: DataFrame, parts: DataFrame, regs: DataFrame, texts: DataFram
     wanted = packed.mapInArrow(_members, "ci bigint, cj bigint, id bigint").distinct()
     docs = wanted.join(texts, F.col("id") == F.col("class")).select("ci", "cj", F.lit(0).alias("kind"), "id", "text", F.lit(None).cast("binary").alias("pairs"))
     both = docs.unionByName(packed.select("ci", "cj", F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("string").alias("text"), "pairs"))
-    return materialise(both.repartition("ci", "cj").sortWithinPartitions("ci", "cj", "kind").mapInArrow(_verify_cells(size, percent), "a bigint, b bigint"), "links")
+    return materialise(both.repartition("ci", "cj").sortWithinPartitions("ci", "cj", "kind").mapInArrow(_verify_cells(size, percent), "a bigint, b bigint"), "links", instead_of=(open_rows, packed))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
@@ -329,7 +329,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
     classes = materialise(grouped.withColumn("class", F.monotonically_increasing_id()), "classes")  # numbers that stay as they were written
     bands = materialise(classes.select(F.col("class").alias("id"), F.posexplode(F.array(*(F.xxhash64(F.lit(i), F.expr(f"substring(one.regs, {2 * ROWS * i + 1}, {2 * ROWS})")) for i in range(BANDS)))).alias("band", "key")), "bands")
     hubs = bands.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
-    bands = materialise(bands.join(hubs, "key"), "shared-bands")  # only buckets of two or more go on
+    bands = materialise(bands.join(hubs, "key"), "shared-bands", instead_of=(bands,))  # only buckets of two or more go on
     near = classes.join(bands.select(F.col("id").alias("class")).distinct(), "class", "left_semi")
     regs = materialise(near.select("class", "n_shingles", "one.regs", F.col("one.doc_id").alias("of"), F.col("one.t").alias("of_t")), "near-registers")
     numbered = docs.withColumn("t", F.crc32(F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))))
@@ -339,6 +339,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
     links = _linked(stars, regs, texts, words, percent)
     more = _across(bands.drop("hub"), components(links, "a", "b"), regs, texts, words, percent)
     parts = components(links.unionByName(more), "a", "b")
+    discard(bands, regs, texts, links, more)
     known = classes.select("s0", "s1", "n_shingles", "low", F.col("class").alias("id")).join(parts, "id", "left").withColumn("part", F.coalesce("component", "id"))
     lowest = known.where("component is not null").groupBy("part").agg(F.min("low").alias("least"))
     known = known.join(lowest, "part", "left").select("s0", "s1", "n_shingles", F.when(F.col("component").isNull(), F.col("low")).otherwise(F.col("least")).alias("least"), F.lit(True).alias("has"))
