@@ -45,14 +45,17 @@ def lr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pixels(spark: SparkSession, sf_dir: str, width: int = 12, step: int = 144) -> DataFrame:
+    """All balances, row by row; the last rows are filled with zeros up to a height that 12 divides."""
     c = table(spark, sf_dir, "customer")
-    n = c.agg((F.floor(F.count("*") / step) * step).alias("n"))
-    return c.join(F.broadcast(n), F.col("c_custkey") < F.col("n")).select(F.floor(F.col("c_custkey") / width).cast("int").alias("y"), (F.col("c_custkey") % width).cast("int").alias("x"), F.col("c_acctbal").cast("double").alias("v"))
+    n = (c.agg(F.max("c_custkey")).first()[0] or 0) + 1
+    return spark.range(-(-n // step) * step).join(c, F.col("id") == F.col("c_custkey"), "left").select(F.floor(F.col("id") / width).cast("int").alias("y"), (F.col("id") % width).cast("int").alias("x"), F.coalesce(F.col("c_acctbal").cast("double"), F.lit(0.0)).alias("v"))
 
 
 def hist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vector for each spot; the table of vectors is dealt out again and again."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("bigint").alias("spot_id")).join(e, F.col("spot_id") % 500 == F.col("vec_id")).select("spot_id", F.col("embedding").cast("array<double>").alias("f"))
+    n = (e.agg(F.max("vec_id")).first()[0] or 0) + 1
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("bigint").alias("spot_id")).join(e, F.col("spot_id") % n == F.col("vec_id")).select("spot_id", F.col("embedding").cast("array<double>").alias("f"))
 
 
 SPOTS_SQL = """spots AS (SELECT c_custkey::BIGINT AS spot_id, 'S' || c_custkey AS barcode,
@@ -64,6 +67,6 @@ EXPR_SQL = """expr AS (SELECT o_custkey::BIGINT AS spot_id, p_brand AS gene, sum
 TF_SQL = "tf AS (SELECT user_id::BIGINT AS spot_id, event_type AS tf, sum(value)::DOUBLE AS value FROM events GROUP BY ALL)"
 LR_SQL = """lr AS (SELECT (row_number() OVER (ORDER BY p_name) - 1)::BIGINT AS pair_id, arg_min(p_brand, p_partkey) AS ligand, arg_max(p_brand, p_partkey) AS receptor, arg_min(p_type, p_partkey) AS pathway,
     CASE WHEN contains(p_name, 'bolt') THEN 'Cell-Cell Contact' WHEN contains(p_name, 'ring') THEN 'Secreted Signaling' ELSE p_name END AS ligand_annotation FROM part GROUP BY p_name)"""
-PIXELS_SQL = """pixels AS (SELECT floor(c_custkey / 12)::INTEGER AS y, (c_custkey % 12)::INTEGER AS x, c_acctbal::DOUBLE AS v
-    FROM customer WHERE c_custkey < (SELECT floor(count(*) / 144)::BIGINT * 144 FROM customer))"""
-HIST_SQL = "hist AS (SELECT c_custkey::BIGINT AS spot_id, embedding::DOUBLE[] AS f FROM customer JOIN embeddings ON c_custkey % 500 = vec_id)"
+PIXELS_SQL = """pixels AS MATERIALIZED (SELECT (id // 12)::INTEGER AS y, (id % 12)::INTEGER AS x, coalesce(c_acctbal::DOUBLE, 0) AS v
+    FROM (SELECT unnest(range(0, (max(c_custkey)::BIGINT + 144) // 144 * 144)) AS id FROM customer) LEFT JOIN customer ON c_custkey = id)"""
+HIST_SQL = "hist AS (SELECT c_custkey::BIGINT AS spot_id, embedding::DOUBLE[] AS f FROM customer JOIN embeddings ON c_custkey % (SELECT max(vec_id) + 1 FROM embeddings) = vec_id)"

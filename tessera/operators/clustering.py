@@ -38,6 +38,11 @@ def embedding_graph(plane: DataFrame, k: int, group: str | None = None) -> DataF
     return near.select(name, F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct()
 
 
+def with_truth(labels: DataFrame, truth: DataFrame) -> DataFrame:
+    """labels (id, ...) with truth; -1 where none is known."""
+    return labels.join(truth.select("id", "truth"), "id", "left").withColumn("truth", F.coalesce("truth", F.lit(-1)))
+
+
 def grid(histology: DataFrame, genes: DataFrame, spots: DataFrame, truth: DataFrame, weights=(0.5, 1.0), ks=(10, 15), resolutions=(0.5, 1.0), smoothing=((6, 0.5),), seed: int = 0) -> DataFrame:
     """A row for each setting: weight of the histology features, k, resolution, smoothing, classes, and agreement with the truth before and after smoothing.
 
@@ -52,8 +57,8 @@ def grid(histology: DataFrame, genes: DataFrame, spots: DataFrame, truth: DataFr
             for r, (sk, sf) in product(resolutions, smoothing):
                 labels = materialise(graphs.communities(edges, "group", r, seed).select("id", F.col("community").alias("label")), "labels")
                 after = zones.smooth(spots.join(labels, "id"), "label", sk, sf)
-                before = stats.ari(labels.join(truth, "id"), "label", "truth").first()[0]
-                rows.append((w, k, r, sk, sf, labels.select("label").distinct().count(), before, stats.ari(after.join(truth, "id"), "label", "truth").first()[0]))
+                before = stats.ari(with_truth(labels, truth), "label", "truth").first()[0]
+                rows.append((w, k, r, sk, sf, labels.select("label").distinct().count(), before, stats.ari(with_truth(after, truth), "label", "truth").first()[0]))
     return spots.sparkSession.createDataFrame(rows, "weight double, k int, resolution double, smooth_k int, smooth_frac double, classes int, ari_pre double, ari_post double")
 
 
@@ -65,7 +70,7 @@ def micro_niches(features: DataFrame, macro: DataFrame, k: int = 15, resolution:
     plane = materialise(embedded(scaled(features)).join(macro, "id"), "niche-plane")
     sizes = plane.groupBy("macro").agg(F.count("*").alias("n"))
     large = sizes.where(F.col("n") >= max(k + 1, least)).select("macro")
-    edges = embedding_graph(plane.join(F.broadcast(large), "macro", "left_semi"), k, "macro")
+    edges = embedding_graph(plane.join(large, "macro", "left_semi"), k, "macro")
     found = graphs.communities(edges, "macro", resolution, seed).select("id", F.col("community").alias("local"))
     local = plane.join(found, "id", "left").select("id", "macro", F.coalesce("local", F.lit(0)).alias("local"), F.array("x", "y").alias("f"))
     return zones.niche_ids(materialise(local, "niche-local"), least)

@@ -78,20 +78,29 @@ def _four(rows: DataFrame, col: str, name: str) -> DataFrame:
     return stats.select(F.expr(f"stack(4, '{name}_min', a, '{name}_med', b, '{name}_p90', c, '{name}_max', d) as (item, v)"))
 
 
-def report(points: DataFrame, edges: DataFrame, h: float, radius: float) -> DataFrame:
-    """(item, v): size, lengths over h, degrees, shares of long edges, components and kernel values of a graph with k and, if any, a."""
+def report(points: DataFrame, edges: DataFrame, h: float, radius: float, a_cap: float = 3.0) -> DataFrame:
+    """(item, v): size, lengths over h, degrees, shares of long edges, components and kernel values of a graph with k.
+
+    Edges that carry the anisotropy ``a`` and its ``ratio`` have their figures too,
+    and the shares of edges that are isotropic or at the cap.
+    """
     n = points.count()
     e = edges.withColumn("len", F.col("d") / dbl(h))
     out = points.select("id").join(e.groupBy("src").agg(F.count("*").alias("o")), F.col("id") == F.col("src"), "left").select(F.coalesce("o", F.lit(0)).cast("double").alias("out"))
     into = points.select("id").join(e.groupBy("dst").agg(F.count("*").alias("i")), F.col("id") == F.col("dst"), "left").select(F.coalesce("i", F.lit(0)).cast("double").alias("inn"))
     flat = e.agg(
         F.count("*").cast("double").alias("E"), (F.count("*") / dbl(n)).alias("k_mean"), F.avg((F.col("d") > dbl(radius)).cast("double")).alias("frac_beyond_R"), F.avg((F.col("len") > 2).cast("double")).alias("frac_beyond_2h"),
-        F.max(F.isnan("k").cast("double")).alias("any_nan"), F.min(F.col("k").between(0, 1).cast("double")).alias("k_within_0_1"),
-        *([F.avg((F.abs(F.col("a") - 1) < 1e-6).cast("double")).alias("frac_isotropic")] if "a" in e.columns else []),
+        *(F.max(F.isnan(c).cast("double")).alias(name) for c, name in (("k", "any_nan"), ("a", "any_nan_a"), ("ratio", "any_nan_r")) if c in e.columns), F.min(F.col("k").between(0, 1).cast("double")).alias("k_within_0_1"),
+        *([F.avg((F.abs(F.col("a") - 1) < 1e-6).cast("double")).alias("frac_isotropic"), F.avg((F.col("a") > a_cap - 1e-6).cast("double")).alias("frac_near_cap")] if "a" in e.columns else []),
     )
     parts = largest_share(points, edges).select(F.col("n_components").cast("double").alias("components"), F.col("largest").cast("double").alias("largest"))
-    deg = [degrees_at(points, r * h).agg(F.avg("degree").alias(f"degree_{r}h"), F.avg((F.col("degree") < 10).cast("double")).alias(f"under10_{r}h"), F.avg((F.col("degree") > 18).cast("double")).alias(f"over18_{r}h")) for r in (2.0, 2.2)]
+    at = {r: materialise(degrees_at(points, r * h).select(F.col("degree").cast("double").alias("degree")), "degrees") for r in (2.0, 2.2)}
+    deg = [at[r].agg(F.avg("degree").alias(f"degree_{r}h"), F.avg((F.col("degree") < 10).cast("double")).alias(f"under10_{r}h"), F.avg((F.col("degree") > 18).cast("double")).alias(f"over18_{r}h")) for r in (2.0, 2.2)]
     rows = _four(e, "len", "len").unionByName(_four(out, "out", "out")).unionByName(_four(into, "inn", "in")).unionByName(_four(e, "k", "kernel"))
+    for r in (2.0, 2.2):
+        rows = rows.unionByName(_four(at[r], "degree", f"degree_{r}h".replace(".", "_")))
+    for c, name in (("a", "a"), ("ratio", "r")):
+        rows = rows.unionByName(_four(e, c, name)) if c in e.columns else rows
     for one in (flat, parts, *deg):
         pairs = ", ".join(f"'{c.replace('.', '_')}', `{c}`" for c in one.columns)
         rows = rows.unionByName(one.select(F.expr(f"stack({len(one.columns)}, {pairs}) as (item, v)")))

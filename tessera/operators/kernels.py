@@ -35,8 +35,9 @@ def framed(edges: DataFrame, points: DataFrame, h: float, policy: str = "fixed",
     return edges.join(a, "src").join(b, "dst").withColumn("r", r).withColumn("sigma", sigma)
 
 
-def _meet(edges: DataFrame, pixels: DataFrame, tile: float, at: tuple[Column, Column]) -> DataFrame:
-    """Edges with the pixels of the 3 x 3 tiles around a point of theirs."""
+def _meet(edges: DataFrame, pixels: DataFrame, at: tuple[Column, Column], reach: Column) -> DataFrame:
+    """Edges with the pixels of the 3 x 3 tiles around a point of theirs; a tile is as wide as the furthest reach of all edges."""
+    tile = max(edges.agg(F.max(reach)).first()[0] or 0.0, 1e-9)
     step = F.explode(F.array(*(F.lit(k) for k in (-1, 0, 1))))
     own = edges.withColumn("_gx", F.floor(at[0] / dbl(tile))).withColumn("_gy", F.floor(at[1] / dbl(tile))).withColumn("_ox", step).withColumn("_oy", step)
     own = own.withColumn("_tx", F.col("_gx") + F.col("_ox")).withColumn("_ty", F.col("_gy") + F.col("_oy")).drop("_gx", "_gy", "_ox", "_oy")
@@ -50,11 +51,11 @@ def _along() -> tuple[Column, Column]:
     return (F.col("x2") - F.col("x1")) / d, (F.col("y2") - F.col("y1")) / d
 
 
-def half_disk(edges: DataFrame, pixels: DataFrame, values: list[str], tile: float) -> DataFrame:
+def half_disk(edges: DataFrame, pixels: DataFrame, values: list[str]) -> DataFrame:
     """(src, dst, n, values): weighted means over the half disk ahead of the source, or the whole disk if that is empty."""
     ux, uy = _along()
     dx, dy = F.col("x") - F.col("x1"), F.col("y") - F.col("y1")
-    rows = _meet(edges, pixels, tile, (F.col("x1"), F.col("y1"))).withColumn("_d2", dx * dx + dy * dy).where(F.col("_d2") <= F.col("r") * F.col("r"))
+    rows = _meet(edges, pixels, (F.col("x1"), F.col("y1")), F.col("r")).withColumn("_d2", dx * dx + dy * dy).where(F.col("_d2") <= F.col("r") * F.col("r"))
     rows = rows.withColumn("_w", F.exp(-F.col("_d2") / (dbl(2) * F.col("sigma") * F.col("sigma")))).withColumn("_f", dx * ux + dy * uy >= 0)
     front = lambda e: F.sum(F.when(F.col("_f"), e))
     got = rows.groupBy(*EDGE).agg(F.count("*").alias("n_all"), front(F.lit(1)).alias("n_front"), F.sum("_w").alias("w_all"), front(F.col("_w")).alias("w_front"), *(x for v in values for x in (F.sum(F.col("_w") * F.col(v)).alias(f"{v}_all"), front(F.col("_w") * F.col(v)).alias(f"{v}_front"))))
@@ -62,14 +63,14 @@ def half_disk(edges: DataFrame, pixels: DataFrame, values: list[str], tile: floa
     return got.select(*EDGE, pick("n").cast("bigint").alias("n"), *((pick(v) / (pick("w") + dbl(1e-12))).alias(v) for v in values))
 
 
-def corridor_weights(edges: DataFrame, pixels: DataFrame, tile: float, lateral: float = 2.0, across: float = 0.5, along: float = 0.5) -> DataFrame:
+def corridor_weights(edges: DataFrame, pixels: DataFrame, lateral: float = 2.0, across: float = 0.5, along: float = 0.5) -> DataFrame:
     """(src, dst, y, x, w): pixels between both ends, within ``lateral`` spreads of the line; weights sum to one.
 
     The spread across is ``across`` * sigma, along ``along`` * d.  Edges without length have none.
     """
     ux, uy = _along()
     dx, dy = F.col("x") - F.col("x1"), F.col("y") - F.col("y1")
-    rows = _meet(edges.where("d >= 1e-9"), pixels, tile, ((F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2))
+    rows = _meet(edges.where("d >= 1e-9"), pixels, ((F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2), F.hypot(F.col("d") / 2, dbl(lateral * across) * F.col("sigma")))
     rows = rows.withColumn("_s", dx * ux + dy * uy).withColumn("_l", dy * ux - dx * uy).withColumn("_sp", dbl(across) * F.col("sigma")).withColumn("_sl", dbl(along) * F.col("d"))
     rows = rows.where((F.col("_s") >= 0) & (F.col("_s") <= F.col("d")) & (F.abs("_l") <= dbl(lateral) * F.col("_sp")))
     mid = F.col("_s") - F.col("d") / 2
@@ -77,11 +78,11 @@ def corridor_weights(edges: DataFrame, pixels: DataFrame, tile: float, lateral:
     return _shares(rows.select(*EDGE, "y", "x", w.alias("w")))
 
 
-def cap_weights(edges: DataFrame, pixels: DataFrame, tile: float, angle: float = 20.0) -> DataFrame:
+def cap_weights(edges: DataFrame, pixels: DataFrame, angle: float = 20.0) -> DataFrame:
     """(src, dst, y, x, w): pixels around the target within the angle of the way back to the source; weights sum to one."""
     ux, uy = _along()
     dx, dy = F.col("x") - F.col("x2"), F.col("y") - F.col("y2")
-    rows = _meet(edges.where("d >= 1e-9"), pixels, tile, (F.col("x2"), F.col("y2"))).withColumn("_d2", dx * dx + dy * dy).where((F.col("_d2") <= F.col("r") * F.col("r")) & (F.col("_d2") > 0))
+    rows = _meet(edges.where("d >= 1e-9"), pixels, (F.col("x2"), F.col("y2")), F.col("r")).withColumn("_d2", dx * dx + dy * dy).where((F.col("_d2") <= F.col("r") * F.col("r")) & (F.col("_d2") > 0))
     rows = rows.where(-(dx * ux + dy * uy) / F.sqrt("_d2") >= dbl(cos(radians(angle))))
     return _shares(rows.select(*EDGE, "y", "x", F.exp(-F.col("_d2") / (dbl(2) * F.col("sigma") * F.col("sigma"))).alias("w")))
 
@@ -101,12 +102,12 @@ def pooled(weights: DataFrame, pixels: DataFrame, values: list[str]) -> DataFram
     return weights.join(pixels, ["y", "x"]).groupBy(*EDGE).agg(F.count("*").alias("n"), *(F.sum(F.col("w") * F.col(v)).alias(v) for v in values))
 
 
-def pool(edges: DataFrame, pixels: DataFrame, values: list[str], tile: float, mode: str = "half") -> DataFrame:
+def pool(edges: DataFrame, pixels: DataFrame, values: list[str], mode: str = "half") -> DataFrame:
     if mode == "half":
-        return half_disk(edges, pixels, values, tile)
+        return half_disk(edges, pixels, values)
     if mode == "corridor":
         bare = pixels.select("y", "x")
-        return pooled(combined(corridor_weights(edges, bare, tile), cap_weights(edges, bare, tile)), pixels, values)
+        return pooled(combined(corridor_weights(edges, bare), cap_weights(edges, bare)), pixels, values)
     raise ValueError(f"no such pool mode: {mode}")
 
 
@@ -124,9 +125,9 @@ def _turned(edges: DataFrame, h: float) -> DataFrame:
     return edges.withColumn("k", F.exp(dbl(-0.5) * (p * p / along + q * q / across) / dbl(h * h)))
 
 
-def wv2_kernel(edges: DataFrame, pixels: DataFrame, h: float, tile: float, a_min: float = 1.05, a_max: float = 3.0, gamma: float = 1.0, mode: str = "half") -> DataFrame:
+def wv2_kernel(edges: DataFrame, pixels: DataFrame, h: float, a_min: float = 1.05, a_max: float = 3.0, gamma: float = 1.0, mode: str = "half") -> DataFrame:
     """(src, dst, d, k, a, ratio, theta) from horizontal, vertical and diagonal energy: pixels carry eh, ev and ed."""
-    got = edges.join(pool(edges, pixels, ["eh", "ev", "ed"], tile, mode), EDGE, "left")
+    got = edges.join(pool(edges, pixels, ["eh", "ev", "ed"], mode), EDGE, "left")
     sx, sy = F.col("ev") + 0.5 * F.col("ed"), F.col("eh") + 0.5 * F.col("ed")
     got = got.withColumn("ratio", F.coalesce(F.abs(sx - sy) / (sx + sy + dbl(1e-12)), dbl(0)))
     got = got.withColumn("a", F.when(F.col("n").isNull(), dbl(1)).otherwise(_stretch(F.col("ratio"), a_min, a_max, gamma)))
@@ -139,7 +140,7 @@ def angular_kernel(edges: DataFrame, energies: DataFrame, bands: DataFrame, h: f
 
     Bands under the least concentration are skipped; edges without energy are isotropic.
     """
-    own = energies.join(F.broadcast(bands.where(F.col("kappa") >= least_kappa)), "band")
+    own = energies.join(bands.where(F.col("kappa") >= least_kappa), "band")
     kp = F.col("kappa") * F.col("p")
     got = own.groupBy(*EDGE).agg(F.sum(kp * F.cos(2 * F.col("theta"))).alias("c"), F.sum(kp * F.sin(2 * F.col("theta"))).alias("s"), F.sum(kp).alias("e"))
     rows = edges.join(got, EDGE, "left")
@@ -148,10 +149,10 @@ def angular_kernel(edges: DataFrame, energies: DataFrame, bands: DataFrame, h: f
     return _turned(rows, h).select(*EDGE, "d", "k", "a", "ratio", "theta")
 
 
-def wv4_kernel(edges: DataFrame, pixels: DataFrame, columns: dict[str, tuple[str, str | None]], bands: DataFrame, h: float, tile: float, gains: tuple[float, float] = (0.8, 0.2), mode: str = "half", **shape) -> DataFrame:
+def wv4_kernel(edges: DataFrame, pixels: DataFrame, columns: dict[str, tuple[str, str | None]], bands: DataFrame, h: float, gains: tuple[float, float] = (0.8, 0.2), mode: str = "half", **shape) -> DataFrame:
     """Kernel of an M-band transform; ``columns``: for each band its normalised level-1 and level-2 pixel columns."""
     values = list(dict.fromkeys(c for pair in columns.values() for c in pair if c))
-    got = pool(edges, pixels, values, tile, mode)
+    got = pool(edges, pixels, values, mode)
     terms = []
     for name, (one, two) in columns.items():
         p = F.col(one) * gains[0] + F.col(two) * gains[1] if two else F.col(one) * 1.0
@@ -160,7 +161,7 @@ def wv4_kernel(edges: DataFrame, pixels: DataFrame, columns: dict[str, tuple[str
     return angular_kernel(edges, energies, bands, h, **shape)
 
 
-def dtcwt_kernel(edges: DataFrame, pixels: DataFrame, bands: dict[str, list[tuple[str, str, str]]], angles: DataFrame, h: float, tile: float, gains: tuple[float, ...] = (0.7, 0.3), beta: float = 2.0, mode: str = "half", **shape) -> DataFrame:
+def dtcwt_kernel(edges: DataFrame, pixels: DataFrame, bands: dict[str, list[tuple[str, str, str]]], angles: DataFrame, h: float, gains: tuple[float, ...] = (0.7, 0.3), beta: float = 2.0, mode: str = "half", **shape) -> DataFrame:
     """Kernel of complex subbands; ``bands``: for each angle and level the columns of power, real and imaginary part.
 
     A level counts by its gain times its coherence |sum w W| / sum w |W| to the power beta.
@@ -170,7 +171,7 @@ def dtcwt_kernel(edges: DataFrame, pixels: DataFrame, bands: dict[str, list[tupl
         for _, re, im in levels:
             own = own.withColumn(f"_abs_{re}", F.hypot(re, im))
     values = list(dict.fromkeys(c for levels in bands.values() for p, re, im in levels for c in (p, re, im, f"_abs_{re}")))
-    got = pool(edges, own, values, tile, mode)
+    got = pool(edges, own, values, mode)
     terms = []
     for name, levels in bands.items():
         total = dbl(0)

@@ -26,7 +26,7 @@ def ccc_prep(scores: DataFrame, n_spots: int, q: float = 0.95) -> DataFrame:
     ranked = pos.withColumn("rk", dbl(cells) - down)  # 0-based rank from below among all cells
     ends = ranked.groupBy("pair_id").agg(F.max(F.when(F.col("rk") == low, F.col("s"))).alias("a"), F.max(F.when(F.col("rk") == low + 1, F.col("s"))).alias("b"))
     cut = ends.select("pair_id", (F.coalesce("a", dbl(0)) * (1 - part) + F.coalesce("b", dbl(0)) * part).alias("cut"))
-    return own.join(F.broadcast(cut), "pair_id", "left").select("src", "dst", "pair_id", clip(F.col("s") / F.greatest(F.coalesce("cut", dbl(0)), dbl(1e-8)), 0, 1).alias("w"))
+    return own.join(cut, "pair_id", "left").select("src", "dst", "pair_id", clip(F.col("s") / F.greatest(F.coalesce("cut", dbl(0)), dbl(1e-8)), 0, 1).alias("w"))
 
 
 def topk_mask(weights: DataFrame, k: int) -> DataFrame:
@@ -48,14 +48,14 @@ def message_passing(ccc: DataFrame, features: DataFrame, logits: dict[int, float
 
 def soft_assignment(points: DataFrame, centres: DataFrame) -> DataFrame:
     """(id, cluster, q): Student's t kernel of squared distances, normalised over the centres.  Both tables are (id or cluster, pos, v)."""
-    gap = points.join(F.broadcast(centres.withColumnRenamed("v", "c")), "pos").groupBy("id", "cluster").agg(F.sum(F.pow(F.col("v") - F.col("c"), dbl(2))).alias("d2"))
+    gap = points.join(centres.withColumnRenamed("v", "c"), "pos").groupBy("id", "cluster").agg(F.sum(F.pow(F.col("v") - F.col("c"), dbl(2))).alias("d2"))
     t = gap.withColumn("t", dbl(1) / (dbl(1) + F.col("d2")))
     return t.select("id", "cluster", (F.col("t") / F.sum("t").over(Window.partitionBy("id"))).alias("q"))
 
 
 def target_distribution(q: DataFrame) -> DataFrame:
     """(id, cluster, p): squared shares over the cluster's mass, normalised."""
-    mass = F.broadcast(q.groupBy("cluster").agg(F.sum("q").alias("f")))
+    mass = q.groupBy("cluster").agg(F.sum("q").alias("f"))
     w = q.join(mass, "cluster").withColumn("w", F.col("q") * F.col("q") / F.col("f"))
     return w.select("id", "cluster", (F.col("w") / F.sum("w").over(Window.partitionBy("id"))).alias("p"))
 
@@ -127,8 +127,8 @@ def aucell(expr: DataFrame, regulons: DataFrame, n_genes: int, share: float = 0.
     top = max(1, round(share * n_genes))
     rk = F.row_number().over(Window.partitionBy("spot_id").orderBy(F.desc("value"), "gene"))
     ranked = expr.withColumn("rk", rk).where(F.col("rk") <= top)
-    sizes = F.broadcast(regulons.groupBy("regulon").agg(F.count("*").alias("n")))
-    got = ranked.join(F.broadcast(regulons), "gene").groupBy("spot_id", "regulon").agg(F.sum(dbl(top) - F.col("rk") + 1).alias("area"))
+    sizes = regulons.groupBy("regulon").agg(F.count("*").alias("n"))
+    got = ranked.join(regulons, "gene").groupBy("spot_id", "regulon").agg(F.sum(dbl(top) - F.col("rk") + 1).alias("area"))
     full = F.least(F.col("n"), F.lit(top))
     most = full * dbl(top) - full * (full - 1) / dbl(2)
     return got.join(sizes, "regulon").select("spot_id", "regulon", (F.col("area") / most).alias("auc"))

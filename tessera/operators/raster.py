@@ -6,11 +6,12 @@ true.  Neighbourhoods are joins with a small table of offsets.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import clip, dbl, grid_bin, hsv, pixel_of
 from tessera.plans.components import components
+from tessera.plans.numbering import number_rows
 
 
 def bounds(points: DataFrame) -> dict:
@@ -193,7 +194,7 @@ def boundary(mask: DataFrame, width: int, height: int) -> DataFrame:
 
 def flatten(pixels: DataFrame, mask: DataFrame) -> DataFrame:
     """(ord, y, x, v): pixels of the mask in row-major order."""
-    return pixels.join(mask, ["y", "x"], "left_semi").withColumn("ord", F.row_number().over(Window.orderBy("y", "x")) - 1)
+    return number_rows(pixels.join(mask, ["y", "x"], "left_semi"), "ord", ["y", "x"])
 
 
 def crop(pixels: DataFrame, points: DataFrame, scale: float) -> DataFrame:

@@ -64,7 +64,7 @@ def standard_features(hist: DataFrame) -> DataFrame:
     """(spot_id, pos, z): features less their mean over their population spread plus 1e-8."""
     long = hist.select("spot_id", F.posexplode("f").alias("pos", "v"))
     stats = long.groupBy("pos").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
-    return long.join(F.broadcast(stats), "pos").select("spot_id", "pos", ((F.col("v") - F.col("m")) / (F.col("s") + dbl(1e-8))).alias("z"))
+    return long.join(stats, "pos").select("spot_id", "pos", ((F.col("v") - F.col("m")) / (F.col("s") + dbl(1e-8))).alias("z"))
 
 
 def feature_similarity(edges: DataFrame, hist: DataFrame, sigma: float) -> DataFrame:
@@ -145,8 +145,8 @@ def raw_scores(edges: DataFrame, expr: DataFrame, pairs: DataFrame, half: float)
 
     edges carry k, radial, contact and g.  Rows with a missing gene have s = 0 and are left out.
     """
-    lig = expr.join(F.broadcast(pairs.select("pair_id", "mode", F.col("ligand").alias("gene"))), "gene").select(F.col("spot_id").alias("src"), "pair_id", "mode", F.col("value").alias("el"))
-    rec = expr.join(F.broadcast(pairs.select("pair_id", F.col("receptor").alias("gene"))), "gene").select(F.col("spot_id").alias("dst"), "pair_id", F.col("value").alias("er"))
+    lig = expr.join(pairs.select("pair_id", "mode", F.col("ligand").alias("gene")), "gene").select(F.col("spot_id").alias("src"), "pair_id", "mode", F.col("value").alias("el"))
+    rec = expr.join(pairs.select("pair_id", F.col("receptor").alias("gene")), "gene").select(F.col("spot_id").alias("dst"), "pair_id", F.col("value").alias("er"))
     rows = edges.join(lig, "src").join(rec, ["dst", "pair_id"])
     drive = F.when(F.col("mode") == "mb", F.col("el") * F.col("contact")).otherwise(F.col("el") * F.col("k") * F.col("radial"))
     return rows.select("src", "dst", "pair_id", hill(drive * F.col("g") * F.col("er"), half).alias("s"))
@@ -160,8 +160,8 @@ def gene_means(expr: DataFrame, n_spots: int) -> DataFrame:
 def pools(pairs: DataFrame, means: DataFrame, size: int) -> DataFrame:
     """(pair_id, side, gene, rk): for ligand and receptor the genes whose mean is nearest, the gene itself first."""
     sides = pairs.select("pair_id", F.lit("L").alias("side"), F.col("ligand").alias("g")).unionByName(pairs.select("pair_id", F.lit("R").alias("side"), F.col("receptor").alias("g")))
-    own = sides.join(F.broadcast(means.select(F.col("gene").alias("g"), F.col("m").alias("m0"))), "g")
-    rows = own.join(F.broadcast(means)).withColumn("off", F.abs(F.col("m") - F.col("m0")))
+    own = sides.join(means.select(F.col("gene").alias("g"), F.col("m").alias("m0")), "g")
+    rows = own.join(means).withColumn("off", F.abs(F.col("m") - F.col("m0")))
     over = Window.partitionBy("pair_id", "side").orderBy("off", "gene")
     return rows.withColumn("rk", F.row_number().over(over)).where(F.col("rk") <= size).select("pair_id", "side", "gene", "rk")
 
@@ -180,7 +180,7 @@ def draw_table(pool: DataFrame, n_null: int, seed: int) -> DataFrame:
 
 def null_thresholds(edges: DataFrame, expr: DataFrame, pairs: DataFrame, draws: DataFrame, half: float, q: float = 0.95) -> DataFrame:
     """(src, dst, pair_id, tau): quantile of the scores of drawn gene pairs on the edge, in rows; for few draws."""
-    own = edges.join(F.broadcast(draws.join(pairs.select("pair_id", "mode"), "pair_id")))
+    own = edges.join(draws.join(pairs.select("pair_id", "mode"), "pair_id"))
     el = expr.select(F.col("spot_id").alias("src"), F.col("gene").alias("gl"), F.col("value").alias("el"))
     er = expr.select(F.col("spot_id").alias("dst"), F.col("gene").alias("gr"), F.col("value").alias("er"))
     rows = own.join(el, ["src", "gl"], "left").join(er, ["dst", "gr"], "left").fillna(0.0, ["el", "er"])
@@ -234,7 +234,7 @@ def edge_totals(scores: DataFrame) -> DataFrame:
 
 
 def pathway_totals(scores: DataFrame, pairs: DataFrame) -> DataFrame:
-    return scores.join(F.broadcast(pairs.select("pair_id", "pathway")), "pair_id").groupBy("src", "dst", "pathway").agg(F.sum("s").alias("s"))
+    return scores.join(pairs.select("pair_id", "pathway"), "pair_id").groupBy("src", "dst", "pathway").agg(F.sum("s").alias("s"))
 
 
 def prune(totals: DataFrame, q: float) -> DataFrame:

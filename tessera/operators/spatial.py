@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import dbl
+from tessera.plans.numbering import number_rows
 from tessera.plans.order_stats import quantile
 from tessera.plans.workspace import materialise
 
@@ -117,8 +118,8 @@ def pooled_knn(points: DataFrame, low: int = 8, high: int = 12) -> DataFrame:
 
 def knee(distances: DataFrame, h: float, low: float = 1.2, high: float = 3.5) -> DataFrame:
     """One row, alpha: where the sorted distances over h bend most away from their chord; null if out of range or under 10 rows."""
-    r = distances.select((F.col("d") / dbl(h)).alias("r"))
-    at = r.withColumn("rn", F.row_number().over(Window.orderBy("r"))).join(F.broadcast(r.agg(F.count("*").alias("n"), F.min("r").alias("lo"), F.max("r").alias("hi"))))
+    r = number_rows(distances.select((F.col("d") / dbl(h)).alias("r")), "rn", ["r"]).withColumn("rn", F.col("rn") + 1)
+    at = r.join(F.broadcast(r.agg(F.count("*").alias("n"), F.min("r").alias("lo"), F.max("r").alias("hi"))))
     x = (F.col("rn") - 1) / F.greatest(F.col("n") - 1, F.lit(1)).cast("double")
     y = (F.col("r") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), dbl(1e-12))
     best = at.withColumn("off", F.abs(y - x)).agg(F.max_by("r", F.struct(F.col("off"), -F.col("rn"))).alias("r"), F.max("n").alias("n"))

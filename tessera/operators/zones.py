@@ -147,4 +147,4 @@ def niche_ids(local: DataFrame, least: int = 10) -> DataFrame:
     to = gap.groupBy("macro", "old").agg(F.min_by("new", F.struct("g", "new")).alias("new"))
     rows = local.select("id", "macro", "local").join(to.withColumnRenamed("old", "local"), ["macro", "local"], "left").select("id", "macro", F.coalesce("new", "local").alias("local"))
     ids = kept.withColumn("micro_id", F.dense_rank().over(Window.orderBy("macro", "local")) - 1)
-    return rows.join(F.broadcast(ids), ["macro", "local"]).select("id", "micro_id", F.concat_ws(":", "macro", F.col("local").cast("string")).alias("micro_name"))
+    return rows.join(ids, ["macro", "local"]).select("id", "micro_id", F.concat_ws(":", "macro", F.col("local").cast("string")).alias("micro_name"))

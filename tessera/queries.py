@@ -45,10 +45,14 @@ def query(sql: str | None = None, floats: str = "", rest: str = ""):
 
 
 def queries() -> dict[str, Callable]:
+    from tessera import source_queries  # noqa: F401  registers its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from tessera import source_queries  # noqa: F401
+
     return dict(_SQL)
 
 
@@ -342,12 +346,12 @@ def gene_normalise(spark, sf_dir):
     return A.table(spark, sf_dir, "part").select("p_partkey", C.gene_name(raw).alias("gene"))
 
 
-CPLX = "cx AS (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'COMPLEX:' || p_brand ELSE p_brand END AS ligand, CASE WHEN p_partkey % 3 = 0 THEN p_brand || '_X' ELSE p_name END AS receptor FROM part)"
+CPLX = "cx AS (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'COMPLEX:' || p_brand ELSE p_brand END AS ligand, CASE WHEN p_partkey % 3 = 0 THEN p_brand || '_X' ELSE replace(p_name, ' ', '.') END AS receptor FROM part)"
 
 
 @query(f"{CPLX}, out AS (SELECT * FROM cx WHERE NOT regexp_matches(ligand, '(?:^COMPLEX:)|[_/+\\s;]') AND NOT regexp_matches(receptor, '(?:^COMPLEX:)|[_/+\\s;]'))", "", "p_partkey ligand receptor")
 def drop_complexes(spark, sf_dir):
-    rows = A.table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 7 == 0, F.concat(F.lit("COMPLEX:"), "p_brand")).otherwise(F.col("p_brand")).alias("ligand"), F.when(F.col("p_partkey") % 3 == 0, F.concat("p_brand", F.lit("_X"))).otherwise(F.col("p_name")).alias("receptor"))
+    rows = A.table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 7 == 0, F.concat(F.lit("COMPLEX:"), "p_brand")).otherwise(F.col("p_brand")).alias("ligand"), F.when(F.col("p_partkey") % 3 == 0, F.concat("p_brand", F.lit("_X"))).otherwise(F.replace(F.col("p_name"), F.lit(" "), F.lit("."))).alias("receptor"))
     return interactions.without_complexes(rows)
 
 
@@ -470,6 +474,8 @@ def degree_at_radius(spark, sf_dir):
 _FOUR = lambda t, c, name: f"SELECT unnest(['{name}_min', '{name}_med', '{name}_p90', '{name}_max']) AS item, unnest([min({c})::DOUBLE, quantile_cont({c}, 0.5), quantile_cont({c}, 0.9), max({c})::DOUBLE]) AS v FROM {t}"
 _DEG = lambda r: f"SELECT unnest(['degree_{r.replace('.', '_')}h', 'under10_{r.replace('.', '_')}h', 'over18_{r.replace('.', '_')}h']), unnest([avg(n), avg((n < 10)::INTEGER), avg((n > 18)::INTEGER)]) FROM (SELECT spot_id, count(dst) AS n FROM spots LEFT JOIN (SELECT src, dst FROM pairs, h WHERE d <= {r} * h) ON src = spot_id GROUP BY 1)"
 
+_DEG4 = lambda r: _FOUR(f"(SELECT spot_id, count(dst)::DOUBLE AS n FROM spots LEFT JOIN (SELECT src, dst FROM pairs, h WHERE d <= {r} * h) ON src = spot_id GROUP BY 1)", "n", f"degree_{r.replace('.', '_')}h")
+
 
 @query(
     f"""{KERNEL}, le AS (SELECT *, d / h AS len FROM ke, h), od AS (SELECT spot_id, count(dst)::DOUBLE AS n FROM spots LEFT JOIN ke ON src = spot_id GROUP BY 1), ind AS (SELECT spot_id, count(src)::DOUBLE AS n FROM spots LEFT JOIN ke ON dst = spot_id GROUP BY 1),
@@ -477,7 +483,7 @@ _DEG = lambda r: f"SELECT unnest(['degree_{r.replace('.', '_')}h', 'under10_{r.r
     out AS ({_FOUR("le", "len", "len")} UNION ALL {_FOUR("od", "n", "out")} UNION ALL {_FOUR("ind", "n", "in")} UNION ALL {_FOUR("le", "k", "kernel")}
     UNION ALL SELECT unnest(['E', 'k_mean', 'frac_beyond_R', 'frac_beyond_2h', 'any_nan', 'k_within_0_1']), unnest([count(*)::DOUBLE, count(*) / (SELECT count(*) FROM spots)::DOUBLE, avg((d > {H_REL} * h)::INTEGER), avg((len > 2)::INTEGER), max(isnan(k)::INTEGER), min((k BETWEEN 0 AND 1)::INTEGER)]) FROM le
     UNION ALL SELECT unnest(['components', 'largest']), unnest([count(*)::DOUBLE, max(n)::DOUBLE]) FROM co
-    UNION ALL {_DEG("2.0")} UNION ALL {_DEG("2.2")} UNION ALL SELECT 'N', count(*)::DOUBLE FROM spots UNION ALL SELECT 'h', h FROM h)""",
+    UNION ALL {_DEG("2.0")} UNION ALL {_DEG("2.2")} UNION ALL {_DEG4("2.0")} UNION ALL {_DEG4("2.2")} UNION ALL SELECT 'N', count(*)::DOUBLE FROM spots UNION ALL SELECT 'h', h FROM h)""",
     "v",
     "item",
 )
@@ -721,14 +727,14 @@ def tissue_mask(spark, sf_dir):
     return raster.tissue_mask(rgb, 12, height(rgb), least=4)
 
 
-def _frame(spark, sf_dir) -> tuple[DataFrame, DataFrame, float, float]:
-    """Edges of spots in pixel coordinates with their pools, pixels with energies, spacing and tile."""
+def _frame(spark, sf_dir) -> tuple[DataFrame, DataFrame, float]:
+    """Edges of spots in pixel coordinates with their pools, pixels with energies, and spacing."""
     p = points(spark, sf_dir).select("id", (F.col("x") * dbl(0.275)).alias("x"), (F.col("y") * dbl(3.0)).alias("y"))
     p = materialise(p, "pixel-points")
     h = spatial.spacing(p)
     e = materialise(kernels.framed(spatial.bounded_graph(p, h, 2.2, 4, 6), p, h, "fixed", r_rel=3.0, sigma_rel=1.5), "framed")
     px = A.pixels(spark, sf_dir).select("y", "x", F.abs("v").alias("eh"), F.abs(F.col("v") - 3000).alias("ev"), F.abs(F.col("v") * 0.5).alias("ed"))
-    return e, materialise(px, "energies"), h, 3.0 * h
+    return e, materialise(px, "energies"), h
 
 
 FRAME = f"""{S}, {A.PIXELS_SQL}, fp AS MATERIALIZED (SELECT spot_id, x * 0.275::DOUBLE AS x, y * 3.0::DOUBLE AS y FROM spots), fpr AS (SELECT a.spot_id AS src, b.spot_id AS dst, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2, {D} AS d FROM fp a JOIN fp b ON a.spot_id <> b.spot_id),
@@ -742,8 +748,8 @@ HALFDISK = f"""{FRAME}, hm AS (SELECT src, dst, (x - x1) * ux + (y - y1) * uy >=
 
 @query(f"{HALFDISK}, out AS (SELECT * FROM hd)", "eh ev ed", "src dst n")
 def halfdisk_pool(spark, sf_dir):
-    e, px, _, tile = _frame(spark, sf_dir)
-    return kernels.half_disk(e, px, ["eh", "ev", "ed"], tile)
+    e, px, _ = _frame(spark, sf_dir)
+    return kernels.half_disk(e, px, ["eh", "ev", "ed"])
 
 
 CORR = f"""{FRAME}, cr AS (SELECT src, dst, d, sg, y, x, (x - x1) * ux + (y - y1) * uy AS s, (y - y1) * ux - (x - x1) * uy AS l FROM fe, en),
@@ -756,19 +762,19 @@ CORR = f"""{FRAME}, cr AS (SELECT src, dst, d, sg, y, x, (x - x1) * ux + (y - y1
 
 @query(f"{CORR}, out AS (SELECT * FROM cn)", "w", "src dst y x")
 def corridor_pool(spark, sf_dir):
-    e, px, _, tile = _frame(spark, sf_dir)
-    return kernels.corridor_weights(e, px.select("y", "x"), tile)
+    e, px, _ = _frame(spark, sf_dir)
+    return kernels.corridor_weights(e, px.select("y", "x"))
 
 
 @query(f"{CORR}, out AS (SELECT * FROM pn)", "w", "src dst y x")
 def cap_pool(spark, sf_dir):
-    e, px, _, tile = _frame(spark, sf_dir)
-    return kernels.cap_weights(e, px.select("y", "x"), tile)
+    e, px, _ = _frame(spark, sf_dir)
+    return kernels.cap_weights(e, px.select("y", "x"))
 
 
 @query(f"{CORR}, un AS (SELECT src, dst, y, x, sum(w) AS w FROM (SELECT * FROM cn UNION ALL SELECT * FROM pn) GROUP BY ALL), sh AS (SELECT *, w / (sum(w) OVER (PARTITION BY src, dst) + 1e-12) AS q FROM un), out AS (SELECT src, dst, count(*)::BIGINT AS n, sum(q * eh) AS eh, sum(q * ev) AS ev, sum(q * ed) AS ed FROM sh JOIN en USING (y, x) GROUP BY ALL)", "eh ev ed", "src dst n")
 def corridor_cap_pool(spark, sf_dir):
-    e, px, _, tile = _frame(spark, sf_dir)
+    e, px, _ = _frame(spark, sf_dir)
     return kernels.pool(e, px, ["eh", "ev", "ed"], tile, "corridor")
 
 
@@ -783,8 +789,8 @@ _TURN = "exp(-0.5 * (power((x2 - x1) * cos(theta) + (y2 - y1) * sin(theta), 2) /
     "src dst",
 )
 def wv2_kernel(spark, sf_dir):
-    e, px, h, tile = _frame(spark, sf_dir)
-    return kernels.wv2_kernel(e, px, h, tile)
+    e, px, h = _frame(spark, sf_dir)
+    return kernels.wv2_kernel(e, px, h)
 
 
 _BANDS4 = [("b1", 0.3, 0.7), ("b2", 1.2, 0.5), ("b3", 2.4, 0.1)]
@@ -799,18 +805,18 @@ _BANDS4 = [("b1", 0.3, 0.7), ("b2", 1.2, 0.5), ("b3", 2.4, 0.1)]
     "src dst",
 )
 def wv4_kernel(spark, sf_dir):
-    e, px, h, tile = _frame(spark, sf_dir)
+    e, px, h = _frame(spark, sf_dir)
     bands = spark.createDataFrame(_BANDS4, "band string, theta double, kappa double")
-    return kernels.wv4_kernel(e, px, {"b1": ("eh", "ev"), "b2": ("ed", None), "b3": ("ev", None)}, bands, h, tile)
+    return kernels.wv4_kernel(e, px, {"b1": ("eh", "ev"), "b2": ("ed", None), "b3": ("ev", None)}, bands, h)
 
 
 @query()
 def dtcwt_kernel(spark, sf_dir):
     """Kernel of complex subbands, made up from the pixels."""
-    e, px, h, tile = _frame(spark, sf_dir)
+    e, px, h = _frame(spark, sf_dir)
     px = px.withColumn("re", F.col("ev") - F.col("eh")).withColumn("im", F.col("ed") * 0.3).withColumn("p", F.col("re") * F.col("re") + F.col("im") * F.col("im"))
     angles = spark.createDataFrame([("15", 0.26, 1.0), ("75", 1.31, 0.8)], "band string, theta double, kappa double")
-    return kernels.dtcwt_kernel(e, px, {"15": [("p", "re", "im")], "75": [("p", "im", "re")]}, angles, h, tile)
+    return kernels.dtcwt_kernel(e, px, {"15": [("p", "re", "im")], "75": [("p", "im", "re")]}, angles, h)
 
 
 def _bank_sql(name: str) -> str:
@@ -883,7 +889,13 @@ def feature_tensor(spark, sf_dir):
 # --- model input
 
 
-@query(f"{READY}, ps AS (SELECT src, dst, pair_id, s FROM sc WHERE src <> dst AND s > 0), nn2 AS (SELECT count(*)::BIGINT * count(*)::BIGINT AS cells FROM spots), rk2 AS (SELECT *, cells - row_number() OVER (PARTITION BY pair_id ORDER BY s DESC) AS r FROM ps, nn2), ct AS (SELECT pair_id, coalesce(max(s) FILTER (WHERE r = floor(0.999 * (cells - 1))), 0) * (1 - (0.999 * (cells - 1) - floor(0.999 * (cells - 1)))) + coalesce(max(s) FILTER (WHERE r = floor(0.999 * (cells - 1)) + 1), 0) * (0.999 * (cells - 1) - floor(0.999 * (cells - 1))) AS cut FROM rk2 GROUP BY pair_id, cells), out AS (SELECT src, dst, pair_id, least(greatest(s / greatest(coalesce(cut, 0), 1e-8), 0), 1) AS w FROM sc LEFT JOIN ct USING (pair_id) WHERE src <> dst)", "w", "src dst pair_id")
+@query(
+    f"""{READY}, nn2 AS (SELECT count(*)::BIGINT * count(*)::BIGINT AS cells FROM spots), rk AS (SELECT cells, floor(0.999 * (cells - 1))::BIGINT AS low, 0.999 * (cells - 1) - floor(0.999 * (cells - 1)) AS part FROM nn2),
+    ls AS MATERIALIZED (SELECT pair_id, list_reverse_sort(list(s)) AS l FROM sc WHERE src <> dst AND s > 0 GROUP BY 1), ct AS MATERIALIZED (SELECT pair_id, coalesce(l[cells - low], 0) * (1 - part) + coalesce(l[cells - low - 1], 0) * part AS cut FROM ls, rk),
+    out AS (SELECT src, dst, sc.pair_id, least(greatest(s / greatest(coalesce(cut, 0), 1e-8), 0), 1) AS w FROM sc LEFT JOIN ct ON sc.pair_id = ct.pair_id WHERE src <> dst)""",
+    "w",
+    "src dst pair_id",
+)
 def ccc_prep(spark, sf_dir):
     p, e, ex, pairs = ready(spark, sf_dir)
     return models.ccc_prep(materialise(scoring.raw_scores(e, ex, pairs, HALF), "scores"), p.count(), 0.999)

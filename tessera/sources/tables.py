@@ -6,12 +6,13 @@ Spark, so any store that Spark reads will do.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from tessera.functions.columns import gene_name
 from tessera.operators import interactions
+from tessera.plans.numbering import number_rows
 
 # Headers that name coordinates, labels and spots.
 X_NAMES = ["x", "x_px", "coord_x", "pos_x", "xc", "col", "imagecol", "x_um", "xpix", "x_pixel"]
@@ -48,8 +49,7 @@ def numeric_columns(df: DataFrame, whole: bool = True) -> list[str]:
 
 def numbered(df: DataFrame, order: list[str] | None = None) -> DataFrame:
     """df with spot_id 0..N-1, by the given columns or by place in the file."""
-    keyed = df if order else df.withColumn("_o", F.monotonically_increasing_id())
-    return keyed.withColumn("spot_id", (F.row_number().over(Window.orderBy(*(order or ["_o"]))) - 1).cast("bigint")).drop("_o")
+    return number_rows(df, "spot_id", order)
 
 
 def coords_strict(spark: SparkSession, path: str) -> DataFrame:
@@ -160,7 +160,7 @@ def expr_long(df: DataFrame, layout: str = "auto", log1p: bool = False) -> DataF
 def aligned_expr(long: DataFrame, spots: DataFrame) -> DataFrame:
     """(spot_id, gene, value): for every spot and gene, the largest of repeated genes; missing ones are 0."""
     own = long.groupBy("spot", "gene").agg(F.max(F.coalesce("value", F.lit(0.0))).alias("value"))
-    genes = F.broadcast(own.select("gene").distinct())
+    genes = own.select("gene").distinct()
     grid = spots.select("spot_id", "barcode").join(genes)
     return grid.join(own, (F.col("barcode") == F.col("spot")) & (grid["gene"] == own["gene"]), "left").select("spot_id", grid["gene"], F.coalesce("value", F.lit(0.0)).alias("value"))
 
@@ -170,7 +170,8 @@ def gene_set(df: DataFrame) -> DataFrame:
 
 
 def lr_tables(spark: SparkSession, paths: list[str]) -> DataFrame:
-    return interactions.union([csv(spark, p) for p in paths]).withColumn("pair_id", F.monotonically_increasing_id())
+    """Pairs of all files, numbered by their own columns, so that files and their order don't matter."""
+    return number_rows(interactions.union([csv(spark, p) for p in paths]), "pair_id", ["ligand", "receptor", "pathway", "ligand_annotation"])
 
 
 def lr_database(df: DataFrame) -> DataFrame:
@@ -216,11 +217,11 @@ def image(spark: SparkSession, path: str) -> DataFrame:
 
 def bands(spark: SparkSession, pattern: str) -> DataFrame:
     """Subbands in Parquet files L{level}_B{bi}{bj}*, with level, bi and bj from their names; of a band found twice the first file counts."""
-    df = spark.read.parquet(pattern).withColumn("_f", F.col("_metadata.file_path"))
     name = r"L(\d+)_B(\d)(\d)"
-    own = df.where(F.col("_f").rlike(name)).select("*", *(F.regexp_extract("_f", name, i).cast("int").alias(n) for i, n in ((1, "level"), (2, "bi"), (3, "bj"))))
+    df = spark.read.parquet(pattern).withColumn("_f", F.regexp_extract(F.col("_metadata.file_path"), rf"^(.*/[^/]*{name}[^/]*)", 1))
+    own = df.where(F.col("_f") != "").select("*", *(F.regexp_extract("_f", name, i).cast("int").alias(n) for i, n in ((1, "level"), (2, "bi"), (3, "bj"))))
     first = own.groupBy("level", "bi", "bj").agg(F.min("_f").alias("_f"))
-    return own.join(F.broadcast(first), ["level", "bi", "bj", "_f"], "left_semi").drop("_f")
+    return own.join(first, ["level", "bi", "bj", "_f"], "left_semi").drop("_f")
 
 
 def angles(spark: SparkSession, pattern: str) -> DataFrame:
@@ -229,7 +230,7 @@ def angles(spark: SparkSession, pattern: str) -> DataFrame:
     own = df.select("*", F.regexp_extract("_f", r"L(\d+)_", 1).cast("int").alias("level"), F.regexp_extract("_f", r"ang(-?\d+)", 1).cast("int").alias("angle")).drop("_f")
     n = own.select("level").distinct().count()
     full = own.groupBy("angle").agg(F.countDistinct("level").alias("n")).where(F.col("n") == n).select("angle")
-    return own.join(F.broadcast(full), "angle", "left_semi")
+    return own.join(full, "angle", "left_semi")
 
 
 def equal_sizes(pixels: DataFrame, key: str) -> None:

@@ -1,5 +1,6 @@
 """Analytic and property tests of the tissue operators."""
 
+import json
 import math
 
 import numpy as np
@@ -348,7 +349,80 @@ def test_search_sorts_trials(spark):
     e = kernels.iso(spatial.bounded_graph(p, spatial.spacing(p)), spatial.spacing(p))
     got = tuning.search(spots, e, ex, lr, fast=1, refine=1, n_null=(3, 4)).collect()
     assert len(got) == 2 and got[0].penalty <= got[1].penalty < 1e9 and {r.stage for r in got} == {"fast", "refined"}
-    assert tuning.penalty({}) == 0 and tuning.penalty({"components": 3}) == 10
+    assert json.loads(got[0].params)["pool_size"] in (1000, 1200) and all(r.error is None for r in got)
+
+
+def test_search_space_and_penalty(spark):
+    rng = np.random.default_rng(1)
+    draws = [tuning.sampled(rng) for _ in range(800)]
+    share = lambda k, v: np.mean([d[k] == v for d in draws])
+    assert abs(share("beta_max", 0.08) - 0.45) < 0.06 and abs(share("deg_min", 10) - 0.6) < 0.06 and abs(share("k_for_Wr", 1) - 0.7) < 0.06
+    assert all(0.65 <= d["prune_frac"] <= 0.85 and d["n_null"] == 200 for d in draws)
+    again = tuning.refined(draws[0])
+    assert {k for k in again if again[k] != draws[0][k]} == {"n_null", "pool_size"} and again["n_null"] == 1000 and again["pool_size"] == 1200
+    rows = spark.createDataFrame([(1, 3.0, None), (2, None, float("nan")), (3, 1.0, 0.0)], "trial int, components double, gate_big double")
+    assert [r.penalty for r in tuning.penalised(rows).orderBy("trial").collect()] == [10, 0, 1.5]
+
+
+def test_a_broken_job_ends_the_search(spark, monkeypatch):
+    def broken(*a):
+        raise MemoryError
+
+    monkeypatch.setattr(tuning, "sanity", broken)
+    none = spark.createDataFrame([], "pair_id bigint")
+    with pytest.raises(MemoryError):
+        tuning.search(none, none, none, none, fast=1)
+
+
+def test_rows_are_numbered_in_order(spark):
+    from tessera.plans.numbering import number_rows
+
+    df = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("v")).repartition(5)
+    got = number_rows(df, "n", ["v"]).orderBy("n").collect()
+    assert [r.n for r in got] == list(range(1000)) and [r.v for r in got] == sorted(r.v for r in got)
+    assert number_rows(df.limit(0), "n", ["v"]).count() == 0
+
+
+def test_erfc(spark):
+    from math import erfc
+
+    xs = [k / 50 for k in range(0, 1000)]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", stats.erfc(F.col("x")).alias("e")).collect()
+    assert all(abs(r.e - erfc(r.x)) <= 1e-9 * erfc(r.x) + 1e-300 for r in got)
+
+
+def test_components_of_many_edges_have_a_fingerprint_without_overflow(spark):
+    """Hashes of 40 million edges, combined as the rounds combine them."""
+    from tessera.plans import components as module
+
+    assert "bit_xor" in open(module.__file__).read()
+    assert spark.range(40_000_000).agg(F.count("*"), F.bit_xor(F.xxhash64("id", F.lit(1)))).first()[0] == 40_000_000
+
+
+def test_tables_go_and_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from tessera.plans import workspace
+
+    one = workspace.materialise(spark.range(5), "one")
+    two = workspace.materialise(one.where("id > 1"), "two", instead_of=(one,))
+    assert two.count() == 3 and not workspace.exists(spark, one._tessera_path) and workspace.exists(spark, two._tessera_path)
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://x", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False)))))
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        workspace.shared_dir(far)
+
+
+def test_pools_reach_as_far_as_their_edges(spark):
+    """Edges of unlike lengths, and corridors longer than they are wide: no pixel is lost to the tiles."""
+    p = spark.createDataFrame([(1, 2.0, 2.0), (2, 22.0, 2.0), (3, 2.0, 5.0)], "id bigint, x double, y double")
+    e = spark.createDataFrame([(1, 2, 20.0), (1, 3, 3.0)], "src bigint, dst bigint, d double")
+    px = spark.range(30 * 30).select((F.col("id") % 30).cast("int").alias("x"), (F.col("id") / 30).cast("int").alias("y"), F.lit(1.0).alias("v"))
+    framed = kernels.framed(e, p, 1.0, "edge", k=1.0, c=0.5)
+    got = {r.dst: r.n for r in kernels.half_disk(framed, px, ["v"]).collect()}
+    disk = lambda x0, y0, r, ahead: sum((x - x0) ** 2 + (y - y0) ** 2 <= r * r and ahead(x - x0, y - y0) for x in range(30) for y in range(30))
+    assert got == {2: disk(2, 2, 20, lambda dx, dy: dx >= 0), 3: disk(2, 2, 3, lambda dx, dy: dy >= 0)}
+    row = {r.dst: r.n for r in kernels.corridor_weights(framed, px).groupBy("dst").agg(F.count("*").alias("n")).collect()}
+    assert row[2] == sum(abs(y - 2) <= 10 for x in range(2, 23) for y in range(30))
 
 
 def test_sources_and_sinks(spark, tmp_path):
@@ -386,8 +460,6 @@ def test_sources_and_sinks(spark, tmp_path):
     for name in ("L1_ang15", "L1_ang-75", "L2_ang15"):
         spark.createDataFrame([(0, 0, 1.0, 0.0)], "y int, x int, re double, im double").write.parquet(f"{tmp_path}/dt/{name}.parquet")
     assert {r.angle for r in tables.angles(spark, f"{tmp_path}/dt/*.parquet").collect()} == {15}
-    with pytest.raises(NotImplementedError):
-        wavelets.dtcwt()
     e = spark.createDataFrame([(1, 2, 0.5)], "src bigint, dst bigint, k double")
     tables.save_kernel(e, {"h": 1.0, "family": "wv2"}, f"{tmp_path}/kernel")
     back, meta = tables.load_kernel(spark, f"{tmp_path}/kernel")
