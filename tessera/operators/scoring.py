@@ -145,9 +145,10 @@ def raw_scores(edges: DataFrame, expr: DataFrame, pairs: DataFrame, half: float)
 
     edges carry k, radial, contact and g.  Rows with a missing gene have s = 0 and are left out.
     """
-    lig = expr.join(pairs.select("pair_id", "mode", F.col("ligand").alias("gene")), "gene").select(F.col("spot_id").alias("src"), "pair_id", "mode", F.col("value").alias("el"))
-    rec = expr.join(pairs.select("pair_id", F.col("receptor").alias("gene")), "gene").select(F.col("spot_id").alias("dst"), "pair_id", F.col("value").alias("er"))
-    rows = edges.join(lig, "src").join(rec, ["dst", "pair_id"])
+    lig = expr.join(pairs.select("pair_id", "mode", F.col("ligand").alias("gene")), "gene").groupBy(F.col("spot_id").alias("src")).agg(F.collect_list(F.struct("pair_id", "mode", F.col("value").alias("el"))).alias("_l"))
+    rec = expr.join(pairs.select("pair_id", F.col("receptor").alias("gene")), "gene").groupBy(F.col("spot_id").alias("dst")).agg(F.map_from_entries(F.collect_list(F.struct("pair_id", "value"))).alias("_r"))
+    both = edges.join(rec, "dst").join(lig, "src").withColumn("_p", F.explode("_l"))  # pairs are formed within the row, after both joins
+    rows = both.select("src", "dst", "k", "radial", "contact", "g", "_p.*", F.col("_r")[F.col("_p.pair_id")].alias("er")).where("er is not null")
     drive = F.when(F.col("mode") == "mb", F.col("el") * F.col("contact")).otherwise(F.col("el") * F.col("k") * F.col("radial"))
     return rows.select("src", "dst", "pair_id", hill(drive * F.col("g") * F.col("er"), half).alias("s"))
 
@@ -167,15 +168,13 @@ def pools(pairs: DataFrame, means: DataFrame, size: int) -> DataFrame:
 
 
 def draw_table(pool: DataFrame, n_null: int, seed: int) -> DataFrame:
-    """(pair_id, t, gl, gr): random gene pairs from the pools, pair after pair, ligand and receptor in turn."""
-    rng = np.random.default_rng(seed)
-    rows = pool.orderBy("pair_id", "side", "rk").toPandas()
-    out = []
-    for pair, own in rows.groupby("pair_id", sort=True):
-        left, right = (own.loc[own.side == s, "gene"].to_numpy() for s in "LR")
-        for t in range(n_null):
-            out.append((int(pair), t, str(rng.choice(left)), str(rng.choice(right))))
-    return pool.sparkSession.createDataFrame(pd.DataFrame(out, columns=["pair_id", "t", "gl", "gr"]), "pair_id bigint, t int, gl string, gr string")
+    """(pair_id, t, gl, gr): gene pairs drawn from the pools by a hash of pair, draw and seed."""
+    sizes = pool.groupBy("pair_id").agg(F.max(F.when(F.col("side") == "L", F.col("rk"))).alias("nl"), F.max(F.when(F.col("side") == "R", F.col("rk"))).alias("nr"))
+    rows = sizes.select("pair_id", "nl", "nr", F.explode(F.sequence(F.lit(0), F.lit(n_null - 1))).alias("t")) if n_null else sizes.withColumn("t", F.lit(0)).limit(0)
+    pick = lambda side, n: (F.pmod(F.xxhash64("pair_id", "t", F.lit(side), F.lit(seed)), F.col(n)) + 1).cast("int")
+    rows = rows.select("pair_id", "t", pick("L", "nl").alias("_kl"), pick("R", "nr").alias("_kr"))
+    left, right = (pool.where(F.col("side") == s).select("pair_id", F.col("rk").alias(k), F.col("gene").alias(g)) for s, k, g in (("L", "_kl", "gl"), ("R", "_kr", "gr")))
+    return rows.join(left, ["pair_id", "_kl"]).join(right, ["pair_id", "_kr"]).select("pair_id", "t", "gl", "gr")
 
 
 def null_thresholds(edges: DataFrame, expr: DataFrame, pairs: DataFrame, draws: DataFrame, half: float, q: float = 0.95) -> DataFrame:
@@ -188,33 +187,60 @@ def null_thresholds(edges: DataFrame, expr: DataFrame, pairs: DataFrame, draws:
     return rows.withColumn("s", hill(drive * F.col("g") * F.col("er"), half)).groupBy("src", "dst", "pair_id").agg(F.expr(f"percentile(s, {q}D)").alias("tau"))
 
 
+#: Drawn gene pairs that are sent to the workers at once, eight bytes each.
+SENT_DRAWS = 4_000_000
+
+
 def null_thresholds_many(edges: DataFrame, expr: DataFrame, pairs: DataFrame, draws: DataFrame, half: float, q: float = 0.95) -> DataFrame:
-    """The same for many draws: edges carry both ends' expression as vectors, and numpy takes the quantile edge by edge.
+    """The same for many draws: edges carry what both ends express of the drawn genes, and numpy takes the quantile edge by edge.
 
-    Draws and the gene list are broadcast: genes x pairs x draws, whatever the number of spots.
+    Pairs go in groups of about SENT_DRAWS drawn gene pairs (32 MB), each with its own genes.
     """
-    genes = sorted(r.gene for r in expr.select("gene").distinct().collect())
+    draws = materialise(draws.join(pairs.select("pair_id", "mode"), "pair_id"), "draws")
+    sizes = draws.groupBy("pair_id").agg(F.count("*").alias("n")).orderBy("pair_id").toPandas()
+    parts = (sizes["n"].cumsum() - sizes["n"]) // SENT_DRAWS
+    out = None
+    for part in sorted(set(parts)):
+        own = [int(p) for p in sizes["pair_id"][parts == part]]
+        got = _thresholds(edges, expr, draws.where(F.col("pair_id").between(own[0], own[-1])), half, q)
+        out = got if out is None else out.unionByName(got)
+    return out if out is not None else edges.sparkSession.createDataFrame([], "src bigint, dst bigint, pair_id bigint, tau double")
+
+
+def _thresholds(edges: DataFrame, expr: DataFrame, draws: DataFrame, half: float, q: float) -> DataFrame:
+    table = draws.orderBy("pair_id", "t").toPandas()
+    genes = sorted(set(table.gl) | set(table.gr))
     at = {g: i for i, g in enumerate(genes)}
-    table = draws.join(pairs.select("pair_id", "mode"), "pair_id").toPandas()
-    plan = [(int(p), own["mode"].iloc[0], np.array([at.get(g, -1) for g in own.gl]), np.array([at.get(g, -1) for g in own.gr])) for p, own in table.groupby("pair_id", sort=True)]
-    sent = edges.sparkSession.sparkContext.broadcast(plan)
-    n = len(genes)
-    vector = expr.groupBy("spot_id").agg(F.map_from_entries(F.collect_list(F.struct("gene", "value"))).alias("mm"))
-    dense = vector.select("spot_id", F.transform(F.array(*map(F.lit, genes)), lambda g: F.coalesce(F.col("mm")[g], dbl(0))).alias("v"))
-    rows = edges.select("src", "dst", "k", "radial", "contact", "g").join(dense.select(F.col("spot_id").alias("src"), F.col("v").alias("a")), "src", "left").join(dense.select(F.col("spot_id").alias("dst"), F.col("v").alias("b")), "dst", "left")
+    plan = [(int(p), own["mode"].iloc[0], own.gl.map(at).to_numpy(np.int32), own.gr.map(at).to_numpy(np.int32)) for p, own in table.groupby("pair_id", sort=True)]
+    sent, n = edges.sparkSession.sparkContext.broadcast(plan), len(genes)
+    named = edges.sparkSession.createDataFrame(list(at.items()), "gene string, i int")
+    vector = expr.where("value <> 0").join(named, "gene").groupBy("spot_id").agg(F.collect_list("i").alias("i"), F.collect_list("value").alias("v"))
+    ends = [vector.select(F.col("spot_id").alias(c), F.col("i").alias(f"{c}_i"), F.col("v").alias(f"{c}_v")) for c in ("src", "dst")]
+    rows = edges.select("src", "dst", "k", "radial", "contact", "g").join(ends[0], "src", "left").join(ends[1], "dst", "left")
+    rows = rows.repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), "src", "dst")  # much work on few bytes: not to be put together
+
+    def dense(batch: pd.DataFrame, end: str) -> np.ndarray:
+        out = np.zeros((len(batch), n))
+        for row, (i, v) in enumerate(zip(batch[f"{end}_i"], batch[f"{end}_v"], strict=True)):
+            if i is not None:
+                out[row, i] = v
+        return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
             for lo in range(0, len(whole), 512):
                 batch = whole.iloc[lo : lo + 512]
-                a, b = (np.array([np.append(v, 0.0) if v is not None else np.zeros(n + 1) for v in batch[c]]) for c in "ab")
+                a, b = dense(batch, "src"), dense(batch, "dst")
                 out = []
                 for pair, mode, gl, gr in sent.value:
                     w = batch.contact.to_numpy() if mode == "mb" else (batch.k * batch.radial).to_numpy()
-                    x = np.maximum(a[:, gl] * b[:, gr] * (w * batch.g.to_numpy())[:, None], 0)
-                    out.append(pd.DataFrame({"src": batch.src, "dst": batch.dst, "pair_id": pair, "tau": np.quantile(x / (half + x + 1e-12), q, axis=1)}))
-                if out:
-                    yield pd.concat(out)
+                    at_q = q * (len(gl) - 1)
+                    ends = [int(at_q), min(int(at_q) + 1, len(gl) - 1)]
+                    x = np.maximum(np.partition(a[:, gl] * b[:, gr], ends, axis=1)[:, ends] * (w * batch.g.to_numpy())[:, None], 0)
+                    low, high = (x / (half + x + 1e-12)).T  # weight and response rise with the product, so they can wait for the quantile
+                    part = at_q % 1
+                    out.append(pd.DataFrame({"src": batch.src, "dst": batch.dst, "pair_id": pair, "tau": low + part * (high - low)}))
+                yield pd.concat(out)
 
     return rows.mapInPandas(run, "src bigint, dst bigint, pair_id bigint, tau double")
 

@@ -18,6 +18,8 @@ from tessera.plans.order_stats import quantile
 from tessera.plans.workspace import materialise
 
 SCHEMA = ["src", "dst", "d"]
+#: Tables beyond this many points have their density looked at; a cell is crowded with so many times the points wanted.
+MANY, CROWDED = 100_000, 32
 
 
 def _cells(v: str, size: float) -> Column:
@@ -51,7 +53,14 @@ def _start(points: DataFrame, k: int) -> tuple[int, float, float]:
     w, h = max(x1 - x0, 0.0), max(y1 - y0, 0.0)
     extent = math.hypot(w, h) or 1.0
     area = w * h or extent
-    return n, min(extent, math.sqrt(area * (k + 1) / n)) or 1.0, extent
+    cell = min(extent, math.sqrt(area * (k + 1) / n)) or 1.0
+    if n > MANY:  # points in clumps: start from a cell that the densest one fills; sparse places take more rounds
+        for _ in range(8):
+            most = points.groupBy(_cells("x", cell), _cells("y", cell)).count().agg(F.max("count")).first()[0]
+            if most <= CROWDED * (k + 1):
+                break
+            cell *= math.sqrt(2 * (k + 1) / most)
+    return n, cell, extent
 
 
 def nearest(queries: DataFrame, points: DataFrame, k: int, keep: list[str] = (), strict: bool = True, rule: Column | None = None) -> DataFrame:
@@ -63,7 +72,7 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, keep: list[str] = (),
     """
     n, cell, extent = _start(points, k)
     over = Window.partitionBy("src").orderBy("d", "dst")
-    done, left = None, queries
+    done, left, open_ = None, queries, None
     while True:
         pairs = near_pairs(left, points, cell, keep, strict)
         pairs = pairs.where(rule) if rule is not None else pairs
@@ -71,12 +80,13 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, keep: list[str] = (),
         if cell > extent or not n:
             return ranked if done is None else done.unionByName(ranked)
         ranked = materialise(ranked, "nearest")
-        sure = ranked.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("src")
+        sure = ranked.where(F.col("rk") == k).select("src")
+        open_ = (queries.count() if open_ is None else open_) - sure.count()
+        if not open_:  # all of this round's queries are certain
+            return ranked if done is None else done.unionByName(ranked)
         full = ranked.join(sure, "src", "left_semi")
         done = full if done is None else done.unionByName(full)
-        left = materialise(left.join(sure, left["id"] == sure["src"], "left_anti"), "queries")
-        if not left.head(1):
-            return done
+        left = left.join(sure, left["id"] == sure["src"], "left_anti")
         cell *= 2.0
 
 
@@ -146,11 +156,21 @@ def opposite_nearest(points: DataFrame, label: str) -> DataFrame:
 
 def bounded_graph(points: DataFrame, h: float, r_rel: float = 2.2, deg_min: int = 10, deg_max: int = 18, r_max_rel: float | None = None) -> DataFrame:
     """(src, dst, d): neighbours within r_rel * h, at least deg_min, at most deg_max, none beyond r_max_rel * h."""
-    near = knn(points, deg_max)
+    return _bounded(knn(points, deg_max), h, r_rel, deg_min, r_max_rel)
+
+
+def _bounded(near: DataFrame, h: float, r_rel: float, deg_min: int, r_max_rel: float | None) -> DataFrame:
     rows = near.where((F.col("d") <= dbl(r_rel * h)) | (F.col("rk") <= deg_min))
     return (rows.where(F.col("d") <= dbl(r_max_rel * h)) if r_max_rel else rows).select(*SCHEMA)
 
 
+def graph_and_spacing(points: DataFrame, r_rel: float = 2.2, deg_min: int = 10, deg_max: int = 18, r_max_rel: float | None = None) -> tuple[DataFrame, float]:
+    """The degree-bounded graph and the spacing it goes by, from one search."""
+    near = materialise(knn(points, deg_max), "neighbours")
+    h = quantile(near.where("rk = 1"), "d", 0.5) or 0.0
+    return _bounded(near, h, r_rel, deg_min, r_max_rel), h
+
+
 def cap_degree(edges: DataFrame, deg_max: int) -> DataFrame:
     """Each source keeps its deg_max nearest targets."""
     over = Window.partitionBy("src").orderBy("d", "dst")

@@ -70,8 +70,7 @@ KERNEL = f"{EDGES}, ke AS MATERIALIZED (SELECT src, dst, d, exp(-d * d / (2 * h
 def bounded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, float]:
     """Points, the degree-bounded graph and the spacing."""
     p = points(spark, sf_dir)
-    h = spatial.spacing(p)
-    return p, materialise(spatial.bounded_graph(p, h, H_REL, DEG_MIN, DEG_MAX), "graph"), h
+    return p, *spatial.graph_and_spacing(p, H_REL, DEG_MIN, DEG_MAX)
 
 
 # --- spatial
@@ -331,9 +330,9 @@ def flagship_top_edges(spark, sf_dir):
 
 @query()
 def ccc_full(spark, sf_dir):
-    """All scoring stages with a histology gate and 50 null draws, totals by edge."""
+    """All scoring stages with a histology gate and the usual 1,000 null draws, totals by edge."""
     _, g, h = bounded(spark, sf_dir)
-    out = scoring.score_all(A.spots(spark, sf_dir), kernels.iso(g, h), materialise(A.expr(spark, sf_dir), "expr"), A.lr(spark, sf_dir), A.tf(spark, sf_dir), A.hist(spark, sf_dir), scoring.Params(n_null=50, deg_max=16, R_factor=2.2, prune_frac=0.5))
+    out = scoring.score_all(A.spots(spark, sf_dir), kernels.iso(g, h), materialise(A.expr(spark, sf_dir), "expr"), A.lr(spark, sf_dir), A.tf(spark, sf_dir), A.hist(spark, sf_dir), scoring.Params(deg_max=16, R_factor=2.2, prune_frac=0.5))
     return out["ccc_edge"]
 
 
@@ -731,8 +730,8 @@ def _frame(spark, sf_dir) -> tuple[DataFrame, DataFrame, float]:
     """Edges of spots in pixel coordinates with their pools, pixels with energies, and spacing."""
     p = points(spark, sf_dir).select("id", (F.col("x") * dbl(0.275)).alias("x"), (F.col("y") * dbl(3.0)).alias("y"))
     p = materialise(p, "pixel-points")
-    h = spatial.spacing(p)
-    e = materialise(kernels.framed(spatial.bounded_graph(p, h, 2.2, 4, 6), p, h, "fixed", r_rel=3.0, sigma_rel=1.5), "framed")
+    graph, h = spatial.graph_and_spacing(p, 2.2, 4, 6)
+    e = materialise(kernels.framed(graph, p, h, "fixed", r_rel=3.0, sigma_rel=1.5), "framed")
     px = A.pixels(spark, sf_dir).select("y", "x", F.abs("v").alias("eh"), F.abs(F.col("v") - 3000).alias("ev"), F.abs(F.col("v") * 0.5).alias("ed"))
     return e, materialise(px, "energies"), h
 
