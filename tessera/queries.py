@@ -774,8 +774,7 @@ def cap_pool(spark, sf_dir):
 @query(f"{CORR}, un AS (SELECT src, dst, y, x, sum(w) AS w FROM (SELECT * FROM cn UNION ALL SELECT * FROM pn) GROUP BY ALL), sh AS (SELECT *, w / (sum(w) OVER (PARTITION BY src, dst) + 1e-12) AS q FROM un), out AS (SELECT src, dst, count(*)::BIGINT AS n, sum(q * eh) AS eh, sum(q * ev) AS ev, sum(q * ed) AS ed FROM sh JOIN en USING (y, x) GROUP BY ALL)", "eh ev ed", "src dst n")
 def corridor_cap_pool(spark, sf_dir):
     e, px, _ = _frame(spark, sf_dir)
-    return kernels.pool(e, px, ["eh", "ev", "ed"], tile, "corridor")
-
+    return kernels.pool(e, px, ["eh", "ev", "ed"], "corridor")
 
 
 _TURN = "exp(-0.5 * (power((x2 - x1) * cos(theta) + (y2 - y1) * sin(theta), 2) / 1.0 + power((y2 - y1) * cos(theta) - (x2 - x1) * sin(theta), 2) / greatest(1 / a, 0.68 * 0.68::DOUBLE)) / (h * h))"
