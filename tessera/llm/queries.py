@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.plans.workspace import fresh_path, materialise
 
-from . import bpe, exact_dedup, langid, maxent_lm, mixing, orc_tokens, pq_dedup, setsketch, substring_dedup, token_counts
+from . import bpe, exact_dedup, langid, maxent_lm, mixing, orc_tokens, pq_dedup, setsketch, spelling, substring_dedup, token_counts, topk_search
 
 #: The vocabulary file of the queries; operators take any path.
 TOKENIZER_FILE = str(public_tokenizers.path("word_bpe_49k.json"))
@@ -88,6 +88,15 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(spark, f"{sf_dir}/documents.parquet").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(documents(spark, sf_dir), least_length=5, least=3, one_in=97), lead=2)
+
+
+def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk_search.quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), scale=64)
+    return topk_search.top_k(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 SQL = {
@@ -155,6 +164,28 @@ SQL = {
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = min(doc_id) OVER same AS kept, sha256(t) AS text_sha256
         FROM n WINDOW same AS (PARTITION BY t)""",
+    "op11_spelling": r"""
+        WITH RECURSIVE bits AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+        runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+        each AS (SELECT doc_id, run, count(*) AS k FROM runs GROUP BY ALL),
+        bytes AS (SELECT run, k, list_transform(string_split(doc_id || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [195, unicode(c) - 64] END).flatten() AS b FROM each),
+        hashed AS (SELECT run, k, xor(list_reduce(list_concat([4294967295::BIGINT], b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM bytes, bits),
+        spelt AS (SELECT k, CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word FROM hashed),
+        w AS MATERIALIZED (SELECT word, sum(k)::BIGINT AS n FROM spelt WHERE length(word) >= 5 GROUP BY 1 HAVING sum(k) >= 3),
+        d AS MATERIALIZED (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+        near AS MATERIALIZED (SELECT a.word AS a, b.word AS b FROM d a JOIN d b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+            UNION SELECT d.word, w.word FROM d JOIN w ON d.rest = w.word UNION SELECT w.word, d.word FROM d JOIN w ON d.rest = w.word),
+        best AS (SELECT a, count(*) AS n_near, first(struct_pack(word := b, n := w.n) ORDER BY w.n DESC, b) AS top FROM near JOIN w ON b = w.word GROUP BY a),
+        f AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN top.n >= 2 * n THEN top.word END AS form, CASE WHEN top.n >= 2 * n THEN top.n END AS form_n FROM w LEFT JOIN best ON a = word),
+        chain AS (SELECT word, word AS at FROM f UNION ALL SELECT c.word, f.form FROM chain c JOIN f ON c.at = f.word WHERE f.form IS NOT NULL)
+        SELECT f.word, f.form, c.at AS root, f.n, f.n_near, f.form_n FROM f JOIN chain c ON c.word = f.word JOIN f e ON e.word = c.at WHERE e.form IS NULL""",
+    "op12_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
+        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20""",
 }
 
 
