@@ -12,7 +12,9 @@ each neighbouring pair inside a piece becomes a 64-bit key, found by binary
 search among the sorted keys of all merges, which gives its rank.  In each
 piece the pair of lowest rank is merged wherever it stands, leftmost first;
 pieces without a known pair are done.  A piece of L symbols takes L - 1 rounds
-at most, and all pieces share the rounds.
+at most, and all pieces share the rounds.  Pieces of more than LONG_PIECE symbols,
+such as encoded data or scripts without spaces, have rounds by rank instead, which
+look at changed pairs only; the merges are the same.
 
 Null and empty texts have no ids.  The special strings of the file stand for
 their ids wherever they occur in a text, as the library has it.
@@ -21,6 +23,7 @@ their ids wherever they occur in a text, as the library has it.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -37,6 +40,7 @@ from .text import SLICE_BYTES, Slice, distinct_words, slices, word_hashes
 #: White space in Unicode; U+001C to U+001F are none.
 _WHITE = regex.compile("[\\x09-\\x0d\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 _SIGMA = "Σ"
+LONG_PIECE = 256
 
 
 def byte_symbols() -> list[str]:
@@ -81,6 +85,69 @@ class Encoder:
 
     def merge(self, ids: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Merge the symbols ``ids`` of the pieces numbered ``piece`` (rising) until no pair is known."""
+        long = np.bincount(piece, minlength=1)[piece] > LONG_PIECE
+        if not long.any():
+            return self._by_rounds(ids, piece)
+        parts = [self._by_rounds(ids[~long], piece[~long]), self._by_rank(ids[long], piece[long])]
+        ids, piece = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(piece, kind="stable")
+        return ids[order], piece[order]
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair, the number of merges if it isn't known."""
+        key = left * self.width + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.rank[at], len(self.keys))
+
+    def _by_rank(self, ids: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same merges, where a round takes the lowest rank of all pieces and looks only at the pairs beside it.
+
+        Places of each rank wait in a queue; symbols are linked to their neighbours.  So the work grows with the
+        symbols, not with symbols times rounds.
+        """
+        n, top = len(ids), len(self.rank)
+        ids, after, before = ids.copy(), np.arange(1, n + 1), np.arange(-1, n - 1)
+        ends = np.append(piece[1:] != piece[:-1], True)
+        after[ends], before[np.append(True, ends[:-1])] = -1, -1
+        rank = np.full(n, top)
+        waiting: dict[int, list[np.ndarray]] = {}
+        queue: list[int] = []
+
+        def put(at: np.ndarray) -> None:
+            rank[at] = top
+            at = at[after[at] >= 0]
+            rank[at] = self._ranks(ids[at], ids[after[at]])
+            at = at[rank[at] < top]
+            at = at[np.argsort(rank[at], kind="stable")]
+            cuts = np.flatnonzero(np.diff(rank[at], prepend=-1))
+            for own in np.split(at, cuts[1:]) if len(at) else ():
+                r = int(rank[own[0]])
+                if r not in waiting:
+                    heapq.heappush(queue, r)
+                waiting.setdefault(r, []).append(own)
+
+        put(np.arange(n))
+        while queue:
+            r = heapq.heappop(queue)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = at[rank[at] == r]
+            if not len(at):
+                continue
+            start = np.append(True, after[at[:-1]] != at[1:])  # in a run of one symbol every other pair merges, from the left
+            place = np.arange(len(at))
+            at = at[(place - np.maximum.accumulate(np.where(start, place, 0))) % 2 == 0]
+            gone = after[at]
+            ids[at], after[at] = self.made[r], after[gone]
+            rank[gone], ids[gone] = top, -1
+            follows = after[at] >= 0
+            before[after[at[follows]]] = at[follows]
+            left = before[at]
+            put(np.unique(np.concatenate([at, left[left >= 0]])))
+        kept = ids >= 0
+        return ids[kept], piece[kept]
+
+    def _by_rounds(self, ids: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each round merges the pair of lowest rank of every piece: for pieces of few symbols."""
         done_ids, done_piece = [], []
         top = len(self.rank)
         while len(ids) > 1:

@@ -123,8 +123,16 @@ def _key(seed: int, epoch) -> Column:
 
 
 def mixed(docs: DataFrame, entropy: float | None = None, repeats: float | None = None, budget_share: float = 1.0, seed: int = 0) -> DataFrame:
-    """The rows of ``docs``, each as often as the plan draws it, with all their columns."""
-    ident, source, times, turn = (unused(docs, n) for n in ("mix_id", "mix_source", "mix_copies", "mix_copy"))
+    """The rows of ``docs``, each as often as the plan draws it, with all their columns, in the order of the schedule.
+
+    Partitions hold ranges of blocks; inside one, rows go by epoch, block and key, sources mingled.  What decides
+    on a row is its id, its source and whether it has tokens, so rows that share an id and a source are told
+    apart as far as they differ: those without tokens are never drawn.
+    """
+    ident, source, times, turn, key = (unused(docs, n) for n in ("mix_id", "mix_source", "mix_copies", "mix_epoch", "mix_key"))
     drawn = plan(docs, entropy, repeats, budget_share, seed).where("copies > 0").select(F.col("doc_id").alias(ident), F.col("source").alias(source), F.col("copies").alias(times)).distinct()
-    rows = docs.join(drawn, F.col("doc_id").eqNullSafe(F.col(ident)) & F.col("source").eqNullSafe(F.col(source))).withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))))
-    return rows.select(*docs.columns)
+    rows = docs.where(F.col("text").rlike(WORD)).join(drawn, F.col("doc_id").eqNullSafe(F.col(ident)) & F.col("source").eqNullSafe(F.col(source)))
+    each = rows.withColumn(turn, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(times) - 1))).withColumn(key, _key(seed, F.col(turn)))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    block = F.conv(F.substring(key, 1, 3), 16, 10).cast("int")
+    return each.repartitionById(parts, F.floor(block * parts / 4096).cast("int")).sortWithinPartitions(turn, key).select(*docs.columns)

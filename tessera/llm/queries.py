@@ -5,7 +5,6 @@ Each query applies its operator to the whole table with production parameters.
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +12,12 @@ from tessera.plans.workspace import fresh_path, materialise
 
 from . import bpe, exact_dedup, langid, maxent_lm, mixing, orc_tokens, pq_dedup, setsketch, spelling, substring_dedup, token_counts, topk_search
 
-#: The vocabulary file of the queries; operators take any path.
-TOKENIZER_FILE = str(public_tokenizers.path("word_bpe_49k.json"))
+
+def tokenizer_file() -> str:
+    """The vocabulary file of the queries; operators take any path."""
+    import public_tokenizers  # only these queries need it
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,12 +58,12 @@ def op4_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(documents(spark, sf_dir), TOKENIZER_FILE, with_ids=False, with_decoded=False)
+    return bpe.encode(documents(spark, sf_dir), tokenizer_file(), with_ids=False, with_decoded=False)
 
 
 def op6_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "orc-tokens")
-    orc_tokens.write(documents(spark, sf_dir), path, TOKENIZER_FILE, end_id=1)
+    orc_tokens.write(documents(spark, sf_dir), path, tokenizer_file(), end_id=1)
     return orc_tokens.manifest(spark, path)
 
 

@@ -27,13 +27,13 @@ With 48 bands of 5 a pair at 0.75 shares no bucket in 2 cases of a million.
 
 Null text counts as empty.  An empty table gives an empty result.  Rows that
 repeat a doc_id all get a row, each with its own set's links: classes go by a
-number of their own, not by an id.  Rows without a doc_id link like others; a
+number of their own, not by an id, and a class's text is found by its id and
+128 bits of its SHA-256.  Rows without a doc_id link like others; a
 component without any id has none, and its rows are all kept.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from tessera.plans.components import components
 from tessera.plans.workspace import discard, materialise
 
-from .text import mix, shingles, slices, words_of
+from .text import mark_of, marks, mix, shingles, slices, words_of
 
 BANDS, ROWS = 48, 5
 REGISTERS = BANDS * ROWS
@@ -100,8 +100,7 @@ def _sketches(size: int):
                         sums[1, full] = np.add.reduceat(checks, cut[:-1])
                     for i, r in zip(full, registers(e, cut), strict=True):
                         regs[i] = r.tobytes()
-                marks = [zlib.crc32(part.text(i)) for i in range(part.n)]
-                yield pa.RecordBatch.from_arrays([part.rows.column(0), pa.array(counts, pa.int64()), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(marks, pa.int64()), pa.array(regs, pa.binary())], ["doc_id", "n_shingles", "s0", "s1", "t", "regs"])
+                yield pa.RecordBatch.from_arrays([part.rows.column(0), pa.array(counts, pa.int64()), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), marks(part, range(part.n)), pa.array(regs, pa.binary())], ["doc_id", "n_shingles", "s0", "s1", "t", "regs"])
 
     return run
 
@@ -324,7 +323,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
     docs: an integer doc_id and text; further columns are left out.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    sketches = materialise(docs.mapInArrow(_sketches(words), "doc_id bigint, n_shingles bigint, s0 bigint, s1 bigint, t bigint, regs binary"), "sketches")
+    sketches = materialise(docs.mapInArrow(_sketches(words), "doc_id bigint, n_shingles bigint, s0 bigint, s1 bigint, t binary, regs binary"), "sketches")
     grouped = sketches.where("n_shingles > 0").groupBy("s0", "s1", "n_shingles").agg(F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "t", "regs")).alias("one"))
     classes = materialise(grouped.withColumn("class", F.monotonically_increasing_id()), "classes")  # numbers that stay as they were written
     bands = materialise(classes.select(F.col("class").alias("id"), F.posexplode(F.array(*(F.xxhash64(F.lit(i), F.expr(f"substring(one.regs, {2 * ROWS * i + 1}, {2 * ROWS})")) for i in range(BANDS)))).alias("band", "key")), "bands")
@@ -332,7 +331,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
     bands = materialise(bands.join(hubs, "key"), "shared-bands", instead_of=(bands,))  # only buckets of two or more go on
     near = classes.join(bands.select(F.col("id").alias("class")).distinct(), "class", "left_semi")
     regs = materialise(near.select("class", "n_shingles", "one.regs", F.col("one.doc_id").alias("of"), F.col("one.t").alias("of_t")), "near-registers")
-    numbered = docs.withColumn("t", F.crc32(F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))))
+    numbered = docs.withColumn("t", mark_of("text"))
     texts = numbered.join(regs.select("class", "of", "of_t"), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("t") == F.col("of_t")))
     texts = materialise(texts.select("class", "text").dropDuplicates(["class"]), "near-texts")
     stars = bands.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()

@@ -22,13 +22,13 @@ documents sends one row from each task.
 
 Null and empty texts have no words; a text shorter than the window keeps all
 its words; repeated rows are documents of their own and lose their windows.
-Rows that share a doc_id but differ in text are told apart by a text hash.
+Rows that share a doc_id (or have none) but differ in text are told apart by
+128 bits of the text's SHA-256.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import gram_hashes, mix, slices, word_bounds, words_of
+from .text import gram_hashes, mark_of, marks, mix, slices, word_bounds, words_of
 
 BLOCK_BITS = 16
 FLUSH = 1 << 21
@@ -177,8 +177,8 @@ def _flagged(size: int, sketch):
     """(h, c, doc_id, t, pos, n): windows estimated repeated; n: places in this task, below 0 if known to be repeated."""
 
     def rows(held: list) -> pa.RecordBatch:
-        h, c, t, pos = (np.concatenate([x[i] for x in held]) for i in range(4))
-        ids = pa.concat_arrays([x[4] for x in held])
+        h, c, pos = (np.concatenate([x[i] for x in held]) for i in range(3))
+        ids, t = (pa.concat_arrays([x[i] for x in held]) for i in (3, 4))
         order = np.lexsort((c, h))
         hs, cs = h[order], c[order]
         new = np.ones(len(hs), bool)
@@ -193,7 +193,7 @@ def _flagged(size: int, sketch):
         with np.errstate(over="ignore"):
             spread = order[n < 0]
             h[spread] = mix(h[spread] + spread.astype(np.uint64))
-        return pa.RecordBatch.from_arrays([pa.array(h[order].view(np.int64)), pa.array(c[order].view(np.int32)), ids.take(pa.array(order)), pa.array(t[order]), pa.array(pos[order].astype(np.int32)), pa.array(n.astype(np.int32))], ["h", "c", "doc_id", "t", "pos", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(h[order].view(np.int64)), pa.array(c[order].view(np.int32)), ids.take(pa.array(order)), t.take(pa.array(order)), pa.array(pos[order].astype(np.int32)), pa.array(n.astype(np.int32))], ["h", "c", "doc_id", "t", "pos", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _lookup(sketch)
@@ -216,8 +216,7 @@ def _flagged(size: int, sketch):
                 check, _ = gram_hashes(other, first, size, 1)
                 row = np.searchsorted(first, at, "right") - 1
                 own, back = np.unique(row, return_inverse=True)
-                marks = np.array([zlib.crc32(part.text(i)) for i in own], np.int64)
-                held.append((full[at], (check[at] >> np.uint64(32)).astype(np.uint32), marks[back], at - first[row], part.rows.column(0).take(pa.array(row))))
+                held.append((full[at], (check[at] >> np.uint64(32)).astype(np.uint32), at - first[row], part.rows.column(0).take(pa.array(row)), marks(part, own).take(pa.array(back))))
                 n += len(at)
                 if n >= FLUSH:
                     yield rows(held)
@@ -273,9 +272,9 @@ def remove_repeats(docs: DataFrame, size: int = 35, cell_bits: int = 28, keep_te
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     sketch = _Broadcast(docs.sparkSession, count_min(docs, size, cell_bits))
-    found = docs.mapInArrow(_flagged(size, sketch), f"h bigint, c int, doc_id {kind}, t bigint, pos int, n int")
+    found = docs.mapInArrow(_flagged(size, sketch), f"h bigint, c int, doc_id {kind}, t binary, pos int, n int")
     over = Window.partitionBy("h", "c")
     repeated = found.withColumn("total", F.sum("n").over(over)).where("total > 1 or n < 0").select("doc_id", "t", "pos")
     places = repeated.groupBy("doc_id", "t").agg(F.collect_list("pos").alias("places"))
-    joined = docs.withColumn("t", F.crc32(F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")))).join(places.withColumnRenamed("doc_id", "k").withColumnRenamed("t", "kt"), F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("t") == F.col("kt")), "left").select("doc_id", "text", "places")
+    joined = docs.withColumn("t", mark_of("text")).join(places.withColumnRenamed("doc_id", "k").withColumnRenamed("t", "kt"), F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("t") == F.col("kt")), "left").select("doc_id", "text", "places")
     return joined.mapInArrow(_cut(size, keep_text), f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * keep_text)

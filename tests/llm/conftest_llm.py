@@ -1,5 +1,8 @@
 """Rows and helpers that the tests share."""
 
+import hashlib
+import zlib
+
 LONG = " ".join(f"w{i % 977}x{i % 13}" for i in range(30_000))
 
 #: Null, empty and blank texts, one word, very long and equal ones, other scripts, special strings, a repeated row.
@@ -28,3 +31,13 @@ def thue_morse(n, a="a", b="b"):
 
 #: Pairs of words that polynomial hashes take for one.
 TWINS = [(thue_morse(n), thue_morse(n, "b", "a")) for n in (1024, 2048, 4096)]
+
+
+def same_crc(one, two, tries=1 << 18):
+    """Two texts with one crc32, from the first and the second with a word added to each."""
+    more = lambda t, k: f"{t} {hashlib.md5(f'{t}{k}'.encode()).hexdigest()}"
+    known = {zlib.crc32(more(one, k).encode()): k for k in range(tries)}
+    for k in range(tries):
+        if (own := known.get(zlib.crc32(more(two, k).encode()))) is not None:
+            return more(one, own), more(two, k)
+    raise AssertionError("no such texts")

@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest_llm import ODD, TWINS, rows_of, words
+from conftest_llm import ODD, TWINS, rows_of, same_crc, words
 
 from tessera.llm import exact_dedup, setsketch, substring_dedup
 from tessera.llm import text as T
@@ -71,6 +71,15 @@ def test_passages_tell_twin_words_apart(spark):
         assert {r.doc_id: r.n_removed for r in got.collect()} == {1: 35, 2: 0, 3: 35}
 
 
+@pytest.mark.parametrize("ident", [1, None])
+def test_passages_of_rows_with_one_id_and_one_checksum(spark, ident):
+    """Texts of one id (or none) that a crc32 takes for one: places found in one aren't cut from the other."""
+    x, y = same_crc(" ".join(f"x{k}" for k in range(60)), " ".join(f"y{k}" for k in range(60)))
+    docs = [(ident, x), (ident, y), (3, " ".join(f"x{k}" for k in range(20, 60)))]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(2), 35)
+    assert rows_of(got, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_passages(docs, 35)
+
+
 def test_the_sketch_has_a_bounded_size(spark):
     rng = random.Random(8)
     docs = [(i, " ".join(str(rng.randrange(10**6)) for _ in range(3000))) for i in range(40)] * 2
@@ -160,6 +169,15 @@ def test_rows_of_one_id_have_their_own_links(spark):
     assert rows_of(got, "doc_id", "component_id", "kept") == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("ident", [1, None])
+def test_near_duplicates_of_rows_with_one_id_and_one_checksum(spark, ident):
+    x, y = same_crc(" ".join(f"x{k}" for k in range(60)), " ".join(f"y{k}" for k in range(60)))
+    docs = [(ident, x), (ident, y), (4, y + " more"), (5, x + " more")]
+    got = setsketch.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(2))
+    low = [ident, ident] if ident else [5, 4]
+    assert rows_of(got, "doc_id", "component_id") == sorted([(ident, low[0]), (ident, low[1]), (4, low[1]), (5, low[0])], key=str)
+
+
 def test_a_large_component_meets_only_the_rest(spark, monkeypatch):
     """Two groups that share buckets, one of them large, with the links between them found whatever the block."""
     inner = setsketch._across

@@ -14,8 +14,9 @@ from test_tokens import brute_plan, spoken
 
 import corpus_pipeline
 from tessera.llm import queries
-from tessera.llm.queries import MIX_REPEATS, TOKENIZER_FILE
+from tessera.llm.queries import MIX_REPEATS, tokenizer_file
 
+TOKENIZER_FILE = tokenizer_file()
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
@@ -91,9 +92,20 @@ def test_documents_without_an_id_are_not_lost(spark, tmp_path):
     assert Counter((r.doc_id, r.n_tokens) for r in got) == Counter((i, len(tool.encode(t, add_special_tokens=False).ids)) for i, t in want)
 
 
+def test_rows_that_share_an_id_are_judged_one_by_one(spark, tmp_path):
+    """Near copies and rows without tokens don't stay because another row of their id does."""
+    base, other = ([f"{c}{k}" for k in range(60)] for c in "ab")
+    rows = [(1, " ".join(base)), (5, " ".join(base) + " more"), (5, " ".join(other)), (6, " ".join(other) + " more"), (None, " ".join(base) + " again"), (6, "quite another text")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA).repartition(3)
+    near = corpus_pipeline.near(spark, docs, "")
+    assert Counter((r.doc_id, r.text) for r in near.collect()) == Counter([rows[0], rows[2], rows[5]])
+    docs = spark.createDataFrame([(1, "some words here", "en", "s", 1), (1, " ", "en", "s", 1), (1, None, "en", "s", 1), (2, "more words", "en", None, 1)], SCHEMA)
+    assert {(r.doc_id, r.text) for r in corpus_pipeline.mix(spark, docs, "").collect()} == {(1, "some words here"), (2, "more words")}
+
+
 def test_queries_and_sql_have_the_same_names():
     assert set(queries.oracle_sql()) <= set(queries.queries())
-    assert [int(n[2:].split("_")[0]) for n in queries.queries()] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in queries.queries()] == list(range(1, 13))
 
 
 SF = "/root/testdata/sf0.001"

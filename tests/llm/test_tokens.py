@@ -4,6 +4,7 @@ import hashlib
 import math
 import os
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -18,7 +19,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm import bpe, langid, maxent_lm, mixing, orc_tokens, runs, token_counts
 from tessera.llm import text as T
-from tessera.llm.queries import TOKENIZER_FILE
+from tessera.llm.queries import tokenizer_file
+
+TOKENIZER_FILE = tokenizer_file()
 
 # --- 1
 
@@ -311,6 +314,19 @@ def test_encoder_matches_the_library_on_any_text(texts):
     assert encoded(bpe.encoder(spec).encode, latin) == [tool.encode(t, add_special_tokens=False).ids for t in latin]
 
 
+def test_long_runs_have_the_library_s_ids_and_take_seconds(library):
+    own = bpe.encoder(open(TOKENIZER_FILE, encoding="utf-8").read())
+    rng = random.Random(11)
+    long = ["".join(rng.choice(letters) for _ in range(n)) for letters, n in (("abcdefghijklmnopqrstuvwxyz", 1_000_000), ("ab", 100_000), ("a", 99_999), ("éa日ß", 50_000), ("the in er an", 60_000))]
+    for text in (x.replace(" ", "") for x in long):
+        began = time.monotonic()
+        assert own.runs([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+        assert time.monotonic() - began < 60
+    mixed = [x for k in range(20) for x in (f"word{k}", long[3][k * 400 : k * 400 + 300 + k], "short")]
+    ids, cut = own.runs(mixed)
+    assert [ids[a:b].tolist() for a, b in zip(cut, cut[1:], strict=False)] == [library.encode(x, add_special_tokens=False).ids for x in mixed]
+
+
 def test_memory_of_runs_may_be_small(library, monkeypatch):
     spec = open(TOKENIZER_FILE, encoding="utf-8").read()
     texts = [" ".join(f"word{i * k % 97}" for k in range(50)) for i in range(40)]
@@ -467,6 +483,20 @@ def test_schedule_is_a_permutation_of_blocks_in_each_epoch(spark):
     assert sorted(orders[0]) != orders[0] and orders[0][: len(orders[1])] != orders[1]  # each epoch has an order of its own
 
 
+def test_mixed_rows_come_in_the_order_of_the_schedule(spark):
+    docs = [(i, f"s{i % 3}", "w " * (i % 7 + 1)) for i in range(500)]
+    df = spark.createDataFrame(docs, "doc_id bigint, source string, text string").repartition(3)
+    rows = mixing.mixed(df, repeats=3.0, budget_share=1.7, seed=5).withColumn("part", F.spark_partition_id()).collect()
+    parts = {}
+    for r in rows:
+        parts.setdefault(r.part, []).append(r.doc_id)
+    drawn = {(r.doc_id, r.epoch): r.block for r in mixing.schedule(df, repeats=3.0, budget_share=1.7, seed=5).where("epoch is not null").collect()}
+    key = lambda i, e: (e, hashlib.md5(f"5:{e}:{i}".encode()).hexdigest())
+    for k in range(4):
+        want = sorted((*key(i, e), i) for (i, e), block in drawn.items() if block * 4 // 4096 == k)
+        assert parts[k] == [i for *_, i in want] and len(want) > 20
+
+
 def test_mixing_of_odd_rows(odd, none):
     assert mixing.schedule(none, repeats=2.0).count() == 0
     assert mixing.schedule(odd, repeats=2.0).select("doc_id").distinct().count() == len({i for i, _ in ODD})
