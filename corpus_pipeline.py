@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir), works on all rows its predecessor kept
 and returns the columns of documents; the last returns token ids.  Documents
-without a doc_id go through like all others; of duplicates one with an id stays.
+without a doc_id, and documents that share one, go through like all others; of
+duplicates one with an id stays.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, exact_dedup, langid, mixing, setsketch
-from tessera.llm.queries import MIX_REPEATS, TOKENIZER_FILE
+from tessera.llm.queries import MIX_REPEATS, tokenizer_file
 from tessera.plans.workspace import materialise, unused
 
 
@@ -26,14 +27,20 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    rows, key = docs, "doc_id"
-    if docs.where("doc_id is null").head(1):  # each gets a key of its own, above all ids
-        key = unused(docs, "row_key")
-        after = F.lit((docs.agg(F.max("doc_id")).first()[0] or 0) + 1).cast("bigint") + F.monotonically_increasing_id()
-        rows = materialise(docs.withColumn(key, F.coalesce(F.col("doc_id").cast("bigint"), after)), "near-keys")
-    found = setsketch.near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"))
-    kept = found.where("kept").select(F.col("doc_id").alias(key)).distinct()
+    """Of each group of near duplicates the document with the smallest id stays, one without an id last.
+
+    Where ids don't tell all rows apart (repeated or null ones), rows get keys of their own, written once; of
+    equal ids the smallest key stays.
+    """
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
+    if not ids.where("doc_id is null or n > 1").head(1):
+        kept = setsketch.near_duplicates(docs).where("kept").select("doc_id")
+        return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    key = unused(docs, "row_key")
+    rows = materialise(docs.withColumn(key, F.monotonically_increasing_id()), "near-keys")
+    found = setsketch.near_duplicates(rows.select(F.col(key).alias("doc_id"), "text")).select(F.col("doc_id").alias(key), "component_id")
+    lead = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", key)).alias("lead")
+    kept = found.join(rows.select(key, "doc_id"), key).groupBy("component_id").agg(lead).select(F.col("lead").getField(key).alias(key))
     return rows.join(kept, key, "left_semi").select(*docs.columns)
 
 
@@ -44,7 +51,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and digests of the ids and of the decoded text, for each row of the mixture."""
-    return bpe.encode(docs, TOKENIZER_FILE, with_ids=True, with_decoded=False)
+    return bpe.encode(docs, tokenizer_file(), with_ids=True, with_decoded=False)
 
 
 STAGES = [
