@@ -381,23 +381,32 @@ class Weights:
             out[at] = total
         return out / np.log(10)
 
-    def flat(self) -> np.ndarray:
-        """Everything that learning changes, as one array."""
-        return np.concatenate([x.ravel() for x in (*self.tables, *self.steps)])
+    def parts(self) -> list[np.ndarray]:
+        """Everything that learning changes, table by table, as flat views."""
+        return [x.reshape(-1) for x in (*self.tables, *self.steps)]
 
-    def moved(self, change: np.ndarray) -> Weights:
-        """These weights and step sizes with a change added."""
+    def copy(self) -> Weights:
         out = object.__new__(Weights)
         out.shape, out.bias, out.member_bias = self.shape, self.bias, self.member_bias
-        new, at = [], 0
-        for x in (*self.tables, *self.steps):
-            new.append((x.ravel() + change[at : at + x.size]).reshape(x.shape).astype(np.float32))
+        out.tables, out.steps = [x.copy() for x in self.tables], [x.copy() for x in self.steps]
+        return out
+
+    def less(self, other: Weights) -> np.ndarray:
+        """The difference at half precision, one table after the other, made a stretch at a time."""
+        out, at = np.empty(sum(x.size for x in self.parts()), np.float16), 0
+        for x, y in zip(self.parts(), other.parts(), strict=True):
+            for k in range(0, x.size, PART):
+                out[at + k : at + min(k + PART, x.size)] = x[k : k + PART] - y[k : k + PART]
             at += x.size
-        out.tables, out.steps = new[:2], new[2:]
         return out
 
-    def copy(self) -> Weights:
-        return self.moved(np.zeros(sum(x.size for x in (*self.tables, *self.steps)), np.float32))
+    def move(self, at: int, change: np.ndarray) -> None:
+        """Add a stretch of a difference, from its place on."""
+        for x in self.parts():
+            low, high = max(at, 0), min(at + len(change), x.size)
+            if low < high:
+                x[low:high] += change[low - at : high - at]
+            at -= x.size
 
     def learn(self, symbols: np.ndarray, place: np.ndarray) -> None:
         """Adaptive gradient steps, a batch at a time; a feature row's step size falls with the gradients it has seen."""
@@ -464,7 +473,7 @@ def _train(sent):
             for _, symbols, place in _gathered(rows, weights.shape.kind):
                 own.learn(symbols, place)
                 n += len(symbols)
-            change = (own.flat() - weights.flat()).astype(np.float16)
+            change = own.less(weights)
             for k, at in enumerate(range(0, len(change), PART)):
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([shard % BUCKETS], pa.int32()), pa.array([shard], pa.int32()), pa.array([n], pa.int64()), pa.array([change[at : at + PART].tobytes()], pa.binary())], ["part", "bucket", "shard", "tokens", "change"])
 
@@ -518,7 +527,10 @@ def _score(sent, n: int):
 
 
 def _ordered(texts: DataFrame, shards: int) -> DataFrame:
-    """Texts written shard by shard, one file each, which no reader splits: a file is one row group."""
+    """Texts written shard by shard, one file each, which no reader splits: a file is one row group.
+
+    So its writer holds a shard's encoded symbols, two or four bytes a token, before they go to the file.
+    """
     spark, path = texts.sparkSession, fresh_path(texts.sparkSession, "lm-symbols")
     own = texts.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "doc_id", "deal", "symbols")
     own.write.option("parquet.block.size", 1 << 40).option("parquet.block.row.count.limit", (1 << 31) - 1).parquet(path)
@@ -529,7 +541,8 @@ def score(docs: DataFrame, held_out, rounds: int = ROUNDS, most_bytes: int = 1 <
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs``.
 
     docs: an integer doc_id and text.  held_out: a boolean column of rows that teach nothing.
-    most_bytes: bound of the feature weights, which every task holds three times and the driver once.
+    most_bytes: bound of the feature weights.  A task that learns holds them two and a half times (as sent, the copy
+    that learns, the change at half precision), one that scores once, the driver twice (weights and their change).
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.coalesce(held_out, F.lit(True)).alias("held"))
@@ -559,6 +572,6 @@ def score(docs: DataFrame, held_out, rounds: int = ROUNDS, most_bytes: int = 1 <
         changes = symbols.where(~F.col("held") & (F.col("turn") == turn)).select("shard", "symbols").mapInArrow(_train(sent), CHANGE)
         some = changes.repartition("part", "bucket").sortWithinPartitions("part", "bucket", "shard").mapInArrow(_mean(np.float16, 2), CHANGE)
         mean = some.repartition("part").sortWithinPartitions("part", "bucket").mapInArrow(_mean(np.float32, 1), CHANGE).select("part", "change").toArrow().sort_by("part")
-        if mean.num_rows:
-            weights = weights.moved(np.concatenate([np.frombuffer(b, np.float32) for b in mean.column("change").to_pylist()]))
+        for part, change in zip(mean.column("part").to_pylist(), mean.column("change"), strict=True):
+            weights.move(part * PART, np.frombuffer(change.as_buffer(), np.float32))
     return symbols.select("doc_id", "held", "n_tokens", "known", "base", "share", "symbols").mapInArrow(_score(spark.sparkContext.broadcast(weights), n), RESULT)
