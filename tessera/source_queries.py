@@ -11,7 +11,7 @@ from tessera.functions.columns import dbl
 from tessera.operators import graphs, kernels, raster, tuning
 from tessera.plans.workspace import fresh_path, materialise
 from tessera.queries import FRAME, HALFDISK, KERNEL, S, _frame, bounded, height, points, query
-from tessera.sources import tables
+from tessera.sources import arrays, tables
 
 
 def _one_file(df: DataFrame, name: str, order: str, kind: str = "csv") -> str:
@@ -304,3 +304,94 @@ def truth_lookup(spark, sf_dir):
 
     p = A.spots(spark, sf_dir)
     return clustering.with_truth(p.select(F.col("spot_id").alias("id")), p.where("spot_id % 3 <> 0").select(F.col("spot_id").alias("id"), F.col("label12").alias("truth")))
+
+
+# --- numpy files
+
+
+def _saved(df: DataFrame, order: str | list[str], name: str) -> str:
+    """The path of a table's other columns saved as an array, rows in order."""
+    path = fresh_path(df.sparkSession, name)
+    arrays.save(df.orderBy(order).drop("_order"), path)
+    return path
+
+
+@query(f"{S}, out AS (SELECT spot_id, x, y FROM spots)", "x y", "spot_id")
+def source_npy_coords(spark, sf_dir):
+    """The last two columns of an array of three."""
+    return arrays.coords(spark, _saved(_spots(spark, sf_dir).select(F.col("label12").cast("double").alias("z"), "x", "y", "_order"), "_order", "coords.npy"))
+
+
+@query(f"{A.EXPR_SQL}, g AS (SELECT gene, row_number() OVER (ORDER BY gene) - 1 AS i FROM (SELECT DISTINCT gene FROM expr)), out AS (SELECT a.i, b.i AS j, sum(x.value * y.value) AS w FROM expr x JOIN expr y USING (spot_id) JOIN g a ON a.gene = x.gene JOIN g b ON b.gene = y.gene WHERE (a.i + b.i) % 3 <> 0 GROUP BY ALL)", "w", "i j")
+def source_npy_matrix(spark, sf_dir):
+    """What genes have in common, as a square array; cells that are 0 aren't read."""
+    ex = materialise(A.expr(spark, sf_dir), "expr")
+    both = ex.join(ex.select("spot_id", F.col("gene").alias("other"), F.col("value").alias("with")), "spot_id").groupBy("gene", "other").agg(F.sum(F.col("value") * F.col("with")).alias("w"))
+    rows = both.groupBy("gene").agg(F.array_sort(F.collect_list(F.struct("other", "w"))).alias("s")).select("gene", F.transform("s", lambda x: x["w"]).alias("f"))
+    rows = numbered(rows, "gene").select("_order", F.transform("f", lambda w, j: F.when((F.col("_order") + j) % 3 == 0, dbl(0)).otherwise(w)).alias("f"))
+    return arrays.matrix(spark, _saved(rows, "_order", "matrix.npy"))
+
+
+def numbered(df: DataFrame, order: str) -> DataFrame:
+    from tessera.plans.numbering import number_rows
+
+    return number_rows(df, "_order", [order])
+
+
+@query(f"{KERNEL}, out AS (SELECT src, dst, d, k, h FROM ke, h)", "d k h", "src dst")
+def source_npy_kernel(spark, sf_dir):
+    """Edges, kernel, lengths and spacing as arrays of one bundle, joined by place."""
+    _, g, h = bounded(spark, sf_dir)
+    edges, folder = materialise(kernels.iso(g, h), "kernel"), fresh_path(spark, "kernel")
+    for name, cols in (("edges", ["src", "dst"]), ("kernel", ["k"]), ("d", ["d"])):
+        arrays.save(edges.orderBy("src", "dst").select(*cols), f"{folder}/{name}")
+    arrays.save(spark.range(1).select(dbl(h).alias("h")), f"{folder}/h")
+    found, meta = arrays.kernel(spark, folder)
+    return found.withColumn("h", dbl(meta["h"]))
+
+
+@query(f"{A.HIST_SQL}, out AS (SELECT spot_id, pos - 1 AS pos, f[pos] AS v FROM (SELECT spot_id, f, unnest(range(1, len(f) + 1)) AS pos FROM hist))", "v", "spot_id pos")
+def source_npy_features(spark, sf_dir):
+    rows = A.hist(spark, sf_dir).select(F.col("spot_id").alias("_order"), "f")
+    return arrays.features(spark, _saved(rows, "_order", "features.npy")).select("spot_id", F.posexplode("f").alias("pos", "v"))
+
+
+def _lines(spark, sf_dir) -> DataFrame:
+    """A row of pixels each: _order, and v by x."""
+    own = A.pixels(spark, sf_dir).groupBy(F.col("y").alias("_order")).agg(F.array_sort(F.collect_list(F.struct("x", "v"))).alias("s"))
+    return own.select("_order", F.transform("s", lambda p: p["v"]).alias("f"))
+
+
+@query(f"{A.PIXELS_SQL}, out AS (SELECT y, x, v FROM pixels)", "v", "y x")
+def source_npy_raster(spark, sf_dir):
+    return arrays.raster(spark, _saved(_lines(spark, sf_dir), "_order", "raster.npy"))
+
+
+@query(f"{A.PIXELS_SQL}, out AS (SELECT y, x FROM pixels WHERE v > 2000)", "", "y x")
+def source_npy_mask(spark, sf_dir):
+    """The first file in a folder whose name is that of a mask."""
+    folder, lines = fresh_path(spark, "masks"), _lines(spark, sf_dir)
+    for name, least in (("tissue_mask.npy", 0), ("mask_a.npy", 2000)):
+        arrays.save(lines.orderBy("_order").select(F.transform("f", lambda v: v > least).alias("f")), f"{folder}/{name}")
+    return arrays.mask_auto(spark, folder)
+
+
+@query(f"{A.PIXELS_SQL}, out AS (SELECT level::INTEGER AS level, band::INTEGER AS band, theta::DOUBLE AS theta, kappa::DOUBLE AS kappa, y, x, v * f AS v FROM pixels, (VALUES (1, 0, 0.0, 0.5, 2), (1, 1, 1.5, 0.25, 3), (2, 0, 0.0, 0.5, 4), (2, 1, 1.5, 0.25, 5)) t(level, band, theta, kappa, f))", "theta kappa v", "level band y x")
+def source_npy_bands(spark, sf_dir):
+    """High-pass bands of two levels by name, with the angles and weights that a bundle beside them holds."""
+    folder, lines = fresh_path(spark, "bands"), materialise(_lines(spark, sf_dir), "lines")
+    for name, f in (("L1_B01_a", 2), ("L1_B10_a", 3), ("L1_B00_a", 9), ("L2_B01_a", 4), ("L2_B11_a", 5)):
+        arrays.save(lines.orderBy("_order").select(F.transform("f", lambda v: v * f).alias("f")), f"{folder}/{name}.npy")
+    arrays.save(spark.range(3).select(dbl(1).alias("k")), f"{folder}/a.npz/kernel")
+    for name, first, second in (("theta", 0.0, 1.5), ("kappa", 0.5, 0.25)):
+        arrays.save(spark.range(0, 2, 1, 1).select(F.when(F.col("id") == 0, dbl(first)).otherwise(dbl(second)).alias("v")), f"{folder}/b.npz/{name}")
+    return arrays.bands_with_angles(spark, folder)
+
+
+@query(f"{A.PIXELS_SQL}, out AS (SELECT y, x, v, v * 2 AS w FROM pixels WHERE v > 2000)", "v w", "y x")
+def source_npy_tensor(spark, sf_dir):
+    """An array of three axes inside a mask, once its size is found to be the mask's."""
+    rows = _lines(spark, sf_dir).select("_order", F.transform("f", lambda v: F.array(v, v * 2)).alias("f"))
+    px = materialise(A.pixels(spark, sf_dir), "pixels")
+    own = arrays.masked_tensor(spark, _saved(rows, "_order", "tensor.npy"), px.where("v > 2000").select("y", "x"), (height(px), 12))
+    return own.select("y", "x", F.col("f")[0].alias("v"), F.col("f")[1].alias("w"))
