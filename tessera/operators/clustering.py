@@ -1,7 +1,7 @@
 """Clustering of spots by joint features: embedding, neighbour graphs, communities, a grid of settings, micro-niches.
 
-The embedding is two principal components and the communities are Louvain's;
-they go by their own names, since other embeddings and community methods give
+Embeddings are two principal components, or a plane that keeps neighbours;
+communities are Louvain's, or Leiden's.  Each goes by its own name, since they give
 other labels.  Compare partitions by modularity or by the adjusted Rand index.
 """
 
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tessera.functions.columns import dbl
 from tessera.plans.workspace import materialise
 
-from . import graphs, models, normalise, spatial, stats, zones
+from . import communities, graphs, manifold, models, normalise, spatial, stats, zones
 
 
 def scaled(features: DataFrame) -> DataFrame:
@@ -62,16 +62,20 @@ def grid(histology: DataFrame, genes: DataFrame, spots: DataFrame, truth: DataFr
     return spots.sparkSession.createDataFrame(rows, "weight double, k int, resolution double, smooth_k int, smooth_frac double, classes int, ari_pre double, ari_post double")
 
 
-def micro_niches(features: DataFrame, macro: DataFrame, k: int = 15, resolution: float = 1.0, least: int = 10, seed: int = 0) -> DataFrame:
+def micro_niches(features: DataFrame, macro: DataFrame, k: int = 15, resolution: float = 1.0, least: int = 10, seed: int = 0, embedding: str = "components", method: str = "louvain") -> DataFrame:
     """(id, micro_id, micro_name): communities of the embedding within each macro zone.
 
-    A zone under max(k + 1, least) spots is one niche.  features: (id, f); macro: (id, macro).
+    embedding: components or neighbours (see ``manifold``).  method: louvain or leiden.  A zone under max(k + 1, least) spots is one niche.  features: (id, f); macro: (id, macro).
     """
-    plane = materialise(embedded(scaled(features)).join(macro, "id"), "niche-plane")
+    if embedding not in ("components", "neighbours") or method not in ("louvain", "leiden"):
+        raise ValueError(f"no such embedding or method: {embedding}, {method}")
+    flat = embedded(scaled(features)) if embedding == "components" else manifold.embed(scaled(features), k, seed=seed)
+    plane = materialise(flat.join(macro, "id"), "niche-plane")
     sizes = plane.groupBy("macro").agg(F.count("*").alias("n"))
     large = sizes.where(F.col("n") >= max(k + 1, least)).select("macro")
     edges = embedding_graph(plane.join(large, "macro", "left_semi"), k, "macro")
-    found = graphs.communities(edges, "macro", resolution, seed).select("id", F.col("community").alias("local"))
+    own = graphs.communities(edges, "macro", resolution, seed) if method == "louvain" else communities.leiden(edges, "macro", resolution, seed)
+    found = own.select("id", F.col("community").alias("local"))
     local = plane.join(found, "id", "left").select("id", "macro", F.coalesce("local", F.lit(0)).alias("local"), F.array("x", "y").alias("f"))
     return zones.niche_ids(materialise(local, "niche-local"), least)
 

@@ -28,6 +28,8 @@ from tessera.plans.workspace import discard, materialise
 ROUNDS, LEVELS, EPS = 16, 12, 1e-12
 #: A round of moves is the last if it moves fewer than this share of the nodes.
 FEW = 0.002
+#: Refinement ends after two rounds that move no more than this share of the nodes; the next level sees to the rest.
+QUIET = 0.01
 
 
 def _coin(*cols: str | Column) -> Column:
@@ -72,6 +74,7 @@ def _refined(edges: DataFrame, nodes: DataFrame, resolution: float, seed: int) -
     well = lambda weight, to: F.coalesce(F.col(to), dbl(0)) >= dbl(resolution) * F.col(weight) * (F.col("total") - F.col(weight)) / F.col("m2") - dbl(EPS)
     placed = nodes.join(totals, "c").join(touch, "id", "left").select("id", "k", "m2", "c", "total", well("k", "touch").alias("well"), F.col("id").alias("s"), F.lit(False).alias("moved"))
     placed, quiet = materialise(placed, "refined"), 0
+    count = placed.count()
     for turn in range(ROUNDS):
         subs = placed.select(F.col("id").alias("v"), F.col("s").alias("to"))
         flow = inner.join(subs, "v").join(placed.select(F.col("id").alias("u"), "s"), "u").where("s <> to")
@@ -84,8 +87,8 @@ def _refined(edges: DataFrame, nodes: DataFrame, resolution: float, seed: int) -
         chosen = near.withColumn("gain", gain).where(F.col("gain") > dbl(EPS)).groupBy("id").agg(F.max(F.struct("gain", (-F.col("to")).alias("less"))).alias("b")).select("id", (-F.col("b.less")).alias("new"))
         made = materialise(placed.join(chosen, "id", "left").select("id", "k", "m2", "c", "total", "well", F.coalesce("new", "s").alias("s"), F.col("new").isNotNull().alias("moved")), "refined", instead_of=(placed,))
         placed = made
-        quiet = 0 if placed.where("moved").head(1) else quiet + 1
-        if quiet == 2:  # both sides of the coin have found nothing
+        quiet = quiet + 1 if placed.where("moved").count() <= QUIET * count else 0
+        if quiet == 2:  # both sides of the coin have found next to nothing
             break
     discard(inner)
     return placed.select("id", "k", "m2", "c", "s")
