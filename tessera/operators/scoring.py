@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import clip, dbl, gate, hill, in_contact, mode_of, radial, tf_gain
 
+from tessera.plans.numbering import number_rows
 from tessera.plans.order_stats import quantile
 from tessera.plans.workspace import materialise
 
@@ -192,7 +193,7 @@ SENT_DRAWS = 4_000_000
 
 
 def null_thresholds_many(edges: DataFrame, expr: DataFrame, pairs: DataFrame, draws: DataFrame, half: float, q: float = 0.95) -> DataFrame:
-    """The same for many draws: edges carry what both ends express of the drawn genes, and numpy takes the quantile edge by edge.
+    """The same for many draws that are given as a table: edges carry what both ends express of the drawn genes, and numpy takes the quantile edge by edge.
 
     Pairs go in groups of about SENT_DRAWS drawn gene pairs (32 MB), each with its own genes.
     """
@@ -245,6 +246,82 @@ def _thresholds(edges: DataFrame, expr: DataFrame, draws: DataFrame, half: float
     return rows.mapInPandas(run, "src bigint, dst bigint, pair_id bigint, tau double")
 
 
+def windows(means: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """First place and length of the ``size`` values nearest to each of some places in a rising array, the place itself included."""
+    size = min(size, len(means))
+    low, high = np.maximum(at - size + 1, 0), np.minimum(at, len(means) - size)
+    while (low < high).any():  # move right while the next value on the right is nearer than the first
+        mid = (low + high) // 2
+        right = means[np.minimum(mid + size, len(means) - 1)] - means[at] < means[at] - means[mid]
+        right &= low < high
+        low, high = np.where(right, mid + 1, low), np.where(right | (low >= high), high, mid)
+    return low, np.full(len(at), size)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+def drawn(pair: int, side: int, first: int, size: int, n_null: int, seed: int) -> np.ndarray:
+    """Places of the genes drawn from a window, by pair, side, draw and seed only."""
+    with np.errstate(over="ignore"):
+        key = _mixed(np.uint64([pair]) * np.uint64(4) + np.uint64(2 * (seed & 0x7FFFFFFF) + side) * np.uint64(0x9E3779B97F4A7C15))
+        return first + (_mixed(key + np.arange(1, n_null + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) % np.uint64(size)).astype(np.int64)
+
+
+#: Cells of a block of edges by genes.
+BLOCK_CELLS = 1 << 21
+
+
+def null_thresholds_drawn(edges: DataFrame, expr: DataFrame, pairs: DataFrame, n_spots: int, half: float, n_null: int, pool_size: int, seed: int, q: float = 0.95) -> DataFrame:
+    """(src, dst, pair_id, tau): quantile over random gene pairs from pools of genes like the pair's own, drawn where the edges are.
+
+    Genes are ranked by their means (ties by name), so a pool is a stretch of ranks around its gene; equal means at its
+    rim go by rank.  The driver gets a mean for each gene and six numbers for each pair, nothing for a draw.
+    """
+    spark = edges.sparkSession
+    ranked = materialise(number_rows(gene_means(expr, n_spots), "i", ["m", "gene"]), "ranked-genes")
+    sides = [ranked.select(F.col("gene").alias(c), F.col("i").alias(n)) for c, n in (("ligand", "il"), ("receptor", "ir"))]
+    own = pairs.join(sides[0], "ligand").join(sides[1], "receptor").select("pair_id", "mode", "il", "ir").orderBy("pair_id").toArrow()
+    means = ranked.orderBy("i").select("m").toArrow().column(0).to_numpy()
+    if not own.num_rows or not n_null:
+        return spark.createDataFrame([], "src bigint, dst bigint, pair_id bigint, tau double")
+    spans = [windows(means, own.column(c).to_numpy(), pool_size) for c in ("il", "ir")]
+    plan = list(zip(own.column("pair_id").to_pylist(), own.column("mode").to_pylist(), *(x.tolist() for span in spans for x in span), strict=True))
+    sent, n = spark.sparkContext.broadcast(plan), len(means)
+    vector = expr.where("value <> 0").join(ranked.select("gene", "i"), "gene").groupBy("spot_id").agg(F.collect_list("i").alias("i"), F.collect_list("value").alias("v"))
+    ends = [vector.select(F.col("spot_id").alias(c), F.col("i").alias(f"{c}_i"), F.col("v").alias(f"{c}_v")) for c in ("src", "dst")]
+    rows = edges.select("src", "dst", "k", "radial", "contact", "g").join(ends[0], "src", "left").join(ends[1], "dst", "left")
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "src", "dst")  # much work on few bytes: not to be put together
+    step = max(1, BLOCK_CELLS // n)
+
+    def dense(batch: pd.DataFrame, end: str) -> np.ndarray:
+        out = np.zeros((len(batch), n))
+        for row, (i, v) in enumerate(zip(batch[f"{end}_i"], batch[f"{end}_v"], strict=True)):
+            if i is not None:
+                out[row, i] = v
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        low_at, part = int(q * (n_null - 1)), q * (n_null - 1) % 1
+        picks = [low_at, min(low_at + 1, n_null - 1)]
+        for whole in batches:
+            for at in range(0, len(whole), step):
+                batch = whole.iloc[at : at + step]
+                a, b = dense(batch, "src"), dense(batch, "dst")
+                weight = {"mb": batch.contact.to_numpy() * batch.g.to_numpy(), None: (batch.k * batch.radial * batch.g).to_numpy()}
+                for pair, mode, l0, ln, r0, rn in sent.value:
+                    both = a[:, drawn(pair, 0, l0, ln, n_null, seed)] * b[:, drawn(pair, 1, r0, rn, n_null, seed)]
+                    x = np.maximum(np.partition(both, picks, axis=1)[:, picks] * weight[mode if mode == "mb" else None][:, None], 0)
+                    low, high = (x / (half + x + 1e-12)).T  # weight and response rise with the product, so they can wait for the quantile
+                    yield pd.DataFrame({"src": batch.src, "dst": batch.dst, "pair_id": pair, "tau": low + part * (high - low)})
+
+    return rows.mapInPandas(run, "src bigint, dst bigint, pair_id bigint, tau double")
+
+
 def above_null(raw: DataFrame, tau: DataFrame, penalty: float = 0.0) -> DataFrame:
     """(src, dst, pair_id, s): what exceeds the threshold and the penalty, at least 0."""
     rows = raw.join(tau, ["src", "dst", "pair_id"], "left")
@@ -309,7 +386,7 @@ def score_all(spots: DataFrame, edges: DataFrame, expr: DataFrame, lr: DataFrame
     pairs = known_pairs(lr, expr)
     scores = raw_scores(own, expr, pairs, p.K_half)
     if p.n_null:
-        draws = draw_table(pools(pairs, gene_means(expr, spots.count()), p.pool_size), p.n_null, p.seed)
-        scores = above_null(scores, null_thresholds_many(own, expr, pairs, draws, p.K_half), p.penalty)
+        tau = null_thresholds_drawn(own, expr, pairs, spots.count(), p.K_half, p.n_null, p.pool_size, p.seed)
+        scores = above_null(scores, tau, p.penalty)
     scores = modulate(scores, receiver_gain(spots, tf))
     return {"ccc_edge_pair": scores, "ccc_edge": prune(edge_totals(scores), p.prune_frac), "ccc_edge_pathway": pathway_totals(scores, pairs), "meta": meta, "edges": own}
