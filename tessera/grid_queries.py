@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera import adapters as A
 from tessera.functions import columns as C
 from tessera.functions.columns import dbl
-from tessera.operators import communities, graphs, kernels, models, raster, spatial, zones
+from tessera.operators import graphs, kernels, models, raster, spatial, zones
 from tessera.plans.workspace import materialise
 from tessera.queries import _CC, DEG_MAX, EDGES, KERNEL, LAB, NN, S, _labelled, bounded, height, points, query
 
@@ -51,19 +51,6 @@ def graph_refined(spark, sf_dir):
     return _refine(spark, sf_dir)["undirected"]
 
 
-@query("out AS (SELECT count(*)::BIGINT AS nodes, 0::BIGINT AS broken, true AS as_good FROM customer)", "", "nodes broken as_good")
-def leiden_communities(spark, sf_dir):
-    """Leiden on the nearest-neighbour graph of all spots: communities that aren't connected, and whether modularity is within 0.005 of Louvain's."""
-    edges = materialise(graphs.symmetric_knn(points(spark, sf_dir), 6), "knn")
-    found = materialise(communities.leiden(edges), "leiden")
-    inner = edges.join(found.select(F.col("id").alias("u"), F.col("community").alias("a")), "u").join(found.select(F.col("id").alias("v"), F.col("community").alias("b")), "v").where("a = b")
-    parts = graphs.weak_components(found.select("id"), inner.select(F.col("u").alias("src"), F.col("v").alias("dst")))
-    broken = parts.join(found, "id").groupBy("community").agg(F.countDistinct("component").alias("n")).agg(F.count_if(F.col("n") > 1).alias("broken"))
-    other = graphs.communities(edges.withColumn("g", F.lit("all")), "g").select("id", "community")
-    both = [graphs.modularity(edges, labels).withColumnRenamed("q", name) for labels, name in ((found.select("id", "community"), "q"), (other, "q0"))]
-    return found.agg(F.count("*").alias("nodes")).crossJoin(broken).crossJoin(both[0]).crossJoin(both[1]).select("nodes", "broken", (F.col("q") >= F.col("q0") - 0.005).alias("as_good"))
-
-
 # --- resampling
 
 _BOUNDS = f"{S}, b AS (SELECT min(x) AS x0, max(x) + 1 AS x1, min(y) AS y0, max(y) + 1 AS y1 FROM spots)"

@@ -873,9 +873,14 @@ def reflect_pad(spark, sf_dir):
 
 @query()
 def band_orientation(spark, sf_dir):
-    """Direction and concentration of the bands of every bank."""
-    rows = [(name, *r) for name in ("wv22", "wv23", "wv24", "wv32", "wv42", "wv44") for r in wavelets.orientation(name)]
-    return spark.createDataFrame(rows, "bank string, bi int, bj int, theta double, kappa double")
+    """Direction and concentration of the bands of every bank, and how much of the raster's energy each band holds."""
+    px, h = _image(spark, sf_dir)
+    out = None
+    for name in ("wv22", "wv23", "wv24", "wv32", "wv42", "wv44"):
+        energy = wavelets.level(px, name, h, 12).groupBy("bi", "bj").agg(F.sum(F.col("v") * F.col("v")).alias("energy"))
+        own = wavelets.orientation_table(spark, name).join(energy, ["bi", "bj"]).select(F.lit(name).alias("bank"), "bi", "bj", "theta", "kappa", "energy")
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 @query(f"{_PXC}, {_bank_sql('wv22')}, l1 AS {_level_sql('px', _H, '12', 2)}, n AS (SELECT 'L1_B' || bi || bj AS name, y, x, v FROM l1 WHERE bi > 0 OR bj > 0), s AS (SELECT name, avg(v) AS m, stddev_pop(v) AS s FROM n GROUP BY 1), out AS (SELECT name, y, x, (v - m) / (s + 1e-8::DOUBLE) AS v FROM n JOIN s USING (name))", "v", "name y x")
