@@ -45,13 +45,13 @@ def query(sql: str | None = None, floats: str = "", rest: str = ""):
 
 
 def queries() -> dict[str, Callable]:
-    from tessera import grid_queries, job_queries, source_queries  # noqa: F401  register their own
+    from tessera import grid_queries, job_queries, model_queries, source_queries  # noqa: F401  register their own
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from tessera import grid_queries, job_queries, source_queries  # noqa: F401
+    from tessera import grid_queries, job_queries, model_queries, source_queries  # noqa: F401
 
     return dict(_SQL)
 
