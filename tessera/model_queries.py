@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessera import adapters as A
-from tessera.operators import autoencoder, models, scoring, tiles
+from tessera.operators import autoencoder, models, regulators, scoring, tiles
 from tessera.plans.workspace import materialise
 from tessera.queries import HALF, query, ready
 
@@ -38,3 +38,11 @@ def autoencoder_latent(spark, sf_dir):
     views["onehot"] = A.spots(spark, sf_dir).select(F.col("spot_id").alias("id"), F.array(*((F.col("label12") == k).cast("double") for k in (1, 2))).alias("f"))
     model = autoencoder.fit(views, ccc, autoencoder.Config(epochs=5))
     return autoencoder.latent(model, views, ccc).select("id", F.posexplode("f").alias("dim", "v"))
+
+
+@query()
+def regulator_shares(spark, sf_dir):
+    """What the genes of two makers tell about all genes, by five trees of two levels."""
+    ex = materialise(A.expr(spark, sf_dir), "expr")
+    regs = [r.gene for r in ex.where("gene rlike '#[12]'").select("gene").distinct().orderBy("gene").collect()]
+    return regulators.importance(ex, regs, trees=5, depth=2)

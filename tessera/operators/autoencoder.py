@@ -377,7 +377,7 @@ def _edges(ccc: DataFrame, pairs: list) -> DataFrame:
     return got.select("src", "dst", "total", F.col("_c.pos").alias("pos"), F.col("_c.w").alias("w"))
 
 
-_BLOCK = "block bigint, seeds int, x array<double>, src array<int>, dst array<int>, rank array<int>, edge array<int>, pair array<int>, w array<double>"
+_BLOCK = "block bigint, seeds int, x array<float>, src array<int>, dst array<int>, rank array<int>, edge array<int>, pair array<int>, w array<double>"
 
 
 def _blocks(spots: DataFrame, edges: DataFrame, c: Config) -> DataFrame:
@@ -399,7 +399,7 @@ def _blocks(spots: DataFrame, edges: DataFrame, c: Config) -> DataFrame:
         at = pd.Series(np.arange(len(nodes)), index=nodes["id"].to_numpy())
         sizes = [len(p) for p in edges["pos"]]
         side = lambda name, kind: np.concatenate([np.asarray(v, kind) for v in edges[name]]) if len(edges) else np.zeros(0, kind)
-        row = {"block": key[0], "seeds": int(nodes["seed"].sum()), "x": np.concatenate([np.asarray(v, float) for v in nodes["x"]]), "src": at.reindex(edges["src"]).to_numpy(np.int32), "dst": at.reindex(edges["dst"]).to_numpy(np.int32)}
+        row = {"block": key[0], "seeds": int(nodes["seed"].sum()), "x": np.concatenate([np.asarray(v, np.float32) for v in nodes["x"]]), "src": at.reindex(edges["src"]).to_numpy(np.int32), "dst": at.reindex(edges["dst"]).to_numpy(np.int32)}
         row |= {"rank": edges["rank"].to_numpy(np.int32), "edge": np.repeat(np.arange(len(edges), dtype=np.int32), sizes), "pair": side("pos", np.int32), "w": side("w", float)}
         return pd.DataFrame([row])
 

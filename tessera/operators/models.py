@@ -132,17 +132,3 @@ def aucell(expr: DataFrame, regulons: DataFrame, n_genes: int, share: float = 0.
     full = F.least(F.col("n"), F.lit(top))
     most = full * dbl(top) - full * (full - 1) / dbl(2)
     return got.join(sizes, "regulon").select("spot_id", "regulon", (F.col("area") / most).alias("auc"))
-
-
-def regulator_importance(expr: DataFrame, regulators: list[str], trees: int = 20, seed: int = 0) -> DataFrame:
-    """(regulator, target, importance) by boosted trees on spots, one target gene after the other.  expr is wide: a column for each gene."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    out = []
-    for target in [c for c in expr.columns if c != "spot_id"]:
-        own = [r for r in regulators if r != target]
-        rows = VectorAssembler(inputCols=own, outputCol="_x").transform(expr)
-        fitted = GBTRegressor(featuresCol="_x", labelCol=target, maxIter=trees, seed=seed).fit(rows)
-        out += [(r, target, float(v)) for r, v in zip(own, fitted.featureImportances.toArray(), strict=True) if v > 0]
-    return expr.sparkSession.createDataFrame(out, "regulator string, target string, importance double").orderBy(F.desc("importance"))

@@ -333,14 +333,6 @@ def test_model_losses(spark):
     assert sorted(r.id for r in doubled.collect()) == [0, 2, 4]
 
 
-def test_regulators(spark):
-    rng = np.random.default_rng(0)
-    a, b = rng.normal(size=80), rng.normal(size=80)
-    df = spark.createDataFrame([(i, float(x), float(y), float(2 * x)) for i, (x, y) in enumerate(zip(a, b, strict=True))], "spot_id bigint, A double, B double, T double")
-    top = models.regulator_importance(df.select("spot_id", "A", "B", "T"), ["A", "B"], trees=3).where("target = 'T'").first()
-    assert top.regulator == "A"
-
-
 def test_search_sorts_trials(spark):
     p, _ = cloud(spark, 40)
     spots = p.withColumnRenamed("id", "spot_id")
