@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from tessera.functions.columns import clip, dbl, grid_bin, hsv, pixel_of
 from tessera.plans.components import components
 from tessera.plans.numbering import number_rows
+from tessera.plans.order_stats import quantile
+from tessera.plans.workspace import materialise
 
 
 def bounds(points: DataFrame) -> dict:
@@ -121,7 +123,7 @@ def erode(mask: DataFrame, radius: int, width: int, height: int) -> DataFrame:
 
 
 def close(mask: DataFrame, radius: int, width: int, height: int) -> DataFrame:
-    return erode(dilate(mask, radius, width, height), radius, width, height)
+    return erode(materialise(dilate(mask, radius, width, height), "dilated"), radius, width, height)
 
 
 def objects(mask: DataFrame, width: int) -> DataFrame:
@@ -140,18 +142,18 @@ def complement(mask: DataFrame, width: int, height: int) -> DataFrame:
 
 
 def drop_small(mask: DataFrame, width: int, least: int) -> DataFrame:
-    parts = objects(mask, width)
+    parts = materialise(objects(mask, width), "objects")
     return parts.join(parts.groupBy("object").agg(F.count("*").alias("n")).where(F.col("n") >= least), "object", "left_semi").select("y", "x")
 
 
 def fill_holes(mask: DataFrame, width: int, height: int, least: int) -> DataFrame:
     """The mask with background parts under ``least`` pixels."""
-    away = complement(mask, width, height)
+    away = materialise(complement(mask, width, height), "background")
     return mask.select("y", "x").unionByName(away.join(drop_small(away, width, least), ["y", "x"], "left_anti"))
 
 
 def largest_object(mask: DataFrame, width: int) -> DataFrame:
-    parts = objects(mask, width)
+    parts = materialise(objects(mask, width), "objects")
     best = parts.groupBy("object").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "object").limit(1)
     return parts.join(best, "object", "left_semi").select("y", "x")
 
@@ -171,13 +173,18 @@ def blur(pixels: DataFrame, value: str, sigma: float, width: int, height: int) -
 
 
 def tissue_mask(rgb: DataFrame, width: int, height: int, sigma: float = 1.0, saturation: float = 0.18, value: float = 0.67, least: int = 64) -> DataFrame:
-    """(y, x) of tissue in an image (y, x, r, g, b in 0..1): coloured or dark, not the brightest; closed, cleaned, the largest object."""
+    """(y, x) of tissue in an image (y, x, r, g, b in 0..1): coloured or dark, not the brightest; closed, cleaned, the largest object.
+
+    Each step reads its mask several times, so masks are written between steps; else plans would grow by that factor with every step.
+    """
     s, v = hsv(F.col("r"), F.col("g"), F.col("b"))
     own = rgb.select("y", "x", s.alias("s"), v.alias("v"), (0.2125 * F.col("r") + 0.7154 * F.col("g") + 0.0721 * F.col("b")).alias("gray"))
     soft = blur(own, "s", sigma, width, height).join(blur(own, "v", sigma, width, height), ["y", "x"]).join(own.select("y", "x", "gray"), ["y", "x"])
-    cut = F.broadcast(own.agg(F.expr("percentile(gray, 0.96D)").alias("top")))
-    raw = soft.join(cut).where(((F.col("s") > saturation) | (F.col("v") < value)) & (F.col("gray") < F.col("top"))).select("y", "x")
-    return largest_object(fill_holes(drop_small(close(raw, 2, width, height), width, least), width, height, least), width)
+    top = quantile(own, "gray", 0.96)
+    raw = soft.where(((F.col("s") > saturation) | (F.col("v") < value)) & (F.col("gray") < F.lit(top).cast("double"))).select("y", "x")
+    closed = materialise(close(materialise(raw, "raw-mask"), 2, width, height), "closed-mask")
+    cleaned = materialise(drop_small(closed, width, least), "cleaned-mask")
+    return largest_object(materialise(fill_holes(cleaned, width, height, least), "filled-mask"), width)
 
 
 def rescue(mask: DataFrame, points: DataFrame, spacing: float, width: int, height: int, share: float = 0.6) -> DataFrame:
