@@ -4,7 +4,7 @@ import math
 
 import numpy as np
 
-from tessera.operators import raster, spatial, stats
+from tessera.operators import raster, scoring, spatial, stats
 
 
 def plan(df) -> str:
@@ -43,3 +43,15 @@ def test_steps_of_the_tissue_mask_do_not_nest(spark):
     got = raster.tissue_mask(rgb, 8, 8, least=4)
     assert len(plan(got).splitlines()) < 40
     assert got.count() == got.distinct().count() > 0
+
+
+def test_scores_above_drawn_pairs_are_formed_within_the_row(spark):
+    e = spark.createDataFrame([(1, 2, 0.5, 0.9, 1.0, 1.0), (2, 1, 0.7, 0.8, 0.0, 1.1), (1, 3, 0.2, 0.3, 1.0, 1.0)], "src long, dst long, k double, radial double, contact double, g double")
+    ex = spark.createDataFrame([(1, "a", 2.0), (1, "b", 0.5), (2, "a", 1.0), (2, "b", 3.0), (2, "c", 0.1)], "spot_id long, gene string, value double")
+    pairs = spark.createDataFrame([(0, "mb", "a", "b", "p"), (1, "secreted", "b", "c", "q")], "pair_id long, mode string, ligand string, receptor string, pathway string")
+    draws = spark.createDataFrame([(0, 0, "b", "c"), (0, 1, "c", "z"), (1, 0, "a", "a")], "pair_id long, t int, gl string, gr string")
+    gains = spark.createDataFrame([(2, 1.5)], "spot_id long, gain double")
+    key = lambda df: sorted((r.src, r.dst, r.pair_id, round(r.s, 12)) for r in df.collect())
+    plain = scoring.raw_scores(e, ex, pairs, 0.01)
+    assert key(scoring.raw_scores(e, ex, pairs, 0.01, draws=draws)) == key(scoring.above_null(plain, scoring.null_thresholds(e, ex, pairs, draws, 0.01)))
+    assert key(scoring.raw_scores(e, ex, pairs, 0.01, gains)) == key(scoring.modulate(plain, gains))
