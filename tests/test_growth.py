@@ -4,7 +4,7 @@ import math
 
 import numpy as np
 
-from tessera.operators import raster, scoring, spatial, stats
+from tessera.operators import autoencoder, raster, scoring, spatial, stats
 
 
 def plan(df) -> str:
@@ -55,3 +55,13 @@ def test_scores_above_drawn_pairs_are_formed_within_the_row(spark):
     plain = scoring.raw_scores(e, ex, pairs, 0.01)
     assert key(scoring.raw_scores(e, ex, pairs, 0.01, draws=draws)) == key(scoring.above_null(plain, scoring.null_thresholds(e, ex, pairs, draws, 0.01)))
     assert key(scoring.raw_scores(e, ex, pairs, 0.01, gains)) == key(scoring.modulate(plain, gains))
+
+
+def test_blocks_of_the_autoencoder_come_a_few_at_a_time(spark, tmp_path):
+    rows = [(k, 1, [0.5], [0], [0], [1], [0], [0], [1.0]) for k in range(50)]
+    spark.createDataFrame(rows, autoencoder._BLOCK).coalesce(1).write.parquet(str(tmp_path / "blocks"))
+    blocks, names = spark.read.parquet(str(tmp_path / "blocks")), ("spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxRecordsPerBatch")
+    before = [spark.conf.get(c) for c in names]
+    got = autoencoder._over(blocks, lambda row: np.array([1.0, float(row.name >= 4), row["block"]]))
+    assert got.tolist() == [50.0, 0.0, 1225.0]
+    assert [spark.conf.get(c) for c in names] == before
