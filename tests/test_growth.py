@@ -65,3 +65,18 @@ def test_blocks_of_the_autoencoder_come_a_few_at_a_time(spark, tmp_path):
     got = autoencoder._over(blocks, lambda row: np.array([1.0, float(row.name >= 4), row["block"]]))
     assert got.tolist() == [50.0, 0.0, 1225.0]
     assert [spark.conf.get(c) for c in names] == before
+
+
+def test_draws_that_pairs_share_are_formed_once_with_the_same_quantiles():
+    rng = np.random.default_rng(4)
+    plan = [(p, "mb", 0, 9, 2, 7) for p in range(20)]
+    left, right, counts = scoring.shared_draws(plan, 9, 100, 3)
+    assert len(left) <= 63 and (counts.sum(0) == 100).all()
+    a, b = rng.integers(0, 4, (30, 9)).astype(float), rng.normal(size=(30, 9))
+    for picks in ([94, 95], [0, 1], [50, 51]):
+        got = scoring.from_top(a[:, left] * b[:, right], counts, [99 - k for k in picks])
+        for k, (pair, _, l0, ln, r0, rn) in enumerate(plan):
+            both = a[:, scoring.drawn(pair, 0, l0, ln, 100, 3)] * b[:, scoring.drawn(pair, 1, r0, rn, 100, 3)]
+            want = np.partition(both, picks, axis=1)[:, picks]
+            assert (got[0][:, k] == want[:, 0]).all() and (got[1][:, k] == want[:, 1]).all()
+    assert scoring.shared_draws([(0, "mb", 0, 900, 0, 900)], 900, 100, 3) is None
