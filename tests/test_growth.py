@@ -80,3 +80,17 @@ def test_draws_that_pairs_share_are_formed_once_with_the_same_quantiles():
             want = np.partition(both, picks, axis=1)[:, picks]
             assert (got[0][:, k] == want[:, 0]).all() and (got[1][:, k] == want[:, 1]).all()
     assert scoring.shared_draws([(0, "mb", 0, 900, 0, 900)], 900, 100, 3) is None
+
+
+def test_scores_carry_names_sections_and_gains_without_another_join(spark):
+    e = spark.createDataFrame([(1, 2, 0.5, 0.9, 1.0, 1.0, "s"), (2, 1, 0.7, 0.8, 0.0, 1.1, "s"), (3, 4, 0.2, 0.3, 1.0, 1.0, "t")], "src long, dst long, k double, radial double, contact double, g double, section string")
+    ex = spark.createDataFrame([(k, g, float(k)) for k in range(1, 5) for g in "abc"], "spot_id long, gene string, value double")
+    pairs = spark.createDataFrame([(0, "mb", "a", "b", "p"), (1, "secreted", "b", "c", "q")], "pair_id long, mode string, ligand string, receptor string, pathway string")
+    gains = spark.createDataFrame([(2, 1.5), (4, 1.2)], "spot_id long, gain double")
+    names = ["ligand", "receptor", "pathway"]
+    got = scoring.raw_scores(e, ex, pairs, 0.01, gains, names, keep=["section"], by=["section", "src"])
+    want = scoring.modulate(scoring.raw_scores(e, ex, pairs, 0.01), gains).join(pairs.select("pair_id", *names), "pair_id").join(e.select("src", "dst", "section"), ["src", "dst"])
+    cols = ["src", "dst", "pair_id", "s", *names, "section"]
+    key = lambda df: sorted(tuple(r) for r in df.select(*cols).collect())
+    assert key(got) == key(want) and len(key(got)) == 6
+    assert plan(got).count("Join") < plan(want).count("Join")
