@@ -94,3 +94,13 @@ def test_scores_carry_names_sections_and_gains_without_another_join(spark):
     key = lambda df: sorted(tuple(r) for r in df.select(*cols).collect())
     assert key(got) == key(want) and len(key(got)) == 6
     assert plan(got).count("Join") < plan(want).count("Join")
+
+
+def test_thresholds_of_pairs_with_few_and_many_draws_are_taken_together(spark):
+    rng = np.random.default_rng(6)
+    e = spark.createDataFrame([(k, k % 3, *map(float, rng.random(2)), float(k % 2), 1.1) for k in range(3, 9)], "src long, dst long, k double, radial double, contact double, g double")
+    ex = spark.createDataFrame([(k, g, float(rng.integers(0, 5))) for k in range(9) for g in "abcd"], "spot_id long, gene string, value double")
+    pairs = spark.createDataFrame([(0, "mb", "a", "b", "p"), (1, "secreted", "b", "c", "q"), (2, "secreted", "c", "a", "q")], "pair_id long, mode string, ligand string, receptor string, pathway string")
+    draws = spark.createDataFrame([(p, t, *map(str, rng.choice(list("abcd"), 2))) for p, n in ((0, 5), (1, 2), (2, 5)) for t in range(n)], "pair_id long, t int, gl string, gr string")
+    key = lambda df: sorted((r.src, r.dst, r.pair_id, round(r.tau, 12)) for r in df.collect())
+    assert key(scoring.null_thresholds_many(e, ex, pairs, draws, 0.01)) == key(scoring.null_thresholds(e, ex, pairs, draws, 0.01))
