@@ -104,3 +104,15 @@ def test_thresholds_of_pairs_with_few_and_many_draws_are_taken_together(spark):
     draws = spark.createDataFrame([(p, t, *map(str, rng.choice(list("abcd"), 2))) for p, n in ((0, 5), (1, 2), (2, 5)) for t in range(n)], "pair_id long, t int, gl string, gr string")
     key = lambda df: sorted((r.src, r.dst, r.pair_id, round(r.tau, 12)) for r in df.collect())
     assert key(scoring.null_thresholds_many(e, ex, pairs, draws, 0.01)) == key(scoring.null_thresholds(e, ex, pairs, draws, 0.01))
+
+
+def test_later_rounds_of_neighbours_spread_the_queries_left(spark):
+    rng = np.random.default_rng(8)
+    rows = [(k, *map(float, p), int(k % 9 == 0)) for k, p in enumerate(rng.random((150, 2)) * 5)]
+    p = spark.createDataFrame(rows, "id long, x double, y double, kind int")
+    for r in (0.4, 1.7):
+        one, other = (spatial.near_pairs(p.where("id < 50"), p, r, ["kind"], spread_a=s) for s in (False, True))
+        assert sorted(map(tuple, one.collect())) == sorted(map(tuple, other.collect()))
+    got = sorted((r.src, r.rk, r.dst) for r in spatial.nearest(p, p, 3, ["kind"]).collect())
+    want = [(a[0], k, b) for a in rows for k, (_, b) in enumerate(sorted((float(np.hypot(a[1] - b[1], a[2] - b[2])), b[0]) for b in rows if b[0] != a[0] and b[3] == a[3])[:3], 1)]
+    assert got == sorted(want)
