@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tessera.operators import clustering, graphs
+from tessera.operators import clustering, graphs, kernels
 
 
 def _lattice(n, shift=0):
@@ -49,3 +49,35 @@ def test_scaled_features_form_no_row_for_each_position(spark):
     keep = f[:, [0, 1, 2, 4]]
     want = (keep - keep.mean(0)) / keep.std(0)
     assert np.allclose([r.f for r in got.orderBy("id").collect()], want)
+
+
+def _edges_and_pixels(spark):
+    rng = np.random.default_rng(2)
+    p = rng.random((12, 2)) * 8
+    rows = [(i, j, float(np.hypot(*(p[j] - p[i]))), *map(float, (*p[i], *p[j])), 2.5, 1.3) for i in range(12) for j in range(12) if i != j and np.hypot(*(p[j] - p[i])) < 4] + [(90, 91, 0.0, 1.0, 1.0, 1.0, 1.0, 2.5, 1.3)]
+    e = spark.createDataFrame(rows, "src long, dst long, d double, x1 double, y1 double, x2 double, y2 double, r double, sigma double")
+    return e, spark.createDataFrame([(y, x, float(rng.normal()), float(rng.normal())) for y in range(9) for x in range(9)], "y int, x int, a double, b double")
+
+
+def test_edges_stay_in_one_tile(spark):
+    from pyspark.sql import functions as F
+
+    e, px = _edges_and_pixels(spark)
+    met = kernels._meet(e, px, (F.col("x1"), F.col("y1")), F.col("r"))
+    side = [line for line in met._jdf.queryExecution().optimizedPlan().toString().splitlines() if line.lstrip().startswith(":")]
+    assert any("src#" in line for line in side) and not any("Generate" in line for line in side)
+    own = met.where("(x - x1) * (x - x1) + (y - y1) * (y - y1) <= r * r")
+    want = e.crossJoin(px).where("(x - x1) * (x - x1) + (y - y1) * (y - y1) <= r * r")
+    key = lambda df: sorted((r.src, r.dst, r.y, r.x) for r in df.collect())
+    assert key(own) == key(want) and len(key(own)) > 200
+
+
+def test_corridor_and_cap_are_pooled_in_sums_by_edge(spark):
+    e, px = _edges_and_pixels(spark)
+    bare = px.select("y", "x")
+    want = {(r.src, r.dst): r for r in kernels.pooled(kernels.combined(kernels.corridor_weights(e, bare), kernels.cap_weights(e, bare)), px, ["a", "b"]).collect()}
+    pool = kernels.pool(e, px, ["a", "b"], "corridor")
+    got = {(r.src, r.dst): r for r in pool.collect()}
+    assert set(got) == set(want) and len(got) > 20
+    assert all(got[k].n == want[k].n and np.allclose([got[k].a, got[k].b], [want[k].a, want[k].b], rtol=1e-9) for k in want)
+    assert pool._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
