@@ -81,3 +81,16 @@ def test_corridor_and_cap_are_pooled_in_sums_by_edge(spark):
     assert set(got) == set(want) and len(got) > 20
     assert all(got[k].n == want[k].n and np.allclose([got[k].a, got[k].b], [want[k].a, want[k].b], rtol=1e-9) for k in want)
     assert pool._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_directions_of_bands_are_summed_within_the_row(spark):
+    e, px = _edges_and_pixels(spark)
+    bands = spark.createDataFrame([("b1", 0.3, 0.7), ("b2", 1.2, 0.5), ("b3", 2.4, 0.1)], "band string, theta double, kappa double")
+    made = kernels.wv4_kernel(e, px, {"b1": ("a", "b"), "b2": ("b", None), "b3": ("a", None)}, bands, 1.0)
+    shape = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" not in shape.split("_terms")[0] and shape.count("Aggregate [src") == 1
+    half = kernels.half_disk(e, px, ["a", "b"])
+    p = half.selectExpr("src", "dst", "stack(2, 'b1', 0.8 * a + 0.2 * b, 'b2', b) as (band, p)")
+    want = {(r.src, r.dst): r for r in kernels.angular_kernel(e, p, bands, 1.0).collect()}
+    got = {(r.src, r.dst): r for r in made.collect()}
+    assert set(got) == set(want) and all(np.allclose(got[k][2:], want[k][2:], equal_nan=True) for k in want)
