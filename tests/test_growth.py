@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tessera.operators import autoencoder, raster, scoring, spatial, stats
 
@@ -116,3 +117,45 @@ def test_later_rounds_of_neighbours_spread_the_queries_left(spark):
     got = sorted((r.src, r.rk, r.dst) for r in spatial.nearest(p, p, 3, ["kind"]).collect())
     want = [(a[0], k, b) for a in rows for k, (_, b) in enumerate(sorted((float(np.hypot(a[1] - b[1], a[2] - b[2])), b[0]) for b in rows if b[0] != a[0] and b[3] == a[3])[:3], 1)]
     assert got == sorted(want)
+
+
+def shuffled(spark) -> int:
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    return sum(spark._jsc.sc().statusStore().executorList(False).apply(k).totalShuffleWrite() for k in range(spark._jsc.sc().statusStore().executorList(False).size()))
+
+
+def test_what_an_end_expresses_is_not_shuffled_with_every_edge(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    n, genes, near = 1200, [f"g{k}" for k in range(30)], 12
+    value = {(s, g): float(rng.uniform(0.1, 2)) for s in range(-n // 2, n // 2) if s % 100 for g in genes}
+    links = [(s, s + o, float(rng.uniform()), 1.0, 1.0, 1.0) for s in range(-n // 2, n // 2) for o in range(1, near + 1)]
+    lr = [(k, "secreted" if k % 2 else "mb", genes[k], genes[-1 - k], "p") for k in range(30)]
+    spark.createDataFrame(links, "src long, dst long, k double, radial double, contact double, g double").write.parquet(str(tmp_path / "e"))
+    spark.createDataFrame([(*k, v) for k, v in value.items()], "spot_id long, gene string, value double").write.parquet(str(tmp_path / "x"))
+    e, ex = spark.read.parquet(str(tmp_path / "e")), spark.read.parquet(str(tmp_path / "x"))
+    pairs = spark.createDataFrame(lr, "pair_id long, mode string, ligand string, receptor string, pathway string")
+    before = shuffled(spark)
+    keep = {"keep": [scoring.TILE]} if hasattr(scoring, "TILE") else {}
+    got = {(r.src, r.dst): r.total for r in scoring.edge_totals(scoring.raw_scores(e, ex, pairs, 0.01, **keep)).collect()}
+    assert shuffled(spark) - before < 2_000_000
+    score = lambda x: x / (0.01 + x + 1e-12)
+    want = {(s, t): sum(score((w if m != "mb" else c) * value[s, a] * value[t, b]) for _, m, a, b, _ in lr) for s, t, w, _, c, _ in links if (s, a0 := genes[0]) in value and (t, a0) in value}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
+
+
+def test_tiles_hold_edges_of_any_ids(spark):
+    rows = [("a", "b"), ("b", "a"), ("a", "z"), ("a", "a"), ("a", "b"), (None, "a")]
+    e = spark.createDataFrame([(s, t, 0.5, 1.0, 1.0, 1.0) for s, t in rows], "src string, dst string, k double, radial double, contact double, g double")
+    ex = spark.createDataFrame([("a", "l", 2.0), ("b", "r", 3.0), ("a", "r", 1.0), ("z", "other", 1.0)], "spot_id string, gene string, value double")
+    pairs = spark.createDataFrame([(0, "mb", "l", "r")], "pair_id long, mode string, ligand string, receptor string")
+    got = scoring.raw_scores(e, ex, pairs, 1.0)
+    assert got.columns == ["src", "dst", "pair_id", "s"]
+    assert sorted((r.src, r.dst, round(r.s, 6)) for r in got.collect()) == [("a", "a", round(2 / 3, 6)), ("a", "b", round(6 / 7, 6)), ("a", "b", round(6 / 7, 6))]
+
+
+def test_edges_and_their_reverses_are_summed_once(spark):
+    e = spark.createDataFrame([(1, 2, 0.5), (2, 1, 0.25), (3, 1, 1.0), (2, 2, 4.0), (1, 2, 0.125)], "src long, dst long, w double")
+    both = scoring.scatter_add(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")), "w")
+    got = scoring.scatter_both(e, "w")
+    assert got.columns == both.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, both.collect()))
+    assert plan(got).count("Union") == 0
