@@ -6,6 +6,8 @@ true.  Neighbourhoods are joins with a small table of offsets.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -126,63 +128,162 @@ def close(mask: DataFrame, radius: int, width: int, height: int) -> DataFrame:
     return erode(materialise(dilate(mask, radius, width, height), "dilated"), radius, width, height)
 
 
-def objects(mask: DataFrame, width: int) -> DataFrame:
-    """(y, x, object): 4-connected parts of the mask."""
-    own = mask.select("y", "x", (F.col("y").cast("bigint") * width + F.col("x")).alias("id"))
-    ids = own.select(F.col("id").alias("b"))
-    right = own.where(F.col("x") < width - 1).select("id", (F.col("id") + 1).alias("b")).join(ids, "b", "left_semi")
-    down = own.select("id", (F.col("id") + width).alias("b")).join(ids, "b", "left_semi")
-    found = components(right.unionByName(down), "id", "b").withColumnRenamed("id", "_id")
-    return own.join(found, F.col("id") == F.col("_id"), "left").select("y", "x", F.coalesce("component", "id").alias("object"))
+#: Side of a tile in pixels; a task holds one tile and its halo.
+TILE = 512
+
+
+def _tiled(rows: DataFrame, halo: int = 0) -> DataFrame:
+    """rows once for each tile (_ty, _tx) that has their pixel within its halo."""
+    for at, to in (("y", "_ty"), ("x", "_tx")):
+        rows = rows.withColumn(to, F.explode(F.sequence(F.greatest(F.floor((F.col(at) - halo) / TILE), F.lit(0)), F.floor((F.col(at) + halo) / TILE))) if halo else F.floor(F.col(at) / TILE))
+    return rows
 
 
-def complement(mask: DataFrame, width: int, height: int) -> DataFrame:
-    grid = mask.sparkSession.range(width * height).select(F.floor(F.col("id") / width).cast("int").alias("y"), (F.col("id") % width).cast("int").alias("x"))
-    return grid.join(mask, ["y", "x"], "left_anti")
+def _parts_of(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each pixel of a tile, sorted by row and column, the number of the first pixel of its 4-connected part."""
+    at = np.full((i.max() + 2, j.max() + 2), -1)
+    at[i, j] = np.arange(len(i))
+    u = np.tile(np.arange(len(i)), 2)
+    v = np.concatenate([at[i + 1, j], at[i, j + 1]])
+    u, v = u[v >= 0], v[v >= 0]
+    first = np.arange(len(i))
+    while len(u):
+        low, high = np.minimum(first[u], first[v]), np.maximum(first[u], first[v])
+        apart = low < high
+        u, v = u[apart], v[apart]
+        np.minimum.at(first, high[apart], low[apart])
+        while (first != first[first]).any():
+            first = first[first]
+    return first
+
+
+def parts(mask: DataFrame, width: int, height: int | None = None) -> DataFrame:
+    """(y, x, object, n): 4-connected parts of the mask, or with a height of what it leaves of the image, and their sizes.
+
+    A part is named after its smallest pixel in row-major order.  Tiles find their own parts; only parts that touch a tile's
+    side are joined with others, in tables as small as those sides.
+    """
+    kinds = {c: mask.schema[c].dataType.simpleString() for c in ("y", "x")}
+    own = mask.select("y", "x")
+    if height is not None:  # every tile has to be looked at
+        tiles = mask.sparkSession.range(-(-height // TILE) * -(-width // TILE)).select(F.floor(F.col("id") / -(-width // TILE)).alias("_ty"), (F.col("id") % -(-width // TILE)).alias("_tx"))
+        own = _tiled(own).unionByName(tiles, allowMissingColumns=True)
+    else:
+        own = _tiled(own)
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        y0, x0 = key[0] * TILE, key[1] * TILE
+        rows = rows[rows["y"].notna()]
+        here = np.zeros((TILE, TILE), bool)
+        here[rows["y"].to_numpy(np.int64) - y0, rows["x"].to_numpy(np.int64) - x0] = True
+        if height is not None:
+            here = ~here[: height - y0, : width - x0]
+        i, j = np.nonzero(here)
+        if not len(i):
+            return pd.DataFrame({"y": i, "x": j, "part": i, "n": i, "side": i > 0})
+        first = _parts_of(i, j)
+        n = np.bincount(first)[first]
+        side = np.bincount(first, weights=(i == 0) | (i == TILE - 1) | (j == 0) | (j == TILE - 1))[first] > 0
+        y, x = i + y0, j + x0
+        return pd.DataFrame({"y": y, "x": x, "part": (y * width + x)[first], "n": n, "side": side})
+
+    made = own.groupBy("_ty", "_tx").applyInPandas(run, f"y {kinds['y']}, x {kinds['x']}, part bigint, n bigint, side boolean")
+    found = materialise(made, "tile-parts")
+    links = None
+    for at, other in (("y", "x"), ("x", "y")):
+        last = found.where(F.col("side") & (F.col(at) % TILE == TILE - 1)).select((F.col(at) + 1).alias(at), other, F.col("part").alias("a"))
+        link = last.join(found.where(F.col("side") & (F.col(at) % TILE == 0)).select(at, other, F.col("part").alias("b")), [at, other]).select("a", "b").distinct()
+        links = link if links is None else links.unionByName(link)
+    whole = components(links, "a", "b").select(F.col("id").alias("part"), "component")
+    sums = found.where("side").select("part", "n").distinct().join(whole, "part")
+    sums = sums.join(sums.groupBy("component").agg(F.sum("n").alias("sum")), "component").select("part", F.col("component").alias("_o"), "sum")
+    return found.join(materialise(sums, "joined-parts"), "part", "left").select("y", "x", F.coalesce("_o", "part").alias("object"), F.coalesce("sum", "n").alias("n"))
+
+
+def objects(mask: DataFrame, width: int) -> DataFrame:
+    """(y, x, object): 4-connected parts of the mask."""
+    return parts(mask, width).drop("n")
 
 
 def drop_small(mask: DataFrame, width: int, least: int) -> DataFrame:
-    parts = materialise(objects(mask, width), "objects")
-    return parts.join(parts.groupBy("object").agg(F.count("*").alias("n")).where(F.col("n") >= least), "object", "left_semi").select("y", "x")
+    return parts(mask, width).where(F.col("n") >= least).select("y", "x")
 
 
 def fill_holes(mask: DataFrame, width: int, height: int, least: int) -> DataFrame:
     """The mask with background parts under ``least`` pixels."""
-    away = materialise(complement(mask, width, height), "background")
-    return mask.select("y", "x").unionByName(away.join(drop_small(away, width, least), ["y", "x"], "left_anti"))
+    return mask.select("y", "x").unionByName(parts(mask, width, height).where(F.col("n") < least).select("y", "x"))
 
 
 def largest_object(mask: DataFrame, width: int) -> DataFrame:
-    parts = materialise(objects(mask, width), "objects")
-    best = parts.groupBy("object").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "object").limit(1)
-    return parts.join(best, "object", "left_semi").select("y", "x")
+    own = materialise(parts(mask, width), "objects")
+    best = own.agg(F.max(F.struct("n", (-F.col("object")).alias("less")))["less"]).first()[0]
+    return own.where(F.col("object") == F.lit(None if best is None else -best)).select("y", "x")
 
 
-def blur(pixels: DataFrame, value: str, sigma: float, width: int, height: int) -> DataFrame:
-    """Separable Gaussian blur, edges repeated."""
+def _blurred(a: np.ndarray, there: np.ndarray, sigma: float, edges: list[tuple[int, int]]) -> np.ndarray:
+    """Separable Gaussian blur over the pixels that are there, the image's edges repeated; edges: first and last line of the image along either axis."""
     reach = max(1, int(4 * sigma + 0.5))
-    taps = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(float(2.718281828459045 ** (-k * k / (2 * sigma * sigma)))).alias("w")) for k in range(-reach, reach + 1)))
-    own = pixels
-    for axis, size in (("x", width), ("y", height)):
-        # pixel p gets w(k) of the pixel at clamp(p + k): spread each tap, then look up
-        src = own.select(F.col("y").alias("_y"), F.col("x").alias("_x"), F.col(value).alias("_v"))
-        want = own.select("y", "x").withColumn("t", F.explode(taps)).withColumn("_p", F.greatest(F.lit(0), F.least(F.lit(size - 1), F.col(axis) + F.col("t.k"))))
-        on = (F.col("_x") == F.col("_p")) & (F.col("_y") == F.col("y")) if axis == "x" else (F.col("_y") == F.col("_p")) & (F.col("_x") == F.col("x"))
-        own = want.join(src, on).groupBy("y", "x").agg((F.sum(F.col("t.w") * F.col("_v")) / F.sum("t.w")).alias(value))
-    return own
+    for axis in (1, 0):
+        low, high = edges[axis]
+        total, weight = np.zeros(a.shape), np.zeros(a.shape)
+        lines = np.arange(a.shape[axis])
+        for k in range(-reach, reach + 1):
+            at = np.clip(lines + k, low, high)
+            known = (at >= 0) & (at < len(lines))
+            at = np.clip(at, 0, len(lines) - 1)
+            seen = np.take(there, at, axis) & (known if axis == 1 else known[:, None])
+            w = np.exp(-k * k / (2 * sigma * sigma))
+            total += np.where(seen, w * np.take(a, at, axis), 0.0)
+            weight += w * seen
+        a = np.divide(total, weight, out=np.zeros(a.shape), where=there & (weight > 0))
+    return a
+
+
+def _spread(mask: np.ndarray, radius: int) -> np.ndarray:
+    """Dilation by a disk."""
+    h, w = mask.shape
+    out, wide = np.zeros(mask.shape, bool), np.pad(mask, radius)
+    for dy in range(-radius, radius + 1):
+        for dx in range(-radius, radius + 1):
+            if dx * dx + dy * dy <= radius * radius:
+                out |= wide[radius + dy : radius + dy + h, radius + dx : radius + dx + w]
+    return out
 
 
 def tissue_mask(rgb: DataFrame, width: int, height: int, sigma: float = 1.0, saturation: float = 0.18, value: float = 0.67, least: int = 64) -> DataFrame:
     """(y, x) of tissue in an image (y, x, r, g, b in 0..1): coloured or dark, not the brightest; closed, cleaned, the largest object.
 
-    Each step reads its mask several times, so masks are written between steps; else plans would grow by that factor with every step.
+    Blurring, the colour rule and closing run in one pass over tiles with a halo as wide as the three look; nothing as large
+    as the image is joined.
     """
     s, v = hsv(F.col("r"), F.col("g"), F.col("b"))
-    own = rgb.select("y", "x", s.alias("s"), v.alias("v"), (0.2125 * F.col("r") + 0.7154 * F.col("g") + 0.0721 * F.col("b")).alias("gray"))
-    soft = blur(own, "s", sigma, width, height).join(blur(own, "v", sigma, width, height), ["y", "x"]).join(own.select("y", "x", "gray"), ["y", "x"])
-    top = quantile(own, "gray", 0.96)
-    raw = soft.where(((F.col("s") > saturation) | (F.col("v") < value)) & (F.col("gray") < F.lit(top).cast("double"))).select("y", "x")
-    closed = materialise(close(materialise(raw, "raw-mask"), 2, width, height), "closed-mask")
+    own = rgb.select("y", "x", F.coalesce(s, dbl(0)).alias("s"), F.coalesce(v, dbl(0)).alias("v"), (0.2125 * F.col("r") + 0.7154 * F.col("g") + 0.0721 * F.col("b")).alias("gray"))
+    top, radius = quantile(own, "gray", 0.96), 2
+    halo = max(1, int(4 * sigma + 0.5)) + 2 * radius
+    side = TILE + 2 * halo
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        y0, x0 = int(key[0]) * TILE - halo, int(key[1]) * TILE - halo
+        i, j = rows["y"].to_numpy(np.int64) - y0, rows["x"].to_numpy(np.int64) - x0
+        there = np.zeros((side, side), bool)
+        there[i, j] = True
+        s, v, gray = (np.full((side, side), np.nan) for _ in range(3))
+        for a, c in ((s, "s"), (v, "v"), (gray, "gray")):
+            a[i, j] = rows[c].to_numpy(float)
+        edges = [(-y0, height - 1 - y0), (-x0, width - 1 - x0)]
+        s, v = (_blurred(a, there, sigma, edges) for a in (s, v))
+        raw = there & (~(s <= saturation) | (v < value)) & (gray < top)
+        lines = [(np.arange(side) >= low) & (np.arange(side) <= high) for low, high in edges]
+        inside = lines[0][:, None] & lines[1][None, :]
+        wide = _spread(raw, radius) & inside
+        closed = wide & ~_spread(inside & ~wide, radius)
+        i, j = np.nonzero(closed[halo:-halo, halo:-halo])
+        return pd.DataFrame({"y": i + y0 + halo, "x": j + x0 + halo})
+
+    kinds = {c: rgb.schema[c].dataType.simpleString() for c in ("y", "x")}
+    if top is None:
+        return rgb.select("y", "x").limit(0)
+    closed = materialise(_tiled(own, halo).groupBy("_ty", "_tx").applyInPandas(run, f"y {kinds['y']}, x {kinds['x']}"), "closed-mask")
     cleaned = materialise(drop_small(closed, width, least), "cleaned-mask")
     return largest_object(materialise(fill_holes(cleaned, width, height, least), "filled-mask"), width)
 

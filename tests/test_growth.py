@@ -159,3 +159,47 @@ def test_edges_and_their_reverses_are_summed_once(spark):
     got = scoring.scatter_both(e, "w")
     assert got.columns == both.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, both.collect()))
     assert plan(got).count("Union") == 0
+
+
+def _flooded(there):
+    """Smallest pixel and size of the 4-connected part of each pixel."""
+    out, h, w = {}, *there.shape
+    for y, x in zip(*np.nonzero(there), strict=True):
+        if (y, x) not in out:
+            part, todo = {(y, x)}, [(y, x)]
+            while todo:
+                a, b = todo.pop()
+                new = {(p, q) for p, q in ((a + 1, b), (a - 1, b), (a, b + 1), (a, b - 1)) if 0 <= p < h and 0 <= q < w and there[p, q]} - part
+                part |= new
+                todo += new
+            out |= {p: (y * w + x, len(part)) for p in part}
+    return {(int(y), int(x)): (int(o), n) for (y, x), (o, n) in out.items()}
+
+
+def test_parts_are_found_in_tiles_and_only_sides_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(raster, "TILE", 5)
+    own, joined = raster.components, []
+    monkeypatch.setattr(raster, "components", lambda e, a, b: joined.append(e.count()) or own(e, a, b))
+    h, w = 23, 17
+    there = np.random.default_rng(4).random((h, w)) < 0.58
+    mask = spark.createDataFrame([(int(y), int(x)) for y, x in zip(*np.nonzero(there), strict=True)], "y int, x int")
+    want, away = _flooded(there), _flooded(~there)
+    pixels = lambda df: sorted((r.y, r.x) for r in df.collect())
+    assert {(r.y, r.x): r.object for r in raster.objects(mask, w).collect()} == {p: o for p, (o, _) in want.items()}
+    assert pixels(raster.drop_small(mask, w, 6)) == sorted(p for p, (_, n) in want.items() if n >= 6)
+    assert pixels(raster.fill_holes(mask, w, h, 6)) == sorted([*want, *(p for p, (_, n) in away.items() if n < 6)])
+    best = min((-n, o) for o, n in want.values())[1]
+    assert pixels(raster.largest_object(mask, w)) == sorted(p for p, (o, _) in want.items() if o == best)
+    assert max(joined) <= 4 * w + 3 * h  # pairs of pixels over the sides of tiles
+    assert raster.largest_object(mask.where("y < 0"), w).count() == 0
+
+
+def test_tissue_mask_does_not_depend_on_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    v = np.where(np.add.outer(np.arange(31) // 6, np.arange(29) // 7) % 2, 0.85, 0.3) + 0.1 * rng.random((31, 29))
+    rgb = spark.createDataFrame([(y, x, float(v[y, x]), float(v[y, x]), float(v[y, x])) for y in range(31) for x in range(29) if rng.random() < 0.95], "y int, x int, r double, g double, b double")
+    got = []
+    for tile in (6, 512):
+        monkeypatch.setattr(raster, "TILE", tile)
+        got.append({(r.y, r.x) for r in raster.tissue_mask(rgb, 29, 31, least=4).collect()})
+    assert got[0] == got[1] and 20 < len(got[0]) < 31 * 29
