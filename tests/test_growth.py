@@ -5,7 +5,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.operators import autoencoder, raster, scoring, spatial, stats
+from tessera.operators import autoencoder, models, raster, scoring, spatial, stats
 
 
 def plan(df) -> str:
@@ -203,3 +203,21 @@ def test_tissue_mask_does_not_depend_on_tiles(spark, monkeypatch):
         monkeypatch.setattr(raster, "TILE", tile)
         got.append({(r.y, r.x) for r in raster.tissue_mask(rgb, 29, 31, least=4).collect()})
     assert got[0] == got[1] and 20 < len(got[0]) < 31 * 29
+
+
+def test_prepared_scores_are_sorted_only_where_a_pair_reaches_the_quantile(spark):
+    rng = np.random.default_rng(6)
+    n, own = 30, {}
+    for pair, share in ((0, 0.4), (1, 0.02), (2, 0.0)):
+        own |= {(i, j, pair): float(rng.random()) if rng.random() < share else 0.0 for i in range(n) for j in range(n)}
+    rows = spark.createDataFrame([(*k, s) for k, s in own.items()], "src bigint, dst bigint, pair_id bigint, s double")
+    want = {}
+    for pair in range(3):
+        cells = np.array([own[i, j, pair] if i != j else 0.0 for i in range(n) for j in range(n)])
+        want |= {(i, j, pair): min(own[i, j, pair] / max(np.quantile(cells, 0.95), 1e-8), 1.0) for i in range(n) for j in range(n) if i != j}
+    got = {(r.src, r.dst, r.pair_id): r.w for r in models.ccc_prep(rows, n).collect()}
+    assert set(got) == set(want) and all(abs(got[k] - w) < 1e-9 for k, w in want.items())
+    few = rows.where("pair_id > 0")
+    lean = models.ccc_prep(few, n, most=44)  # 45 of 900 cells lie above the quantile
+    assert "Window" not in plan(lean) and "Join" not in plan(lean)
+    assert {(r.src, r.dst, r.pair_id): r.w for r in lean.collect()} == {k: w for k, w in got.items() if k[2]}
