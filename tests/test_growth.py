@@ -221,3 +221,10 @@ def test_prepared_scores_are_sorted_only_where_a_pair_reaches_the_quantile(spark
     lean = models.ccc_prep(few, n, most=44)  # 45 of 900 cells lie above the quantile
     assert "Window" not in plan(lean) and "Join" not in plan(lean)
     assert {(r.src, r.dst, r.pair_id): r.w for r in lean.collect()} == {k: w for k, w in got.items() if k[2]}
+
+
+def test_scores_of_an_edge_are_brought_together_once(spark):
+    rows = spark.createDataFrame([(1, 2, 5, 0.5), (1, 2, 5, 0.7), (1, 2, 9, 0.1), (2, 1, 9, 0.3), (3, 3, 5, 1.0), (1, 3, 5, -1.0)], "src bigint, dst bigint, pair_id bigint, w double")
+    got = autoencoder._edges(rows, [5, 9])
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {(r.src, r.dst): (round(r.total, 9), r.pos, r.w) for r in got.collect()} == {(1, 2): (0.8, [0, 1], [0.7, 0.1]), (2, 1): (0.3, [1], [0.3])}
