@@ -5,7 +5,8 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.operators import autoencoder, models, raster, scoring, spatial, stats
+from tessera.operators import autoencoder, clustering, models, raster, scoring, spatial, stats
+from tessera.plans.workspace import materialise, measured_joins
 
 
 def plan(df) -> str:
@@ -228,3 +229,17 @@ def test_scores_of_an_edge_are_brought_together_once(spark):
     got = autoencoder._edges(rows, [5, 9])
     assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert {(r.src, r.dst): (round(r.total, 9), r.pos, r.w) for r in got.collect()} == {(1, 2): (0.8, [0, 1], [0.7, 0.1]), (2, 1): (0.3, [1], [0.3])}
+
+
+def test_tables_are_broadcast_by_their_measured_size_only(spark):
+    """A table whose file says little of its rows isn't broadcast by the plan."""
+    rows = materialise(spark.range(200_000).select(F.col("id"), (F.col("id") % 2).alias("k")), "rows")
+    joined = lambda: rows.join(materialise(rows, "other").withColumnRenamed("k", "l"), "id")._jdf.queryExecution().sparkPlan().toString()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in joined()
+    with measured_joins(spark):
+        assert "BroadcastHashJoin" not in joined()
+        assert spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold") == before
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before and "BroadcastHashJoin" in joined()
+    got = clustering.micro_niches(spark.createDataFrame([(i, [float(i % 7), float(i % 5)]) for i in range(60)], "id bigint, f array<double>"), spark.createDataFrame([(i, "ab"[i % 2]) for i in range(60)], "id bigint, macro string"), k=4)
+    assert hasattr(got, "_tessera_path") and got.count() == 60 and spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
